@@ -1,0 +1 @@
+"""The feature set has no streaming operators; sources are versioned as whole batches."""
