@@ -7,6 +7,7 @@ into rows of (kind, text) cells, batch by batch. Column types come from the kind
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.sources.sniff import TextType, read_text_as
 
@@ -24,7 +25,6 @@ RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships
 DATE_FORMATS = {14, 15, 16, 17, 22} | set(range(27, 37)) | set(range(50, 59))
 TIME_FORMATS = {18, 19, 20, 21, 45, 46, 47}
 BATCH_ROWS = 4096
-CELLS = "path string, position long, names array<string>, kinds array<string>, texts array<string>"
 
 # Bits of the kinds a column holds: number, boolean, date, moment, time, text.
 KIND_BITS = {"n": 1, "b": 2, "d": 4, "m": 8, "t": 16, "s": 32}
@@ -40,52 +40,56 @@ def scan_excel(spark: SparkSession, path: str, sheet_name: str | None = None, sh
 def workbook_rows(files: DataFrame, sheet_name: str | None = None, sheet_index: int = 0) -> DataFrame:
     """Rows of workbooks given as (path, content); the first sheet row holds the column names."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                yield from _sheet_batches(path, content, sheet_name, sheet_index)
-
-    cells = files.select("path", "content").mapInPandas(read, CELLS)
-    # One row per (task, distinct column): the names and kinds, in the order of the first workbook.
-    found = (
-        cells.select("path", F.posexplode(F.arrays_zip("names", "kinds")).alias("at", "cell"))
-        .groupBy(F.col("cell.names").alias("name"))
-        .agg(
-            F.min(F.struct("path", "at")).alias("place"),
-            F.bit_or(F.coalesce(F.create_map(*[F.lit(x) for kv in KIND_BITS.items() for x in kv])[F.col("cell.kinds")], F.lit(0))).alias("bits"),
-        )
+                yield _sheet_columns(path, content, sheet_name, sheet_index)
+
+    books = files.select("path", "content")
+    # One row per workbook and column, then one per column, in the order of first appearance.
+    columns = (
+        books.mapInPandas(describe, "path string, at int, name string, bits int")
+        .groupBy("name")
+        .agg(F.min(F.struct("path", "at")).alias("place"), F.bit_or("bits").alias("bits"))
         .orderBy("place")
         .collect()
     )
-    if not found:
-        raise ValueError("no workbook rows found")
-    values = F.map_from_arrays("names", "texts")
-    text = cells.select([values[row.name].alias(row.name) for row in found])
-    return read_text_as(text, {row.name: TextType(KIND_TYPES.get(row.bits, "VARCHAR")) for row in found})
+    if not columns:
+        raise ValueError("no workbook with a header row found")
+    names = [row.name for row in columns]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                yield from _sheet_batches(content, sheet_name, sheet_index, names)
 
+    cells = books.mapInPandas(read, "texts array<string>")
+    text = cells.select([F.col("texts")[i].alias(name) for i, name in enumerate(names)])
+    return read_text_as(text, {row.name: TextType(KIND_TYPES.get(row.bits, "VARCHAR")) for row in columns})
 
-def _sheet_batches(path: str, content: bytes, sheet_name: str | None, sheet_index: int) -> Iterator[pd.DataFrame]:
+
+def _table(content: bytes, sheet_name: str | None, sheet_index: int) -> tuple[list[str], Iterator[list]]:
+    """Column names and the rows below them, up to the first empty row."""
     rows = _sheet_rows(content, sheet_name, sheet_index)
-    header = next(rows, None)
-    if header is None:
-        return
+    header = next(rows, [])
     names = _unique([text if text is not None else f"column{i}" for i, (_, text) in enumerate(header)])
-    # An empty first batch row keeps the columns of a sheet that has no data rows out of the result.
-    batch: list[tuple] = []
-    for position, row in enumerate(rows):
-        if all(text is None for _, text in row):
-            break  # the table ends at the first empty row
-        row = (row + [(None, None)] * len(names))[: len(names)]
-        batch.append((path, position, names, [kind for kind, _ in row], [text for _, text in row]))
-        if len(batch) == BATCH_ROWS:
-            yield _frame(batch)
-            batch = []
-    if batch:
-        yield _frame(batch)
+    return names, itertools.takewhile(lambda row: any(text is not None for _, text in row), rows)
+
 
+def _sheet_columns(path: str, content: bytes, sheet_name: str | None, sheet_index: int) -> pd.DataFrame:
+    names, rows = _table(content, sheet_name, sheet_index)
+    bits = [0] * len(names)
+    for row in rows:
+        for at, (kind, _) in enumerate(row[: len(names)]):
+            bits[at] |= KIND_BITS.get(kind, 0)
+    return pd.DataFrame({"path": path, "at": range(len(names)), "name": names, "bits": bits})
 
-def _frame(batch: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(batch, columns=["path", "position", "names", "kinds", "texts"])
+
+def _sheet_batches(content: bytes, sheet_name: str | None, sheet_index: int, wanted: list[str]) -> Iterator[pd.DataFrame]:
+    names, rows = _table(content, sheet_name, sheet_index)
+    at = [names.index(name) if name in names else -1 for name in wanted]
+    while batch := list(itertools.islice(rows, BATCH_ROWS)):
+        yield pd.DataFrame({"texts": [[row[i][1] if 0 <= i < len(row) else None for i in at] for row in batch]})
 
 
 def _unique(names: list[str]) -> list[str]:
@@ -104,8 +108,10 @@ def _sheet_rows(content: bytes, sheet_name: str | None, sheet_index: int) -> Ite
         styles = _date_styles(book)
         with book.open(target) as member:
             expected = 1
-            for _, node in ElementTree.iterparse(member):
-                if node.tag != MAIN + "row":
+            table = None
+            for event, node in ElementTree.iterparse(member, events=("start", "end")):
+                if event == "start" or node.tag != MAIN + "row":
+                    table = node if node.tag == MAIN + "sheetData" else table
                     continue
                 number = int(node.get("r", expected))
                 for _ in range(expected, number):
@@ -117,7 +123,7 @@ def _sheet_rows(content: bytes, sheet_name: str | None, sheet_index: int) -> Ite
                     row.extend([(None, None)] * (at - len(row)))
                     row.append(_cell(cell, strings, styles))
                 yield row
-                node.clear()
+                table.clear()  # keeps one row in memory
 
 
 def _sheet_member(book: zipfile.ZipFile, sheet_name: str | None, sheet_index: int) -> str:

@@ -120,19 +120,44 @@ def scan_json(
     The layout is read off the first character unless ``multi_line`` is given. An array or an
     indented file is one task per file; large data should come as one object per line.
     """
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    first = head[0].value.lstrip("﻿ \t") if head else ""
+    first = ""
+    if multi_line is None or (schema is None and not multi_line):
+        head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
+        first = head[0].value.lstrip("\ufeff \t") if head else ""
     if multi_line is None:
         multi_line = not _is_object(first)
     reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
     df = (reader.schema(schema) if schema else reader).json(path)
-    if schema is None:
-        # Inference sorts the fields by name; put those of the first record in its order.
-        keys = [k for k in json.loads(first) if k in df.columns] if _is_object(first) else []
-        df = df.select([F.col(f"`{c}`") for c in keys + [c for c in df.columns if c not in keys]])
-    if sniff and schema is None:
-        df = read_text_as(df, sniff_types(df, allowed=TEMPORAL))
-    return df
+    if schema is not None:
+        return df
+    # Inference sorts the fields by name; put those of the first record in its order.
+    keys = [k for k in json.loads(first) if k in df.columns] if _is_object(first) else []
+    df = df.select([F.col(f"`{c}`") for c in keys + [c for c in df.columns if c not in keys]])
+    return _read_moments(df) if sniff else df
+
+
+def _read_moments(df: DataFrame) -> DataFrame:
+    """Text leaves, also inside structs, whose every value is a date or a timestamp."""
+
+    def leaves(schema, prefix=()):
+        for field in schema.fields:
+            if isinstance(field.dataType, T.StructType):
+                yield from leaves(field.dataType, prefix + (field.name,))
+            elif isinstance(field.dataType, T.StringType):
+                yield prefix + (field.name,)
+
+    def quoted(parts):
+        return ".".join(f"`{p}`" for p in parts)
+
+    paths = {f"leaf{i}": path for i, path in enumerate(leaves(df.schema))}
+    found = sniff_types(df.select([F.col(quoted(p)).alias(a) for a, p in paths.items()]), allowed=TEMPORAL)
+    columns = {c: F.col(f"`{c}`") for c in df.columns}
+    for alias, kind in found.items():
+        top, *inner = paths[alias]
+        if kind.name != "VARCHAR":
+            value = kind.read(F.col(quoted(paths[alias])))
+            columns[top] = columns[top].withField(quoted(inner), value) if inner else value
+    return df.select([column.alias(name) for name, column in columns.items()])
 
 
 def _is_object(line: str) -> bool:
