@@ -7,6 +7,8 @@ third of all events costs one row per task. Numbering needs the order inside a s
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from sluice.session import scratch_dir
@@ -46,10 +48,13 @@ HOT_SHARE = 1 / 50_000
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Add events; files go to the folder of their source's bucket, so a source's reads skip the rest."""
+    """Add events, in a folder of their own so that writers do not meet.
+
+    Within it, files lie in the folder of their source's bucket: reads of one source skip the rest.
+    """
     if [(f.name, f.dataType) for f in events.schema.fields] != [(f.name, f.dataType) for f in EVENTS.fields]:
         raise ValueError("events must have the ledger's columns")
-    events.withColumn("bucket", bucket_of(F.col("source_id"))).write.mode("append").partitionBy("bucket").parquet(path)
+    events.withColumn("bucket", bucket_of(F.col("source_id"))).write.partitionBy("bucket").parquet(f"{path}/batch={uuid.uuid4().hex}")
 
 
 def bucket_of(source_id: Column) -> Column:
@@ -58,12 +63,12 @@ def bucket_of(source_id: Column) -> Column:
 
 def read_events(spark: SparkSession, path: str, source_id: str | None = None) -> DataFrame:
     """The events, of one source if given (one bucket is read then)."""
-    schema = T.StructType(EVENTS.fields + [T.StructField("bucket", T.IntegerType())])
+    schema = T.StructType(EVENTS.fields + [T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())])
     events = spark.read.schema(schema).parquet(path)
     if source_id is not None:
         bucket = spark.range(1).select(bucket_of(F.lit(source_id))).first()[0]
         events = events.where((F.col("bucket") == bucket) & (F.col("source_id") == source_id))
-    return events.drop("bucket")
+    return events.drop("batch", "bucket")
 
 
 def assign_versions(
@@ -168,6 +173,13 @@ def lookup_sources(sources: DataFrame, ids: list, key: str = "id") -> DataFrame:
     return sources.where(F.col(key).isin(list(ids)))
 
 
+def resolve_sources(requests: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each request (with ``source_id``) with its source; ``found`` is false for an unknown one."""
+    known = sources.withColumn("found", F.lit(True))
+    joined = requests.join(known.withColumnRenamed("id", "source_id"), "source_id", "left")
+    return joined.withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def get_source(sources: DataFrame, source_id: str) -> dict:
     """One source as a dict; a missing one raises ``ValueError``."""
     found = lookup_sources(sources, [source_id]).limit(2).collect()

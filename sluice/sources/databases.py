@@ -8,7 +8,7 @@ from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.sources.sqlite import scan_sqlite, sqlite_tables
+from sluice.sources.sqlite import register_database, scan_sqlite, sqlite_tables
 
 FETCH_ROWS = 10_000
 IDENTIFIER = re.compile(r"^[a-zA-Z0-9_\.]+$")
@@ -160,9 +160,8 @@ def extract_query(spark: SparkSession, connector_type: str, credentials: dict, q
     options = connection_options(connector_type, credentials)
     kind = _known(connector_type)
     if kind is None:
-        for row in sqlite_tables(spark, options["path"]).collect():  # one row per table of the catalog
-            scan_sqlite(spark, options["path"], row.table_name).createOrReplaceTempView(f"sqlite_{row.table_name}")
-        return spark.sql(re.sub(r"\bsqlite\.(\w+)", r"sqlite_\1", query))
+        register_database(spark, options["path"])
+        return spark.sql(query)
     if pushdown:
         return scan_jdbc(spark, options, query=query, **partitioning)
     register_catalog(spark, kind.prefix, options)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import os
 import sqlite3
 from collections.abc import Iterator
@@ -14,15 +15,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sluice.session import mounted_path
 
-ROWS_PER_PARTITION = 250_000
+PARTITION_BYTES = 64 << 20
 BATCH_ROWS = 10_000
 
 
-def scan_sqlite(spark: SparkSession, path: str, table: str, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+def scan_sqlite(spark: SparkSession, path: str, table: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """A table of one SQLite file, or of every file in a folder or glob that executors can open."""
     _register(spark)
     reader = spark.read.format("sluice_sqlite").option("database", mounted_path(path)).option("dbtable", table)
-    return reader.option("rowsPerPartition", rows_per_partition).load()
+    return reader.option("partitionBytes", partition_bytes).load()
 
 
 def sqlite_tables(spark: SparkSession, path: str) -> DataFrame:
@@ -32,6 +33,22 @@ def sqlite_tables(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string")
 
 
+def register_database(spark: SparkSession, path: str, prefix: str = "sqlite") -> None:
+    """Every table of the file as ``prefix.table`` in SQL.
+
+    SQL-created tables do not hand their options to a Python source, so each gets a bound source.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{prefix}`")
+    for row in sqlite_tables(spark, path).collect():  # the catalog: one row per table
+        table = row.table_name.replace("`", "``")
+        source = f"sluice_sqlite_{hashlib.md5(f'{path}|{row.table_name}'.encode()).hexdigest()}"
+        fixed = {"database": mounted_path(path), "dbtable": row.table_name}
+        bound = type("BoundSqliteSource", (SqliteSource,), {"fixed": fixed, "name": classmethod(lambda cls, n=source: n)})
+        spark.dataSource.register(bound)
+        spark.sql(f"DROP TABLE IF EXISTS `{prefix}`.`{table}`")
+        spark.sql(f"CREATE TABLE `{prefix}`.`{table}` USING {source}")
+
+
 def _register(spark: SparkSession) -> None:
     spark.dataSource.register(SqliteSource)
 
@@ -92,25 +109,29 @@ class RowRange(InputPartition):
 
 
 class SqliteSource(DataSource):
+    fixed: dict[str, str] = {}  # options of a source that is bound to one table
+
     @classmethod
     def name(cls) -> str:
         return "sluice_sqlite"
 
     def schema(self) -> T.StructType:
-        table = self.options["dbtable"]
-        with _open(_files(self.options["database"])[0]) as db:
+        options = {**self.options, **self.fixed}
+        table = options["dbtable"]
+        with _open(_files(options["database"])[0]) as db:
             columns = db.execute(f"PRAGMA table_info({_quoted(table)})").fetchall()
         if not columns:
             raise ValueError(f"no table {table}")
         return T.StructType([T.StructField(c[1], _declared(c[2])) for c in columns])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return SqliteReader(self.options["database"], self.options["dbtable"], int(self.options["rowsperpartition"]), schema)
+        options = {**self.options, **self.fixed}
+        return SqliteReader(options["database"], options["dbtable"], int(options.get("partitionbytes", PARTITION_BYTES)), schema)
 
 
 class SqliteReader(DataSourceReader):
-    def __init__(self, database: str, table: str, rows: int, schema: T.StructType) -> None:
-        self.database, self.table, self.rows, self.schema = database, table, rows, schema
+    def __init__(self, database: str, table: str, size: int, schema: T.StructType) -> None:
+        self.database, self.table, self.size, self.schema = database, table, size, schema
 
     def partitions(self) -> list[RowRange]:
         out = []
@@ -122,7 +143,9 @@ class SqliteReader(DataSourceReader):
                     out.append(RowRange(path, None, None))
                     continue
             if low is not None:
-                out += [RowRange(path, at, min(at + self.rows - 1, high)) for at in range(low, high + 1, self.rows)]
+                # As many ranges as the file has pieces of the wanted size; counting rows would read it all.
+                step = -(-(high - low + 1) // -(-os.path.getsize(path) // self.size))
+                out += [RowRange(path, at, min(at + step - 1, high)) for at in range(low, high + 1, step)]
         return out or [RowRange(_files(self.database)[0], 1, 0)]
 
     def read(self, partition: RowRange) -> Iterator[pa.RecordBatch]:
