@@ -90,7 +90,7 @@ def _from_number(col: Column, source: T.DataType, dtype: T.DataType) -> Column:
         return F.round(col, 0).try_cast(dtype)  # half away from zero
     if isinstance(dtype, T.DecimalType) and fractional:
         power = float(10**dtype.scale)
-        return (F.rint(col * F.lit(power)) / F.lit(power)).try_cast(dtype)
+        return (F.round(col * F.lit(power), 0) / F.lit(power)).try_cast(dtype)  # half away from zero
     if isinstance(dtype, (T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
         return F.lit(None).cast(dtype)
     return col.try_cast(dtype)

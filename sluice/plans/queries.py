@@ -117,8 +117,7 @@ def csv_long_rows(spark, sf_dir):
     line = F.when(F.col("o_orderkey") % 11 == 5, F.concat_ws(",", plain, F.lit("extra"))).otherwise(plain)
     path = scratch_dir(spark, "csv")
     orders.select(line.alias("value")).write.text(path)
-    # All lines are data; the header line gives way to the width of the first line.
-    return files.long_rows(spark, path, header=False)
+    return files.long_rows(spark, path, width=2)
 
 
 def csv_ignore_errors(spark, sf_dir):
@@ -396,7 +395,8 @@ USER_SQL = {
     ),
     "extract_query_window": (
         ["orders"],
-        "SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders",
+        "SELECT o_orderkey, o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rn"
+        " FROM orders",
     ),
     "extract_query_topk": (["orders"], "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50"),
     "extract_query_setops": (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -49,9 +51,13 @@ def csv_text(
     multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text with every column as a string; empty cells are NULL."""
-    raw = _csv_reader(spark, delimiter or detect_delimiter(spark, path), header, encoding, multi_line).csv(path)
+    mark = delimiter or detect_delimiter(spark, path)
+    reader = _csv_reader(spark, mark, header, encoding, multi_line)
     if not header:
-        raw = raw.toDF(*[f"column{i}" for i in range(len(raw.columns))])
+        # Short rows may come first: the widest of the first lines says how many columns there are.
+        width = max((len(cells) for cells in _first_cells(spark, path, mark)), default=1)
+        reader = reader.schema(", ".join(f"column{i} string" for i in range(width)))
+    raw = reader.csv(path)
     # A quoted empty cell is read as an empty string.
     return raw.select([F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
 
@@ -71,30 +77,30 @@ def type_columns(text: DataFrame, types=None, sniff=True, sniff_rows=None, ignor
     return read_text_as(text, known, reject=ignore_errors)
 
 
-def long_rows(spark: SparkSession, path: str, delimiter: str = ",", header: bool = True) -> DataFrame:
-    """Raw text of rows with more cells than the header; a scan cuts them to the header's width."""
-    columns = csv_text(spark, path, delimiter, header).columns
-    lines = [T.StructField(c, T.StringType()) for c in columns]
-    raw = (
-        _csv_reader(spark, delimiter, header, None, False)
-        .schema(T.StructType(lines + [T.StructField("_raw", T.StringType())]))
-        .option("columnNameOfCorruptRecord", "_raw")
-        .csv(path)
-    )
-    # Parse the flagged text once more with one column more than the header has.
-    wider = ", ".join(f"c{i} string" for i in range(len(columns) + 1))
+def long_rows(spark: SparkSession, path: str, delimiter: str = ",", width: int | None = None) -> DataFrame:
+    """Lines with more cells than ``width``, by default that of the header; a scan cuts them to it."""
+    width = width or len(csv_text(spark, path, delimiter).columns)
+    wider = ", ".join(f"c{i} string" for i in range(width + 1))
+    # An impossible NULL mark keeps an empty surplus cell apart from a missing one.
     options = {"sep": delimiter, "quote": '"', "escape": '"', "nullValue": "\u0000"}
-    return (
-        raw.where(F.col("_raw").isNotNull())
-        .select("_raw", F.from_csv("_raw", wider, options).alias("cells"))
-        .where(F.col(f"cells.c{len(columns)}").isNotNull())
-        .select(F.col("_raw").alias("row"))
-    )
+    cells = F.from_csv("value", wider, options)
+    return spark.read.text(path).where(cells[f"c{width}"].isNotNull()).select(F.col("value").alias("row"))
+
+
+def _first_lines(spark: SparkSession, path: str, lines: int) -> list[str]:
+    return [r.value for r in spark.read.text(path).limit(lines).collect() if r.value.strip()]
+
+
+def _first_cells(spark: SparkSession, path: str, delimiter: str, lines: int = 1000) -> list[list[str]]:
+    text = "\n".join(_first_lines(spark, path, lines))
+    if len(delimiter) > 1:  # the csv module knows single characters only
+        text, delimiter = text.replace(delimiter, "\x1f"), "\x1f"
+    return list(csv.reader(io.StringIO(text), delimiter=delimiter))
 
 
 def detect_delimiter(spark: SparkSession, path: str, lines: int = 20) -> str:
     """The candidate that occurs equally often, and most often, on the first lines."""
-    head = [r.value for r in spark.read.text(path).limit(lines).collect() if r.value.strip()]
+    head = _first_lines(spark, path, lines)
 
     def score(mark):
         counts = [line.count(mark) for line in head]
@@ -170,7 +176,7 @@ def _is_object(line: str) -> bool:
 
 def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
     """A FeatureCollection is one row with its ``features`` as an array; ``F.inline`` unfolds them."""
-    return scan_json(spark, path, multi_line=True)
+    return scan_json(spark, path)
 
 
 # Format names.
