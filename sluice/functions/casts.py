@@ -12,6 +12,7 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 # Decimal numbers in ASCII digits, single underscores allowed between digits.
 NUMBER = r"^\s*[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+WHOLE_NUMBER = r"^\s*[+-]?\d+\s*$"
 SPECIAL_NUMBER = r"^\s*(?i:[+-]?inf(?:inity)?|[+-]?nan)\s*$"
 PREFIXED_INTEGER = r"^\s*0(?:[xX][0-9a-fA-F]{1,16}|[bB][01]{1,64})\s*$"
 # Year first, one separator throughout, optionally followed by a clock time and a zone.
@@ -61,7 +62,8 @@ def _from_text(col: Column, dtype: T.DataType, integral: bool) -> Column:
             col.rlike(PREFIXED_INTEGER),
             F.when(base == "x", F.conv(digits, 16, 10)).otherwise(F.conv(digits, 2, 10)).try_cast(dtype),
         )
-        plain = [col.try_cast(dtype)] if isinstance(dtype, _INTEGRAL) else []
+        # A failing cast of text to an integer is slow, so only whole numbers get there.
+        plain = [F.when(col.rlike(WHOLE_NUMBER), col.try_cast(dtype))] if isinstance(dtype, _INTEGRAL) else []
         return F.coalesce(*plain, rounded, prefixed)
     if isinstance(dtype, T.DecimalType):
         return F.when(col.rlike(NUMBER), bare.try_cast(dtype))
@@ -78,7 +80,9 @@ def _from_text(col: Column, dtype: T.DataType, integral: bool) -> Column:
 
 
 def _dashed(col: Column) -> Column:
-    return F.regexp_replace(F.trim(col), r"^(\d+)[-/ \\](\d{1,2})[-/ \\](\d{1,2})", "$1-$2-$3")
+    text = F.trim(col)
+    dashes = F.regexp_replace(text, r"^(\d+)[-/ \\](\d{1,2})[-/ \\](\d{1,2})", "$1-$2-$3")
+    return F.when(F.substring(text, 5, 1) == "-", text).otherwise(dashes)
 
 
 def _from_number(col: Column, source: T.DataType, dtype: T.DataType) -> Column:
@@ -100,6 +104,13 @@ def _to_text(col: Column, source: T.DataType) -> Column:
     text = col.cast("string")
     if not isinstance(source, (T.FloatType, T.DoubleType)):
         return text
+    # Most values need no work; the rest goes through a lambda, which keeps the compiled code small.
+    simple = ~F.contains(text, F.lit("E")) & (F.length(text) <= 16) & ~text.isin("NaN", "Infinity", "-Infinity")
+    return F.when(simple, text).otherwise(F.transform(F.array(col), lambda x: _unusual_text(x, source))[0])
+
+
+def _unusual_text(col: Column, source: T.DataType) -> Column:
+    text = col.cast("string")
     # Older JVMs print some doubles with a digit too many: take 16 or 17 digits if they read back.
     wordy = F.length(F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), "[-.]", "")) >= 17
     for pattern in ("%.16e", "%.15e") if isinstance(source, T.DoubleType) else ():
@@ -109,15 +120,15 @@ def _to_text(col: Column, source: T.DataType) -> Column:
     positional = F.regexp_replace(text.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
     mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", "")
     exponent = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    signed = F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    scientific = F.concat(mantissa, signed, F.lpad(F.abs(exponent), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")))
+    digits = F.abs(exponent).cast("string")
+    signed = F.concat(F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")), F.when(F.length(digits) < 2, F.lit("0")).otherwise(F.lit("")), digits)
     size = F.abs(col)
     return (
         F.when(F.isnan(col), F.lit("nan"))
         .when(size == float("inf"), F.when(col > 0, F.lit("inf")).otherwise(F.lit("-inf")))
         .when(~F.contains(text, F.lit("E")), text)
         .when((size >= 1e-4) & (size < 1e16), positional)
-        .otherwise(scientific)
+        .otherwise(F.concat(mantissa, signed))
     )
 
 

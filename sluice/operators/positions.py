@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sluice.functions.names import column
 from sluice.session import scratch_dir
 
 # A list up to this many positions is a literal in the plan and its matches are broadcast.
@@ -63,7 +64,7 @@ def _staged(df: DataFrame, order_by: list[str] | None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, "positions")
     if order_by is not None:
-        df.orderBy(*order_by).write.parquet(path)
+        df.orderBy(*map(column, order_by)).write.parquet(path)
     else:
         split = [F.col("_metadata.file_path").alias("_from_file"), F.col("_metadata.file_block_start").alias("_from_byte")]
         df.select("*", *split).write.parquet(path)

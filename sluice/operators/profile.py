@@ -7,8 +7,11 @@ type family, so that every column is read once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from sluice.functions.names import column
 from sluice.functions.casts import safe_cast
 from sluice.functions.formats import STRING_FORMATS, matches_format, pick_format
 from sluice.functions.types import type_class, type_name
@@ -26,7 +29,7 @@ COLUMNS_PER_PASS = 100
 def sample(df: DataFrame, sample_size: int = SAMPLE_ROWS, order_by: list[str] | None = None) -> DataFrame:
     """The first rows, 10,000 at most; with ``order_by`` the first in that order."""
     size = min(sample_size, MAX_SAMPLE_ROWS)
-    return (df.orderBy(*order_by) if order_by else df).limit(size)
+    return (df.orderBy(*map(column, order_by)) if order_by else df).limit(size)
 
 
 def head(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
@@ -58,7 +61,7 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, formats: bool
 
 
 def _stats_pass(df: DataFrame, fields: list[tuple[int, T.StructField]], formats: bool) -> DataFrame:
-    cells = df.select([F.col(f"`{f.name}`").alias(f"c{p}") for p, f in fields])
+    cells = [column(f.name).alias(f"c{p}") for p, f in fields]
     measures, records = [F.count("*").alias("n")], []
     for position, field in fields:
         col, kind = F.col(f"c{position}"), type_class(field.dataType)
@@ -72,7 +75,9 @@ def _stats_pass(df: DataFrame, fields: list[tuple[int, T.StructField]], formats:
         elif kind == "temporal":
             low_text, high_text = (safe_cast(at(w), field.dataType, "VARCHAR") for w in ("min", "max"))
         elif kind == "text" and formats:
-            measures += [F.count_if(matches_format(col, f)).alias(f"{f}{position}") for f in STRING_FORMATS]
+            # Columns of their own, because an aggregate repeats its argument in its code.
+            cells += [matches_format(column(field.name), f).alias(f"is_{f}{position}") for f in STRING_FORMATS]
+            measures += [F.count_if(at(f"is_{f}")).alias(f"{f}{position}") for f in STRING_FORMATS]
             found = pick_format({f: at(f) / F.nullif(at("filled"), F.lit(0)) for f in STRING_FORMATS})
         nulls = F.col("n") - at("filled")
         records.append(
@@ -91,7 +96,7 @@ def _stats_pass(df: DataFrame, fields: list[tuple[int, T.StructField]], formats:
                 found.cast("string").alias("detected_format"),
             )
         )
-    return cells.agg(*measures).select(F.inline(F.array(*records)))
+    return df.select(cells).agg(*measures).select(F.inline(F.array(*records)))
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -133,13 +138,13 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate
     places = {c: i for i, c in enumerate(df.columns, 1)}
     chosen = columns if columns is not None else df.columns
     if approximate:
-        counts = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"c{places[c]}") for c in chosen])
+        counts = df.agg(*[F.approx_count_distinct(column(c)).alias(f"c{places[c]}") for c in chosen])
         records = [F.struct(F.lit(places[c]).alias("position"), F.lit(c).alias("name"), F.col(f"c{places[c]}").alias("unique_count")) for c in chosen]
         return counts.select(F.inline(F.array(*records)))
     families: dict[str, list[Column]] = {}
     for name in chosen:
         dtype = df.schema[name].dataType
-        value, family = _groupable(F.col(f"`{name}`"), dtype)
+        value, family = _groupable(column(name), dtype)
         families.setdefault(family, []).append(F.struct(F.lit(places[name]).alias("position"), value.alias("value")))
     counted = None
     for cells in families.values():
@@ -165,29 +170,43 @@ def _groupable(col: Column, dtype: T.DataType) -> tuple[Column, str]:
 
 
 def sample_values(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None, n: int = SAMPLE_VALUES) -> DataFrame:
-    """The first ``n`` non-null values of each column as text rows: name, position, sample_value.
+    """The first ``n`` non-null values of each column as text rows: name, position, sample_value."""
+    chosen = columns if columns is not None else df.columns
+    values = first_values(df, chosen, order_by, n)
+    rows = values.select("name", F.posexplode("sample_values").alias("at", "sample_value"))
+    return rows.select("name", (F.col("at") + 1).alias("position"), "sample_value")
+
 
-    Each column is a top-n read of its own column and the key, never a sort of the table.
+def first_values(df: DataFrame, columns: list[str], order_by: list[str] | None, n: int) -> DataFrame:
+    """One row per column: name, sample_values (text).
+
+    The first few rows usually hold enough values of every column: one top-k read, on the driver
+    at once. Only columns that are still short get a top-k read of their own.
     """
-    out = None
-    for name in columns if columns is not None else df.columns:
-        part = _first_values(df, name, order_by, n).select(F.lit(name).alias("name"), F.posexplode("values").alias("at", "sample_value"))
-        part = part.select("name", (F.col("at") + 1).alias("position"), "sample_value")
-        out = part if out is None else out.unionAll(part)
+    texts = [safe_cast(column(c), df.schema[c].dataType, "VARCHAR").alias(c) for c in columns]
+    rows = df.orderBy(*map(column, order_by)) if order_by else df
+    first = rows.limit(4 * n).select(texts).collect()
+    held = {c: [row[i] for row in first if row[i] is not None][:n] for i, c in enumerate(columns)}
+    whole = len(first) < 4 * n
+    done = [(c, values) for c, values in held.items() if whole or len(values) == n]
+    out = df.sparkSession.createDataFrame(done, "name string, sample_values array<string>")
+    for name in columns:
+        if not whole and len(held[name]) < n:
+            out = out.unionAll(_first_values(df, name, order_by, n).select(F.lit(name).alias("name"), "sample_values"))
     return out
 
 
 def _first_values(df: DataFrame, name: str, order_by: list[str] | None, n: int) -> DataFrame:
-    """One row: the first non-null values as an array."""
-    keys = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(order_by or [])]
+    """One row: the first non-null values as an array; a top-k read of the column and the keys."""
+    keys = [column(k).alias(f"k{i}") for i, k in enumerate(order_by or [])]
     dtype = df.schema[name].dataType
-    rows = df.select(*keys, F.col(f"`{name}`").alias("v")).where(F.col("v").isNotNull())
+    rows = df.select(*keys, column(name).alias("v")).where(F.col("v").isNotNull())
     if keys:
         rows = rows.orderBy(*[f"k{i}" for i in range(len(keys))])
     record = F.struct(*[F.col(f"k{i}") for i in range(len(keys))], safe_cast(F.col("v"), dtype, "VARCHAR").alias("text"))
     first = rows.limit(n).agg(F.collect_list(record).alias("records"))
     records = F.sort_array("records") if keys else F.col("records")
-    return first.select(F.transform(records, lambda r: r["text"]).alias("values"))
+    return first.select(F.transform(records, lambda r: r["text"]).alias("sample_values"))
 
 
 def profile(
@@ -207,13 +226,13 @@ def profile(
     unique = distinct_counts(rows, approximate=approximate).select("position", "unique_count")
     out = stats.join(F.broadcast(unique), "position")
     if values:
-        firsts = None
-        for at, name in enumerate(df.columns, 1):
-            part = _first_values(rows, name, order_by, values).select(F.lit(at).alias("position"), F.col("values").alias("sample_values"))
-            firsts = part if firsts is None else firsts.unionAll(part)
-        out = out.join(F.broadcast(firsts), "position")
+        out = out.join(F.broadcast(first_values(rows, df.columns, order_by, values)), "name", "left")
         if sample_size is not None:
             size = F.nullif(F.size("sample_values"), F.lit(0))
-            shares = {f: F.size(F.filter("sample_values", lambda v, f=f: matches_format(v, f))) / size for f in STRING_FORMATS}
+            shares = {f: F.size(F.filter("sample_values", _format_test(f))) / size for f in STRING_FORMATS}
             out = out.withColumn("detected_format", F.when(F.col("class") == "text", pick_format(shares)))
     return out.orderBy("position")
+
+
+def _format_test(name: str) -> Callable[[Column], Column]:
+    return lambda value: matches_format(value, name)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from sluice.functions.names import column
 from sluice.functions.formats import NULL_PERCENT, NUMERIC_SHARE, looks_numeric
 from sluice.functions.types import type_class
 from sluice.operators.profile import column_stats
@@ -35,10 +36,10 @@ def type_warnings(df: DataFrame, order_by: list[str], columns: list[str] | None
     """
     out = None
     for name in _text_columns(df, columns):
-        keys = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(order_by)]
+        keys = [column(k).alias(f"k{i}") for i, k in enumerate(order_by)]
         order = [f"k{i}" for i in range(len(keys))]
         # The top 100 rows are all that reaches the single task of the window.
-        first = df.select(*keys, F.col(f"`{name}`").alias("v")).where(F.col("v").isNotNull()).orderBy(*order).limit(VALUES_READ)
+        first = df.select(*keys, column(name).alias("v")).where(F.col("v").isNotNull()).orderBy(*order).limit(VALUES_READ)
         numbered = first.select(F.row_number().over(Window.orderBy(*order)).alias("at"), looks_numeric(F.col("v")).alias("numeric"))
         deciding = F.when(F.col("at") <= VALUES_DECIDING, F.col("numeric").cast("int"))
         offending = F.sort_array(F.collect_list(F.when(~F.col("numeric"), F.col("at").cast("bigint"))))
@@ -61,7 +62,7 @@ def numeric_text_shares(df: DataFrame, columns: list[str] | None = None) -> Data
     chosen = _text_columns(df, columns)
     measures = []
     for i, name in enumerate(chosen):
-        numeric = looks_numeric(F.col(f"`{name}`"))
+        numeric = looks_numeric(column(name))
         measures += [F.avg(numeric.cast("int")).alias(f"share{i}"), F.count_if(~numeric).alias(f"other{i}")]
     records = [
         F.struct(F.lit(n).alias("column_name"), F.col(f"share{i}").alias("numeric_share"), F.col(f"other{i}").alias("other_count"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sluice.functions.names import column
 from sluice.functions.casts import safe_cast
 from sluice.functions.types import spark_type, type_class, type_name
 
@@ -18,9 +19,9 @@ def shape(df: DataFrame, column_mapping: dict[str, str] | None = None, type_over
         spark_type(name)  # reject bad type names before any job
     columns = []
     for field in df.schema.fields:
-        column, new = F.col(f"`{field.name}`"), mapping.get(field.name, field.name)
+        value, new = column(field.name), mapping.get(field.name, field.name)
         target = overrides.get(new, overrides.get(field.name))
-        columns.append((safe_cast(column, field.dataType, target) if target else column).alias(new))
+        columns.append((safe_cast(value, field.dataType, target) if target else value).alias(new))
     return df.select(columns)
 
 

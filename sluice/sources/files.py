@@ -8,6 +8,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from sluice.functions.names import column, quoted
 from sluice.sources.excel import scan_excel
 from sluice.sources.sniff import TEMPORAL, given_types, read_text_as, sniff_types
 
@@ -59,7 +60,7 @@ def csv_text(
         reader = reader.schema(", ".join(f"column{i} string" for i in range(width)))
     raw = reader.csv(path)
     # A quoted empty cell is read as an empty string.
-    return raw.select([F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in raw.columns])
+    return raw.select([F.nullif(column(c), F.lit("")).alias(c) for c in raw.columns])
 
 
 def _csv_reader(spark, delimiter, header, encoding, multi_line):
@@ -71,10 +72,10 @@ def _csv_reader(spark, delimiter, header, encoding, multi_line):
 def type_columns(text: DataFrame, types=None, sniff=True, sniff_rows=None, ignore_errors=True) -> DataFrame:
     """String columns as their given or detected types."""
     known = given_types({c: t for c, t in (types or {}).items() if c in text.columns})
-    if sniff:
-        rest = [c for c in text.columns if c not in known]
-        known = {**sniff_types(text, rest, sniff_rows), **known}
-    return read_text_as(text, known, reject=ignore_errors)
+    found = sniff_types(text, [c for c in text.columns if c not in known], sniff_rows) if sniff else {}
+    if sniff_rows is not None:
+        known, found = {**found, **known}, {}
+    return read_text_as(read_text_as(text, known, reject=ignore_errors), found, sniffed=True)
 
 
 def long_rows(spark: SparkSession, path: str, delimiter: str = ",", width: int | None = None) -> DataFrame:
@@ -138,7 +139,7 @@ def scan_json(
         return df
     # Inference sorts the fields by name; put those of the first record in its order.
     keys = [k for k in json.loads(first) if k in df.columns] if _is_object(first) else []
-    df = df.select([F.col(f"`{c}`") for c in keys + [c for c in df.columns if c not in keys]])
+    df = df.select([column(c) for c in keys + [c for c in df.columns if c not in keys]])
     return _read_moments(df) if sniff else df
 
 
@@ -152,18 +153,18 @@ def _read_moments(df: DataFrame) -> DataFrame:
             elif isinstance(field.dataType, T.StringType):
                 yield prefix + (field.name,)
 
-    def quoted(parts):
-        return ".".join(f"`{p}`" for p in parts)
+    def dotted(parts):
+        return ".".join(quoted(p) for p in parts)
 
     paths = {f"leaf{i}": path for i, path in enumerate(leaves(df.schema))}
-    found = sniff_types(df.select([F.col(quoted(p)).alias(a) for a, p in paths.items()]), allowed=TEMPORAL)
-    columns = {c: F.col(f"`{c}`") for c in df.columns}
+    found = sniff_types(df.select([F.col(dotted(p)).alias(a) for a, p in paths.items()]), allowed=TEMPORAL)
+    columns = {c: column(c) for c in df.columns}
     for alias, kind in found.items():
         top, *inner = paths[alias]
         if kind.name != "VARCHAR":
-            value = kind.read(F.col(quoted(paths[alias])))
-            columns[top] = columns[top].withField(quoted(inner), value) if inner else value
-    return df.select([column.alias(name) for name, column in columns.items()])
+            value = kind.read_sniffed(F.col(dotted(paths[alias])))
+            columns[top] = columns[top].withField(dotted(inner), value) if inner else value
+    return df.select([value.alias(name) for name, value in columns.items()])
 
 
 def _is_object(line: str) -> bool:

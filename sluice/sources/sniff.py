@@ -10,16 +10,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from sluice.functions.names import column, quoted
 from sluice.functions.casts import safe_cast
 from sluice.functions.types import canonical, spark_type
 
 # What a cell must look like for each type.
 BOOLEAN_WORDS = ("true", "false", "t", "f", "yes", "no", "y", "n")
+NUMBER_WORDS = ("nan", "-nan", "inf", "-inf")
 INTEGER_TEXT = r"^\s*(?:-\d+|0|[1-9]\d*)\s*$"
-DOUBLE_TEXT = r"^\s*-?(?:(?:(?:0|[1-9]\d*)(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?|(?i:nan|inf))\s*$"
+DOUBLE_TEXT = r"^\s*-?(?:(?:0|[1-9]\d*)(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 YEAR_FIRST = r"^\s*(\d{4})([-/.])(\d{1,2})\2(\d{1,2})\s*$"
 YEAR_LAST = r"^\s*(\d{1,2})([-/.])(\d{1,2})\2(\d{4})\s*$"
-ISO_MOMENT = r"^\s*\d{4}([-/])\d{1,2}\1\d{1,2}[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?"
+MOMENT = r"^\s*\d{4}([-/])\d{1,2}\1\d{1,2}[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{1,2}(?::?\d{2})?)?\s*$"
 CLOCK = r"^\s*\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*$"
 LONGEST = 400  # characters of the longest number, date or time
 
@@ -46,12 +48,26 @@ class TextType:
     layout: str = "year first"
 
     def read(self, col: Column) -> Column:
-        if self.name == "DATE" and self.layout != "year first":
-            return _iso_date(col, self.layout).try_cast("date")
+        """The cell in this type, NULL if it does not fit."""
         if self.name == "DATE":
-            return F.coalesce(safe_cast(col, T.StringType(), "DATE"), _iso_date(col, self.layout).try_cast("date"))
+            iso = _iso_date(col, self.layout).try_cast("date")
+            return F.coalesce(safe_cast(col, T.StringType(), "DATE"), iso) if self.layout == "year first" else iso
         return safe_cast(col, T.StringType(), self.name)
 
+    def read_sniffed(self, col: Column) -> Column:
+        """The same for cells that are known to fit, without the checks."""
+        if self.name in ("BOOLEAN", "BIGINT", "HUGEINT", "DOUBLE"):
+            return col.try_cast(spark_type(self.name))
+        if self.name.startswith("TIMESTAMP"):
+            return _moment(col).try_cast(spark_type(self.name))
+        if self.name == "DATE":
+            return _iso_date(col, self.layout).try_cast("date")
+        return self.read(col)
+
+
+def _moment(col: Column) -> Column:
+    return F.when(F.contains(col, F.lit("/")), F.replace(F.trim(col), F.lit("/"), F.lit("-"))).otherwise(col)
+
 
 def _iso_date(col: Column, layout: str) -> Column:
     pattern, order = {
@@ -62,32 +78,38 @@ def _iso_date(col: Column, layout: str) -> Column:
     return F.when(col.rlike(pattern), F.regexp_replace(col, pattern, order))
 
 
-def _cell_bits(col: Column) -> Column:
-    """The types the cell could have; NULL for a NULL cell, which then decides nothing."""
-    bit = {name: F.lit(value) for name, value in BITS.items()}
-    zero = F.lit(0)
-    whole = (
-        F.when((F.length(col) <= 18) | col.try_cast("bigint").isNotNull(), F.lit(BITS["BIGINT"] | BITS["HUGEINT"] | BITS["DOUBLE"]))
-        .when(col.try_cast("decimal(38,0)").isNotNull(), F.lit(BITS["HUGEINT"] | BITS["DOUBLE"]))
-        .otherwise(zero)
-    )
-    year_last = F.when(_iso_date(col, "day first").try_cast("date").isNotNull(), bit["DATE day first"]).otherwise(zero).bitwiseOR(
-        F.when(_iso_date(col, "month first").try_cast("date").isNotNull(), bit["DATE month first"]).otherwise(zero)
-    )
-    zoned = col.rlike(r"(?:Z|UTC|\d[+-]\d{1,2}(?::?\d{2})?)\s*$") & col.rlike(":")
-    moment = safe_cast(col, T.StringType(), "TIMESTAMP").isNotNull()
-    return (
-        F.when(col.isNull(), F.lit(None).cast("int"))
-        .when(F.length(col) > LONGEST, zero)
-        .when(col.rlike(INTEGER_TEXT), whole)
-        .when(col.rlike(DOUBLE_TEXT), bit["DOUBLE"])
-        .when(F.lower(F.trim(col)).isin(*BOOLEAN_WORDS), bit["BOOLEAN"])
-        .when(col.rlike(YEAR_FIRST), F.when(_iso_date(col, "year first").try_cast("date").isNotNull(), bit["DATE"]).otherwise(zero))
-        .when(col.rlike(YEAR_LAST), year_last)
-        .when(col.rlike(ISO_MOMENT), F.when(~moment, zero).when(zoned, bit["TIMESTAMP WITH TIME ZONE"]).otherwise(bit["TIMESTAMP"]))
-        .when(col.rlike(CLOCK), F.when(safe_cast(col, T.StringType(), "TIME").isNotNull(), bit["TIME"]).otherwise(zero))
-        .otherwise(zero)
-    )
+def _any(*names: str) -> int:
+    return sum(BITS[n] for n in names)
+
+
+def _date(pattern: str, order: str) -> str:
+    return f"try_cast(regexp_replace(cell, r'{pattern}', '{order}') AS DATE) IS NOT NULL"
+
+
+# The types a cell could have; NULL for a NULL cell, which then decides nothing.
+CELL_BITS = rf"""
+CASE
+  WHEN cell IS NULL THEN NULL
+  WHEN length(cell) > {LONGEST} THEN 0
+  WHEN cell RLIKE r'^\s*-?[.\d]' THEN CASE
+    WHEN cell RLIKE r'{INTEGER_TEXT}' THEN CASE
+      WHEN length(cell) <= 18 OR try_cast(cell AS BIGINT) IS NOT NULL THEN {_any("BIGINT", "HUGEINT", "DOUBLE")}
+      WHEN try_cast(cell AS DECIMAL(38, 0)) IS NOT NULL THEN {_any("HUGEINT", "DOUBLE")}
+      ELSE 0 END
+    WHEN cell RLIKE r'{DOUBLE_TEXT}' THEN {_any("DOUBLE")}
+    WHEN cell RLIKE r'{YEAR_FIRST}' THEN if({_date(YEAR_FIRST, "$1-$3-$4")}, {_any("DATE")}, 0)
+    WHEN cell RLIKE r'{MOMENT}' THEN CASE
+      WHEN try_cast(replace(trim(cell), '/', '-') AS TIMESTAMP_NTZ) IS NULL THEN 0
+      WHEN substring(ltrim(cell), 12) RLIKE r'[-+ZU]' THEN {_any("TIMESTAMP WITH TIME ZONE")}
+      ELSE {_any("TIMESTAMP")} END
+    WHEN cell RLIKE r'{YEAR_LAST}'
+      THEN if({_date(YEAR_LAST, "$4-$3-$1")}, {_any("DATE day first")}, 0) + if({_date(YEAR_LAST, "$4-$1-$3")}, {_any("DATE month first")}, 0)
+    WHEN cell RLIKE r'{CLOCK}' THEN if(try_cast(concat('1970-01-01 ', trim(cell)) AS TIMESTAMP_NTZ) IS NOT NULL, {_any("TIME")}, 0)
+    ELSE 0 END
+  WHEN lower(trim(cell)) IN {BOOLEAN_WORDS} THEN {_any("BOOLEAN")}
+  WHEN lower(trim(cell)) IN {NUMBER_WORDS} THEN {_any("DOUBLE")}
+  ELSE 0 END
+"""
 
 
 def sniff_types(df: DataFrame, columns: list[str] | None = None, sniff_rows: int | None = None, allowed: tuple[str, ...] | None = None) -> dict[str, TextType]:
@@ -95,14 +117,16 @@ def sniff_types(df: DataFrame, columns: list[str] | None = None, sniff_rows: int
     columns = columns if columns is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not columns:
         return {}
-    names = {f"c{i}": c for i, c in enumerate(columns)}
-    cells = df.select([F.col(f"`{c}`").alias(a) for a, c in names.items()])
     if sniff_rows is not None:
-        cells = cells.limit(sniff_rows)
-    masks = cells.agg(*[F.bit_and(_cell_bits(F.col(a))).alias(a) for a in names]).first()
+        df = df.limit(sniff_rows)
+    # One (column, cell) row per cell: the checks are compiled once, however wide the table.
+    cells = ", ".join(f"{at}, {quoted(c)}" for at, c in enumerate(columns))
+    # The bits are a column of their own, because an aggregate repeats its argument in its code.
+    bits = df.selectExpr(f"stack({len(columns)}, {cells}) AS (at, cell)").select("at", F.expr(CELL_BITS).alias("bits"))
+    masks = dict(bits.groupBy("at").agg(F.bit_and("bits")).collect())
     found = {}
-    for alias, column in names.items():
-        mask = masks[alias] or 0
+    for at, column in enumerate(columns):
+        mask = masks.get(at) or 0
         choice = next((n for n, bit in BITS.items() if mask & bit and (allowed is None or n in allowed)), "VARCHAR")
         name, _, layout = choice.partition(" ") if choice.startswith("DATE ") else (choice, "", "")
         found[column] = TextType(name, layout or "year first")
@@ -122,13 +146,20 @@ def given_types(types: dict[str, str]) -> dict[str, TextType]:
     return {column: TextType(canonical(name)) for column, name in types.items()}
 
 
-def read_text_as(df: DataFrame, types: dict[str, TextType], reject: bool = False) -> DataFrame:
-    """Text columns read as ``types``; with ``reject`` a row with an unreadable cell is dropped whole."""
+def read_text_as(df: DataFrame, types: dict[str, TextType], reject: bool = False, sniffed: bool = False) -> DataFrame:
+    """Text columns read as ``types``; with ``reject`` a row with an unreadable cell is dropped whole.
+
+    ``sniffed`` says that the types were detected on these very rows: every cell fits.
+    """
     typed = {c: t for c, t in types.items() if t.name not in ("VARCHAR", "TEXT", "STRING")}
-    if reject and typed:
-        bad = [F.col(f"`{c}`").isNotNull() & t.read(F.col(f"`{c}`")).isNull() for c, t in typed.items()]
-        keep = ~bad[0]
-        for condition in bad[1:]:
-            keep = keep & ~condition
+    if reject and typed and not sniffed:
+        keep = F.lit(True)
+        for c, t in typed.items():
+            keep = keep & (column(c).isNull() | t.read(column(c)).isNotNull())
         df = df.where(keep)
-    return df.select([typed[c].read(F.col(f"`{c}`")).alias(c) if c in typed else F.col(f"`{c}`") for c in df.columns])
+
+    def cell(c: str) -> Column:
+        col = column(c)
+        return (typed[c].read_sniffed(col) if sniffed else typed[c].read(col)).alias(c) if c in typed else col
+
+    return df.select([cell(c) for c in df.columns])

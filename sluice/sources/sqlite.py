@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import hashlib
 import os
+import re
 import sqlite3
 from collections.abc import Iterator
 
@@ -37,12 +38,15 @@ def register_database(spark: SparkSession, path: str, prefix: str = "sqlite") ->
     """Every table of the file as ``prefix.table`` in SQL.
 
     SQL-created tables do not hand their options to a Python source, so each gets a bound source.
+    Names that Spark does not allow for tables (blanks, signs) stay out; ``scan_sqlite`` reads those.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{prefix}`")
     for row in sqlite_tables(spark, path).collect():  # the catalog: one row per table
-        table = row.table_name.replace("`", "``")
-        source = f"sluice_sqlite_{hashlib.md5(f'{path}|{row.table_name}'.encode()).hexdigest()}"
-        fixed = {"database": mounted_path(path), "dbtable": row.table_name}
+        table = row.table_name
+        if not re.fullmatch(r"[A-Za-z0-9_]+", table):
+            continue
+        source = f"sluice_sqlite_{hashlib.md5(f'{path}|{table}'.encode()).hexdigest()}"
+        fixed = {"database": mounted_path(path), "dbtable": table}
         bound = type("BoundSqliteSource", (SqliteSource,), {"fixed": fixed, "name": classmethod(lambda cls, n=source: n)})
         spark.dataSource.register(bound)
         spark.sql(f"DROP TABLE IF EXISTS `{prefix}`.`{table}`")
