@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
 
 # (?U) reads \d and \s as Unicode classes, (?d) lets $ stop only before a line feed.
 FLAGS = "(?Ud)"
@@ -22,22 +22,23 @@ NUMERIC_SHARE = 0.5
 NULL_PERCENT = 50
 
 
-def matches_format(col: Column, name: str) -> Column:
-    """Whether the text has the named format; a cheap necessary condition comes before the pattern."""
+def format_test(text: str, name: str) -> str:
+    """SQL: whether ``text`` has the named format; a cheap necessary condition comes before the pattern."""
     hint = {
-        "email": F.contains(col, F.lit("@")),
-        "url": F.startswith(col, F.lit("http")),
-        "phone": F.length(col) >= 10,
-        "uuid": F.length(col).between(36, 37),
+        "email": f"contains({text}, '@')",
+        "url": f"startswith({text}, 'http')",
+        "phone": f"length({text}) >= 10",
+        "uuid": f"length({text}) BETWEEN 36 AND 37",
     }[name]
-    text = F.lower(col) if name == "uuid" else col
-    return hint & text.rlike(FLAGS + STRING_FORMATS[name])
+    subject = f"lower({text})" if name == "uuid" else text
+    return f"({hint} AND {subject} RLIKE r'{FLAGS}{STRING_FORMATS[name]}')"
 
 
-def looks_numeric(col: Column) -> Column:
-    return col.rlike(FLAGS + NUMERIC_LIKE)
+def format_choice(shares: dict[str, str]) -> str:
+    """SQL: the first format whose share of matching values exceeds the threshold, else NULL."""
+    tests = " ".join(f"WHEN {shares[name]} > {FORMAT_SHARE}D THEN '{name}'" for name in STRING_FORMATS)
+    return f"CASE {tests} END"
 
 
-def pick_format(shares: dict[str, Column]) -> Column:
-    """The first format whose share of matching values exceeds the threshold, else NULL."""
-    return F.coalesce(*[F.when(shares[name] > FORMAT_SHARE, F.lit(name)) for name in STRING_FORMATS])
+def looks_numeric(col: Column) -> Column:
+    return col.rlike(FLAGS + NUMERIC_LIKE)

@@ -9,3 +9,8 @@ def quoted(name: str) -> str:
 
 def column(name: str) -> Column:
     return F.col(quoted(name))
+
+
+def literal(text: str) -> str:
+    """Text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

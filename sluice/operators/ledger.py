@@ -102,8 +102,9 @@ def running_count(df: DataFrame, group: str, order_by: list[str], flag: str, out
     is_hot = F.col(group).eqNullSafe(F.col("_hot"))
     cold = df.join(hot, is_hot, "left_anti")
     sliced = _sliced(df.join(hot, is_hot, "left_semi"), group, order_by, -(-total // bound) * 2)
-    offsets = _slice_offsets(sliced, group, order_by, flag)
-    within = _running(sliced, ["_slice", group], order_by, flag, "_within")
+    order = [*order_by, "_tie"]
+    offsets = _slice_offsets(sliced, group, order, flag)
+    within = _running(sliced, ["_slice", group], order, flag, "_within")
     same = within["_slice"].eqNullSafe(offsets["_slice"]) & within[group].eqNullSafe(offsets["_group"])
     # At most (slices + hot groups) offsets.
     shifted = within.join(F.broadcast(offsets), same, "left").withColumn(out, F.col("_within") + F.col("_shift"))
@@ -122,7 +123,9 @@ def _sliced(df: DataFrame, group: str, order_by: list[str], slices: int) -> Data
     """
     spark = df.sparkSession
     path = scratch_dir(spark, "slices")
-    df.repartitionByRange(slices, group, *order_by).write.parquet(path)
+    # The last key splits rows with equal keys over several slices.
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    tied.repartitionByRange(slices, group, *order_by, "_tie").write.parquet(path)
     return spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_slice"))
 
 

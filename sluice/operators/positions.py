@@ -1,11 +1,15 @@
 """Removing rows by position.
 
-No row ever gets a global number. The wanted positions are translated into (file, row in file)
-pairs with the row counts of the files, one row each, and those few pairs are filtered out.
+No row ever gets a global number. Rows behind the last wanted position are set apart at once and
+pass through untouched: files further back, or rows with greater keys. In the rest the positions
+are translated into (file, row in file) pairs with the row counts of the files, one row each, and
+those few pairs are filtered out.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,6 +18,8 @@ from sluice.session import scratch_dir
 
 # A list up to this many positions is a literal in the plan and its matches are broadcast.
 LITERAL_POSITIONS = 100_000
+# Positions below this are found by a top-k read of the keys instead of a sort of the table.
+TOP_POSITIONS = 10_000
 
 
 def skip_rows(df: DataFrame, positions: list[int], order_by: list[str] | None = None) -> DataFrame:
@@ -37,15 +43,46 @@ def split_rows(df: DataFrame, positions: list[int], order_by: list[str] | None =
         raise ValueError(f"at most {LITERAL_POSITIONS} positions, got {len(wanted)}")
     if not wanted:
         return df, df.sparkSession.createDataFrame([], "_file string, _row long")
-    parquet = order_by is None and "row_index" in _file_fields(df)
-    source = df if parquet else _staged(df, order_by)
+    if order_by is None:
+        fields = _file_fields(df)
+        front, back = _front_files(df, wanted[-1])
+        source = front if "row_index" in fields else _staged(front, None)
+    else:
+        front, back = _front_keys(df, wanted[-1], order_by)
+        source = _staged(front, order_by)
     rows = source.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     splits = [c for c in source.columns if c not in df.columns]
     # Part files are numbered; past 99,999 the numbers get longer.
-    runs = [F.col(c) for c in splits] or ([F.col("_file")] if parquet else [F.length("_file"), F.col("_file")])
+    runs = [F.col(c) for c in splits] or ([F.col("_file")] if source is front else [F.length("_file"), F.col("_file")])
     targets = _targets(rows, runs, wanted)
-    kept = rows.join(F.broadcast(targets), ["_file", "_row"], "left_anti")
-    return kept.drop("_file", "_row", *splits), targets
+    kept = rows.join(F.broadcast(targets), ["_file", "_row"], "left_anti").drop("_file", "_row", *splits)
+    return (kept if back is None else kept.unionAll(back)), targets
+
+
+def _front_files(df: DataFrame, last: int) -> tuple[DataFrame, DataFrame | None]:
+    """The first files, in path order, that hold the positions up to ``last``; and the others."""
+    paths = sorted(re.sub("^file:///", "file:/", p) for p in df.inputFiles())
+    path, taken = F.col("_metadata.file_path"), 1
+    while taken < len(paths):
+        # A condition on the path keeps the other files out of the scan.
+        front = df.where(path <= paths[taken - 1])
+        if front.count() > last:
+            return front, df.where(path > paths[taken - 1])
+        taken *= 8
+    return df, None
+
+
+def _front_keys(df: DataFrame, last: int, order_by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with keys up to that of position ``last``, and the others."""
+    if last >= TOP_POSITIONS:
+        return df, None
+    key = F.struct(*[column(c).alias(f"k{i}") for i, c in enumerate(order_by)])
+    edge = df.select(*map(column, order_by)).orderBy(*map(column, order_by)).limit(last + 1).agg(F.max(key).alias("edge"))
+    found = edge.collect()
+    if found[0].edge is None:
+        return df, None
+    bound = df.sparkSession.createDataFrame(found, edge.schema).scalar()
+    return df.where(key <= bound), df.where(key > bound)
 
 
 def _file_fields(df: DataFrame) -> list[str]:
@@ -64,7 +101,9 @@ def _staged(df: DataFrame, order_by: list[str] | None) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, "positions")
     if order_by is not None:
-        df.orderBy(*map(column, order_by)).write.parquet(path)
+        # The last key splits rows with equal keys over several tasks.
+        tied = df.withColumn("_tie", F.monotonically_increasing_id())
+        tied.orderBy(*map(column, order_by), "_tie").drop("_tie").write.parquet(path)
     else:
         split = [F.col("_metadata.file_path").alias("_from_file"), F.col("_metadata.file_block_start").alias("_from_byte")]
         df.select("*", *split).write.parquet(path)

@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from sluice.functions.names import column
 from sluice.functions.casts import safe_cast
-from sluice.functions.formats import STRING_FORMATS, matches_format, pick_format
+from sluice.functions.formats import STRING_FORMATS, format_choice, format_test
+from sluice.functions.names import column, literal, quoted
 from sluice.functions.types import type_class, type_name
 
 # Default and largest sample, values shown per column, rows of the head sample.
@@ -32,6 +32,15 @@ def sample(df: DataFrame, sample_size: int = SAMPLE_ROWS, order_by: list[str] |
     return (df.orderBy(*map(column, order_by)) if order_by else df).limit(size)
 
 
+def held_sample(df: DataFrame, sample_size: int = SAMPLE_ROWS, order_by: list[str] | None = None) -> DataFrame:
+    """The sample, read once for many uses.
+
+    It passes the driver, as 10,000 rows are its fixed bound: without an order only as many files
+    are opened as needed, where a limit inside a plan would read from all of them.
+    """
+    return df.sparkSession.createDataFrame(sample(df, sample_size, order_by).collect(), df.schema)
+
+
 def head(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """The first 100 rows."""
     return sample(df, HEAD_ROWS, order_by)
@@ -61,42 +70,32 @@ def column_stats(df: DataFrame, columns: list[str] | None = None, formats: bool
 
 
 def _stats_pass(df: DataFrame, fields: list[tuple[int, T.StructField]], formats: bool) -> DataFrame:
-    cells = [column(f.name).alias(f"c{p}") for p, f in fields]
-    measures, records = [F.count("*").alias("n")], []
-    for position, field in fields:
-        col, kind = F.col(f"c{position}"), type_class(field.dataType)
-        at = lambda what, p=position: F.col(f"{what}{p}")
-        measures.append(F.count(col).alias(f"filled{position}"))
-        low = high = low_text = high_text = found = F.lit(None)
+    # SQL text, because tables may have thousands of columns and text reaches the planner in one call.
+    cells, measures, records = [], ["count(*) AS n"], []
+    for at, field in fields:
+        kind = type_class(field.dataType)
+        low = high = low_text = high_text = found = "NULL"
+        cells.append(f"{quoted(field.name)} AS c{at}")
+        measures.append(f"count(c{at}) AS filled{at}")
         if kind in ("numeric", "temporal"):
-            measures += [F.min(col).alias(f"min{position}"), F.max(col).alias(f"max{position}")]
+            measures += [f"min(c{at}) AS min{at}", f"max(c{at}) AS max{at}"]
         if kind == "numeric":
-            low, high = at("min").cast("double"), at("max").cast("double")
+            low, high = f"min{at}", f"max{at}"
         elif kind == "temporal":
-            low_text, high_text = (safe_cast(at(w), field.dataType, "VARCHAR") for w in ("min", "max"))
+            low_text, high_text = f"min{at}", f"max{at}"
         elif kind == "text" and formats:
             # Columns of their own, because an aggregate repeats its argument in its code.
-            cells += [matches_format(column(field.name), f).alias(f"is_{f}{position}") for f in STRING_FORMATS]
-            measures += [F.count_if(at(f"is_{f}")).alias(f"{f}{position}") for f in STRING_FORMATS]
-            found = pick_format({f: at(f) / F.nullif(at("filled"), F.lit(0)) for f in STRING_FORMATS})
-        nulls = F.col("n") - at("filled")
+            cells += [f"{format_test(quoted(field.name), f)} AS {f}{at}" for f in STRING_FORMATS]
+            measures += [f"count_if({f}{at}) AS {f}_n{at}" for f in STRING_FORMATS]
+            found = format_choice({f: f"{f}_n{at} / nullif(filled{at}, 0)" for f in STRING_FORMATS})
         records.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(field.name).alias("name"),
-                F.lit(type_name(field.dataType)).alias("inferred_type"),
-                F.lit(kind).alias("class"),
-                F.col("n").alias("row_count"),
-                nulls.alias("null_count"),
-                (nulls > 0).alias("nullable"),
-                low.cast("double").alias("min_value"),
-                high.cast("double").alias("max_value"),
-                low_text.cast("string").alias("min_text"),
-                high_text.cast("string").alias("max_text"),
-                found.cast("string").alias("detected_format"),
-            )
+            f"named_struct('position', {at}, 'name', {literal(field.name)}, 'inferred_type', {literal(type_name(field.dataType))}, 'class', '{kind}',"
+            f" 'row_count', n, 'null_count', n - filled{at}, 'nullable', n > filled{at},"
+            f" 'min_value', CAST({low} AS DOUBLE), 'max_value', CAST({high} AS DOUBLE),"
+            f" 'min_text', CAST({low_text} AS STRING), 'max_text', CAST({high_text} AS STRING), 'detected_format', CAST({found} AS STRING))"
         )
-    return df.select(cells).agg(*measures).select(F.inline(F.array(*records)))
+    stats = df.selectExpr(cells).agg(*map(F.expr, measures))
+    return stats.selectExpr(f"inline(array({', '.join(records)}))")
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -139,74 +138,73 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate
     chosen = columns if columns is not None else df.columns
     if approximate:
         counts = df.agg(*[F.approx_count_distinct(column(c)).alias(f"c{places[c]}") for c in chosen])
-        records = [F.struct(F.lit(places[c]).alias("position"), F.lit(c).alias("name"), F.col(f"c{places[c]}").alias("unique_count")) for c in chosen]
-        return counts.select(F.inline(F.array(*records)))
-    families: dict[str, list[Column]] = {}
+        records = [f"named_struct('position', {places[c]}, 'name', {literal(c)}, 'unique_count', c{places[c]})" for c in chosen]
+        return counts.selectExpr(f"inline(array({', '.join(records)}))")
+    families: dict[str, list[str]] = {}
     for name in chosen:
-        dtype = df.schema[name].dataType
-        value, family = _groupable(column(name), dtype)
-        families.setdefault(family, []).append(F.struct(F.lit(places[name]).alias("position"), value.alias("value")))
+        value, family = _groupable(quoted(name), df.schema[name].dataType)
+        families.setdefault(family, []).append(f"named_struct('position', {places[name]}, 'value', {value})")
     counted = None
     for cells in families.values():
-        pairs = df.select(F.inline(F.array(*cells))) if len(cells) > 1 else df.select(cells[0].alias("cell")).select("cell.*")
-        part = pairs.where(F.col("value").isNotNull()).distinct().groupBy("position").agg(F.count("*").alias("unique_count"))
+        pairs = df.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
+        part = pairs.distinct().groupBy("position").agg(F.count("*").alias("unique_count"))
         counted = part if counted is None else counted.unionAll(part)
     # A column without any value has no pair; the list of columns brings it back.
     names = df.sparkSession.createDataFrame([(places[c], c) for c in chosen], "position int, name string")
     return names.join(F.broadcast(counted), "position", "left").select("position", "name", F.coalesce("unique_count", F.lit(0)).alias("unique_count"))
 
 
-def _groupable(col: Column, dtype: T.DataType) -> tuple[Column, str]:
-    """The value under a common type of its family."""
+def _groupable(value: str, dtype: T.DataType) -> tuple[str, str]:
+    """The value (SQL) under a common type of its family."""
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return col.cast("bigint"), "bigint"
+        return f"CAST({value} AS BIGINT)", "bigint"
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return col.cast("double"), "double"
+        return f"CAST({value} AS DOUBLE)", "double"
     if isinstance(dtype, T.MapType):
-        return F.to_json(F.sort_array(F.map_entries(col))), "string"
+        return f"to_json(sort_array(map_entries({value})))", "string"
     if isinstance(dtype, (T.StringType, T.VarcharType, T.CharType)):
-        return col.cast("string"), "string"
-    return col, dtype.simpleString()
+        return f"CAST({value} AS STRING)", "string"
+    return value, dtype.simpleString()
 
 
 def sample_values(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None, n: int = SAMPLE_VALUES) -> DataFrame:
     """The first ``n`` non-null values of each column as text rows: name, position, sample_value."""
-    chosen = columns if columns is not None else df.columns
-    values = first_values(df, chosen, order_by, n)
+    values = first_values(df, columns if columns is not None else df.columns, order_by, n)
     rows = values.select("name", F.posexplode("sample_values").alias("at", "sample_value"))
     return rows.select("name", (F.col("at") + 1).alias("position"), "sample_value")
 
 
-def first_values(df: DataFrame, columns: list[str], order_by: list[str] | None, n: int) -> DataFrame:
-    """One row per column: name, sample_values (text).
+def first_values(
+    df: DataFrame,
+    columns: list[str],
+    order_by: list[str] | None,
+    n: int,
+    read: Callable[[Column, T.DataType], Column] | None = None,
+    head_rows: int | None = None,
+) -> DataFrame:
+    """One row per column: name and, as ``sample_values``, what ``read`` makes of its first non-null values.
 
-    The first few rows usually hold enough values of every column: one top-k read, on the driver
-    at once. Only columns that are still short get a top-k read of their own.
+    By default they are read as text. The first few rows usually hold enough values of every
+    column: one top-k read. Only columns that are still short get a top-k read of their own.
     """
-    texts = [safe_cast(column(c), df.schema[c].dataType, "VARCHAR").alias(c) for c in columns]
-    rows = df.orderBy(*map(column, order_by)) if order_by else df
-    first = rows.limit(4 * n).select(texts).collect()
-    held = {c: [row[i] for row in first if row[i] is not None][:n] for i, c in enumerate(columns)}
-    whole = len(first) < 4 * n
-    done = [(c, values) for c, values in held.items() if whole or len(values) == n]
-    out = df.sparkSession.createDataFrame(done, "name string, sample_values array<string>")
-    for name in columns:
-        if not whole and len(held[name]) < n:
-            out = out.unionAll(_first_values(df, name, order_by, n).select(F.lit(name).alias("name"), "sample_values"))
-    return out
-
-
-def _first_values(df: DataFrame, name: str, order_by: list[str] | None, n: int) -> DataFrame:
-    """One row: the first non-null values as an array; a top-k read of the column and the keys."""
-    keys = [column(k).alias(f"k{i}") for i, k in enumerate(order_by or [])]
-    dtype = df.schema[name].dataType
-    rows = df.select(*keys, column(name).alias("v")).where(F.col("v").isNotNull())
-    if keys:
-        rows = rows.orderBy(*[f"k{i}" for i in range(len(keys))])
-    record = F.struct(*[F.col(f"k{i}") for i in range(len(keys))], safe_cast(F.col("v"), dtype, "VARCHAR").alias("text"))
-    first = rows.limit(n).agg(F.collect_list(record).alias("records"))
-    records = F.sort_array("records") if keys else F.col("records")
-    return first.select(F.transform(records, lambda r: r["text"]).alias("sample_values"))
+    read = read or (lambda value, dtype: safe_cast(value, dtype, "VARCHAR"))
+    spark, keys, size = df.sparkSession, [column(k) for k in order_by or []], head_rows or 4 * n
+    reads = {c: F.when(column(c).isNotNull(), read(column(c), df.schema[c].dataType)).alias(c) for c in columns}
+    kind = df.select(reads[columns[0]]).schema[0].dataType
+    schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("sample_values", T.ArrayType(kind))])
+
+    def top(condition: Column, values: list[Column], rows: int) -> list[T.Row]:
+        chosen = df.where(condition)
+        return (chosen.orderBy(*keys) if keys else chosen).select(values).limit(rows).collect()
+
+    first = top(F.lit(True), list(reads.values()), size)
+    found = []
+    for i, name in enumerate(columns):
+        held = [row[i] for row in first if row[i] is not None][:n]
+        if len(held) < n and len(first) == size:
+            held = [row[0] for row in top(column(name).isNotNull(), [reads[name]], n)]
+        found.append((name, held))
+    return spark.createDataFrame(found, schema)
 
 
 def profile(
@@ -215,24 +213,22 @@ def profile(
     order_by: list[str] | None = None,
     approximate: bool = False,
     values: int = SAMPLE_VALUES,
+    formats_of_samples: bool | None = None,
 ) -> DataFrame:
     """The full profile, one row per column.
 
     Works on the whole table, or on the first ``sample_size`` rows. With ``values`` > 0 the first
-    non-null values are added as ``sample_values``; for samples they alone decide the format.
+    non-null values are added as ``sample_values``; for samples (or with ``formats_of_samples``)
+    they alone decide the format, elsewhere all values do.
     """
-    rows = df if sample_size is None else sample(df, sample_size, order_by).persist()
+    rows = df if sample_size is None else held_sample(df, sample_size, order_by)
     stats = column_stats(rows)
     unique = distinct_counts(rows, approximate=approximate).select("position", "unique_count")
     out = stats.join(F.broadcast(unique), "position")
     if values:
         out = out.join(F.broadcast(first_values(rows, df.columns, order_by, values)), "name", "left")
-        if sample_size is not None:
-            size = F.nullif(F.size("sample_values"), F.lit(0))
-            shares = {f: F.size(F.filter("sample_values", _format_test(f))) / size for f in STRING_FORMATS}
-            out = out.withColumn("detected_format", F.when(F.col("class") == "text", pick_format(shares)))
+        if formats_of_samples if formats_of_samples is not None else sample_size is not None:
+            shares = {f: f"size(filter(sample_values, v -> {format_test('v', f)})) / nullif(size(sample_values), 0)" for f in STRING_FORMATS}
+            out = out.withColumn("detected_format", F.expr(f"if(class = 'text', {format_choice(shares)}, NULL)"))
     return out.orderBy("position")
 
-
-def _format_test(name: str) -> Callable[[Column], Column]:
-    return lambda value: matches_format(value, name)

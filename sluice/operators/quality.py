@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sluice.functions.names import column
 from sluice.functions.formats import NULL_PERCENT, NUMERIC_SHARE, looks_numeric
 from sluice.functions.types import type_class
-from sluice.operators.profile import column_stats
+from sluice.operators.profile import column_stats, first_values
 
 # The values looked at, those that decide, the positions reported, the message.
 VALUES_READ = 100
@@ -28,33 +28,27 @@ def null_warnings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def type_warnings(df: DataFrame, order_by: list[str], columns: list[str] | None = None) -> DataFrame:
+def type_warnings(df: DataFrame, order_by: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """``type_inconsistency``: most of the first 20 non-null texts are numbers, some of the first 100 not.
 
     One row per warned column; ``affected_rows`` holds the first 10 offending 1-based positions,
     counted among the non-null values in the order of ``order_by``.
     """
-    out = None
-    for name in _text_columns(df, columns):
-        keys = [column(k).alias(f"k{i}") for i, k in enumerate(order_by)]
-        order = [f"k{i}" for i in range(len(keys))]
-        # The top 100 rows are all that reaches the single task of the window.
-        first = df.select(*keys, column(name).alias("v")).where(F.col("v").isNotNull()).orderBy(*order).limit(VALUES_READ)
-        numbered = first.select(F.row_number().over(Window.orderBy(*order)).alias("at"), looks_numeric(F.col("v")).alias("numeric"))
-        deciding = F.when(F.col("at") <= VALUES_DECIDING, F.col("numeric").cast("int"))
-        offending = F.sort_array(F.collect_list(F.when(~F.col("numeric"), F.col("at").cast("bigint"))))
-        part = (
-            numbered.agg(F.avg(deciding).alias("share"), offending.alias("at"))
-            .where((F.col("share") > NUMERIC_SHARE) & (F.size("at") > 0))
-            .select(
-                F.lit(name).alias("column_name"),
-                F.lit("type_inconsistency").alias("issue"),
-                F.lit(INCONSISTENT).alias("message"),
-                F.slice("at", 1, POSITIONS_REPORTED).alias("affected_rows"),
-            )
+    # All that is read of a value is whether it looks like a number.
+    first = first_values(df, _text_columns(df, columns), order_by, VALUES_READ, lambda value, _: looks_numeric(value), 2 * VALUES_READ)
+    deciding = F.slice("sample_values", 1, VALUES_DECIDING)
+    share = F.size(F.filter(deciding, lambda numeric: numeric)) / F.nullif(F.size(deciding), F.lit(0))
+    marked = F.transform("sample_values", lambda numeric, i: F.when(~numeric, (i + 1).cast("bigint")))
+    return (
+        first.select("name", share.alias("share"), F.filter(marked, lambda at: at.isNotNull()).alias("at"))
+        .where((F.col("share") > NUMERIC_SHARE) & (F.size("at") > 0))
+        .select(
+            F.col("name").alias("column_name"),
+            F.lit("type_inconsistency").alias("issue"),
+            F.lit(INCONSISTENT).alias("message"),
+            F.slice("at", 1, POSITIONS_REPORTED).alias("affected_rows"),
         )
-        out = part if out is None else out.unionAll(part)
-    return out
+    )
 
 
 def numeric_text_shares(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -71,7 +65,7 @@ def numeric_text_shares(df: DataFrame, columns: list[str] | None = None) -> Data
     return df.agg(*measures).select(F.inline(F.array(*records)))
 
 
-def warnings(df: DataFrame, order_by: list[str]) -> DataFrame:
+def warnings(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """All warnings: column_name, issue, message, affected_rows."""
     nulls = null_warnings(df).withColumn("affected_rows", F.lit(None).cast("array<bigint>"))
     return nulls.unionByName(type_warnings(df, order_by)) if _text_columns(df, None, required=False) else nulls

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sluice.functions.types import spark_type
 from sluice.operators import ledger
 from sluice.operators.positions import split_rows
-from sluice.operators.profile import SAMPLE_ROWS, head, profile, sample
+from sluice.operators.profile import SAMPLE_ROWS, head, held_sample, profile
 from sluice.operators.quality import warnings
 from sluice.operators.shape import shape
 from sluice.plans.sink import CODECS, ROW_GROUP_ROWS, Written, output_path, source_path, write_checked
@@ -109,9 +109,9 @@ def infer_file(
 
 def infer(df: DataFrame, sample_size: int | None = SAMPLE_ROWS, order_by: list[str] | None = None) -> dict[str, DataFrame]:
     """Columns, head rows and warnings of a table or its sample."""
-    rows = df if sample_size is None else sample(df, sample_size, order_by).persist()
-    keys = order_by or [df.columns[0]]
-    return {"columns": profile(rows, order_by=order_by), "head": head(rows, order_by), "warnings": warnings(rows, keys)}
+    rows = df if sample_size is None else held_sample(df, sample_size, order_by)
+    columns = profile(rows, order_by=order_by, formats_of_samples=sample_size is not None)
+    return {"columns": columns, "head": head(rows, order_by), "warnings": warnings(rows, order_by)}
 
 
 def convert_database(

@@ -118,7 +118,8 @@ def sniff_types(df: DataFrame, columns: list[str] | None = None, sniff_rows: int
     if not columns:
         return {}
     if sniff_rows is not None:
-        df = df.limit(sniff_rows)
+        # take() opens only as many files as it needs; a limit inside a plan would read from all.
+        df = df.sparkSession.createDataFrame(df.select(*map(column, columns)).take(sniff_rows), df.select(*map(column, columns)).schema)
     # One (column, cell) row per cell: the checks are compiled once, however wide the table.
     cells = ", ".join(f"{at}, {quoted(c)}" for at, c in enumerate(columns))
     # The bits are a column of their own, because an aggregate repeats its argument in its code.

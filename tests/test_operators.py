@@ -154,7 +154,7 @@ TEXTS = [
 @pytest.mark.parametrize("name", [*formats.STRING_FORMATS, "numeric"])
 def test_patterns_as_python(spark, name):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
-    test = formats.looks_numeric(F.col("t")) if name == "numeric" else formats.matches_format(F.col("t"), name)
+    test = formats.looks_numeric(F.col("t")) if name == "numeric" else F.expr(formats.format_test("t", name))
     pattern = formats.NUMERIC_LIKE if name == "numeric" else formats.STRING_FORMATS[name]
     got = [r.m for r in df.select(test.alias("m")).collect()]
     assert got == [bool(re.match(pattern, t.lower() if name == "uuid" else t)) for t in TEXTS]
