@@ -97,8 +97,9 @@ def running_count(df: DataFrame, group: str, order_by: list[str], flag: str, out
     bound = max(hot_rows, int(total * HOT_SHARE))
     if largest <= bound:
         return _running(df, [group], order_by, flag, out)
-    # At most total / bound groups, 50,000 by construction or fewer: small enough to broadcast.
-    hot = F.broadcast(sizes.where(F.col("_rows") > bound).select(F.col(group).alias("_hot")))
+    # Fewer than total / bound groups, that is 50,000 at most: small enough to hold and to broadcast.
+    found = sizes.where(F.col("_rows") > bound).select(F.col(group).alias("_hot"))
+    hot = F.broadcast(df.sparkSession.createDataFrame(found.collect(), found.schema))
     is_hot = F.col(group).eqNullSafe(F.col("_hot"))
     cold = df.join(hot, is_hot, "left_anti")
     sliced = _sliced(df.join(hot, is_hot, "left_semi"), group, order_by, -(-total // bound) * 2)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sluice.functions.types import spark_type
 from sluice.operators import ledger
 from sluice.operators.positions import split_rows
-from sluice.operators.profile import SAMPLE_ROWS, head, held_sample, profile
+from sluice.operators.profile import SAMPLE_ROWS, head, held_sample, profile, totals
 from sluice.operators.quality import warnings
 from sluice.operators.shape import shape
 from sluice.plans.sink import CODECS, ROW_GROUP_ROWS, Written, output_path, source_path, write_checked
@@ -95,7 +95,7 @@ def plan_file(spark: SparkSession, path: str, file_format: str, options: dict |
 def infer_file(
     work: Workspace, source_id: str, file_format: str | None = None, sample_size: int | None = SAMPLE_ROWS, order_by: list[str] | None = None
 ) -> dict[str, DataFrame]:
-    """Profile a source's files before conversion: columns, head rows and warnings as DataFrames.
+    """Profile a source's files before conversion: totals, columns, head rows and warnings as DataFrames.
 
     ``sample_size=None`` profiles all rows. No row is dropped here, and the delimiter is detected.
     """
@@ -108,10 +108,10 @@ def infer_file(
 
 
 def infer(df: DataFrame, sample_size: int | None = SAMPLE_ROWS, order_by: list[str] | None = None) -> dict[str, DataFrame]:
-    """Columns, head rows and warnings of a table or its sample."""
+    """Totals, columns, head rows and warnings of a table or its sample."""
     rows = df if sample_size is None else held_sample(df, sample_size, order_by)
     columns = profile(rows, order_by=order_by, formats_of_samples=sample_size is not None)
-    return {"columns": columns, "head": head(rows, order_by), "warnings": warnings(rows, order_by)}
+    return {"totals": totals(rows), "columns": columns, "head": head(rows, order_by), "warnings": warnings(rows, order_by)}
 
 
 def convert_database(

@@ -38,8 +38,7 @@ ORACLE_SQL: dict[str, str] = {
     "scan_json": "SELECT event_id, user_id, event_type, value FROM events",
     "scan_json_nested": """SELECT o_orderkey, o_totalprice AS total, o_custkey AS custkey, CAST(day(o_orderdate) AS INTEGER) AS day,
         date_trunc('second', o_orderdate) AS moment FROM orders""",
-    "scan_geojson": """SELECT 'FeatureCollection' AS type, count(*) AS feature_count, min(c_custkey) AS first_key
-        FROM customer GROUP BY c_custkey // 100""",
+    "scan_geojson": "SELECT 'FeatureCollection' AS type, 2 AS feature_count, c_acctbal AS x, c_custkey FROM customer",
     "scan_excel": "SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, p_name, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part",
     "csv_null_padding": """SELECT o_orderkey, o_orderstatus,
         CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders""",
@@ -128,7 +127,7 @@ ORACLE_SQL: dict[str, str] = {
     "profile_wide": _wide_profile(),
     "convert_file": """SELECT o_orderkey AS order_id, TRY_CAST(o_custkey AS VARCHAR) AS o_custkey, TRY_CAST(o_totalprice AS BIGINT) AS o_totalprice,
         CAST(o_orderdate AS DATE) AS o_orderdate FROM orders""",
-    "convert_database": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "convert_database": "SELECT * FROM orders",
     "extract_query_filter": "SELECT * FROM orders WHERE o_orderdate > TIMESTAMP '1998-01-01'",
     "extract_query_predicate": "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0",
     "extract_query_join": """SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_totalprice FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey""",

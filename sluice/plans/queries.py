@@ -80,17 +80,19 @@ def scan_json_nested(spark, sf_dir):
 
 
 def scan_geojson(spark, sf_dir):
-    """One FeatureCollection of at most 100 features per line; each is one row of the scan."""
+    """One FeatureCollection of two features per customer; each is one row of the scan."""
     path = scratch_dir(spark, "geojson")
-    point = F.struct(F.lit("Point").alias("type"), F.array(F.col("c_nationkey").cast("double"), F.col("c_acctbal")).alias("coordinates"))
-    properties = F.struct("c_custkey", "c_name")
-    feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), properties.alias("properties"))
-    customers = read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 100).alias("block"), feature.alias("feature"))
-    collections = customers.groupBy("block").agg(F.collect_list("feature").alias("features"))
-    collections.select(F.lit("FeatureCollection").alias("type"), "features").write.json(path)
+
+    def feature(x: Column, y: Column) -> Column:
+        point = F.struct(F.lit("Point").alias("type"), F.array(x, y).alias("coordinates"))
+        return F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct("c_custkey", "c_name").alias("properties"))
+
+    nation, balance = F.col("c_nationkey").cast("double"), F.col("c_acctbal")
+    features = F.array(feature(nation, balance), feature(balance, nation)).alias("features")
+    read(spark, sf_dir, "customer").select(F.lit("FeatureCollection").alias("type"), features).write.json(path)
     df = files.scan_geojson(spark, path)
-    keys = F.transform("features", lambda f: f["properties"]["c_custkey"])
-    return df.select("type", F.size("features").cast("bigint").alias("feature_count"), F.array_min(keys).alias("first_key"))
+    last = F.col("features")[1]
+    return df.select("type", F.size("features").alias("feature_count"), last["geometry"]["coordinates"][0].alias("x"), last["properties"]["c_custkey"].alias("c_custkey"))
 
 
 def scan_excel(spark, sf_dir):
@@ -364,11 +366,11 @@ def convert_file(spark, sf_dir):
 def convert_database(spark, sf_dir):
     """SQLite files -> Parquet version 1, read back through the ledger."""
     root = scratch_dir(spark, "workspace")
-    path = exports.export_sqlite(read(spark, sf_dir, "customer"), scratch_dir(spark, "sqlite"), "customers")
-    sources = spark.createDataFrame([("customers", "acme", "database", "sqlite")], ledger.SOURCES)
+    path = exports.export_sqlite(read(spark, sf_dir, "orders"), scratch_dir(spark, "sqlite"), "orders")
+    sources = spark.createDataFrame([("orders", "acme", "database", "sqlite")], ledger.SOURCES)
     work = convert.Workspace(spark, root, sources)
-    convert.convert_database(work, "customers", {"file_path": path}, table_name="customers")
-    return work.read("customers")
+    convert.convert_database(work, "orders", {"file_path": path}, table_name="orders")
+    return work.read("orders")
 
 
 # --- User SQL ------------------------------------------------------------------------------------

@@ -91,7 +91,7 @@ CELL_BITS = rf"""
 CASE
   WHEN cell IS NULL THEN NULL
   WHEN length(cell) > {LONGEST} THEN 0
-  WHEN cell RLIKE r'^\s*-?[.\d]' THEN CASE
+  WHEN ltrim(cell) >= '-' AND ltrim(cell) < ':' THEN CASE -- starts with a digit, a minus sign or a point
     WHEN cell RLIKE r'{INTEGER_TEXT}' THEN CASE
       WHEN length(cell) <= 18 OR try_cast(cell AS BIGINT) IS NOT NULL THEN {_any("BIGINT", "HUGEINT", "DOUBLE")}
       WHEN try_cast(cell AS DECIMAL(38, 0)) IS NOT NULL THEN {_any("HUGEINT", "DOUBLE")}
@@ -119,18 +119,19 @@ def sniff_types(df: DataFrame, columns: list[str] | None = None, sniff_rows: int
         return {}
     if sniff_rows is not None:
         # take() opens only as many files as it needs; a limit inside a plan would read from all.
-        df = df.sparkSession.createDataFrame(df.select(*map(column, columns)).take(sniff_rows), df.select(*map(column, columns)).schema)
+        cells = df.select(*map(column, columns))
+        df = df.sparkSession.createDataFrame(cells.take(sniff_rows), cells.schema)
     # One (column, cell) row per cell: the checks are compiled once, however wide the table.
     cells = ", ".join(f"{at}, {quoted(c)}" for at, c in enumerate(columns))
     # The bits are a column of their own, because an aggregate repeats its argument in its code.
     bits = df.selectExpr(f"stack({len(columns)}, {cells}) AS (at, cell)").select("at", F.expr(CELL_BITS).alias("bits"))
     masks = dict(bits.groupBy("at").agg(F.bit_and("bits")).collect())
     found = {}
-    for at, column in enumerate(columns):
+    for at, title in enumerate(columns):
         mask = masks.get(at) or 0
         choice = next((n for n, bit in BITS.items() if mask & bit and (allowed is None or n in allowed)), "VARCHAR")
         name, _, layout = choice.partition(" ") if choice.startswith("DATE ") else (choice, "", "")
-        found[column] = TextType(name, layout or "year first")
+        found[title] = TextType(name, layout or "year first")
     return found
 
 

@@ -171,7 +171,7 @@ def test_infer(work):
     found = convert.infer_file(work, "f1", order_by=["id"])
     columns = {r.name: r for r in found["columns"].collect()}
     assert (columns["id"].inferred_type, columns["mail"].detected_format, columns["mail"].unique_count) == ("BIGINT", "email", 30)
-    assert (found["head"].count(), found["warnings"].count()) == (30, 0)
+    assert (found["head"].count(), found["warnings"].count(), found["totals"].first().total_rows) == (30, 0, 30)
     assert {r.name for r in convert.infer_file(work, "f1", sample_size=None)["columns"].collect()} == {"id", "mail"}
 
 
