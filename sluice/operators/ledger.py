@@ -8,6 +8,7 @@ third of all events costs one row per task. Numbering needs the order inside a s
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -47,28 +48,31 @@ HOT_EVENTS = 1_000_000
 HOT_SHARE = 1 / 50_000
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Add events, in a folder of their own so that writers do not meet.
+def append_events(events: DataFrame, path: str, source_id: str | None = None) -> None:
+    """Add events, below the folder of their source's bucket, in a folder of their own.
 
-    Within it, files lie in the folder of their source's bucket: reads of one source skip the rest.
+    With ``source_id`` all events are of that source; writers of single sources never meet. Bulk
+    loads without it should not run side by side.
     """
     if [(f.name, f.dataType) for f in events.schema.fields] != [(f.name, f.dataType) for f in EVENTS.fields]:
         raise ValueError("events must have the ledger's columns")
-    events.withColumn("bucket", bucket_of(F.col("source_id"))).write.partitionBy("bucket").parquet(f"{path}/batch={uuid.uuid4().hex}")
+    batch = uuid.uuid4().hex
+    if source_id is not None:
+        events.write.parquet(f"{bucket_path(path, source_id)}/batch={batch}")
+        return
+    placed = events.withColumn("bucket", F.crc32(F.col("source_id").cast("binary")) % BUCKETS).withColumn("batch", F.lit(batch))
+    placed.write.mode("append").partitionBy("bucket", "batch").parquet(path)
 
 
-def bucket_of(source_id: Column) -> Column:
-    return F.pmod(F.xxhash64(source_id), F.lit(BUCKETS)).cast("int")
+def bucket_path(path: str, source_id: str) -> str:
+    return f"{path}/bucket={zlib.crc32(source_id.encode()) % BUCKETS}"
 
 
 def read_events(spark: SparkSession, path: str, source_id: str | None = None) -> DataFrame:
-    """The events, of one source if given (one bucket is read then)."""
-    schema = T.StructType(EVENTS.fields + [T.StructField("batch", T.StringType()), T.StructField("bucket", T.IntegerType())])
-    events = spark.read.schema(schema).parquet(path)
+    """The events; with ``source_id`` those of that source, and only its bucket is listed and read."""
     if source_id is not None:
-        bucket = spark.range(1).select(bucket_of(F.lit(source_id))).first()[0]
-        events = events.where((F.col("bucket") == bucket) & (F.col("source_id") == source_id))
-    return events.drop("batch", "bucket")
+        return spark.read.schema(EVENTS).parquet(bucket_path(path, source_id)).where(F.col("source_id") == source_id).select(EVENTS.fieldNames())
+    return spark.read.schema(EVENTS).parquet(path).select(EVENTS.fieldNames())
 
 
 def assign_versions(
@@ -188,5 +192,5 @@ def get_source(sources: DataFrame, source_id: str) -> dict:
     """One source as a dict; a missing one raises ``ValueError``."""
     found = lookup_sources(sources, [source_id]).limit(2).collect()
     if not found:
-        raise ValueError(f"Source not found: {source_id}")
+        raise ValueError(f"no source {source_id!r}")
     return found[0].asDict()

@@ -67,12 +67,12 @@ def convert_file(work: Workspace, source_id: str, file_format: str | None = None
     options = {k: v for k, v in (options or {}).items() if v is not None}
     unknown = set(options) - set(READ_OPTIONS) - set(SHAPE_OPTIONS)
     if unknown:
-        raise ValueError(f"Unknown options: {sorted(unknown)}")
+        raise ValueError(f"no options named {sorted(unknown)}")
     chosen = file_format or source["connector_type"]
 
     def plan() -> tuple[DataFrame, DataFrame | None, dict]:
         if chosen not in FORMATS:
-            raise ValueError(f"Unsupported file format: {chosen}")
+            raise ValueError(f"no file format named {chosen!r}")
         df, removed = plan_file(work.spark, source_path(work.root, source["organization_id"], source_id), chosen, options)
         return df, removed, {"source_type": "file"}
 
@@ -133,7 +133,7 @@ def convert_database(
 
     def plan() -> tuple[DataFrame, None, dict]:
         if asked is None:
-            raise ValueError("Either query or table_name must be provided")
+            raise ValueError("a query or a table is needed")
         connection_options(kind, credentials)
         split = {"partition_column": partition_column, "partition_num": partition_num}
         if query is not None:
@@ -157,12 +157,12 @@ def _run(work: Workspace, source: dict, plan, compression: str, row_group_size:
     def note(status: str, **fields) -> None:
         event = {**dict.fromkeys(ledger.EVENTS.fieldNames()), "event_ts": datetime.now(timezone.utc), "id": record}
         event.update(source_id=source_id, version=version, status=status, **fields)
-        ledger.append_events(work.spark.createDataFrame([tuple(event.values())], ledger.EVENTS), work.ledger_path)
+        ledger.append_events(work.spark.createDataFrame([tuple(event.values())], ledger.EVENTS), work.ledger_path, source_id)
 
     note("pending")
     try:
         if compression not in CODECS:
-            raise ValueError(f"Unknown compression: {compression}")
+            raise ValueError(f"no compression named {compression!r}")
         df, removed, info = plan()
         path = output_path(work.root, source["organization_id"], source_id, version)
         done: Written = write_checked(df, path, compression, row_group_size, "overwrite" if leftover else "errorifexists")

@@ -31,7 +31,7 @@ def write_parquet(
 ) -> None:
     """Write a Parquet folder with row groups of at most ``row_group_size`` rows."""
     if compression not in CODECS:
-        raise ValueError(f"Unknown compression: {compression}. Available: {', '.join(CODECS)}")
+        raise ValueError(f"no compression named {compression!r}, choose from {', '.join(CODECS)}")
     if row_group_size < 1:
         raise ValueError("row_group_size must be positive")
     df.write.mode(mode).option("compression", CODECS[compression]).option("parquet.block.row.count.limit", row_group_size).parquet(path)
@@ -88,5 +88,5 @@ def _bucket(root: str, organization_id: str) -> str:
 def _part(name: str) -> str:
     text = str(name)
     if not text or "/" in text or text in (".", ".."):
-        raise ValueError(f"Invalid path part: {name!r}")
+        raise ValueError(f"not a path part: {name!r}")
     return text

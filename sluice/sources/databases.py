@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluice.sources.sqlite import register_database, scan_sqlite, sqlite_tables
 
@@ -25,6 +25,7 @@ class Connector:
     port: int
     ssl_option: str
     tables: str
+    extra: tuple[tuple[str, str], ...] = ()
 
 
 _POSTGRES_TABLES = (
@@ -32,10 +33,13 @@ _POSTGRES_TABLES = (
 )
 _MYSQL_TABLES = "SELECT table_schema, table_name FROM information_schema.tables WHERE table_schema = DATABASE()"
 
+# Without a cursor this driver holds the whole result in memory, whatever the fetch size.
+_MYSQL_STREAM = (("useCursorFetch", "true"),)
+
 # Connector names, default ports, catalog prefixes.
 CONNECTORS: dict[str, Connector | None] = {
     "postgresql": Connector("pg", "postgresql", "org.postgresql.Driver", 5432, "sslmode", _POSTGRES_TABLES),
-    "mysql": Connector("mysql", "mysql", "com.mysql.cj.jdbc.Driver", 3306, "sslMode", _MYSQL_TABLES),
+    "mysql": Connector("mysql", "mysql", "com.mysql.cj.jdbc.Driver", 3306, "sslMode", _MYSQL_TABLES, _MYSQL_STREAM),
     "sqlite": None,
     "mariadb": Connector("mysql", "mariadb", "org.mariadb.jdbc.Driver", 3306, "sslMode", _MYSQL_TABLES),
     "redshift": Connector("pg", "redshift", "com.amazon.redshift.jdbc42.Driver", 5432, "sslMode", _POSTGRES_TABLES),
@@ -48,14 +52,14 @@ def list_connectors() -> list[str]:
 
 def _known(connector_type: str) -> Connector | None:
     if connector_type not in CONNECTORS:
-        raise ValueError(f"Unknown connector type: {connector_type}. Available: {list_connectors()}")
+        raise ValueError(f"no connector named {connector_type!r}, choose from {', '.join(CONNECTORS)}")
     return CONNECTORS[connector_type]
 
 
 def check_identifier(name: str) -> str:
     """Table names may hold letters, digits, underscores and dots only."""
-    if not IDENTIFIER.match(name) or name.endswith("\n"):
-        raise ValueError(f"Invalid identifier '{name}'. Only alphanumeric characters, underscores, and dots are allowed.")
+    if not IDENTIFIER.fullmatch(name):
+        raise ValueError(f"not a table or column name: {name!r}")
     return name
 
 
@@ -65,17 +69,18 @@ def connection_options(connector_type: str, credentials: dict) -> dict[str, str]
     if kind is None:
         path = credentials.get("database") or credentials.get("file_path")
         if not path:
-            raise ValueError("SQLite requires 'database' or 'file_path' in credentials")
+            raise ValueError("sqlite credentials need a database or file_path")
         return {"path": path}
     missing = [k for k in ("host", "database", "username", "password") if credentials.get(k) is None]
     if missing:
-        raise ValueError(f"{connector_type} requires {', '.join(missing)} in credentials")
+        raise ValueError(f"{connector_type} credentials need {', '.join(missing)}")
     port = int(credentials.get("port") or kind.port)
     options = {
         "url": f"jdbc:{kind.scheme}://{credentials['host']}:{port}/{quote(credentials['database'], safe='')}",
         "driver": kind.driver,
         "user": credentials["username"],
         "password": credentials["password"],
+        **dict(kind.extra),
     }
     if credentials.get("ssl_mode"):
         options[kind.ssl_option] = credentials["ssl_mode"]
@@ -96,7 +101,7 @@ def scan_jdbc(
     it side by side; without it one task streams the result.
     """
     if query is None and table is None:
-        raise ValueError("Either query or table_name must be provided")
+        raise ValueError("a query or a table is needed")
     reader = spark.read.format("jdbc").options(**options).option("fetchsize", FETCH_ROWS)
     target = f"({query}) q" if query is not None else table
     if partition_column is None:
@@ -147,14 +152,37 @@ test_connection.__test__ = False  # not a test, for pytest
 
 
 def extract_table(spark: SparkSession, connector_type: str, credentials: dict, table_name: str, **partitioning) -> DataFrame:
-    """A whole table."""
+    """A whole table, in ranges of its primary key unless ``partition_column`` names another column."""
     check_identifier(table_name)
     options = connection_options(connector_type, credentials)
     if _known(connector_type) is None:
         return scan_sqlite(spark, options["path"], table_name)
+    if not partitioning.get("partition_column"):
+        partitioning["partition_column"] = range_key(spark, options, table_name)
     return scan_jdbc(spark, options, table=table_name, **partitioning)
 
 
+def range_key(spark: SparkSession, options: dict[str, str], table_name: str) -> str | None:
+    """The primary key of a table if it is one column that ranges can split, from the standard catalog views."""
+    *schema, table = check_identifier(table_name).split(".")
+    query = (
+        "SELECT k.column_name AS column_name FROM information_schema.table_constraints c JOIN information_schema.key_column_usage k"
+        " ON k.constraint_name = c.constraint_name AND k.table_schema = c.table_schema AND k.table_name = c.table_name"
+        f" WHERE c.constraint_type = 'PRIMARY KEY' AND lower(c.table_name) = lower('{table}')"
+    )
+    if schema:
+        query += f" AND lower(c.table_schema) = lower('{schema[-1]}')"
+    try:
+        keys = [row[0] for row in scan_jdbc(spark, options, query=query).limit(2).collect()]
+    except Exception:  # no such views, or no right to read them
+        return None
+    if len(keys) != 1 or not IDENTIFIER.fullmatch(keys[0]):
+        return None
+    kind = next((f.dataType for f in scan_jdbc(spark, options, table=table_name).schema if f.name == keys[0]), None)
+    splits = isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+    return keys[0] if splits else None
+
+
 def extract_query(spark: SparkSession, connector_type: str, credentials: dict, query: str, pushdown: bool = True, **partitioning) -> DataFrame:
     """Any SELECT: run by the database, or by Spark over its tables under the prefix (pg, mysql, sqlite)."""
     options = connection_options(connector_type, credentials)

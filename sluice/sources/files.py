@@ -202,6 +202,6 @@ FORMAT_OPTIONS = {
 def scan_file(spark: SparkSession, path: str, file_format: str, **options) -> DataFrame:
     """Scan by format name. Options the format does not know, or that are None, are left out."""
     if file_format not in FORMATS:
-        raise ValueError(f"Unsupported file format: {file_format}. Available: {', '.join(FORMATS)}")
+        raise ValueError(f"no file format named {file_format!r}, choose from {', '.join(FORMATS)}")
     known = {k: v for k, v in options.items() if v is not None and k in FORMAT_OPTIONS[file_format]}
     return FORMATS[file_format](spark, path, **known)

@@ -23,6 +23,7 @@ YEAR_FIRST = r"^\s*(\d{4})([-/.])(\d{1,2})\2(\d{1,2})\s*$"
 YEAR_LAST = r"^\s*(\d{1,2})([-/.])(\d{1,2})\2(\d{4})\s*$"
 MOMENT = r"^\s*\d{4}([-/])\d{1,2}\1\d{1,2}[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{1,2}(?::?\d{2})?)?\s*$"
 CLOCK = r"^\s*\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*$"
+MAX_SNIFF_ROWS = 200_000  # they pass the driver
 LONGEST = 400  # characters of the longest number, date or time
 
 BITS = {
@@ -118,6 +119,8 @@ def sniff_types(df: DataFrame, columns: list[str] | None = None, sniff_rows: int
     if not columns:
         return {}
     if sniff_rows is not None:
+        if not 0 < sniff_rows <= MAX_SNIFF_ROWS:
+            raise ValueError(f"sniff_rows must lie between 1 and {MAX_SNIFF_ROWS}")
         # take() opens only as many files as it needs; a limit inside a plan would read from all.
         cells = df.select(*map(column, columns))
         df = df.sparkSession.createDataFrame(cells.take(sniff_rows), cells.schema)

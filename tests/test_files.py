@@ -68,6 +68,8 @@ def test_late_bad_cell(spark, tmp_path):
     assert files.scan_csv(spark, str(path), sniff_rows=20_480, ignore_errors=False).where("b IS NULL").count() == 1
     whole = files.scan_csv(spark, str(path))
     assert (whole.dtypes[1][1], whole.count()) == ("string", 30_001)
+    with pytest.raises(ValueError, match="sniff_rows"):
+        files.scan_csv(spark, str(path), sniff_rows=10**9)
     given = files.scan_csv(spark, str(path), types={"b": "INTEGER"}, sniff=False)
     assert (given.dtypes, given.count()) == ([("a", "string"), ("b", "int")], 30_000)
 
@@ -128,7 +130,7 @@ def test_geojson_is_one_row(spark, tmp_path, indent):
 
 
 def test_format_choice(spark):
-    with pytest.raises(ValueError, match="Unsupported file format: orc"):
+    with pytest.raises(ValueError, match="no file format named 'orc'"):
         files.scan_file(spark, "x", "orc")
 
 
