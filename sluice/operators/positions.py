@@ -37,12 +37,12 @@ def skipped_rows(df: DataFrame, positions: list[int], order_by: list[str] | None
 
 
 def split_rows(df: DataFrame, positions: list[int], order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The kept rows, and one row (_file, _row) per removed row."""
+    """The kept rows, and one row (file, row) per removed row."""
     wanted = sorted({int(p) for p in positions if p >= 0})
     if len(wanted) > LITERAL_POSITIONS:
         raise ValueError(f"at most {LITERAL_POSITIONS} positions, got {len(wanted)}")
     if not wanted:
-        return df, df.sparkSession.createDataFrame([], "_file string, _row long")
+        return df, df.sparkSession.createDataFrame([], "_sluice_file string, _sluice_row long")
     if order_by is None:
         fields = _file_fields(df)
         front, back = _front_files(df, wanted[-1])
@@ -50,12 +50,12 @@ def split_rows(df: DataFrame, positions: list[int], order_by: list[str] | None =
     else:
         front, back = _front_keys(df, wanted[-1], order_by)
         source = _staged(front, order_by)
-    rows = source.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = source.select("*", F.col("_metadata.file_path").alias("_sluice_file"), F.col("_metadata.row_index").alias("_sluice_row"))
     splits = [c for c in source.columns if c not in df.columns]
     # Part files are numbered; past 99,999 the numbers get longer.
-    runs = [F.col(c) for c in splits] or ([F.col("_file")] if source is front else [F.length("_file"), F.col("_file")])
+    runs = [F.col(c) for c in splits] or ([F.col("_sluice_file")] if source is front else [F.length("_sluice_file"), F.col("_sluice_file")])
     targets = _targets(rows, runs, wanted)
-    kept = rows.join(F.broadcast(targets), ["_file", "_row"], "left_anti").drop("_file", "_row", *splits)
+    kept = rows.join(F.broadcast(targets), ["_sluice_file", "_sluice_row"], "left_anti").drop("_sluice_file", "_sluice_row", *splits)
     return (kept if back is None else kept.unionAll(back)), targets
 
 
@@ -102,33 +102,33 @@ def _staged(df: DataFrame, order_by: list[str] | None) -> DataFrame:
     path = scratch_dir(spark, "positions")
     if order_by is not None:
         # The last key splits rows with equal keys over several tasks.
-        tied = df.withColumn("_tie", F.monotonically_increasing_id())
-        tied.orderBy(*map(column, order_by), "_tie").drop("_tie").write.parquet(path)
+        tied = df.withColumn("_sluice_tie", F.monotonically_increasing_id())
+        tied.orderBy(*map(column, order_by), "_sluice_tie").drop("_sluice_tie").write.parquet(path)
     else:
-        split = [F.col("_metadata.file_path").alias("_from_file"), F.col("_metadata.file_block_start").alias("_from_byte")]
+        split = [F.col("_metadata.file_path").alias("_sluice_split"), F.col("_metadata.file_block_start").alias("_sluice_byte")]
         df.select("*", *split).write.parquet(path)
     return spark.read.parquet(path)
 
 
 def _targets(rows: DataFrame, blocks: list[Column], wanted: list[int]) -> DataFrame:
-    """(_file, _row) of the wanted positions; ``blocks`` order the runs of rows.
+    """(file, row) of the wanted positions; ``blocks`` order the runs of rows.
 
     One row per file or input split reaches the single-task window: about one per 128 MB of input.
     """
     names = [f"_block{i}" for i in range(len(blocks))]
     runs = (
-        rows.select(*[b.alias(n) for n, b in zip(names, blocks)], "_file", "_row")
-        .groupBy(*names, "_file")
-        .agg(F.count("*").alias("_count"), F.min("_row").alias("_first"), F.max("_row").alias("_last"))
+        rows.select(*[b.alias(n) for n, b in zip(names, blocks)], "_sluice_file", "_sluice_row")
+        .groupBy(*names, "_sluice_file")
+        .agg(F.count("*").alias("_count"), F.min("_sluice_row").alias("_first"), F.max("_sluice_row").alias("_last"))
     )
     # A filtered scan has gaps in its file positions.
     whole = F.col("_last") - F.col("_first") + 1 == F.col("_count")
     runs = runs.withColumn("_count", F.when(whole, F.col("_count")).otherwise(F.raise_error("skip rows of a plain scan, or give order_by")))
-    before = Window.orderBy(*names, "_file", "_first").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*names, "_sluice_file", "_first").rowsBetween(Window.unboundedPreceding, -1)
     offset, end = F.col("_offset"), F.col("_offset") + F.col("_count")
     here = F.filter(F.lit(wanted).cast("array<bigint>"), lambda p: (p >= offset) & (p < end))
     return (
         runs.withColumn("_offset", F.coalesce(F.sum("_count").over(before), F.lit(0)))
-        .select("_file", "_first", "_offset", F.explode(here).alias("_position"))
-        .select("_file", (F.col("_first") + F.col("_position") - F.col("_offset")).alias("_row"))
+        .select("_sluice_file", "_first", "_offset", F.explode(here).alias("_position"))
+        .select("_sluice_file", (F.col("_first") + F.col("_position") - F.col("_offset")).alias("_sluice_row"))
     )

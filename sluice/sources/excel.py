@@ -17,6 +17,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sluice.functions.names import unique_names
 from sluice.sources.sniff import TextType, read_text_as
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -72,7 +73,7 @@ def _table(content: bytes, sheet_name: str | None, sheet_index: int) -> tuple[li
     """Column names and the rows below them, up to the first empty row."""
     rows = _sheet_rows(content, sheet_name, sheet_index)
     header = next(rows, [])
-    names = _unique([text if text is not None else f"column{i}" for i, (_, text) in enumerate(header)])
+    names = unique_names([text for _, text in header])
     return names, itertools.takewhile(lambda row: any(text is not None for _, text in row), rows)
 
 
@@ -92,15 +93,6 @@ def _sheet_batches(content: bytes, sheet_name: str | None, sheet_index: int, wan
         yield pd.DataFrame({"texts": [[row[i][1] if 0 <= i < len(row) else None for i in at] for row in batch]})
 
 
-def _unique(names: list[str]) -> list[str]:
-    seen: dict[str, int] = {}
-    out = []
-    for name in names:
-        seen[name] = seen.get(name, -1) + 1
-        out.append(f"{name}_{seen[name]}" if seen[name] else name)
-    return out
-
-
 def _sheet_rows(content: bytes, sheet_name: str | None, sheet_index: int) -> Iterator[list]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         target = _sheet_member(book, sheet_name, sheet_index)

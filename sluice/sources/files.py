@@ -8,11 +8,12 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from sluice.functions.names import column, quoted
+from sluice.functions.names import column, quoted, unique_names
 from sluice.sources.excel import scan_excel
 from sluice.sources.sniff import TEMPORAL, given_types, read_text_as, sniff_types
 
 DELIMITERS = (",", ";", "\t", "|")
+WIDTH_LINES = 1000
 
 
 def scan_csv(
@@ -56,13 +57,21 @@ def csv_text(
     reader = _csv_reader(spark, mark, header, encoding, multi_line)
     if not header:
         # Short rows may come first: the widest of the first lines says how many columns there are.
-        width = max((len(cells) for cells in _first_cells(spark, path, mark)), default=1)
-        reader = reader.schema(", ".join(f"column{i} string" for i in range(width)))
+        width = max((len(cells) for cells in _first_cells(spark, path, mark, WIDTH_LINES)), default=1)
+        reader = reader.schema(_text_schema([f"column{i}" for i in range(width)]))
+    elif not multi_line and encoding is None:
+        first = _first_cells(spark, path, mark, 1)
+        if first:
+            reader = reader.schema(_text_schema(unique_names([first[0][0].removeprefix("\ufeff"), *first[0][1:]])))
     raw = reader.csv(path)
     # A quoted empty cell is read as an empty string.
     return raw.select([F.nullif(column(c), F.lit("")).alias(c) for c in raw.columns])
 
 
+def _text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(name, T.StringType()) for name in names])
+
+
 def _csv_reader(spark, delimiter, header, encoding, multi_line):
     reader = spark.read.option("header", header).option("sep", delimiter).option("quote", '"').option("escape", '"')
     reader = reader.option("mode", "PERMISSIVE").option("multiLine", multi_line)
@@ -92,7 +101,7 @@ def _first_lines(spark: SparkSession, path: str, lines: int) -> list[str]:
     return [r.value for r in spark.read.text(path).limit(lines).collect() if r.value.strip()]
 
 
-def _first_cells(spark: SparkSession, path: str, delimiter: str, lines: int = 1000) -> list[list[str]]:
+def _first_cells(spark: SparkSession, path: str, delimiter: str, lines: int) -> list[list[str]]:
     text = "\n".join(_first_lines(spark, path, lines))
     if len(delimiter) > 1:  # the csv module knows single characters only
         text, delimiter = text.replace(delimiter, "\x1f"), "\x1f"

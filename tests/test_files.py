@@ -11,6 +11,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sluice.functions.types import type_name
+from sluice.operators import profile, quality
+from sluice.operators.positions import skip_rows
+from sluice.operators.shape import shape
 from sluice.sources import exports, files
 from sluice.sources.sniff import sniff_report, sniff_types
 
@@ -102,6 +105,22 @@ def test_sniff_report_and_empty_file(spark, tmp_path):
     assert sniff_types(text.select()) == {}
 
 
+def test_odd_column_names(spark, tmp_path):
+    """From the header through typing, profile, warnings and skipped rows."""
+    path = tmp_path / "x.csv"
+    path.write_text('\ufeffa.b,c d,`e`,"f,g",a.b,A.B,,it\'s\n1,x,2024-01-15,2.5,7,8,9,p\n2,y,2024-01-16,,7,8,9,q\n', encoding="utf-8")
+    df = files.scan_csv(spark, str(path))
+    names = ["a.b", "c d", "`e`", "f,g", "a.b_1", "A.B_2", "column6", "it's"]
+    assert df.columns == names
+    assert [k for _, k in df.dtypes] == ["bigint", "string", "date", "double", "bigint", "bigint", "bigint", "string"]
+    got = profile.profile(df, order_by=["a.b"]).collect()
+    assert [(r.name, r.unique_count, r.null_count) for r in got] == [(n, u, n == "f,g") for n, u in zip(names, [2, 2, 2, 1, 1, 1, 1, 2])]
+    assert quality.warnings(df, ["a.b"]).count() == 0
+    assert [r[0] for r in skip_rows(df, [0]).collect()] == [2]
+    assert [r[0] for r in skip_rows(df, [0], ["a.b"]).collect()] == [2]
+    assert shape(df, {"a.b": "x.y"}, {"x.y": "VARCHAR"}).dtypes[0] == ("x.y", "string")
+
+
 def test_json_layouts(spark, tmp_path):
     rows = '{"z": 1, "a": {"b": [1, 2], "d": "2024-01-15"}, "t": "2024-01-15 10:00:00", "s": "x"}'
     more = '{"z": 2, "a": {"b": [], "d": "2024-01-16"}, "t": null, "s": "2024-01-15"}'
