@@ -21,6 +21,7 @@ from sluice.operators.quality import warnings
 from sluice.operators.shape import shape
 from sluice.plans.sink import CODECS, ROW_GROUP_ROWS, Written, output_path, source_path, write_checked
 from sluice.sources.databases import connection_options, extract_query, extract_table
+from sluice.sources.excel import PLACE
 from sluice.sources.files import FORMATS, detect_delimiter, scan_file
 
 READ_OPTIONS = (
@@ -85,11 +86,15 @@ def plan_file(spark: SparkSession, path: str, file_format: str, options: dict |
     overrides = options.get("type_overrides") or {}
     for name in overrides.values():
         spark_type(name)
-    raw = scan_file(spark, path, file_format, **{k: options.get(k) for k in READ_OPTIONS})
+    skipped, order_by = options.get("skip_rows"), options.get("order_by")
+    # Workbook rows lose their file on the way through Python, so they carry their place.
+    place = list(PLACE) if skipped and file_format == "excel" and not order_by else []
+    raw = scan_file(spark, path, file_format, place=bool(place), **{k: options.get(k) for k in READ_OPTIONS})
     shaped = shape(raw, options.get("column_mapping"), overrides)
-    if not options.get("skip_rows"):
+    if not skipped:
         return shaped, None
-    return split_rows(shaped, options["skip_rows"], options.get("order_by"))
+    kept, removed = split_rows(shaped, skipped, order_by or place or None)
+    return kept.drop(*place), removed
 
 
 def infer_file(

@@ -32,13 +32,20 @@ KIND_BITS = {"n": 1, "b": 2, "d": 4, "m": 8, "t": 16, "s": 32}
 KIND_TYPES = {1: "DOUBLE", 2: "BOOLEAN", 4: "DATE", 8: "TIMESTAMP", 12: "TIMESTAMP", 16: "TIME"}
 
 
-def scan_excel(spark: SparkSession, path: str, sheet_name: str | None = None, sheet_index: int = 0) -> DataFrame:
-    """The chosen sheet of every workbook below ``path``, stacked by column name."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
-    return workbook_rows(files, sheet_name, sheet_index)
+# Columns that hold the place of a row on request.
+PLACE = ("_sluice_book", "_sluice_line")
 
 
-def workbook_rows(files: DataFrame, sheet_name: str | None = None, sheet_index: int = 0) -> DataFrame:
+def scan_excel(spark: SparkSession, path: str, sheet_name: str | None = None, sheet_index: int = 0, place: bool = False) -> DataFrame:
+    """The chosen sheet of every workbook below ``path``, stacked by column name.
+
+    With ``place`` each row also carries its workbook and line, the only order such rows have.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xls[xm]").option("recursiveFileLookup", "true").load(path)
+    return workbook_rows(files, sheet_name, sheet_index, place)
+
+
+def workbook_rows(files: DataFrame, sheet_name: str | None = None, sheet_index: int = 0, place: bool = False) -> DataFrame:
     """Rows of workbooks given as (path, content); the first sheet row holds the column names."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,11 +68,12 @@ def workbook_rows(files: DataFrame, sheet_name: str | None = None, sheet_index:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                yield from _sheet_batches(content, sheet_name, sheet_index, names)
+            for path, content in zip(batch["path"], batch["content"]):
+                yield from _sheet_batches(path, content, sheet_name, sheet_index, names)
 
-    cells = books.mapInPandas(read, "texts array<string>")
-    text = cells.select([F.col("texts")[i].alias(name) for i, name in enumerate(names)])
+    cells = books.mapInPandas(read, "path string, line long, texts array<string>")
+    places = [F.col(c).alias(name) for c, name in zip(("path", "line"), PLACE)] if place else []
+    text = cells.select([F.col("texts")[i].alias(name) for i, name in enumerate(names)] + places)
     return read_text_as(text, {row.name: TextType(KIND_TYPES.get(row.bits, "VARCHAR")) for row in columns})
 
 
@@ -86,11 +94,14 @@ def _sheet_columns(path: str, content: bytes, sheet_name: str | None, sheet_inde
     return pd.DataFrame({"path": path, "at": range(len(names)), "name": names, "bits": bits})
 
 
-def _sheet_batches(content: bytes, sheet_name: str | None, sheet_index: int, wanted: list[str]) -> Iterator[pd.DataFrame]:
+def _sheet_batches(path: str, content: bytes, sheet_name: str | None, sheet_index: int, wanted: list[str]) -> Iterator[pd.DataFrame]:
     names, rows = _table(content, sheet_name, sheet_index)
     at = [names.index(name) if name in names else -1 for name in wanted]
+    first = 0
     while batch := list(itertools.islice(rows, BATCH_ROWS)):
-        yield pd.DataFrame({"texts": [[row[i][1] if 0 <= i < len(row) else None for i in at] for row in batch]})
+        texts = [[row[i][1] if 0 <= i < len(row) else None for i in at] for row in batch]
+        yield pd.DataFrame({"path": path, "line": range(first, first + len(batch)), "texts": texts})
+        first += len(batch)
 
 
 def _sheet_rows(content: bytes, sheet_name: str | None, sheet_index: int) -> Iterator[list]:

@@ -203,7 +203,7 @@ FORMAT_OPTIONS = {
     "tsv": ("delimiter", "encoding", "header", "multi_line", "types", "sniff", "sniff_rows", "ignore_errors"),
     "json": ("schema", "multi_line", "sniff"),
     "geojson": (),
-    "excel": ("sheet_name", "sheet_index"),
+    "excel": ("sheet_name", "sheet_index", "place"),
     "parquet": (),
 }
 

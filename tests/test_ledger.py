@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sluice.operators import ledger
 from sluice.plans import convert, sink
+from sluice.sources import exports
 
 
 def attempts(spark, hot_share, n=3000, same_time=False):
@@ -170,6 +171,19 @@ def test_positions_are_counted_behind_rejected_rows(work):
     assert sorted(r.id for r in work.read("f1").collect()) == [3, 5, 6, 7, 8]
 
 
+def test_workbooks_and_json_convert(work, table):
+    parts = table("part").select("p_partkey", "p_name").orderBy("p_partkey").coalesce(1)
+    exports.export_workbooks(parts, sink.source_path(work.root, "org1", "f1"), rows=50)
+    done = convert.convert_file(work, "f1", "excel", {"skip_rows": [0, 60, 9999], "type_overrides": {"p_partkey": "INTEGER"}, "sheet_index": 0})
+    everything = [r.p_partkey for r in parts.collect()]
+    assert (done["rows"], done["rows_skipped"], done["columns"]) == (len(everything) - 2, 2, 2)
+    left = {r.p_partkey for r in work.read("f1").collect()}
+    assert set(everything) - left == {everything[0], everything[60]}
+    upload(work, '[{"a": 1}, {"a": 2}, {"a": 3}]', "f1", "x.json")
+    array = convert.plan_file(work.spark, sink.source_path(work.root, "org1", "f1") + "/x.json", "json", {"skip_rows": [1]})[0]
+    assert sorted(r.a for r in array.collect()) == [1, 3]
+
+
 def test_unknown_source(work):
     with pytest.raises(ValueError, match="no source"):
         convert.convert_file(work, "nope")
