@@ -7,6 +7,7 @@ type family, so that every column is read once.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -193,18 +194,20 @@ def first_values(
     kind = df.select(reads[columns[0]]).schema[0].dataType
     schema = T.StructType([T.StructField("name", T.StringType()), T.StructField("sample_values", T.ArrayType(kind))])
 
-    def top(condition: Column, values: list[Column], rows: int) -> list[T.Row]:
+    def top(condition: Column, values: list[Column], rows: int) -> DataFrame:
         chosen = df.where(condition)
-        return (chosen.orderBy(*keys) if keys else chosen).select(values).limit(rows).collect()
-
-    first = top(F.lit(True), list(reads.values()), size)
-    found = []
-    for i, name in enumerate(columns):
-        held = [row[i] for row in first if row[i] is not None][:n]
-        if len(held) < n and len(first) == size:
-            held = [row[0] for row in top(column(name).isNotNull(), [reads[name]], n)]
-        found.append((name, held))
-    return spark.createDataFrame(found, schema)
+        return (chosen.orderBy(*keys) if keys else chosen).select(values).limit(rows)
+
+    first = top(F.lit(True), list(reads.values()), size).collect()
+    held = {name: [row[i] for row in first if row[i] is not None][:n] for i, name in enumerate(columns)}
+    short = [name for name in columns if len(held[name]) < n and len(first) == size]
+    parts = [top(column(c).isNotNull(), [F.lit(i).alias("at"), reads[c].alias("value")], n) for i, c in enumerate(short)]
+    if keys and parts:
+        # Every part scans the table anyway: one job for all of them.
+        parts = [functools.reduce(DataFrame.unionAll, parts)]
+    found = [row for part in parts for row in part.collect()]
+    held.update({name: [row.value for row in found if row["at"] == i] for i, name in enumerate(short)})
+    return spark.createDataFrame([(name, held[name]) for name in columns], schema)
 
 
 def profile(
