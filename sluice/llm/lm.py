@@ -25,14 +25,14 @@ from sluice.functions.names import column
 from sluice.llm.common import hold, slices, whole_text
 from sluice.llm.eliasfano import Trie
 
-GROUP_TOKENS = 3 << 20
-SHARD_ENTRIES = 2 << 20  # distinct n-grams that groups send to a shard, about
+GROUP_TOKENS = 3 << 19
+SHARD_ENTRIES = 1 << 20  # distinct n-grams that groups send to a shard, at most about
 HOT_SHARE = 1024  # contexts with more than one in so many tokens are dealt to all shards by their successors
 WORD_BITS = 40  # of a successor's hash that are sent
 STEP = 1024  # steps of a quantised log10 probability in one unit
 BEGIN, END = xxhash.xxh64_intdigest(b" begin"), xxhash.xxh64_intdigest(b" end")  # no word has a space
 
-GROUPS = "grp string, doc_ids array<bigint>, learns array<boolean>, lengths array<int>, n_learned bigint, words binary, word_counts binary, contexts binary, successors binary, pair_counts binary, n_pairs bigint, stream binary"
+GROUPS = "grp string, doc_ids array<bigint>, learns array<boolean>, lengths array<int>, n_learned bigint, words binary, word_counts binary, places binary, tokens binary, n_tokens bigint"
 
 
 def _packed(values: np.ndarray, dtype: str) -> bytes:
@@ -66,33 +66,37 @@ class _Group:
     def row(self) -> dict:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.numbers), np.uint64, len(self.numbers))
         words = np.unique(np.concatenate([hashes, np.array([BEGIN, END], np.uint64)]))
-        place = np.searchsorted(words, hashes)
-        begin, end = (int(np.searchsorted(words, np.uint64(h))) for h in (BEGIN, END))
-        lengths = np.array([len(t) + 1 for t in self.texts], np.int64)
-        last = np.cumsum(lengths) - 1
-        tokens = np.full(int(lengths.sum()), end, np.int64)
-        inner = np.ones(len(tokens), bool)
-        inner[last] = False
-        tokens[inner] = place[np.concatenate(self.texts)]
-        before = np.empty_like(tokens)
-        before[1:] = tokens[:-1]
-        before[last - lengths + 1] = begin
-        learned = np.repeat(np.array(self.learns, bool), lengths)
-        keys, stream = np.unique(before * len(words) + tokens, return_inverse=True)
-        return {
+        # Words are numbered as they appear, so frequent ones have small numbers, which compress well.
+        row = {
             "grp": uuid.uuid4().hex,
             "doc_ids": self.ids,
             "learns": self.learns,
-            "lengths": lengths.tolist(),
-            "n_learned": int(learned.sum()),
+            "lengths": [len(t) + 1 for t in self.texts],
             "words": _packed(words, "<u8"),
-            "word_counts": _packed(np.bincount(tokens[learned], minlength=len(words)), "<u4"),
-            "contexts": _planes(keys // len(words)),
-            "successors": _planes(keys % len(words)),
-            "pair_counts": _packed(np.bincount(stream[learned], minlength=len(keys)), "<u4"),
-            "n_pairs": len(keys),
-            "stream": _planes(stream),
+            "places": _planes(np.searchsorted(words, hashes)),
+            "tokens": _planes(np.concatenate(self.texts)),
+            "n_tokens": self.tokens,
         }
+        _, tokens, learned = _unfold(row)
+        row["n_learned"] = int(learned.sum())
+        row["word_counts"] = _packed(np.bincount(tokens[learned], minlength=len(words)), "<u4")
+        return row
+
+
+def _unfold(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word before each token, the token, both as places among the group's words, and whether it is learned from."""
+    words = np.frombuffer(row["words"], "<u8")
+    begin, end = (int(np.searchsorted(words, np.uint64(h))) for h in (BEGIN, END))
+    lengths = np.array(row["lengths"], np.int64)
+    last = np.cumsum(lengths) - 1
+    tokens = np.full(int(lengths.sum()), end, np.int64)
+    inner = np.ones(len(tokens), bool)
+    inner[last] = False
+    tokens[inner] = _from_planes(row["places"])[_from_planes(row["tokens"])]
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[last - lengths + 1] = begin
+    return before, tokens, np.repeat(np.array(row["learns"], bool), lengths)
 
 
 def read_groups(docs: DataFrame, learn: Column, text: str, doc_id: str) -> DataFrame:
@@ -103,9 +107,8 @@ def read_groups(docs: DataFrame, learn: Column, text: str, doc_id: str) -> DataF
             ("learns", pa.list_(pa.bool_())),
             ("lengths", pa.list_(pa.int32())),
             ("n_learned", pa.int64()),
-            *[(n, pa.binary()) for n in ("words", "word_counts", "contexts", "successors", "pair_counts")],
-            ("n_pairs", pa.int64()),
-            ("stream", pa.binary()),
+            *[(n, pa.binary()) for n in ("words", "word_counts", "places", "tokens")],
+            ("n_tokens", pa.int64()),
         ]
     )
 
@@ -198,9 +201,9 @@ def answer_words(asked: DataFrame, hot_count: int) -> DataFrame:
 # --- Bigrams ---------------------------------------------------------------------------------------
 
 
-def _pairs(words: np.ndarray, contexts: bytes, successors: bytes, hot: np.ndarray, shards: int):
+def _pairs(keys: np.ndarray, words: np.ndarray, hot: np.ndarray, shards: int):
     """A group's bigrams as hashes, each one's shard, and the order in which they are sent."""
-    first, second = words[_from_planes(contexts)], words[_from_planes(successors)]
+    first, second = words[keys // len(words)], words[keys % len(words)]
     of = _pair_shard(first, second, hot, shards)
     return first, second, of, np.argsort(of, kind="stable")
 
@@ -213,9 +216,15 @@ def ask_pairs(groups: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                grp, words, contexts, successors, counts = (c[i].as_py() for c in batch.columns)
-                first, second, of, order = _pairs(np.frombuffer(words, "<u8"), contexts, successors, hot, shards)
-                counts = np.frombuffer(counts, "<u4")
+                row = {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+                grp, words = row["grp"], np.frombuffer(row["words"], "<u8")
+                before, tokens, learned = _unfold(row)
+                keys = before * len(words) + tokens
+                own, counts = np.unique(keys[learned], return_counts=True)
+                keys = np.unique(keys)
+                counts = _spread(keys, own, counts)
+                del before, tokens, learned
+                first, second, of, order = _pairs(keys, words, hot, shards)
                 sent = of[order]
                 for shard in np.unique(sent).tolist():
                     a, b = np.searchsorted(sent, [shard, shard + 1])
@@ -232,7 +241,14 @@ def ask_pairs(groups: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
                     }
                     yield pa.RecordBatch.from_pylist([row], ASKED_ARROW)
 
-    return groups.select("grp", "words", "contexts", "successors", "pair_counts").mapInArrow(run, ASKED)
+    return groups.select("grp", "learns", "lengths", "words", "places", "tokens").mapInArrow(run, ASKED)
+
+
+def _spread(keys: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of some of the sorted keys, zero for the others."""
+    out = np.zeros(len(keys), np.int64)
+    out[np.searchsorted(keys, own)] = counts
+    return out
 
 
 def build_trie(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, hot: np.ndarray, hot_totals: np.ndarray) -> Trie:
@@ -313,8 +329,11 @@ def _scores(group: dict, answers: list[dict], total: int, kinds: int, hot: np.nd
     words = np.frombuffer(group["words"], "<u8")
     counts = np.concatenate([np.frombuffer(r["first"], "<i8") for r in sorted((r for r in answers if r["kind"] == "words"), key=lambda r: r["shard"])])
     unigram = (counts + 1) / (total + kinds + 1)
-    context, successor = _from_planes(group["contexts"]), _from_planes(group["successors"])
-    first, _, of, order = _pairs(words, group["contexts"], group["successors"], hot, shards)
+    before, tokens, _ = _unfold(group)
+    keys, stream = np.unique(before * len(words) + tokens, return_inverse=True)
+    del before
+    context, successor = keys // len(words), keys % len(words)
+    first, _, of, order = _pairs(keys, words, hot, shards)
     sent, codes, weights = of[order], np.zeros(len(order), np.uint16), np.zeros(len(words))
     for r in (r for r in answers if r["kind"] == "pairs"):
         a, b = np.searchsorted(sent, [r["shard"], r["shard"] + 1])
@@ -329,9 +348,8 @@ def _scores(group: dict, answers: list[dict], total: int, kinds: int, hot: np.nd
     follows[begin], follows[end] = counts[end], 0  # as many texts begin as end
     left = np.where(follows > 0, weights / np.maximum(follows, 1), 1.0)
     pair = np.log10(unquantise(codes) + left[context] * unigram[successor])
-    stream = _from_planes(group["stream"])
     lengths = np.array(group["lengths"], np.int64)
-    starts, tokens = np.cumsum(lengths) - lengths, successor[stream]
+    starts = np.cumsum(lengths) - lengths
     columns = [
         group["doc_ids"],
         lengths,
@@ -353,9 +371,9 @@ def lm_scores(docs: DataFrame, learn: Column, text: str = "text", doc_id: str =
     """
     groups = hold(read_groups(docs, learn, text, doc_id), "lm-groups")
     learned = F.size(F.filter("learns", lambda x: x))
-    sizes = groups.agg(F.sum("n_learned"), F.sum(F.octet_length("words") / 8), F.sum("n_pairs"), F.sum(learned)).first()
-    total, n_words, n_pairs, n_texts = (int(x or 0) for x in sizes)
-    word_shards, pair_shards = _power_of_two(n_words), _power_of_two(n_pairs)
+    sizes = groups.agg(F.sum("n_learned"), F.sum(F.octet_length("words") / 8), F.sum("n_tokens"), F.sum(learned)).first()
+    total, n_words, n_tokens, n_texts = (int(x or 0) for x in sizes)
+    word_shards, pair_shards = _power_of_two(n_words), _power_of_two(n_tokens)
     word_answers = hold(answer_words(ask_words(groups, word_shards), max(1, total // HOT_SHARE)), "lm-words")
     told = word_answers.where("kind = 'told'")
     kinds = told.agg(F.sum("kinds")).first()[0] or 0
@@ -375,6 +393,6 @@ def lm_scores(docs: DataFrame, learn: Column, text: str = "text", doc_id: str =
         group = next(r for r in rows if r["kind"] == "group")
         return _scores(group, rows, total, kinds, hot, hot_weights, pair_shards)
 
-    whole = groups.select("grp", F.lit("group").alias("kind"), "doc_ids", "lengths", "words", "contexts", "successors", "stream")
+    whole = groups.select("grp", F.lit("group").alias("kind"), "doc_ids", "learns", "lengths", "words", "places", "tokens")
     answers = word_answers.where("kind = 'words'").union(pair_answers.where("kind = 'pairs'")).select("grp", "kind", "shard", "first", "second")
     return whole.unionByName(answers, allowMissingColumns=True).groupBy("grp").applyInArrow(run, SCORES)
