@@ -59,8 +59,8 @@ def nearest(trie: Trie, word: str, errors: int) -> tuple[int, int] | None:
 
 
 def errors_for(term: str) -> int:
-    """Edits allowed in a term: none in short words, two in long ones."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """Edits allowed in a term: none in short words, two in very long ones."""
+    return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
 
 
 class Lexicon:
@@ -78,14 +78,24 @@ class Lexicon:
         self.terms, self.known = terms, known
         self.exact = {t: i for i, t in enumerate(terms)}
         self.tries = {k: Trie({t: i for i, t in enumerate(terms) if errors_for(t) == k}) for k in (1, 2)}
-        self.pieces = ahocorasick.Automaton()
+        places: dict[str, set[tuple[int, int, int]]] = {}
         for term in terms:
-            parts = errors_for(term) + 1
-            for i in range(parts if parts > 1 else 0):
-                piece = term[len(term) * i // parts : len(term) * (i + 1) // parts]
-                self.pieces.add_word(piece, piece)
+            errors = errors_for(term)
+            for i in range(errors + 1 if errors else 0):
+                start, end = len(term) * i // (errors + 1), len(term) * (i + 1) // (errors + 1)
+                places.setdefault(term[start:end], set()).add((errors, end, len(term)))
+        self.pieces = ahocorasick.Automaton()
+        for piece, found in places.items():
+            self.pieces.add_word(piece, found)
         self.pieces.make_automaton()
 
+    def may_be_near(self, word: str, errors: int) -> bool:
+        """Whether a piece of a term stands about where it stands in the term, and the lengths are about the same."""
+        size = len(word)
+        return any(
+            k == errors and abs(end - last - 1) <= k and abs(length - size) <= k for last, places in self.pieces.iter(word) for k, end, length in places
+        )
+
     def __reduce__(self):  # automata are built anew where they are used
         return Lexicon, (self.terms, self.known)
 
@@ -99,8 +109,8 @@ class Lexicon:
         for form in dict.fromkeys((word, _plain(word.translate(self.LOOKALIKES)))):
             if form in self.exact:
                 return 1, self.exact[form]
-            if len(self.pieces) and next(self.pieces.iter(form), None) is not None:
-                for errors, trie in self.tries.items():
+            for errors, trie in self.tries.items() if len(self.pieces) else ():
+                if self.may_be_near(form, errors):
                     near = nearest(trie, form, errors)
                     if near and (found is None or near < found):
                         found = near

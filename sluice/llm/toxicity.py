@@ -137,10 +137,16 @@ def in_context(events: list[tuple[int, tuple]]) -> list[tuple[int, int, int, flo
 
 
 def word_counts(texts: DataFrame, text: str, label: str) -> DataFrame:
-    """``word, toxic, clean``: in how many texts of either label a word occurs."""
-    words = F.array_distinct(F.transform(F.split(F.lower(column(text)), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))))
-    rows = texts.select(column(label).cast("long").alias("label"), F.explode(words).alias("word")).where("word <> ''")
-    return rows.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    """``word, toxic, clean``: after how many different words a word stands in texts of either label.
+
+    So a passage that many texts copy counts once, and a term counts by the places it was put in.
+    """
+    words = F.filter(F.transform(F.split(F.lower(column(text)), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))), lambda w: w != "")
+    rows = texts.select(column(label).cast("long").alias("label"), words.alias("words"))
+    rows = rows.select("label", "words", F.concat(F.array(F.lit("")), "words").alias("before"))
+    pairs = rows.select("label", F.explode(F.arrays_zip("words", "before")).alias("p")).select("label", F.col("p.words").alias("word"), F.col("p.before").alias("before"))
+    pairs = pairs.where("word IS NOT NULL").distinct()
+    return pairs.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
 
 
 def learn_lexicon(texts: DataFrame, text: str, label: str) -> tuple[Lexicon, tuple[float, ...]]:
@@ -149,12 +155,11 @@ def learn_lexicon(texts: DataFrame, text: str, label: str) -> tuple[Lexicon, tup
     A word is taken if its likelihood ratio against chance beats what the best of all words would reach
     by chance. Both the lexicon and the ordinary words next to it are bounded.
     """
-    totals = texts.agg(F.sum(column(label).cast("long")), F.count("*")).first()
-    bad, good = totals[0] or 0, (totals[1] or 0) - (totals[0] or 0)
+    counts = hold(word_counts(texts, text, label), "toxicity-words")
+    bad, good, kinds = (n or 0 for n in counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first())
     if not bad or not good:
         return Lexicon([]), ()
-    counts = hold(word_counts(texts, text, label), "toxicity-words")
-    kinds = counts.count()
+    share = bad / (bad + good)
     t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     share = bad / (bad + good)
     part = lambda n, expected: F.when(n > 0, n * F.ln(n / expected)).otherwise(0.0)
