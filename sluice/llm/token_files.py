@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sluice.functions.names import column
 from sluice.llm.bpe import Encoder
-from sluice.llm.common import SLICE_ROWS, extended, whole_text, worker_state
+from sluice.llm.common import SLICE_ROWS, extended, hold, whole_text, worker_state
 from sluice.llm.rangecoder import BLOCK, DamagedBlock, decode_block, encode_block
 
 PART_CHARS = 16_000_000  # characters of a part, about
@@ -140,7 +140,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before it: sums by part, then by block in a part, then by place
     in a block. Only the sums by part, one row for PART_CHARS characters, are ordered in one task.
     """
-    pieces = read_pieces(spark, path, with_ids=False)
+    pieces = hold(read_pieces(spark, path, with_ids=False), "token-pieces")  # each block is decoded once
     within = Window.partitionBy("part").orderBy("block", "place").rowsBetween(Window.unboundedPreceding, -1)
     sizes = spark.read.schema(BLOCKS).parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n"))
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
