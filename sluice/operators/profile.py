@@ -28,9 +28,10 @@ COLUMNS_PER_PASS = 100
 
 
 def sample(df: DataFrame, sample_size: int = SAMPLE_ROWS, order_by: list[str] | None = None) -> DataFrame:
-    """The first rows, 10,000 at most; with ``order_by`` the first in that order."""
-    size = min(sample_size, MAX_SAMPLE_ROWS)
-    return (df.orderBy(*map(column, order_by)) if order_by else df).limit(size)
+    """The first rows; with ``order_by`` the first in that order. More than 10,000 are refused."""
+    if not 0 < sample_size <= MAX_SAMPLE_ROWS:
+        raise ValueError(f"sample_size must lie between 1 and {MAX_SAMPLE_ROWS}")
+    return (df.orderBy(*map(column, order_by)) if order_by else df).limit(sample_size)
 
 
 def held_sample(df: DataFrame, sample_size: int = SAMPLE_ROWS, order_by: list[str] | None = None) -> DataFrame:

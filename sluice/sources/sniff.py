@@ -24,7 +24,6 @@ YEAR_LAST = r"^\s*(\d{1,2})([-/.])(\d{1,2})\2(\d{4})\s*$"
 MOMENT = r"^\s*\d{4}([-/])\d{1,2}\1\d{1,2}[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|UTC|[+-]\d{1,2}(?::?\d{2})?)?\s*$"
 CLOCK = r"^\s*\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*$"
 MAX_SNIFF_ROWS = 200_000  # they pass the driver
-LONGEST = 400  # characters of the longest number, date or time
 
 BITS = {
     "BOOLEAN": 1,
@@ -91,7 +90,6 @@ def _date(pattern: str, order: str) -> str:
 CELL_BITS = rf"""
 CASE
   WHEN cell IS NULL THEN NULL
-  WHEN length(cell) > {LONGEST} THEN 0
   WHEN ltrim(cell) >= '-' AND ltrim(cell) < ':' THEN CASE -- starts with a digit, a minus sign or a point
     WHEN cell RLIKE r'{INTEGER_TEXT}' THEN CASE
       WHEN length(cell) <= 18 OR try_cast(cell AS BIGINT) IS NOT NULL THEN {_any("BIGINT", "HUGEINT", "DOUBLE")}

@@ -125,7 +125,10 @@ def test_sparse_sample_values(spark):
 
 def test_sample_profile(spark):
     df = spark.range(20_000).select("id", F.when(F.col("id") < 5, F.lit("a@b.co")).otherwise(F.lit("none")).alias("s"))
-    assert profile.sample(df, 50_000, ["id"]).count() == 10_000
+    assert profile.sample(df, 10_000, ["id"]).count() == 10_000
+    for size in (0, 10_001, 50_000):
+        with pytest.raises(ValueError):
+            profile.sample(df, size, ["id"])
     got = {r.name: r for r in profile.profile(df, sample_size=100, order_by=["id"]).collect()}
     # The first five values decide the format of a sample.
     assert (got["s"].detected_format, got["s"].row_count, got["id"].max_value) == ("email", 100, 99.0)
