@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import ahocorasick
+import re
+
+TRIPLE = re.compile(r"(.)\1\1")
 
 
 class Trie:
@@ -66,9 +68,10 @@ def errors_for(term: str) -> int:
 class Lexicon:
     """Terms with the words that may stand for them.
 
-    ``known`` are ordinary words that lie close to a term: they are no misspellings. A word shares
-    at least one of ``errors + 1`` pieces with any term it misspells, so most words are ruled out by one
-    run over the pieces' automaton before the tries are walked.
+    ``known`` are ordinary words that lie close to a term: they are no misspellings. Cut into
+    ``errors + 1`` pieces, a term keeps one of them whole in any misspelling: the first at the start, the
+    last at the end, or else the middle one a place off at most. A few lookups by length rule most words out
+    before the tries are walked.
     """
 
     # Signs that often stand for letters.
@@ -78,23 +81,24 @@ class Lexicon:
         self.terms, self.known = terms, known
         self.exact = {t: i for i, t in enumerate(terms)}
         self.tries = {k: Trie({t: i for i, t in enumerate(terms) if errors_for(t) == k}) for k in (1, 2)}
-        places: dict[str, set[tuple[int, int, int]]] = {}
+        # By length of a word: for each of its ranges that may hold a kept piece, the pieces.
+        ranges: dict[int, dict[tuple[int, int], set[str]]] = {}
         for term in terms:
-            errors = errors_for(term)
-            for i in range(errors + 1 if errors else 0):
-                start, end = len(term) * i // (errors + 1), len(term) * (i + 1) // (errors + 1)
-                places.setdefault(term[start:end], set()).add((errors, end, len(term)))
-        self.pieces = ahocorasick.Automaton()
-        for piece, found in places.items():
-            self.pieces.add_word(piece, found)
-        self.pieces.make_automaton()
-
-    def may_be_near(self, word: str, errors: int) -> bool:
-        """Whether a piece of a term stands about where it stands in the term, and the lengths are about the same."""
-        size = len(word)
-        return any(
-            k == errors and abs(end - last - 1) <= k and abs(length - size) <= k for last, places in self.pieces.iter(word) for k, end, length in places
-        )
+            size, errors = len(term), errors_for(term)
+            cuts = [size * i // (errors + 1) for i in range(errors + 2)]
+            for n in range(size - errors, size + errors + 1) if errors else ():
+                for i, (start, end) in enumerate(zip(cuts, cuts[1:])):
+                    moves = (0,) if i == 0 else (n - size,) if i == errors else (-1, 0, 1)
+                    for move in moves:
+                        ranges.setdefault(n, {}).setdefault((start + move, end + move), set()).add(term[start:end])
+        self.ranges = {n: [(*cut, kept) for cut, kept in found.items()] for n, found in ranges.items()}
+
+    def may_be_near(self, word: str) -> bool:
+        """Whether a piece of a term stands where a misspelling of the term keeps it."""
+        for start, end, kept in self.ranges.get(len(word), ()):
+            if word[start:end] in kept:
+                return True
+        return False
 
     def __reduce__(self):  # automata are built anew where they are used
         return Lexicon, (self.terms, self.known)
@@ -106,14 +110,16 @@ class Lexicon:
         if len(word) < 4 or word in self.known:
             return None
         found = None
-        for form in dict.fromkeys((word, _plain(word.translate(self.LOOKALIKES)))):
+        forms = (word,)
+        if not word.isalpha() or TRIPLE.search(word):
+            forms = tuple(dict.fromkeys((word, _plain(word.translate(self.LOOKALIKES)))))
+        for form in forms:
             if form in self.exact:
                 return 1, self.exact[form]
-            for errors, trie in self.tries.items() if len(self.pieces) else ():
-                if self.may_be_near(form, errors):
-                    near = nearest(trie, form, errors)
-                    if near and (found is None or near < found):
-                        found = near
+            for errors, trie in self.tries.items() if self.may_be_near(form) else ():
+                near = nearest(trie, form, errors)
+                if near and (found is None or near < found):
+                    found = near
         return (max(1, found[0]), found[1]) if found else None
 
 

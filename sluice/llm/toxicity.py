@@ -25,6 +25,7 @@ TERMS = 5_000  # of the lexicon, the strongest
 NEIGHBOURS = 50_000  # ordinary words close to a term that are remembered, the most frequent
 CACHE = 300_000  # words that a worker remembers
 PIECE = 1 << 20  # characters of a long text that are split at a time
+APART = 8  # places between a word and the one that tells its contexts apart
 WINDOW = 20  # words around a hit
 QUOTE = 30  # words that a quotation spans at most
 QUOTED, REPORTED = 0.25, 0.5  # what a hit counts inside a quotation, or after a word of reporting
@@ -64,11 +65,17 @@ def pieces(text: str) -> Iterator[str]:
 
 def token_facts(lexicon: Lexicon, token: str) -> tuple | None:
     """(term or -1, edits, opens a quotation, closes one, reports) of a raw token; None if it is nothing."""
-    bare = token.lower().strip(EDGES)
-    head, tail = token[: len(token) - len(token.lstrip(EDGES))], token[len(token.rstrip(EDGES)) :] if bare else token
+    lower = token.lower()
+    bare = lower if lower.isalpha() else lower.strip(EDGES)
     hit = lexicon.find(bare) if bare else None
-    if hit is None and bare != token.lower():
-        hit = lexicon.find(token.lower().strip("\"“”„«»‹›.,;:?()[]")) if any(c.isalpha() for c in token) else None
+    if bare == lower:
+        if hit is None and bare not in REPORTING:
+            return None
+        return (hit[1] if hit else -1, hit[0] if hit else 0, False, False, bare in REPORTING)
+    head, tail = token[: len(token) - len(token.lstrip(EDGES))], token[len(token.rstrip(EDGES)) :] if bare else token
+    if hit is None and any(c.isalpha() for c in token):
+        signed = lower.strip("\"“”„«»‹›.,;:?()[]")  # signs at the edges may stand for letters
+        hit = lexicon.find(signed) if signed != bare else None
     opens, closes, reports = any(c in OPENING for c in head), any(c in CLOSING for c in tail), bare in REPORTING
     if hit is None and not (opens or closes or reports):
         return None
@@ -137,13 +144,15 @@ def in_context(events: list[tuple[int, tuple]]) -> list[tuple[int, int, int, flo
 
 
 def word_counts(texts: DataFrame, text: str, label: str) -> DataFrame:
-    """``word, toxic, clean``: after how many different words a word stands in texts of either label.
+    """``word, toxic, clean``: how many different words stand APART places before a word, or else begin the text.
 
-    So a passage that many texts copy counts once, and a term counts by the places it was put in.
+    So a passage that many texts copy counts once, and a term counts by the places it was put in, also if
+    it always comes in the same phrase.
     """
     words = F.filter(F.transform(F.split(F.lower(column(text)), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))), lambda w: w != "")
     rows = texts.select(column(label).cast("long").alias("label"), words.alias("words"))
-    rows = rows.select("label", "words", F.concat(F.array(F.lit("")), "words").alias("before"))
+    before = F.transform(F.concat(F.array_repeat(F.get("words", F.lit(0)), APART), "words"), lambda w: F.xxhash64(w))
+    rows = rows.select("label", "words", before.alias("before"))
     pairs = rows.select("label", F.explode(F.arrays_zip("words", "before")).alias("p")).select("label", F.col("p.words").alias("word"), F.col("p.before").alias("before"))
     pairs = pairs.where("word IS NOT NULL").distinct()
     return pairs.groupBy("word").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
@@ -159,7 +168,6 @@ def learn_lexicon(texts: DataFrame, text: str, label: str) -> tuple[Lexicon, tup
     bad, good, kinds = (n or 0 for n in counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first())
     if not bad or not good:
         return Lexicon([]), ()
-    share = bad / (bad + good)
     t, c = F.col("toxic").cast("double"), F.col("clean").cast("double")
     share = bad / (bad + good)
     part = lambda n, expected: F.when(n > 0, n * F.ln(n / expected)).otherwise(0.0)
