@@ -5,6 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -52,22 +55,65 @@ def csv_text(
     encoding: str | None = None,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Delimited text with every column as a string; empty cells are NULL."""
+    """Delimited text with every column as a string; empty cells are NULL.
+
+    Files with other headers, or their columns in another order, are united by name; columns that a file
+    lacks are NULL there.
+    """
     mark = delimiter or detect_delimiter(spark, path)
     reader = _csv_reader(spark, mark, header, encoding, multi_line)
+    if header and not multi_line and encoding is None:
+        groups = _header_groups(spark, path)
+        if len(groups) > 1:
+            parts = [_with_header(reader, names, mark).csv(files) for names, files in groups.items()]
+            return _no_empty_cells(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
     if not header:
-        # Short rows may come first: the widest of the first lines says how many columns there are.
-        width = max((len(cells) for cells in _first_cells(spark, path, mark, WIDTH_LINES)), default=1)
+        # Short rows may come first: the widest of all lines says how many columns there are.
+        if multi_line:
+            width = max((len(cells) for cells in _first_cells(spark, path, mark, WIDTH_LINES)), default=1)
+        else:
+            width = _width(spark, path, mark)
         reader = reader.schema(_text_schema([f"column{i}" for i in range(width)]))
     elif not multi_line and encoding is None:
         first = _first_cells(spark, path, mark, 1)
         if first:
             reader = reader.schema(_text_schema(unique_names([first[0][0].removeprefix("\ufeff"), *first[0][1:]])))
-    raw = reader.csv(path)
-    # A quoted empty cell is read as an empty string.
+    return _no_empty_cells(reader.csv(path))
+
+
+def _no_empty_cells(raw: DataFrame) -> DataFrame:
+    """A quoted empty cell is read as an empty string; it becomes NULL."""
     return raw.select([F.nullif(column(c), F.lit("")).alias(c) for c in raw.columns])
 
 
+def _header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of each header line, in order of their first file; empty if one header holds for all."""
+    lines = spark.read.text(path)
+    if len(lines.inputFiles()) < 2:
+        return {}
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    told = lines.select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")).where(F.trim("value") != "")
+    first = told.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    first = first.withColumn("header", F.regexp_replace("header", "^\ufeff", ""))
+    if first.select("header").distinct().limit(2).count() < 2:
+        return {}
+    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    # Characters of globs in the names stand for themselves.
+    plain = lambda file: re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
+    return {g.header: [plain(f) for f in g.files] for g in sorted(groups, key=lambda g: g.files[0])}
+
+
+def _with_header(reader, line: str, delimiter: str):
+    return reader.schema(_text_schema(unique_names(_cells(line, delimiter)[0])))
+
+
+def _width(spark: SparkSession, path: str, delimiter: str) -> int:
+    """The most cells of any line; delimiters inside quoted cells do not count."""
+    mark = rf"\Q{delimiter}\E"
+    bare = F.regexp_replace(F.replace("value", F.lit('""'), F.lit("")), rf'(^|{mark})"[^"]*+"(?={mark}|$)', "$1")
+    return (spark.read.text(path).agg(F.max(F.regexp_count(bare, F.lit(mark)))).first()[0] or 0) + 1
+
+
 def _text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
@@ -102,7 +148,10 @@ def _first_lines(spark: SparkSession, path: str, lines: int) -> list[str]:
 
 
 def _first_cells(spark: SparkSession, path: str, delimiter: str, lines: int) -> list[list[str]]:
-    text = "\n".join(_first_lines(spark, path, lines))
+    return _cells("\n".join(_first_lines(spark, path, lines)), delimiter)
+
+
+def _cells(text: str, delimiter: str) -> list[list[str]]:
     if len(delimiter) > 1:  # the csv module knows single characters only
         text, delimiter = text.replace(delimiter, "\x1f"), "\x1f"
     return list(csv.reader(io.StringIO(text), delimiter=delimiter))

@@ -206,3 +206,22 @@ def test_types_of_big_numbers(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text("a\n99999999999999999999\n1\n")
     assert files.scan_csv(spark, str(path)).orderBy("a").collect()[1].a == Decimal("99999999999999999999")
+
+
+def test_csv_files_with_other_headers_are_united_by_name(spark, tmp_path):
+    (tmp_path / "a {1}.csv").write_text("id,name\n1,x\n2,y\n")
+    (tmp_path / "b.csv").write_text("name,id\nq,9\n")
+    (tmp_path / "c%20d.csv").write_text('\n\ufeffid,extra\n7,"z, ""w"""\n')
+    (tmp_path / "empty.csv").write_text("")
+    df = files.scan_csv(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.select("id", "name", "extra").collect()) == [
+        (1, "x", None), (2, "y", None), (7, None, 'z, "w"'), (9, "q", None)]
+    assert dict(df.dtypes)["id"] == "bigint"
+
+
+def test_csv_without_header_is_as_wide_as_its_widest_line(spark, tmp_path):
+    lines = ["1,2"] * 1500 + ['3,"a,b",4,""', '"5, ""6""",7']
+    (tmp_path / "wide.csv").write_text("\n".join(lines) + "\n")
+    df = files.scan_csv(spark, str(tmp_path), header=False)
+    assert len(df.columns) == 4 and df.count() == 1502
+    assert [tuple(r) for r in df.where("column2 IS NOT NULL").collect()] == [("3", "a,b", 4, None)]
