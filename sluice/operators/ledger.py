@@ -161,6 +161,20 @@ def version_metrics(events: DataFrame, order_by: tuple[str, ...] = ("event_ts",
     )
 
 
+def version_records(events: DataFrame, metrics: tuple[str, ...] = METRICS, order_by: tuple[str, ...] = ("event_ts", "id")) -> DataFrame:
+    """One row per attempt, by the id of its record: a failed one stays visible next to its retry.
+
+    Each has its last status and last non-null metrics; a size of 0 is no size, and a success clears the error message.
+    """
+    order = F.struct(*order_by)
+    kept = {m: F.nullif(F.col(m), F.lit(0)) if m == "file_size_bytes" else F.col(m) for m in metrics}
+    last = [F.max_by(m, F.when(value.isNotNull(), order)).alias(m) for m, value in kept.items()]
+    records = events.groupBy("id", "source_id", "version").agg(F.max_by("status", order).alias("status"), *last)
+    if "error_message" not in metrics:
+        return records
+    return records.withColumn("error_message", F.when(F.col("status") != "active", F.col("error_message")))
+
+
 def latest_metrics(events: DataFrame, metrics: tuple[str, ...] = METRICS[:4], order_by: tuple[str, ...] = ("event_ts", "id")) -> DataFrame:
     """Metrics of the last active event of each source; size 0 is no size."""
     sized = events.where(F.col("status") == "active")

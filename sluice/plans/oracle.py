@@ -148,6 +148,11 @@ ORACLE_SQL: dict[str, str] = {
     "ledger_latest_status": f"""WITH {_ATTEMPTS},
         r AS (SELECT *, row_number() OVER (PARTITION BY user_id, version ORDER BY ts DESC, event_id DESC) AS k FROM a)
         SELECT user_id AS source_id, version, CASE WHEN event_type = 'error' THEN 'error' ELSE 'active' END AS status FROM r WHERE k = 1""",
+    "ledger_version_records": f"""WITH {_ATTEMPTS},
+        r AS (SELECT a.event_id, a.user_id AS source_id, a.version, CASE WHEN a.event_type = 'error' THEN 'error' ELSE 'active' END AS status,
+            CAST(nullif(floor(e.value), 0) AS BIGINT) AS file_size_bytes, CASE WHEN a.event_type = 'error' THEN e.props END AS error_message
+            FROM a JOIN events e USING (event_id))
+        SELECT * FROM r""",
     "ledger_current_version": """SELECT user_id AS source_id, count(*) FILTER (WHERE event_type <> 'error') AS current_version
         FROM events GROUP BY user_id""",
     "ledger_metrics": """SELECT source_id, row_count, file_size_bytes FROM (SELECT user_id AS source_id, event_id AS row_count,

@@ -439,6 +439,12 @@ def ledger_latest_status(spark, sf_dir):
     return ledger.latest_status(ledger.assign_versions(_attempts(spark, sf_dir)))
 
 
+def ledger_version_records(spark, sf_dir):
+    size = F.floor("value").cast("bigint").alias("file_size_bytes")
+    attempts = ledger.assign_versions(_attempts(spark, sf_dir, size, F.col("props").alias("error_message")))
+    return ledger.version_records(attempts, ("file_size_bytes", "error_message")).withColumnRenamed("id", "event_id")
+
+
 def ledger_current_version(spark, sf_dir):
     return ledger.current_versions(ledger.assign_versions(_attempts(spark, sf_dir)))
 
@@ -512,6 +518,7 @@ QUERIES: dict[str, Query] = {
     **{name: _user_sql(name) for name in USER_SQL},
     "ledger_assign_versions": ledger_assign_versions,
     "ledger_latest_status": ledger_latest_status,
+    "ledger_version_records": ledger_version_records,
     "ledger_current_version": ledger_current_version,
     "ledger_metrics": ledger_metrics,
     "ledger_last_query": ledger_last_query,

@@ -125,6 +125,19 @@ def statuses(work, source):
     return [(r.version, r.status) for r in work.events(source).orderBy("event_ts").collect()]
 
 
+def test_records_keep_failed_attempts(spark):
+    rows = [
+        event(1, "a", 1, "pending", id="r1"),
+        event(2, "a", 1, "error", id="r1", error_message="boom"),
+        event(3, "a", 1, "pending", id="r2"),
+        event(4, "a", 1, "error", id="r2", error_message="late"),
+        event(5, "a", 1, "active", id="r2", row_count=7, file_size_bytes=0),
+    ]
+    records = ledger.version_records(spark.createDataFrame(rows, ledger.EVENTS)).collect()
+    assert sorted((r.id, r.version, r.status, r.error_message, r.row_count, r.file_size_bytes) for r in records) == [
+        ("r1", 1, "error", "boom", None, None), ("r2", 1, "active", None, 7, None)]
+
+
 def test_file_versions(work):
     upload(work, "id,v\n" + "".join(f"{i},{i / 2}\n" for i in range(12)))
     options = {"column_mapping": {"v": "half"}, "type_overrides": {"half": "INTEGER"}, "skip_rows": [0, 3, 500], "delimiter": None}
