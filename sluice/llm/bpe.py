@@ -22,17 +22,25 @@ RUN = re.compile(f"[{SPACE}][{SPACE}]")
 
 
 class Encoder:
-    """Ids of whole texts; ``definition`` is the text of a tokenizer file without normalizer or added prefix."""
+    """Ids of whole texts; ``definition`` is the text of a tokenizer file without normalizer or added prefix.
 
-    def __init__(self, definition: str):
+    With ``added``, the strings of added tokens get their own ids wherever they stand, as the library does it;
+    without, they are ordinary text. They hold no white space, so each lies inside one part.
+    """
+
+    def __init__(self, definition: str, added: bool = False):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         # Bytes that each id stands for: this vocabulary spells every byte as one character.
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for spelled, number in self.tokenizer.get_vocab().items():
             self.sizes[number] = len(spelled)
+        for number, token in self.tokenizer.get_added_tokens_decoder().items():
+            if added and (token.lstrip or token.rstrip or any(c in SPACE for c in token.content)):
+                raise ValueError(f"the added token {token.content!r} takes white space, which parts are cut at")
+            self.sizes[number] = len(token.content.encode())
 
     @staticmethod
     def parts(text: str) -> list[str]:

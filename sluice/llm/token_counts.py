@@ -86,8 +86,8 @@ class SegmentTree:
 class Counter:
     """Counts of tokens by part, remembered per worker."""
 
-    def __init__(self, definition: str):
-        self.encoder = Encoder(definition)
+    def __init__(self, definition: str, added: bool = False):
+        self.encoder = Encoder(definition, added)
 
     def counts(self, parts: list[str]) -> list[int]:
         known, width = self.encoder.known, np.dtype(self.encoder.dtype).itemsize
@@ -190,13 +190,14 @@ STATE = "leaf_chars array<int>, leaf_tokens array<int>"
 
 
 def _counter(definition: str) -> Counter:
-    return worker_state(f"counts {zlib.crc32(definition.encode())}", lambda: Counter(definition))
+    return worker_state(f"counts {zlib.crc32(definition.encode())}", lambda: Counter(definition, added=True))
 
 
 def count_tokens(docs: DataFrame, definition: str, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` and the state ``leaf_chars, leaf_tokens``; columns of these names are replaced.
 
-    ``definition`` is the content of a tokenizer file. A null text is an empty one, with one empty leaf.
+    ``definition`` is the content of a tokenizer file; strings of its added tokens count as these tokens. A null
+    text is an empty one, with one empty leaf.
     """
     made = ("n_tokens", "leaf_chars", "leaf_tokens")
     own = [c for c in docs.columns if c not in made]

@@ -41,7 +41,7 @@ BLOCKS_ARROW = pa.schema(
 def write_token_files(docs: DataFrame, definition: str, path: str, end_id: int = 2, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encode the texts, each followed by ``end_id``, and write them in ascending order of their ids.
 
-    ``definition`` is the content of a tokenizer file. A null text is an empty one; rows of null ids come
+    ``definition`` is the content of a tokenizer file; strings of its added tokens get their ids. A null text is an empty one; rows of null ids come
     first; rows that repeat an id stand side by side. A document longer than a block is written in
     pieces. Parts are cut by the size of the corpus, blocks hold BLOCK ids at most.
     """
@@ -51,7 +51,7 @@ def write_token_files(docs: DataFrame, definition: str, path: str, end_id: int =
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_state(f"bpe {zlib.crc32(definition.encode())}", lambda: Encoder(definition))
+        encoder = worker_state(f"bpe {zlib.crc32(definition.encode())}", lambda: Encoder(definition, added=True))
         size = encoder.tokenizer.get_vocab_size()
         vocabulary = max(size, end_id + 1)
         part, number = TaskContext.get().partitionId(), 0
