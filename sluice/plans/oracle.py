@@ -36,6 +36,7 @@ ORACLE_SQL: dict[str, str] = {
     "scan_csv_quoted": "SELECT doc_id, nullif(text, '') AS text, lang FROM documents",
     "scan_parquet": "SELECT * FROM lineitem",
     "scan_json": "SELECT event_id, user_id, event_type, value FROM events",
+    "scan_json_mixed": "SELECT event_id, user_id, event_type, value FROM events",
     "scan_json_nested": """SELECT o_orderkey, o_totalprice AS total, o_custkey AS custkey, CAST(day(o_orderdate) AS INTEGER) AS day,
         date_trunc('second', o_orderdate) AS moment FROM orders""",
     "scan_geojson": "SELECT 'FeatureCollection' AS type, 2 AS feature_count, c_acctbal AS x, c_custkey FROM customer",

@@ -65,6 +65,17 @@ def scan_json(spark, sf_dir):
     return files.scan_json(spark, path)
 
 
+def scan_json_mixed(spark, sf_dir):
+    """A folder of files with one object per line and of files that are one array."""
+    path = scratch_dir(spark, "json")
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    bucket = F.pmod(F.xxhash64("event_id"), F.lit(16))
+    events.where(bucket < 8).write.json(path)
+    arrays = events.where(bucket >= 8).groupBy(bucket.alias("bucket")).agg(F.to_json(F.collect_list(F.struct(*events.columns))).alias("value"))
+    arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
+    return files.scan_json(spark, path)
+
+
 def scan_json_nested(spark, sf_dir):
     """Structs, arrays, dates and timestamps survive the trip."""
     path = scratch_dir(spark, "json")
@@ -473,6 +484,7 @@ QUERIES: dict[str, Query] = {
     "scan_csv_quoted": scan_csv_quoted,
     "scan_parquet": scan_parquet,
     "scan_json": scan_json,
+    "scan_json_mixed": scan_json_mixed,
     "scan_json_nested": scan_json_nested,
     "scan_geojson": scan_geojson,
     "scan_excel": scan_excel,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 import re
 from functools import reduce
 from urllib.parse import unquote
@@ -98,9 +97,12 @@ def _header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
     if first.select("header").distinct().limit(2).count() < 2:
         return {}
     groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
-    # Characters of globs in the names stand for themselves.
-    plain = lambda file: re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
-    return {g.header: [plain(f) for f in g.files] for g in sorted(groups, key=lambda g: g.files[0])}
+    return {g.header: [_plain_path(f) for f in g.files] for g in sorted(groups, key=lambda g: g.files[0])}
+
+
+def _plain_path(file: str) -> str:
+    """The path of a file from its metadata; characters of globs in it stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
 
 
 def _with_header(reader, line: str, delimiter: str):
@@ -182,25 +184,91 @@ def scan_json(
 ) -> DataFrame:
     """JSON objects, one per line or in one array; date and timestamp texts become typed columns.
 
-    The layout is read off the first character unless ``multi_line`` is given. An array or an
-    indented file is one task per file; large data should come as one object per line.
+    The layout of each file is read off its first line unless ``multi_line`` is given; files of both layouts
+    are read with one schema. An array or an indented file is one task per file; large data should come as
+    one object per line.
     """
-    first = ""
+    reader, keys = spark.read.option("mode", "FAILFAST"), []
+    parts = [(bool(multi_line), path)]
     if multi_line is None or (schema is None and not multi_line):
-        head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-        first = head[0].value.lstrip("\ufeff \t") if head else ""
+        layouts, keys = _json_layouts(spark, path)
     if multi_line is None:
-        multi_line = not _is_object(first)
-    reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
-    df = (reader.schema(schema) if schema else reader).json(path)
+        parts = [(multi, path) for multi in layouts] if len(layouts) == 1 else list(layouts.items())
+        parts = parts or [(True, path)]
+    if len(parts) > 1:
+        folders = spark.read.text(path).columns[1:]
+        reader = reader.option("basePath", path) if folders else reader  # else columns named by folders are lost
+        if schema is None:
+            schema_of = lambda drop: [reader.option("multiLine", m).option("dropFieldIfAllNull", drop).json(f).schema for m, f in parts]
+            told = reduce(_either_type, schema_of(True))
+            told = reduce(_with_missing, schema_of(False), told)
+            whole = T.StructType([f for f in told.fields if f.name not in folders])
+            df = _json_parts(reader.schema(whole), parts)
+        else:
+            df = _json_parts(reader.schema(schema), parts)
+    else:
+        df = _json_parts(reader.schema(schema) if schema else reader, parts)
     if schema is not None:
         return df
     # Inference sorts the fields by name; put those of the first record in its order.
-    keys = [k for k in json.loads(first) if k in df.columns] if _is_object(first) else []
+    keys = [k for k in keys if k in df.columns]
     df = df.select([column(c) for c in keys + [c for c in df.columns if c not in keys]])
     return _read_moments(df) if sniff else df
 
 
+def _json_parts(reader, parts) -> DataFrame:
+    return reduce(DataFrame.unionByName, [reader.option("multiLine", multi).json(files) for multi, files in parts])
+
+
+def _json_layouts(spark: SparkSession, path: str) -> tuple[dict[bool, list[str]], list[str]]:
+    """The files that need ``multiLine`` and those that do not, and the keys of the first whole object on a line.
+
+    First lines stay with the executors; the driver gets file names, and keys if there are any.
+    """
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    text = F.ltrim(F.regexp_replace("value", "^\ufeff", ""))
+    line = F.when(text.startswith("["), F.lit("[")).otherwise(text)  # an array needs no more than its first character
+    told = spark.read.text(path).where(F.trim("value") != "").select(line.alias("line"), F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    first = told.groupBy("file").agg(F.min_by("line", "place").alias("line"))
+    rows = first.select("file", F.json_object_keys("line").alias("keys")).orderBy("file").collect()
+    layouts: dict[bool, list[str]] = {}
+    for row in rows:
+        layouts.setdefault(row["keys"] is None, []).append(_plain_path(row.file))
+    return layouts, list(dict.fromkeys(next((row["keys"] for row in rows if row["keys"] is not None), [])))
+
+
+def _either_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that JSON inference gives values of both types."""
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        kinds = {f.name: f.dataType for f in a.fields}
+        for f in b.fields:
+            kinds[f.name] = _either_type(kinds[f.name], f.dataType) if f.name in kinds else f.dataType
+        return T.StructType([T.StructField(name, kinds[name]) for name in sorted(kinds)])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_either_type(a.elementType, b.elementType))
+    if a == b:
+        return a
+    numbers = (T.LongType, T.DoubleType, T.DecimalType)
+    if isinstance(a, numbers) and isinstance(b, numbers):
+        if isinstance(a, T.DoubleType) or isinstance(b, T.DoubleType):
+            return T.DoubleType()
+        a, b = (T.DecimalType(20, 0) if isinstance(x, T.LongType) else x for x in (a, b))
+        whole, scale = max(a.precision - a.scale, b.precision - b.scale), max(a.scale, b.scale)
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
+    return T.StringType()
+
+
+def _with_missing(known: T.DataType, full: T.DataType) -> T.DataType:
+    """``known`` with the fields of ``full`` that it lacks as no value tells their type."""
+    if isinstance(known, T.StructType) and isinstance(full, T.StructType):
+        kinds = {f.name: f.dataType for f in full.fields}
+        kinds |= {f.name: _with_missing(f.dataType, kinds[f.name]) if f.name in kinds else f.dataType for f in known.fields}
+        return T.StructType([T.StructField(name, kinds[name]) for name in sorted(kinds)])
+    if isinstance(known, T.ArrayType) and isinstance(full, T.ArrayType):
+        return T.ArrayType(_with_missing(known.elementType, full.elementType))
+    return known
+
+
 def _read_moments(df: DataFrame) -> DataFrame:
     """Text leaves, also inside structs, whose every value is a date or a timestamp."""
 
@@ -225,14 +293,6 @@ def _read_moments(df: DataFrame) -> DataFrame:
     return df.select([value.alias(name) for name, value in columns.items()])
 
 
-def _is_object(line: str) -> bool:
-    """Whether the line holds one whole JSON object."""
-    try:
-        return isinstance(json.loads(line), dict)
-    except ValueError:
-        return False
-
-
 def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
     """A FeatureCollection is one row with its ``features`` as an array; ``F.inline`` unfolds them."""
     return scan_json(spark, path)
