@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+BITS = (1 << 64) - 1
+
+
+def hamming(a: int, b: int) -> int:
+    """Differing bits of two 64-bit numbers, given signed or unsigned."""
+    return ((a ^ b) & BITS).bit_count()
+
 
 class BkTree:
     """Children are keyed by their Hamming distance to the parent.
@@ -21,7 +28,7 @@ class BkTree:
         todo = [0] if self.values else []
         while todo:
             at = todo.pop()
-            distance = (self.values[at] ^ value).bit_count()
+            distance = hamming(self.values[at], value)
             if distance <= radius:
                 found.append(at)
             edges = self.children[at]
@@ -39,7 +46,7 @@ class BkTree:
         at = 0
         while at != place:
             edges = self.children[at]
-            at = edges.setdefault((self.values[at] ^ value).bit_count(), place)
+            at = edges.setdefault(hamming(self.values[at], value), place)
         return place
 
 

@@ -5,7 +5,7 @@ import re
 from collections import Counter
 
 import sentencepiece as library
-import xxhash
+from test_jaccard import brute_force
 
 import corpus_pipeline
 from sluice.llm.queries import pieces
@@ -14,12 +14,6 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def plain_fingerprint(text):
-    words = text.encode().lower().split()
-    hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     given_model = library.SentencePieceProcessor(model_proto=pieces())
@@ -39,14 +33,9 @@ def test_stages(spark):
         best.setdefault(digest(r), r)
     assert Counter(after) == Counter(best.values())
     before, after = seen["SimHash near-dedup"]
-    prints = {r.doc_id: plain_fingerprint(r.text) for r in before}
-    group = {i: i for i in prints}
-    for _ in prints:
-        wider = {i: min(group[j] for j in prints if (prints[i] ^ prints[j]).bit_count() <= 4) for i in prints}
-        if wider == group:
-            break
-        group = wider
-    assert Counter(after) == Counter(r for r in before if group[r.doc_id] == r.doc_id)
+    stay = set(brute_force([(r.doc_id, r.text) for r in before]))
+    assert len(stay) < len(before)
+    assert Counter(after) == Counter(r for r in before if r.doc_id in stay)
     before, after = seen["mixing to target weights"]
     assert set(after) <= set(before) and len(set(after)) < len(after)
     before, after = seen["SentencePiece encoding"]

@@ -152,3 +152,20 @@ def test_components_of_chains_and_stars(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "x bigint, y bigint"), "x", "y").collect()}
     assert found == {**{v: min(order) for v in order}, **{2000 + i: 2000 for i in range(301)}}
     assert components(spark.createDataFrame([], "x bigint, y bigint"), "x", "y").count() == 0
+
+
+def test_links_across_the_highest_bit(spark):
+    """Two bits apart is a link, five bits are none, also where the sign of the stored number differs."""
+    base = 0x0123456789ABCDEF
+    for flips, linked in (((63, 0), True), ((63, 62, 61, 60), True), ((63, 62, 61, 60, 59), False), ((63, 1, 20, 40, 50), False)):
+        other = base
+        for bit in flips:
+            other ^= 1 << bit
+        frame = spark.createDataFrame([(signed(base),), (signed(other),)], "fp bigint")
+        assert (simhash.fingerprint_links(frame, 4).count() > 0) == linked
+
+
+def test_components_of_a_whole_table(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found = Counter((r.doc_id, r.fingerprint, r.component_id) for r in op4_simhash(spark, "/root/testdata/sf0.01").collect())
+    assert found == names(rows)
