@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import chat, exact_dedup, lm, mixing, quality, sentencepiece, simhash, token_counts, token_files, toxicity
+from sluice.llm import chat, exact_dedup, lm, mixing, quality, sentencepiece, simhash, substring, token_counts, token_files, toxicity
 from sluice.llm.common import read
 from sluice.session import scratch_dir
 
@@ -98,6 +98,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
+    return cut.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -117,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_files,
         op9_lm_scoring,
         op10_quality_rules,
+        op11_substring_dedup,
         pipeline,
     )
 }
@@ -162,9 +169,27 @@ SELECT doc_id, text, lang, source, n_chars, copy_no::INTEGER AS copy_no,
 FROM (SELECT *, unnest(generate_series(1, n)) AS copy_no FROM counted)""",
     "op7_exact_dedup": r"""
 WITH marked AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g')) AS text_sha256
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[ 	-
+]', '', 'g')) AS text_sha256
   FROM documents)
 SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
   doc_id = first_value(doc_id) OVER best AS kept, text_sha256
 FROM marked WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+    "op11_substring_dedup": r"""
+WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words FROM documents),
+windows AS (
+  SELECT doc_id, start, md5(array_to_string(words[start:start + 12], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS start FROM cut WHERE len(words) >= 13)),
+lowest AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h),
+gone AS (
+  SELECT doc_id, list(DISTINCT place) AS places
+  FROM (SELECT doc_id, unnest(range(start, start + 13)) AS place FROM windows JOIN lowest USING (h) WHERE low < doc_id) GROUP BY doc_id),
+placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM cut),
+lost AS (SELECT doc_id, unnest(places) AS place FROM gone),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept_text, count(*) AS n
+  FROM placed p ANTI JOIN lost l ON p.doc_id = l.doc_id AND p.place = l.place GROUP BY doc_id)
+SELECT c.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM cut c LEFT JOIN kept k ON c.doc_id = k.doc_id""",
 }
