@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import chat, exact_dedup, lm, mixing, quality, sentencepiece, simhash, substring, token_counts, token_files, toxicity
+from sluice.llm import chat, exact_dedup, lm, merkle, mixing, quality, sentencepiece, simhash, substring, token_counts, token_files, toxicity
 from sluice.llm.common import read
 from sluice.session import scratch_dir
 
@@ -104,6 +104,18 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents against rows of which a third have their text's capitals lowered."""
+    docs = read(spark, sf_dir, "documents")
+    known = docs.withColumn("recorded_leaf", merkle.leaf({c: F.col(c) for c in merkle.SERIAL}))
+    changed = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
+    now = known.withColumn("text", F.when(changed, F.translate("text", merkle.UPPER, merkle.LOWER)).otherwise(F.col("text")))
+    proven = merkle.manifest(docs, suspect=now)
+    digests = F.transform(F.flatten(F.col("steps.others")), lambda d: F.lower(F.hex(d)))
+    verified = (F.col("folded_root") == F.col("root")).alias("verified")
+    return proven.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", digests), 256).alias("proof_sha256"), "folded_root", verified)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_lm_scoring,
         op10_quality_rules,
         op11_substring_dedup,
+        op12_merkle_manifest,
         pipeline,
     )
 }
@@ -176,7 +189,7 @@ SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITIO
   doc_id = first_value(doc_id) OVER best AS kept, text_sha256
 FROM marked WINDOW best AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
     "op11_substring_dedup": r"""
-WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words FROM documents),
+WITH cut AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
 windows AS (
   SELECT doc_id, start, md5(array_to_string(words[start:start + 12], ' ')) AS h
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS start FROM cut WHERE len(words) >= 13)),
