@@ -205,4 +205,45 @@ kept AS (
   FROM placed p ANTI JOIN lost l ON p.doc_id = l.doc_id AND p.place = l.place GROUP BY doc_id)
 SELECT c.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256
 FROM cut c LEFT JOIN kept k ON c.doc_id = k.doc_id""",
+    "op12_merkle_manifest": """
+WITH RECURSIVE told AS (
+  SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now_text
+  FROM (SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT),
+      lambda a, x: list_reduce(range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384), xor(a, x)), 4294967295::BIGINT), 4294967295::BIGINT) AS crc
+    FROM documents)),
+serials AS (
+  SELECT doc_id, lang, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(now_text) || ':' || now_text, '-') AS now_body
+  FROM told),
+leaves AS (
+  SELECT doc_id, lang, leaf, now_leaf, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i
+  FROM (SELECT doc_id, lang, sha256(head || body) AS leaf, sha256(head || now_body) AS now_leaf FROM serials)),
+nodes AS (
+  SELECT lang, 0 AS level, i, leaf AS digest, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, level, n, i // 8),
+subroots AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, i, subroot AS digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 8, sha256(string_agg(digest, '' ORDER BY i)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, n, i // 8),
+both_trees AS (SELECT lang, level, i, digest, n FROM nodes WHERE n > 1 UNION ALL SELECT 'top', level + 1000, i, digest, n FROM tops WHERE n > 1),
+beside AS (
+  SELECT a.lang, a.level, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS ahead,
+    coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS behind
+  FROM both_trees a JOIN both_trees b ON a.lang IS NOT DISTINCT FROM b.lang AND a.level = b.level AND a.i // 8 = b.i // 8 GROUP BY a.lang, a.level, a.i),
+folds AS (
+  SELECT doc_id, lang, leaf, lang AS tree, 0 AS level, i, now_leaf AS digest, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.lang, f.leaf, CASE WHEN b.level IS NULL THEN 'top' ELSE f.tree END, CASE WHEN b.level IS NULL THEN 1000 ELSE f.level + 1 END,
+    CASE WHEN b.level IS NULL THEN s.i ELSE f.i // 8 END, CASE WHEN b.level IS NULL THEN f.digest ELSE sha256(b.ahead || f.digest || b.behind) END,
+    CASE WHEN b.level IS NULL THEN f.proof ELSE f.proof || b.ahead || b.behind END
+  FROM folds f LEFT JOIN beside b ON f.tree IS NOT DISTINCT FROM b.lang AND f.level = b.level AND f.i = b.i
+    JOIN subroots s ON f.lang IS NOT DISTINCT FROM s.lang
+  WHERE f.level < 1000 OR b.level IS NOT NULL),
+ended AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lang, leaf ORDER BY level DESC) AS last FROM folds WHERE level >= 1000),
+root AS (SELECT digest AS root FROM tops WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM ended e JOIN subroots s ON e.lang IS NOT DISTINCT FROM s.lang, root WHERE last = 1""",
 }
