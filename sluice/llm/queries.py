@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm import chat, exact_dedup, lm, merkle, mixing, quality, sentencepiece, simhash, substring, token_counts, token_files, toxicity
+from sluice.llm import audit, chat, exact_dedup, lm, merkle, mixing, quality, sentencepiece, simhash, substring, token_counts, token_files, toxicity
 from sluice.llm.common import read
 from sluice.session import scratch_dir
 
@@ -116,6 +116,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proven.select("doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", digests), 256).alias("proof_sha256"), "folded_root", verified)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -137,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_quality_rules,
         op11_substring_dedup,
         op12_merkle_manifest,
+        op13_filter_audit,
         pipeline,
     )
 }
@@ -246,4 +251,35 @@ ended AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lang, leaf ORDER BY
 root AS (SELECT digest AS root FROM tops WHERE n = 1)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
 FROM ended e JOIN subroots s ON e.lang IS NOT DISTINCT FROM s.lang, root WHERE last = 1""",
+    "op13_filter_audit": r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+verdicts AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM cut),
+known AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+patterns AS (
+  SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS n_good, sum(coalesce(toxic, 0)) AS n_toxic
+  FROM verdicts v LEFT JOIN known k ON v.doc_id = k.doc_id GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, step::INTEGER AS step, filter_order[step] AS f, filter_order[1:step - 1] AS earlier FROM orders, unnest(range(1, 6)) s(step)),
+counted AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN translate(earlier || f, fails, '') = earlier || f THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN contains(fails, f) AND translate(earlier, fails, '') = earlier THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN contains(fails, f) AND translate(earlier, fails, '') <> earlier THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN fails = f THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN contains(fails, f) AND translate(earlier, fails, '') = earlier THEN n_good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN contains(fails, f) AND translate(earlier, fails, '') = earlier THEN n_toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM patterns, steps GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted""",
 }
