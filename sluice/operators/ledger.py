@@ -151,16 +151,6 @@ def current_versions(events: DataFrame) -> DataFrame:
     return events.groupBy("source_id").agg(F.coalesce(F.max(active), F.lit(0)).alias("current_version"))
 
 
-def version_metrics(events: DataFrame, order_by: tuple[str, ...] = ("event_ts", "id")) -> DataFrame:
-    """Each version record with its last status and last non-null metrics; size 0 is no size."""
-    order = F.struct(*order_by)
-    sized = events.withColumn("file_size_bytes", F.nullif(F.col("file_size_bytes"), F.lit(0)))
-    # A metric that an event leaves out keeps its earlier value.
-    return sized.groupBy("source_id", "version").agg(
-        F.max_by("status", order).alias("status"), *[F.max_by(m, F.when(F.col(m).isNotNull(), order)).alias(m) for m in METRICS]
-    )
-
-
 def version_records(events: DataFrame, metrics: tuple[str, ...] = METRICS, order_by: tuple[str, ...] = ("event_ts", "id")) -> DataFrame:
     """One row per attempt, by the id of its record: a failed one stays visible next to its retry.
 

@@ -1,17 +1,19 @@
 """The three entry points: file -> Parquet, file -> profile, database -> Parquet.
 
-A conversion appends ``pending`` to the ledger, writes and checks the version's folder, and then
-appends ``active`` with the metrics: that last append is the commit. Any failure appends ``error``.
+A conversion claims a version number, which no other writer can get, appends ``pending`` to the ledger, writes
+and checks the version's folder, and then appends ``active`` with the metrics: that last append is the commit. Any
+failure appends ``error``. Rows of delimited text that were cut or left out lie next to the data.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from sluice.functions.types import spark_type
 from sluice.operators import ledger
@@ -19,15 +21,17 @@ from sluice.operators.positions import split_rows
 from sluice.operators.profile import SAMPLE_ROWS, head, held_sample, profile, totals
 from sluice.operators.quality import warnings
 from sluice.operators.shape import shape
-from sluice.plans.sink import CODECS, ROW_GROUP_ROWS, Written, output_path, source_path, write_checked
+from sluice.plans.claims import claim
+from sluice.plans.sink import CODECS, ROW_GROUP_ROWS, Written, output_path, quarantine_path, source_path, version_path, write_checked
 from sluice.sources.databases import connection_options, extract_query, extract_table
 from sluice.sources.excel import PLACE
-from sluice.sources.files import FORMATS, detect_delimiter, scan_file
+from sluice.sources.files import FORMAT_OPTIONS, FORMATS, Checked, scan_csv_checked, scan_file
 
 READ_OPTIONS = (
     "delimiter", "encoding", "header", "multi_line", "types", "sniff", "sniff_rows", "ignore_errors", "schema",
     "sheet_name", "sheet_index",
 )
+QUARANTINE = "row string, reason string, dropped boolean"
 SHAPE_OPTIONS = ("column_mapping", "type_overrides", "skip_rows", "order_by")
 
 
@@ -57,9 +61,20 @@ class Workspace:
 
     def read(self, source_id: str, version: int | None = None) -> DataFrame:
         """The data of a version, by default the current one."""
+        return self.spark.read.parquet(output_path(self.root, *self._place(source_id, version)))
+
+    def quarantine(self, source_id: str, version: int | None = None) -> DataFrame:
+        """``(row, reason, dropped)`` of the rows that a version's conversion cut or left out; empty if there were none."""
+        try:
+            return self.spark.read.schema(QUARANTINE).parquet(quarantine_path(self.root, *self._place(source_id, version)))
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            return self.spark.createDataFrame([], QUARANTINE)
+
+    def _place(self, source_id: str, version: int | None) -> tuple[str, str, int]:
         source = ledger.get_source(self.sources, source_id)
-        number = version if version is not None else self.current_version(source_id)
-        return self.spark.read.parquet(output_path(self.root, source["organization_id"], source_id, number))
+        return source["organization_id"], source_id, version if version is not None else self.current_version(source_id)
 
 
 def convert_file(work: Workspace, source_id: str, file_format: str | None = None, options: dict | None = None, compression: str = "zstd") -> dict:
@@ -71,16 +86,30 @@ def convert_file(work: Workspace, source_id: str, file_format: str | None = None
         raise ValueError(f"no options named {sorted(unknown)}")
     chosen = file_format or source["connector_type"]
 
-    def plan() -> tuple[DataFrame, DataFrame | None, dict]:
+    def plan() -> Plan:
         if chosen not in FORMATS:
             raise ValueError(f"no file format named {chosen!r}")
-        df, removed = plan_file(work.spark, source_path(work.root, source["organization_id"], source_id), chosen, options)
-        return df, removed, {"source_type": "file"}
+        path = source_path(work.root, source["organization_id"], source_id)
+        checked = checked_scan(work.spark, path, chosen, options)
+        df, removed = plan_file(work.spark, path, chosen, options, checked)
+        return Plan(df, {"source_type": "file"}, removed, checked)
 
     return _run(work, source, plan, compression, ROW_GROUP_ROWS, None)
 
 
-def plan_file(spark: SparkSession, path: str, file_format: str, options: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
+def checked_scan(spark: SparkSession, path: str, file_format: str, options: dict | None = None) -> Checked | None:
+    """The scan of delimited text that keeps account of bad rows; other formats have none."""
+    if file_format not in ("csv", "tsv"):
+        return None
+    known = {k: v for k, v in (options or {}).items() if k in FORMAT_OPTIONS["csv"]}
+    if file_format == "tsv":
+        known["delimiter"] = known.get("delimiter") or "\t"
+    return scan_csv_checked(spark, path, **known)
+
+
+def plan_file(
+    spark: SparkSession, path: str, file_format: str, options: dict | None = None, checked: Checked | None = None
+) -> tuple[DataFrame, DataFrame | None]:
     """Scan, shape and skip rows as one lazy plan; with skipped rows also the frame of those removed."""
     options = options or {}
     overrides = options.get("type_overrides") or {}
@@ -89,7 +118,8 @@ def plan_file(spark: SparkSession, path: str, file_format: str, options: dict |
     skipped, order_by = options.get("skip_rows"), options.get("order_by")
     # Workbook rows lose their file on the way through Python, so they carry their place.
     place = list(PLACE) if skipped and file_format == "excel" and not order_by else []
-    raw = scan_file(spark, path, file_format, place=bool(place), **{k: options.get(k) for k in READ_OPTIONS})
+    checked = checked or checked_scan(spark, path, file_format, options)
+    raw = checked.data if checked else scan_file(spark, path, file_format, place=bool(place), **{k: options.get(k) for k in READ_OPTIONS})
     shaped = shape(raw, options.get("column_mapping"), overrides)
     if not skipped:
         return shaped, None
@@ -107,8 +137,9 @@ def infer_file(
     source = ledger.get_source(work.sources, source_id)
     chosen = file_format or source["connector_type"]
     path = source_path(work.root, source["organization_id"], source_id)
-    options = {"ignore_errors": False, **({"delimiter": detect_delimiter(work.spark, path)} if chosen == "csv" else {})}
-    df = scan_file(work.spark, path, chosen, **options)
+    options = {"delimiter": None} if chosen == "csv" else {}
+    checked = checked_scan(work.spark, path, chosen, {"ignore_errors": False, **options})
+    df = checked.data if checked else scan_file(work.spark, path, chosen)
     return infer(df, sample_size, order_by)
 
 
@@ -136,7 +167,7 @@ def convert_database(
     kind = source["connector_type"]
     asked = query if query is not None else (f"SELECT * FROM {table_name}" if table_name else None)
 
-    def plan() -> tuple[DataFrame, None, dict]:
+    def plan() -> Plan:
         if asked is None:
             raise ValueError("a query or a table is needed")
         connection_options(kind, credentials)
@@ -146,18 +177,33 @@ def convert_database(
         else:
             df = extract_table(work.spark, kind, credentials, table_name, **split)
         info = {"connector_type": kind, "query": asked, "compression": compression, "engine": "spark"}
-        return df, None, {"source_type": "database", "connection_info": info}
+        return Plan(df, {"source_type": "database", "connection_info": info})
 
     return _run(work, source, plan, compression, row_group_size, asked)
 
 
-def _run(work: Workspace, source: dict, plan, compression: str, row_group_size: int, query: str | None) -> dict:
-    """pending -> write and check -> active, or error."""
+@dataclass(frozen=True)
+class Plan:
+    """What a conversion writes: the data, what its result says, the rows skipped and the scan that tells of bad rows."""
+
+    data: DataFrame
+    info: dict
+    removed: DataFrame | None = None
+    checked: Checked | None = None
+
+
+def _run(work: Workspace, source: dict, plan: Callable[[], Plan], compression: str, row_group_size: int, query: str | None) -> dict:
+    """claim a number -> pending -> write and check -> active, or error."""
     source_id, record = source["id"], uuid.uuid4().hex
-    history = ledger.latest_status(work.events(source_id)).collect()  # one row per version of this source
-    version = max((r.version for r in history if r.status == "active"), default=0) + 1
-    # A closed failure may have left files under the number that is used again now.
-    leftover = any(r.version == version and r.status == "error" for r in history)
+    place = work.root, source["organization_id"], source_id
+    events = work.events(source_id)
+    current = ledger.current_versions(events).first()
+    first = (current.current_version if current else 0) + 1
+    # Attempts at the numbers that are still open; those that failed have given theirs back.
+    closed = ledger.version_records(events.where(F.col("version") >= first), ()).where("status = 'error'").select("id", "version").collect()
+    version = claim(work.spark, lambda n: version_path(*place, n), first, record, {r.id for r in closed})
+    # Files under a number that only failed attempts had give way.
+    leftover = any(r.version == version for r in closed)
 
     def note(status: str, **fields) -> None:
         event = {**dict.fromkeys(ledger.EVENTS.fieldNames()), "event_ts": datetime.now(timezone.utc), "id": record}
@@ -168,10 +214,11 @@ def _run(work: Workspace, source: dict, plan, compression: str, row_group_size:
     try:
         if compression not in CODECS:
             raise ValueError(f"no compression named {compression!r}")
-        df, removed, info = plan()
-        path = output_path(work.root, source["organization_id"], source_id, version)
-        done: Written = write_checked(df, path, compression, row_group_size, "overwrite" if leftover else "errorifexists")
-        skipped = removed.count() if removed is not None else 0
+        made = plan()
+        path, mode = output_path(*place, version), "overwrite" if leftover else "errorifexists"
+        done: Written = write_checked(made.data, path, compression, row_group_size, mode)
+        skipped = made.removed.count() if made.removed is not None else 0
+        told = _quarantined(made.checked, quarantine_path(*place, version), mode) if made.checked else []
     except Exception as error:
         note("error", error_message=str(error))
         raise
@@ -192,6 +239,17 @@ def _run(work: Workspace, source: dict, plan, compression: str, row_group_size:
         "file_size_mb": round(done.size_bytes / 1024 / 1024, 2),
         "processing_time_seconds": done.seconds,
         "rows_skipped": skipped or None,
-        **info,
+        "warnings": told,
+        **made.info,
     }
 
+
+def _quarantined(checked: Checked, path: str, mode: str) -> list[str]:
+    """Writes the rows that were cut or left out, counted on the way, and says how many there are."""
+    if checked.sound:
+        return []
+    seen = Observation()
+    counts = F.sum((~F.col("dropped")).cast("long")).alias("cut"), F.sum(F.col("dropped").cast("long")).alias("dropped")
+    checked.quarantine().observe(seen, *counts).write.mode(mode).option("compression", "zstd").parquet(path)
+    said = [(seen.get["cut"] or 0, "cut to the width of the header"), (seen.get["dropped"] or 0, "left out, as cells do not fit their types")]
+    return [f"{n} rows {what}" for n, what in said if n]

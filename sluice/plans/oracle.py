@@ -30,13 +30,27 @@ def _wide_profile() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
-    "scan_csv": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
-    "scan_tsv": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
-    "scan_delimited": "SELECT p_partkey, p_name, p_brand, p_retailprice FROM part",
-    "scan_csv_quoted": "SELECT doc_id, nullif(text, '') AS text, lang FROM documents",
+    "scan_csv": "SELECT * FROM orders",
+    "scan_tsv": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    "scan_delimited": "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part",
+    "scan_csv_quoted": "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents",
+    "scan_csv_breaks": "SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents",
+    "scan_csv_mixed_headers": """SELECT doc_id, nullif(text, '') AS text, CASE WHEN doc_id % 2 = 1 THEN lang END AS lang,
+        CASE WHEN doc_id % 2 = 0 THEN n_chars END AS n_chars FROM documents""",
+    "scan_csv_folders": "SELECT * FROM orders",
+    "scan_csv_headerless_detected": """SELECT l_orderkey AS column0, l_partkey AS column1, l_suppkey AS column2, CAST(l_linenumber AS BIGINT) AS column3,
+        l_quantity AS column4, l_extendedprice AS column5, l_discount AS column6, l_tax AS column7, l_returnflag AS column8,
+        l_linestatus AS column9, l_shipdate AS column10 FROM lineitem""",
+    "scan_csv_dialects": """SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 1 THEN '; ' WHEN 2 THEN '| ' ELSE ', ' END || p_brand AS p_name, p_brand, p_type,
+        CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part""",
+    "convert_quarantine": """SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderkey % 11 = 5 THEN 'more cells than the header' END,
+        CASE WHEN o_orderkey % 50 = 7 THEN 'o_totalprice: not DOUBLE' END) AS reason, o_orderkey % 50 = 7 AS dropped
+        FROM orders WHERE o_orderkey % 11 = 5 OR o_orderkey % 50 = 7""",
     "scan_parquet": "SELECT * FROM lineitem",
-    "scan_json": "SELECT event_id, user_id, event_type, value FROM events",
-    "scan_json_mixed": "SELECT event_id, user_id, event_type, value FROM events",
+    "scan_json": "SELECT * FROM events",
+    "scan_json_mixed": "SELECT * FROM events",
+    "scan_json_concatenated": "SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents",
+    "scan_json_array": "SELECT * REPLACE (CAST(l_linenumber AS BIGINT) AS l_linenumber) FROM lineitem",
     "scan_json_nested": """SELECT o_orderkey, o_totalprice AS total, o_custkey AS custkey, CAST(day(o_orderdate) AS INTEGER) AS day,
         date_trunc('second', o_orderdate) AS moment FROM orders""",
     "scan_geojson": "SELECT 'FeatureCollection' AS type, 2 AS feature_count, c_acctbal AS x, c_custkey FROM customer",

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sluice.operators import ledger, profile, quality, shape
 from sluice.operators.positions import skip_rows, skipped_rows
@@ -30,52 +30,131 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _written_csv(df: DataFrame, **options) -> str:
     path = scratch_dir(df.sparkSession, "csv")
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.options(header=True, quote='"', escape='"', **{**keep, **options}).csv(path)
+    df.write.options(**{"header": True, "quote": '"', "escape": '"', **keep, **options}).csv(path)
     return path
 
 
 def scan_csv(spark, sf_dir):
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-    return files.scan_csv(spark, _written_csv(read(spark, sf_dir, "orders").select(columns)))
+    return files.scan_csv(spark, _written_csv(read(spark, sf_dir, "orders")))
 
 
 def scan_tsv(spark, sf_dir):
-    path = _written_csv(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), sep="\t")
-    return files.scan_tsv(spark, path)
+    return files.scan_tsv(spark, _written_csv(read(spark, sf_dir, "customer"), sep="\t"))
 
 
 def scan_delimited(spark, sf_dir):
-    path = _written_csv(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_retailprice"), sep="||")
+    path = _written_csv(read(spark, sf_dir, "part"), sep="||")
     return files.scan_csv(spark, path, delimiter="||")
 
 
 def scan_csv_quoted(spark, sf_dir):
     """Whole texts with quotes, delimiters and line breaks."""
-    path = _written_csv(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), emptyValue='""')
-    return files.scan_csv(spark, path, multi_line=True, types={"text": "VARCHAR", "lang": "VARCHAR"})
+    path = _written_csv(read(spark, sf_dir, "documents"), emptyValue='""')
+    return files.scan_csv(spark, path, multi_line=True, types={"text": "VARCHAR", "lang": "VARCHAR", "source": "VARCHAR"})
+
+
+def scan_csv_breaks(spark, sf_dir):
+    """Whole texts with quotes and line breaks, read with default options; files are split over several tasks."""
+    path = _written_csv(read(spark, sf_dir, "documents").coalesce(2), emptyValue='""')
+    return files.scan_csv(spark, path, types={"text": "VARCHAR", "lang": "VARCHAR", "source": "VARCHAR"})
+
+
+def scan_csv_mixed_headers(spark, sf_dir):
+    """Files whose columns come in two orders, with texts that hold line breaks, and columns of their own."""
+    path = scratch_dir(spark, "csv")
+    docs = read(spark, sf_dir, "documents")
+    odd = F.col("doc_id") % 2 == 1
+    options = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    docs.where(odd).select("doc_id", "text", "lang").write.options(**options).csv(path)
+    docs.where(~odd).select("text", "n_chars", "doc_id").write.mode("append").options(**options).csv(path)
+    return files.scan_csv(spark, path, types={"text": "VARCHAR", "lang": "VARCHAR"})
+
+
+def scan_csv_folders(spark, sf_dir):
+    """Columns named by folders next to those of the files."""
+    path = scratch_dir(spark, "csv")
+    read(spark, sf_dir, "orders").write.partitionBy("o_orderstatus").option("header", True).csv(path)
+    return files.scan_csv(spark, path)
+
+
+def scan_csv_headerless_detected(spark, sf_dir):
+    """Files without a header keep their first records."""
+    path = _written_csv(read(spark, sf_dir, "lineitem"), header=False)
+    return files.scan_csv(spark, path, header=None)
+
+
+def scan_csv_dialects(spark, sf_dir):
+    """One folder of files with commas, semicolons, bars and single quotes; no option says which."""
+    path = scratch_dir(spark, "csv")
+    parts = read(spark, sf_dir, "part")
+    for at, (mark, quote) in enumerate(((",", '"'), (";", '"'), ("|", '"'), (",", "'"))):
+        own = parts.where(F.col("p_partkey") % 4 == at).withColumn("p_name", F.concat_ws(f"{mark} ", "p_name", "p_brand"))
+        own.write.mode("append").options(header=True, sep=mark, quote=quote, escape=quote).csv(path)
+    return files.scan_csv(spark, path, delimiter=None, header=None)
+
+
+def convert_quarantine(spark, sf_dir):
+    """Rows that a conversion cuts (a cell too many) or leaves out (a price that is none), with the reason."""
+    root = scratch_dir(spark, "workspace")
+    orders = read(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 50 == 7, F.lit("bad")).otherwise(F.col("o_totalprice").cast("string"))
+    plain = F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderstatus", price)
+    line = F.when(F.col("o_orderkey") % 11 == 5, F.concat_ws(",", plain, F.lit("extra"))).otherwise(plain)
+    # One file for each task, each with its header.
+    lines = orders.select(line.alias("value"), F.spark_partition_id().alias("part"))
+    heads = lines.select(F.lit("o_orderkey,o_orderstatus,o_totalprice").alias("value"), "part", F.lit(0).alias("rank")).distinct()
+    both = lines.withColumn("rank", F.lit(1)).unionByName(heads).repartition("part").sortWithinPartitions("part", "rank")
+    both.select("value", "part").write.partitionBy("part").text(sink.source_path(root, "acme", "orders"))
+    sources = spark.createDataFrame([("orders", "acme", "file", "csv")], ledger.SOURCES)
+    work = convert.Workspace(spark, root, sources)
+    convert.convert_file(work, "orders", options={"types": {"o_totalprice": "DOUBLE"}})
+    return work.quarantine("orders").select(F.split_part("row", F.lit(","), F.lit(1)).cast("bigint").alias("o_orderkey"), "reason", "dropped")
 
 
 def scan_parquet(spark, sf_dir):
     return files.scan_parquet(spark, f"{sf_dir}/lineitem.parquet")
 
 
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def scan_json(spark, sf_dir):
     path = scratch_dir(spark, "json")
-    read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value").write.json(path)
+    read(spark, sf_dir, "events").write.option("timestampNTZFormat", MICROS).json(path)
     return files.scan_json(spark, path)
 
 
 def scan_json_mixed(spark, sf_dir):
     """A folder of files with one object per line and of files that are one array."""
     path = scratch_dir(spark, "json")
-    events = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    events = read(spark, sf_dir, "events")
     bucket = F.pmod(F.xxhash64("event_id"), F.lit(16))
-    events.where(bucket < 8).write.json(path)
-    arrays = events.where(bucket >= 8).groupBy(bucket.alias("bucket")).agg(F.to_json(F.collect_list(F.struct(*events.columns))).alias("value"))
+    events.where(bucket < 8).write.option("timestampNTZFormat", MICROS).json(path)
+    arrays = events.where(bucket >= 8).groupBy(bucket.alias("bucket")).agg(F.to_json(F.collect_list(F.struct(*events.columns)), {"timestampNTZFormat": MICROS}).alias("value"))
     arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
     return files.scan_json(spark, path)
 
 
+def scan_json_concatenated(spark, sf_dir):
+    """Indented objects, many in one file, whose texts hold braces, quotes and line breaks."""
+    path = scratch_dir(spark, "json")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.struct("lang", "source").alias("about"), F.concat_ws("", F.lit('}{"'), "text").alias("text"))
+    docs.coalesce(2).select(F.to_json(F.struct(*docs.columns), {"pretty": "true"}).alias("value")).write.text(path)
+    df = files.scan_json(spark, path)
+    return df.select("doc_id", "about.lang", "about.source", F.expr("substring(text, 4)").alias("text"))
+
+
+def scan_json_array(spark, sf_dir):
+    """One array in one file, read by several tasks."""
+    path = scratch_dir(spark, "json")
+    lines = read(spark, sf_dir, "lineitem")
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    ranked = lines.select(F.to_json(F.struct(*lines.columns)).alias("value"), F.row_number().over(Window.orderBy(*keys)).alias("at"), F.count("*").over(Window.partitionBy()).alias("n"))
+    framed = F.concat(F.when(F.col("at") == 1, F.lit("[")).otherwise(F.lit("")), "value", F.when(F.col("at") == F.col("n"), F.lit("]")).otherwise(F.lit(",")))
+    ranked.orderBy("at").select(framed.alias("value")).coalesce(1).write.option("lineSep", " ").text(path)
+    return files.scan_json(spark, path)
+
+
 def scan_json_nested(spark, sf_dir):
     """Structs, arrays, dates and timestamps survive the trip."""
     path = scratch_dir(spark, "json")
@@ -482,9 +561,17 @@ QUERIES: dict[str, Query] = {
     "scan_tsv": scan_tsv,
     "scan_delimited": scan_delimited,
     "scan_csv_quoted": scan_csv_quoted,
+    "scan_csv_breaks": scan_csv_breaks,
+    "scan_csv_mixed_headers": scan_csv_mixed_headers,
+    "scan_csv_folders": scan_csv_folders,
+    "scan_csv_headerless_detected": scan_csv_headerless_detected,
+    "scan_csv_dialects": scan_csv_dialects,
+    "convert_quarantine": convert_quarantine,
     "scan_parquet": scan_parquet,
     "scan_json": scan_json,
     "scan_json_mixed": scan_json_mixed,
+    "scan_json_concatenated": scan_json_concatenated,
+    "scan_json_array": scan_json_array,
     "scan_json_nested": scan_json_nested,
     "scan_geojson": scan_geojson,
     "scan_excel": scan_excel,

@@ -76,9 +76,19 @@ def raw_path(root: str, organization_id: str, source_id: str, version: int, exte
     return f"{_bucket(root, organization_id)}/raw/{_part(source_id)}/v{int(version)}/data.{_part(extension)}"
 
 
+def version_path(root: str, organization_id: str, source_id: str, version: int) -> str:
+    """Folder of a version: its data, its quarantine and its claims."""
+    return f"{_bucket(root, organization_id)}/processed/{_part(source_id)}/v{int(version)}"
+
+
 def output_path(root: str, organization_id: str, source_id: str, version: int) -> str:
     """Parquet folder of a version."""
-    return f"{_bucket(root, organization_id)}/processed/{_part(source_id)}/v{int(version)}/data.parquet"
+    return f"{version_path(root, organization_id, source_id, version)}/data.parquet"
+
+
+def quarantine_path(root: str, organization_id: str, source_id: str, version: int) -> str:
+    """Parquet folder with the rows that a version's conversion cut or left out."""
+    return f"{version_path(root, organization_id, source_id, version)}/quarantine.parquet"
 
 
 def _bucket(root: str, organization_id: str) -> str:

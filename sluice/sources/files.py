@@ -5,26 +5,30 @@ from __future__ import annotations
 import csv
 import io
 import re
+from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sluice.functions.names import column, quoted, unique_names
+from sluice.session import scratch_dir
+from sluice.sources.dialect import DELIMITERS, FileShape, headed, survey, width as dialect_width
 from sluice.sources.excel import scan_excel
-from sluice.sources.sniff import TEMPORAL, given_types, read_text_as, sniff_types
+from sluice.sources.json_values import as_lines, on_lines
+from sluice.sources.records import lines_of, pin_splits, records, split_states
+from sluice.sources.sniff import CELL_BITS, TEMPORAL, TextType, TEXTS, given_types, read_text_as, sniff_types, unreadable
 
-DELIMITERS = (",", ";", "\t", "|")
-WIDTH_LINES = 1000
+FEW_FILES = 100_000  # whose layouts are told by broadcast
 
 
 def scan_csv(
     spark: SparkSession,
     path: str,
     delimiter: str | None = ",",
-    header: bool = True,
+    header: bool | None = True,
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
     types: dict[str, str] | None = None,
     sniff: bool = True,
     sniff_rows: int | None = None,
@@ -34,8 +38,8 @@ def scan_csv(
 
     Types come from ``types`` first, then from the data (all rows, or the first ``sniff_rows``).
     A row with a cell that cannot be read as its column's type is dropped (``ignore_errors``) or
-    keeps a NULL there. ``multi_line`` allows line breaks inside quotes but makes a file
-    unsplittable. ``delimiter=None`` picks one of ``, ; tab |`` from the first lines.
+    keeps a NULL there. ``delimiter=None`` finds each file's delimiter and quote, ``header=None`` whether its first
+    record is a header.
     """
     text = csv_text(spark, path, delimiter, header, encoding, multi_line)
     return type_columns(text, types, sniff, sniff_rows, ignore_errors)
@@ -46,128 +50,250 @@ def scan_tsv(spark: SparkSession, path: str, delimiter: str | None = "\t", **opt
     return scan_csv(spark, path, delimiter=delimiter or "\t", **options)
 
 
+# Encodings whose line breaks are not the byte 10; Spark's reader takes them, one task per file.
+WIDE = ("utf-16", "utf-16le", "utf-16be", "utf-32", "utf-32le", "utf-32be")
+
+
 def csv_text(
     spark: SparkSession,
     path: str,
     delimiter: str | None = ",",
-    header: bool = True,
+    header: bool | None = True,
     encoding: str | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
+    raw: str | None = None,
 ) -> DataFrame:
     """Delimited text with every column as a string; empty cells are NULL.
 
-    Files with other headers, or their columns in another order, are united by name; columns that a file
-    lacks are NULL there.
+    Files with other headers, or their columns in another order, are united by name, whatever their encoding and line
+    breaks; columns that a file lacks are NULL there; columns named by folders keep their types. Files without a header
+    have ``column0, column1, ...``, as many as their widest record has cells. Quoted cells may hold line breaks: files
+    that may have such cells are cut into records by their quotes (``records``), still in many tasks;
+    ``multi_line=False`` says that no cell does. ``raw`` names a further column with the whole text of rows that have
+    more cells than their file's header; elsewhere it is NULL.
     """
-    mark = delimiter or detect_delimiter(spark, path)
-    reader = _csv_reader(spark, mark, header, encoding, multi_line)
-    if header and not multi_line and encoding is None:
-        groups = _header_groups(spark, path)
-        if len(groups) > 1:
-            parts = [_with_header(reader, names, mark).csv(files) for names, files in groups.items()]
-            return _no_empty_cells(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
-    if not header:
-        # Short rows may come first: the widest of all lines says how many columns there are.
-        if multi_line:
-            width = max((len(cells) for cells in _first_cells(spark, path, mark, WIDTH_LINES)), default=1)
+    return _csv_text(spark, path, delimiter, header, encoding, multi_line, raw)[0]
+
+
+def _csv_text(spark: SparkSession, path: str, delimiter, header, encoding, multi_line, raw) -> tuple[DataFrame, bool]:
+    """The text, and whether it may have rows longer than their header."""
+    if encoding and encoding.lower().replace("_", "-") in WIDE:
+        reader = _csv_reader(spark, delimiter or ",", '"').option("header", header is not False).option("multiLine", True).option("encoding", encoding)
+        cells = _no_empty_cells(reader.csv(path))
+        return (cells if raw is None else cells.withColumn(raw, F.lit(None).cast("string"))), False
+    pin_splits(spark)
+    lines = spark.read.option("lineSep", "\n").text(path)
+    folders = lines.schema.fields[1:]
+    shapes = survey(lines, delimiter)
+    parts: dict[tuple, list[FileShape]] = {}
+    doubtful = _doubtful(spark, shapes) if header is None else set()
+    bare = _without_header(spark, [f for f in shapes if f.key in doubtful and not (encoding or f.opens and multi_line)]) if doubtful else set()
+    # Where cells go on beyond their line, the widths of lines tell little.
+    longer = header is not False and any((f.opens and multi_line) or f.key not in bare and f.width > len(_names(f, True, 0)) for f in shapes)
+    for shape in shapes:
+        records_needed = encoding is not None or (shape.opens and multi_line)
+        if raw and header is not False:  # Spark's reader cuts long rows without a word
+            records_needed |= shape.key not in bare and shape.width > len(_names(shape, True, 0))
+        parts.setdefault((records_needed, shape.delimiter, shape.quote, header is not False and shape.key not in bare), []).append(shape)
+    base = path if folders else None
+    found: list[DataFrame] = []
+    for (cut, mark, quote, headers), files in parts.items():
+        if cut:
+            known = None if any(f.key in doubtful for f in files) else headers
+            found.append(_by_records(spark, files, mark, quote, known, encoding or "utf-8", base, raw, len(files) == len(shapes) and path, multi_line))
         else:
-            width = _width(spark, path, mark)
-        reader = reader.schema(_text_schema([f"column{i}" for i in range(width)]))
-    elif not multi_line and encoding is None:
-        first = _first_cells(spark, path, mark, 1)
-        if first:
-            reader = reader.schema(_text_schema(unique_names([first[0][0].removeprefix("\ufeff"), *first[0][1:]])))
-    return _no_empty_cells(reader.csv(path))
+            found += _by_reader(spark, files, mark, quote, headers, base, raw, len(files) == len(shapes) and path)
+    if not found:
+        return spark.createDataFrame([], T.StructType([*([T.StructField(raw, T.StringType())] if raw else []), *folders])), False
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+    last = [f.name for f in folders if f.name in df.columns] + ([raw] if raw else [])
+    return df.select([column(c) for c in [c for c in df.columns if c not in last] + last]), longer
 
 
 def _no_empty_cells(raw: DataFrame) -> DataFrame:
     """A quoted empty cell is read as an empty string; it becomes NULL."""
-    return raw.select([F.nullif(column(c), F.lit("")).alias(c) for c in raw.columns])
+    return raw.select([F.nullif(column(f.name), F.lit("")).alias(f.name) if isinstance(f.dataType, T.StringType) else column(f.name) for f in raw.schema.fields])
 
 
-def _header_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The files of each header line, in order of their first file; empty if one header holds for all."""
-    lines = spark.read.text(path)
-    if len(lines.inputFiles()) < 2:
-        return {}
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    told = lines.select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")).where(F.trim("value") != "")
-    first = told.groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    first = first.withColumn("header", F.regexp_replace("header", "^\ufeff", ""))
-    if first.select("header").distinct().limit(2).count() < 2:
-        return {}
-    groups = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
-    return {g.header: [_plain_path(f) for f in g.files] for g in sorted(groups, key=lambda g: g.files[0])}
+def _doubtful(spark: SparkSession, shapes: list[FileShape]) -> set[int]:
+    """Files whose first line does not tell by itself that it is a header.
 
+    Cells that are all filled and all plain text are one: either the cells below have types, or all cells are text.
+    """
+    cells = [(f.key, cell or None) for f in shapes if f.header for cell in (_cells(f.header, f.delimiter, f.quote) or [None])]
+    if not cells:
+        return set()
+    bits = spark.createDataFrame(cells, "key long, cell string").select("key", F.expr(CELL_BITS).alias("bits"))
+    return {r[0] for r in bits.where("bits IS NULL OR bits <> 0").select("key").distinct().collect()}
+
+
+def _without_header(spark: SparkSession, shapes: list[FileShape]) -> set[int]:
+    """Of files whose records are lines, those that have no header."""
+    out = set()
+    for mark, quote in sorted({(f.delimiter, f.quote) for f in shapes}):
+        own = [f for f in shapes if (f.delimiter, f.quote) == (mark, quote)]
+        known = spark.createDataFrame([(f.key, f.header) for f in own], "__file long, __header string")
+        raw = spark.read.option("lineSep", "\n").text([_plain_path(f.path) for f in own])
+        line = F.regexp_replace(F.rtrim("value", F.lit("\r")), "^\ufeff", "").alias("line")
+        lines = raw.select(F.xxhash64("_metadata.file_path").alias("__file"), line).where(F.trim("line") != "")
+        lines = lines.join(F.broadcast(known) if len(own) <= FEW_FILES else known, "__file")
+        width = max(f.width for f in own)
+        cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(width)), {"sep": mark, "quote": quote, "escape": quote}).alias("cells")
+        # A later line that reads as the first one is no evidence either way.
+        parsed = lines.select("__file", (F.col("line") == F.col("__header")).alias("first"), cells)
+        named = headed(parsed.select("__file", "first", *[F.nullif(F.col(f"cells.c{i}"), F.lit("")).alias(f"c{i}") for i in range(width)]), width)
+        out |= {f.key for f in own if f.key not in named}
+    return out
+
+
+def _names(shape: FileShape, header: bool, width: int) -> list[str]:
+    return unique_names(_cells(shape.header, shape.delimiter, shape.quote)) if header else [f"column{i}" for i in range(width)]
+
+
+def _by_reader(spark, shapes: list[FileShape], mark: str, quote: str, header: bool, base, raw, whole) -> list[DataFrame]:
+    """Files whose records are lines, by Spark's reader: one read for each header."""
+    groups: dict[str | None, list[FileShape]] = {}
+    for shape in shapes:
+        groups.setdefault(shape.header if header else None, []).append(shape)
+    out = []
+    for files in groups.values():
+        names = _names(files[0], header, max(f.width for f in files))
+        reader = _csv_reader(spark, mark, quote).option("header", header).schema(_text_schema(names))
+        reader = reader.option("basePath", base) if base else reader
+        cells = _no_empty_cells(reader.csv(whole if whole and len(groups) == 1 else [_plain_path(f.path) for f in files]))
+        out.append(cells if raw is None else cells.withColumn(raw, F.lit(None).cast("string")))
+    return out
+
+
+def _by_records(spark, shapes: list[FileShape], mark: str, quote: str, header: bool | None, encoding: str, base, raw, whole, multi_line: bool) -> DataFrame:
+    """Files whose records are found by their quotes, or whose header is in doubt: read once, cells named by file."""
+    paths = whole or [_plain_path(f.path) for f in shapes]
+    lines = lines_of(spark, paths, base)
+    folders = [c for c in lines.columns if not c.startswith("__")]
+    if any(f.opens for f in shapes) and multi_line:
+        states = _held(split_states(lines, mark, quote), "csv-states")
+    else:
+        states = lines.groupBy("__file", "__start").agg(F.max("__length").alias("__length"), F.lit(False).alias("inside"))
+    rows = records(lines, states, mark, quote, encoding)
+    rows = rows.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    widest = rows.agg(F.max(dialect_width(F.col("value"), mark, quote))).first()[0] or 1
+    told = ", ".join(f"c{i} string" for i in range(widest))
+    options = {"sep": mark, "quote": quote, "escape": quote, "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, widest))}
+    parsed = rows.select("value", "__file", "first", F.from_csv("value", told, options).alias("cells"), *[F.col(quoted(c)) for c in folders])
+    if header is None:
+        named = headed(parsed.select("__file", "first", *[F.nullif(F.col(f"cells.c{i}"), F.lit("")).alias(f"c{i}") for i in range(widest)]), widest)
+    else:
+        named = {f.key for f in shapes} if header else set()
+    firsts = {f.key: f.header for f in shapes if f.key in named}
+    if any(f.opens and f.key in named for f in shapes):  # a header may go on beyond its line
+        firsts |= {r[0]: r[1] for r in rows.where("first").select("__file", "value").collect() if r[0] in named}
+    titles = {key: unique_names(_cells(text, mark, quote)) for key, text in firsts.items()}
+    layouts: dict[tuple[str, ...], list[int]] = {}
+    for shape in shapes:
+        layouts.setdefault(tuple(titles.get(shape.key, [f"column{i}" for i in range(widest)])), []).append(shape.key)
+    names = list(dict.fromkeys(name for layout in layouts for name in layout))
+    places = [(i, key, key in named) for i, (_, keys) in enumerate(layouts.items()) for key in keys]
+    if len({(i, headed_file) for i, _, headed_file in places}) > 1:
+        known = spark.createDataFrame(places, "__layout int, __file long, __headed boolean")
+        parsed = parsed.join(F.broadcast(known) if len(places) <= FEW_FILES else known, "__file")
+    else:
+        parsed = parsed.withColumn("__layout", F.lit(0)).withColumn("__headed", F.lit(bool(places and places[0][2])))
+    data = parsed.where(~(F.col("first") & F.col("__headed")))
 
-def _plain_path(file: str) -> str:
-    """The path of a file from its metadata; characters of globs in it stand for themselves."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
+    def cell(name: str) -> Column:
+        options = [F.when(F.col("__layout") == i, F.col(f"cells.c{layout.index(name)}")) for i, layout in enumerate(layouts) if name in layout and layout.index(name) < widest]
+        return F.nullif(F.coalesce(*options), F.lit("")).alias(name) if options else F.lit(None).cast("string").alias(name)
+
+    columns = [cell(name) for name in names] + [F.col(quoted(c)) for c in folders]
+    if raw is not None:
+        own = reduce(lambda other, i: F.when(F.col("__layout") == i[0], F.lit(len(i[1]))).otherwise(other), enumerate(layouts), F.lit(0))
+        columns.append(F.when(dialect_width(F.col("value"), mark, quote) > own, F.col("value")).alias(raw))
+    return data.select(*columns)
 
 
-def _with_header(reader, line: str, delimiter: str):
-    return reader.schema(_text_schema(unique_names(_cells(line, delimiter)[0])))
+def _held(df: DataFrame, purpose: str) -> DataFrame:
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _width(spark: SparkSession, path: str, delimiter: str) -> int:
-    """The most cells of any line; delimiters inside quoted cells do not count."""
-    mark = rf"\Q{delimiter}\E"
-    bare = F.regexp_replace(F.replace("value", F.lit('""'), F.lit("")), rf'(^|{mark})"[^"]*+"(?={mark}|$)', "$1")
-    return (spark.read.text(path).agg(F.max(F.regexp_count(bare, F.lit(mark)))).first()[0] or 0) + 1
+def _plain_path(file: str) -> str:
+    """The path of a file from its metadata; characters of globs in it stand for themselves."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(file))
 
 
 def _text_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in names])
 
 
-def _csv_reader(spark, delimiter, header, encoding, multi_line):
-    reader = spark.read.option("header", header).option("sep", delimiter).option("quote", '"').option("escape", '"')
-    reader = reader.option("mode", "PERMISSIVE").option("multiLine", multi_line)
-    return reader.option("encoding", encoding) if encoding else reader
+def _csv_reader(spark, delimiter, quote):
+    return spark.read.option("sep", delimiter).option("quote", quote).option("escape", quote).option("mode", "PERMISSIVE")
 
 
 def type_columns(text: DataFrame, types=None, sniff=True, sniff_rows=None, ignore_errors=True) -> DataFrame:
     """String columns as their given or detected types."""
-    known = given_types({c: t for c, t in (types or {}).items() if c in text.columns})
-    found = sniff_types(text, [c for c in text.columns if c not in known], sniff_rows) if sniff else {}
-    if sniff_rows is not None:
-        known, found = {**found, **known}, {}
+    known, found = _types_of(text, types, sniff, sniff_rows)
     return read_text_as(read_text_as(text, known, reject=ignore_errors), found, sniffed=True)
 
 
-def long_rows(spark: SparkSession, path: str, delimiter: str = ",", width: int | None = None) -> DataFrame:
-    """Lines with more cells than ``width``, by default that of the header; a scan cuts them to it."""
-    width = width or len(csv_text(spark, path, delimiter).columns)
-    wider = ", ".join(f"c{i} string" for i in range(width + 1))
-    # An impossible NULL mark keeps an empty surplus cell apart from a missing one.
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "nullValue": "\u0000"}
-    cells = F.from_csv("value", wider, options)
-    return spark.read.text(path).where(cells[f"c{width}"].isNotNull()).select(F.col("value").alias("row"))
+def _types_of(text: DataFrame, types=None, sniff=True, sniff_rows=None) -> tuple[dict[str, TextType], dict[str, TextType]]:
+    """The types that cells may miss, and those that were detected on all rows."""
+    texts = [f.name for f in text.schema.fields if isinstance(f.dataType, T.StringType)]
+    known = given_types({c: t for c, t in (types or {}).items() if c in text.columns})
+    found = sniff_types(text, [c for c in texts if c not in known], sniff_rows) if sniff else {}
+    return ({**found, **known}, {}) if sniff_rows is not None else (known, found)
 
 
-def _first_lines(spark: SparkSession, path: str, lines: int) -> list[str]:
-    return [r.value for r in spark.read.text(path).limit(lines).collect() if r.value.strip()]
+ROW, REASON = "__row", "__reason"
 
 
-def _first_cells(spark: SparkSession, path: str, delimiter: str, lines: int) -> list[list[str]]:
-    return _cells("\n".join(_first_lines(spark, path, lines)), delimiter)
+@dataclass(frozen=True)
+class Checked:
+    """A scan that forgets no row: ``data`` has the typed rows; ``marked`` all rows, with what is wrong in ``__reason``."""
 
+    data: DataFrame
+    marked: DataFrame
+    cut: Column
+    rejected: Column
+    sound: bool  # no row can be cut or left out, as far as the survey and the types tell
 
-def _cells(text: str, delimiter: str) -> list[list[str]]:
-    if len(delimiter) > 1:  # the csv module knows single characters only
-        text, delimiter = text.replace(delimiter, "\x1f"), "\x1f"
-    return list(csv.reader(io.StringIO(text), delimiter=delimiter))
+    def quarantine(self) -> DataFrame:
+        """``(row, reason, dropped)`` of each row that was cut to the header's width or left out."""
+        cells = [column(c).cast("string") for c in self.marked.columns if c not in (ROW, REASON)]
+        told = F.coalesce(column(ROW), F.to_csv(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)]), {"quote": '"', "escape": '"'}))
+        reason = F.concat_ws("; ", F.when(self.cut, F.lit("more cells than the header")), column(REASON))
+        return self.marked.where(self.cut | self.rejected).select(told.alias("row"), reason.alias("reason"), self.rejected.alias("dropped"))
+
+
+def scan_csv_checked(spark: SparkSession, path: str, delimiter=",", header=None, encoding=None, multi_line=True, types=None, sniff=True, sniff_rows=None, ignore_errors=True) -> Checked:
+    """As ``scan_csv``, with every row that is cut or left out told by ``quarantine``."""
+    text, longer = _csv_text(spark, path, delimiter, header, encoding, multi_line, ROW)
+    known, found = _types_of(text.drop(ROW), types, sniff, sniff_rows)
+    misfits = [F.when(unreadable(c, t), F.lit(f"{c}: not {t.name}")) for c, t in known.items() if t.name not in TEXTS] if ignore_errors else []
+    marked = text.withColumn(REASON, F.nullif(F.concat_ws("; ", *misfits), F.lit("")) if misfits else F.lit(None).cast("string"))
+    rejected = column(REASON).isNotNull()
+    data = read_text_as(marked.where(~rejected).drop(ROW, REASON), known, reject=False)
+    return Checked(read_text_as(data, found, sniffed=True), marked, column(ROW).isNotNull(), rejected, not misfits and not longer)
 
 
-def detect_delimiter(spark: SparkSession, path: str, lines: int = 20) -> str:
-    """The candidate that occurs equally often, and most often, on the first lines."""
-    head = _first_lines(spark, path, lines)
+def long_rows(spark: SparkSession, path: str, delimiter: str = ",", width: int | None = None) -> DataFrame:
+    """Rows with more cells than ``width``, by default that of the header; a scan cuts them to it."""
+    if width is None:
+        return csv_text(spark, path, delimiter, raw="row").where("row IS NOT NULL").select("row")
+    return spark.read.text(path).where(dialect_width(F.col("value"), delimiter) > width).select(F.col("value").alias("row"))
+
+
+def _cells(text: str, delimiter: str, quote: str = '"') -> list[str]:
+    """The cells of one record."""
+    if len(delimiter) > 1:  # the csv module knows single characters only
+        text, delimiter = text.replace(delimiter, "\x1f"), "\x1f"
+    return next(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter, quotechar=quote), [])
 
-    def score(mark):
-        counts = [line.count(mark) for line in head]
-        return (bool(counts) and min(counts) == max(counts) > 0, min(counts, default=0))
 
-    return max(DELIMITERS, key=score)
+def detect_delimiter(spark: SparkSession, path: str) -> str:
+    """The delimiter of most files."""
+    marks = [f.delimiter for f in survey(spark.read.option("lineSep", "\n").text(path), None)]
+    return max(DELIMITERS, key=lambda d: (marks.count(d), -DELIMITERS.index(d)))
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -182,59 +308,55 @@ def scan_json(
     multi_line: bool | None = None,
     sniff: bool = True,
 ) -> DataFrame:
-    """JSON objects, one per line or in one array; date and timestamp texts become typed columns.
+    """JSON objects in any layout; date and timestamp texts become typed columns.
 
-    The layout of each file is read off its first line unless ``multi_line`` is given; files of both layouts
-    are read with one schema. An array or an indented file is one task per file; large data should come as
-    one object per line.
+    Files with one object per line are read as they are. Objects in an array, indented, or several on a line are
+    found by nesting depth first, in many tasks (``json_values``), and written as lines to the shared folder; files of
+    both kinds are read with one schema. ``multi_line=True`` looks for them in all files, ``False`` in none.
     """
+    pin_splits(spark)
     reader, keys = spark.read.option("mode", "FAILFAST"), []
-    parts = [(bool(multi_line), path)]
-    if multi_line is None or (schema is None and not multi_line):
-        layouts, keys = _json_layouts(spark, path)
-    if multi_line is None:
-        parts = [(multi, path) for multi in layouts] if len(layouts) == 1 else list(layouts.items())
-        parts = parts or [(True, path)]
-    if len(parts) > 1:
-        folders = spark.read.text(path).columns[1:]
-        reader = reader.option("basePath", path) if folders else reader  # else columns named by folders are lost
-        if schema is None:
-            schema_of = lambda drop: [reader.option("multiLine", m).option("dropFieldIfAllNull", drop).json(f).schema for m, f in parts]
-            told = reduce(_either_type, schema_of(True))
-            told = reduce(_with_missing, schema_of(False), told)
-            whole = T.StructType([f for f in told.fields if f.name not in folders])
-            df = _json_parts(reader.schema(whole), parts)
-        else:
-            df = _json_parts(reader.schema(schema), parts)
-    else:
-        df = _json_parts(reader.schema(schema) if schema else reader, parts)
+    folders = spark.read.text(path).columns[1:]
+    base = path if folders else None
+    plain, laid = ([], []) if multi_line is False else _json_layouts(spark, path, bool(multi_line))
+    parts: list[tuple[str | list[str], str | None]] = [(path if not laid else plain, base if laid else None)] if plain or multi_line is False or not laid else []
+    if laid:
+        parts.append((as_lines(spark, laid, base), None))
+    if plain and schema is None:
+        first = spark.read.text(plain[0]).where(F.trim("value") != "").limit(1)
+        keys = (first.select(F.json_object_keys(F.regexp_replace("value", "^\ufeff", ""))).first() or [None])[0] or []
+    readers = [(reader.option("basePath", root) if root else spark.read.option("mode", "FAILFAST"), files) for files, root in parts]
     if schema is not None:
-        return df
+        return reduce(DataFrame.unionByName, [r.schema(schema).json(f) for r, f in readers])
+    if len(readers) > 1:
+        schema_of = lambda drop: [r.option("dropFieldIfAllNull", drop).json(f).schema for r, f in readers]
+        told = reduce(_either_type, schema_of(True))
+        told = reduce(_with_missing, schema_of(False), told)
+        whole = T.StructType([f for f in told.fields if f.name not in folders])
+        df = reduce(DataFrame.unionByName, [r.schema(whole).json(f) for r, f in readers])
+    else:
+        df = readers[0][0].json(readers[0][1])
     # Inference sorts the fields by name; put those of the first record in its order.
-    keys = [k for k in keys if k in df.columns]
+    keys = [k for k in dict.fromkeys(keys) if k in df.columns]
     df = df.select([column(c) for c in keys + [c for c in df.columns if c not in keys]])
     return _read_moments(df) if sniff else df
 
 
-def _json_parts(reader, parts) -> DataFrame:
-    return reduce(DataFrame.unionByName, [reader.option("multiLine", multi).json(files) for multi, files in parts])
-
-
-def _json_layouts(spark: SparkSession, path: str) -> tuple[dict[bool, list[str]], list[str]]:
-    """The files that need ``multiLine`` and those that do not, and the keys of the first whole object on a line.
-
-    First lines stay with the executors; the driver gets file names, and keys if there are any.
-    """
+def _json_layouts(spark: SparkSession, path: str, all_laid: bool) -> tuple[list[str], list[tuple[str, str, bool]]]:
+    """Files with one object on each line, and the others with whether their first value is an array."""
+    raw = spark.read.option("lineSep", "}").text(path)
     place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    text = F.ltrim(F.regexp_replace("value", "^\ufeff", ""))
-    line = F.when(text.startswith("["), F.lit("[")).otherwise(text)  # an array needs no more than its first character
-    told = spark.read.text(path).where(F.trim("value") != "").select(line.alias("line"), F.col("_metadata.file_path").alias("file"), place.alias("place"))
-    first = told.groupBy("file").agg(F.min_by("line", "place").alias("line"))
-    rows = first.select("file", F.json_object_keys("line").alias("keys")).orderBy("file").collect()
-    layouts: dict[bool, list[str]] = {}
-    for row in rows:
-        layouts.setdefault(row["keys"] is None, []).append(_plain_path(row.file))
-    return layouts, list(dict.fromkeys(next((row["keys"] for row in rows if row["keys"] is not None), [])))
+    told = raw.select("value", F.col("_metadata.file_path").alias("file"), place.alias("place"))
+    blank = F.col("value").rlike(r"^\s*\n\s*$")
+    # All pieces but the first are judged alike; the first one is found with them.
+    first = F.min_by(F.substring(F.regexp_replace("value", r"^[\ufeff\s]+", ""), 1, 1), "place").alias("lead")
+    start = F.min(F.struct("place", on_lines(F.col("value"), F.lit(True)).alias("fits"), on_lines(F.col("value"), F.lit(False)).alias("inner"))).alias("start")
+    misfits = F.count_if(~on_lines(F.col("value"), F.lit(False))).alias("misfits")
+    found = told.groupBy("file").agg(first, start, misfits, F.count_if(blank).alias("blanks"))
+    inner = F.col("misfits") == F.when(F.col("start.inner"), F.lit(0)).otherwise(F.lit(1))
+    lines = F.col("start.fits") & inner & (F.col("blanks") <= 1)
+    rows = found.select("file", (F.col("lead") == "[").alias("array"), (lines & ~F.lit(all_laid)).alias("lines")).orderBy("file").collect()
+    return [_plain_path(r.file) for r in rows if r.lines], [(_plain_path(r.file), r.file, r.array) for r in rows if not r.lines]
 
 
 def _either_type(a: T.DataType, b: T.DataType) -> T.DataType:

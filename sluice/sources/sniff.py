@@ -149,16 +149,24 @@ def given_types(types: dict[str, str]) -> dict[str, TextType]:
     return {column: TextType(canonical(name)) for column, name in types.items()}
 
 
+TEXTS = ("VARCHAR", "TEXT", "STRING")
+
+
+def unreadable(name: str, kind: TextType) -> Column:
+    """Whether a text column's cell is there but not of the type."""
+    return column(name).isNotNull() & kind.read(column(name)).isNull()
+
+
 def read_text_as(df: DataFrame, types: dict[str, TextType], reject: bool = False, sniffed: bool = False) -> DataFrame:
     """Text columns read as ``types``; with ``reject`` a row with an unreadable cell is dropped whole.
 
     ``sniffed`` says that the types were detected on these very rows: every cell fits.
     """
-    typed = {c: t for c, t in types.items() if t.name not in ("VARCHAR", "TEXT", "STRING")}
+    typed = {c: t for c, t in types.items() if t.name not in TEXTS}
     if reject and typed and not sniffed:
         keep = F.lit(True)
         for c, t in typed.items():
-            keep = keep & (column(c).isNull() | t.read(column(c)).isNotNull())
+            keep = keep & ~unreadable(c, t)
         df = df.where(keep)
 
     def cell(c: str) -> Column:

@@ -75,8 +75,8 @@ def test_folds(spark):
     )
     assert {tuple(r) for r in ledger.latest_status(events).collect()} == {("a", 1, "active"), ("a", 2, "active"), ("b", 1, "pending")}
     assert {tuple(r) for r in ledger.current_versions(events).collect()} == {("a", 2), ("b", 0)}
-    metrics = {(r.source_id, r.version): (r.row_count, r.file_size_bytes, r.error_message) for r in ledger.version_metrics(events).collect()}
-    assert metrics == {("a", 1): (5, 10, None), ("a", 2): (7, None, "boom"), ("b", 1): (None, None, None)}
+    records = {(r.source_id, r.version): (r.row_count, r.file_size_bytes, r.error_message) for r in ledger.version_records(events).collect()}
+    assert records == {("a", 1): (5, 10, None), ("a", 2): (7, None, None), ("b", 1): (None, None, None)}
     assert [tuple(r) for r in ledger.latest_metrics(events).collect()] == [("a", 7, None, None, None)]
     assert [tuple(r) for r in ledger.last_queries(events).collect()] == [("a", "q1")]
 
@@ -150,7 +150,7 @@ def test_file_versions(work):
     assert work.current_version("f1") == 2
     assert work.read("f1", 1).count() == 10
     assert statuses(work, "f1") == [(1, "pending"), (1, "active"), (2, "pending"), (2, "active")]
-    metrics = ledger.version_metrics(work.events("f1")).where("version = 2").first()
+    metrics = ledger.version_records(work.events("f1")).where("version = 2").first()
     assert (metrics.row_count, metrics.column_count, metrics.file_size_bytes > 0) == (12, 2, True)
 
 
