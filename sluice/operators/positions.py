@@ -14,16 +14,17 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sluice.functions.names import column
+from sluice.operators.joins import asof_join
 from sluice.session import scratch_dir
 
-# A list up to this many positions is a literal in the plan and its matches are broadcast.
-LITERAL_POSITIONS = 100_000
+# Up to so many matches are broadcast; more are joined by (file, row) with a shuffle.
+BROADCAST_POSITIONS = 100_000
 # Positions below this are found by a top-k read of the keys instead of a sort of the table.
 TOP_POSITIONS = 10_000
 
 
-def skip_rows(df: DataFrame, positions: list[int], order_by: list[str] | None = None) -> DataFrame:
-    """``df`` without the rows at the 0-based ``positions``; positions past the end are ignored.
+def skip_rows(df: DataFrame, positions: list[int] | DataFrame, order_by: list[str] | None = None) -> DataFrame:
+    """``df`` without the rows at the 0-based ``positions``, a list or a table with one column; those past the end are ignored.
 
     The order is that of the files ``df`` reads, or that of ``order_by``, which sources without
     files (databases) need.
@@ -31,31 +32,35 @@ def skip_rows(df: DataFrame, positions: list[int], order_by: list[str] | None =
     return split_rows(df, positions, order_by)[0]
 
 
-def skipped_rows(df: DataFrame, positions: list[int], order_by: list[str] | None = None) -> DataFrame:
+def skipped_rows(df: DataFrame, positions: list[int] | DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """One row: how many rows ``skip_rows`` removes."""
     return split_rows(df, positions, order_by)[1].agg(F.count("*").alias("rows_removed"))
 
 
-def split_rows(df: DataFrame, positions: list[int], order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def split_rows(df: DataFrame, positions: list[int] | DataFrame, order_by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The kept rows, and one row (file, row) per removed row."""
-    wanted = sorted({int(p) for p in positions if p >= 0})
-    if len(wanted) > LITERAL_POSITIONS:
-        raise ValueError(f"at most {LITERAL_POSITIONS} positions, got {len(wanted)}")
-    if not wanted:
-        return df, df.sparkSession.createDataFrame([], "_sluice_file string, _sluice_row long")
+    spark = df.sparkSession
+    if isinstance(positions, DataFrame):
+        wanted = positions.select(F.col(positions.columns[0]).cast("long").alias("_position")).where("_position >= 0").distinct()
+    else:
+        wanted = spark.createDataFrame([(p,) for p in sorted({int(p) for p in positions if p >= 0})], "_position long")
+    count, last = wanted.agg(F.count("*"), F.max("_position")).first()
+    if not count:
+        return df, spark.createDataFrame([], "_sluice_file string, _sluice_row long")
     if order_by is None:
         fields = _file_fields(df)
-        front, back = _front_files(df, wanted[-1])
+        front, back = _front_files(df, last)
         source = front if "row_index" in fields else _staged(front, None)
     else:
-        front, back = _front_keys(df, wanted[-1], order_by)
+        front, back = _front_keys(df, last, order_by)
         source = _staged(front, order_by)
     rows = source.select("*", F.col("_metadata.file_path").alias("_sluice_file"), F.col("_metadata.row_index").alias("_sluice_row"))
     splits = [c for c in source.columns if c not in df.columns]
     # Part files are numbered; past 99,999 the numbers get longer.
     runs = [F.col(c) for c in splits] or ([F.col("_sluice_file")] if source is front else [F.length("_sluice_file"), F.col("_sluice_file")])
     targets = _targets(rows, runs, wanted)
-    kept = rows.join(F.broadcast(targets), ["_sluice_file", "_sluice_row"], "left_anti").drop("_sluice_file", "_sluice_row", *splits)
+    few = F.broadcast(targets) if count <= BROADCAST_POSITIONS else targets
+    kept = rows.join(few, ["_sluice_file", "_sluice_row"], "left_anti").drop("_sluice_file", "_sluice_row", *splits)
     return (kept if back is None else kept.unionAll(back)), targets
 
 
@@ -110,10 +115,11 @@ def _staged(df: DataFrame, order_by: list[str] | None) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _targets(rows: DataFrame, blocks: list[Column], wanted: list[int]) -> DataFrame:
+def _targets(rows: DataFrame, blocks: list[Column], wanted: DataFrame) -> DataFrame:
     """(file, row) of the wanted positions; ``blocks`` order the runs of rows.
 
-    One row per file or input split reaches the single-task window: about one per 128 MB of input.
+    One row per file or input split reaches the single-task window: about one per 128 MB of input. A position belongs
+    to the last run that begins at or before it, found by ``asof_join``: linear in positions and runs.
     """
     names = [f"_block{i}" for i in range(len(blocks))]
     runs = (
@@ -125,10 +131,8 @@ def _targets(rows: DataFrame, blocks: list[Column], wanted: list[int]) -> DataFr
     whole = F.col("_last") - F.col("_first") + 1 == F.col("_count")
     runs = runs.withColumn("_count", F.when(whole, F.col("_count")).otherwise(F.raise_error("skip rows of a plain scan, or give order_by")))
     before = Window.orderBy(*names, "_sluice_file", "_first").rowsBetween(Window.unboundedPreceding, -1)
-    offset, end = F.col("_offset"), F.col("_offset") + F.col("_count")
-    here = F.filter(F.lit(wanted).cast("array<bigint>"), lambda p: (p >= offset) & (p < end))
-    return (
-        runs.withColumn("_offset", F.coalesce(F.sum("_count").over(before), F.lit(0)))
-        .select("_sluice_file", "_first", "_offset", F.explode(here).alias("_position"))
-        .select("_sluice_file", (F.col("_first") + F.col("_position") - F.col("_offset")).alias("_sluice_row"))
-    )
+    placed = runs.withColumn("_offset", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+    placed = placed.where("_count > 0").select(F.lit(0).alias("_all"), F.col("_offset").alias("_position"), "_offset", "_count", "_first", "_sluice_file")
+    found = asof_join(wanted.withColumn("_all", F.lit(0)), placed, "_position", ["_all"], ["_offset", "_count", "_first", "_sluice_file"])
+    inside = F.col("_position") < F.col("_offset") + F.col("_count")
+    return found.where(inside).select("_sluice_file", (F.col("_first") + F.col("_position") - F.col("_offset")).alias("_sluice_row"))

@@ -34,6 +34,18 @@ def sample(df: DataFrame, sample_size: int = SAMPLE_ROWS, order_by: list[str] |
     return (df.orderBy(*map(column, order_by)) if order_by else df).limit(sample_size)
 
 
+def uniform_sample(df: DataFrame, sample_size: int = SAMPLE_ROWS, keys: list[str] | None = None) -> DataFrame:
+    """Rows drawn evenly from all of them: those with the smallest hashes of their ``keys``, by default of all columns.
+
+    Each task keeps its smallest ``sample_size`` only, and the tasks' rows merge into the smallest of all, so the sample
+    is the same whatever the partitions and whenever it is taken. Rows alike in their keys are alike in their hash.
+    """
+    if not 0 < sample_size <= MAX_SAMPLE_ROWS:
+        raise ValueError(f"sample_size must lie between 1 and {MAX_SAMPLE_ROWS}")
+    cells = [F.coalesce(column(c).cast("string"), F.lit("\u0000")) for c in keys or df.columns]
+    return df.withColumn("_hash", F.md5(F.concat_ws("\u0001", *cells))).orderBy("_hash").limit(sample_size).drop("_hash")
+
+
 def held_sample(df: DataFrame, sample_size: int = SAMPLE_ROWS, order_by: list[str] | None = None) -> DataFrame:
     """The sample, read once for many uses.
 

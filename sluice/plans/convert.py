@@ -158,8 +158,8 @@ def convert_database(
     table_name: str | None = None,
     compression: str = "zstd",
     row_group_size: int = ROW_GROUP_ROWS,
-    pushdown: bool = True,
-    partition_column: str | None = None,
+    pushdown: bool | None = None,
+    partition_column: str | list[str] | None = None,
     partition_num: int | None = None,
 ) -> dict:
     """Extract a table or a query's result into the source's next version; ``query`` beats ``table_name``."""

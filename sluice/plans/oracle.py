@@ -46,6 +46,22 @@ ORACLE_SQL: dict[str, str] = {
     "convert_quarantine": """SELECT o_orderkey, concat_ws('; ', CASE WHEN o_orderkey % 11 = 5 THEN 'more cells than the header' END,
         CASE WHEN o_orderkey % 50 = 7 THEN 'o_totalprice: not DOUBLE' END) AS reason, o_orderkey % 50 = 7 AS dropped
         FROM orders WHERE o_orderkey % 11 = 5 OR o_orderkey % 50 = 7""",
+    "skip_rows_many": """SELECT * EXCLUDE (rn) FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate,
+        row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) - 1 AS rn FROM lineitem)
+        WHERE rn % 3 = 1 OR rn >= 1000000""",
+    "sample_uniform": "SELECT * FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)) LIMIT 1000",
+    "join_asof": """SELECT event_id, user_id, ts, event_type, bought_id, bought_value FROM (
+        SELECT e.event_id, e.user_id, e.ts, e.event_type, p.event_id AS bought_id, p.value AS bought_value,
+          row_number() OVER (PARTITION BY e.event_id ORDER BY p.ts DESC, p.event_id DESC) AS rn
+        FROM events e LEFT JOIN events p ON p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts <= e.ts) WHERE rn = 1""",
+    "join_interval": """SELECT r.l_orderkey AS r_orderkey, r.l_linenumber AS r_linenumber, r.l_partkey AS r_partkey, r.l_suppkey, count(*) AS n,
+        sum(s.l_quantity) AS quantity FROM lineitem r JOIN lineitem s ON r.l_suppkey = s.l_suppkey
+        AND s.l_shipdate BETWEEN r.l_shipdate - INTERVAL 7 DAY AND r.l_shipdate + INTERVAL 7 DAY
+        WHERE r.l_returnflag = 'R' GROUP BY ALL""",
+    "scan_jdbc_skewed": """SELECT o_orderkey, o_orderstatus, o_totalprice,
+        CASE WHEN o_orderkey % 500 = 3 THEN NULL WHEN o_orderkey % 10 = 0 THEN o_orderkey * 1000 ELSE o_orderkey END AS far FROM orders""",
+    "extract_query_two_databases": """SELECT o_orderkey, o_totalprice, -o_totalprice + 200000 AS rest FROM orders
+        WHERE o_totalprice > 1000 AND -o_totalprice + 200000 > 1000""",
     "scan_parquet": "SELECT * FROM lineitem",
     "scan_json": "SELECT * FROM events",
     "scan_json_mixed": "SELECT * FROM events",

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from sluice.operators import ledger, profile, quality, shape
+from sluice.operators import joins, ledger, profile, quality, shape
 from sluice.operators.positions import skip_rows, skipped_rows
 from sluice.plans import convert, sink
 from sluice.session import scratch_dir
@@ -247,6 +247,23 @@ def scan_jdbc_partitioned(spark, sf_dir):
     return databases.scan_jdbc(spark, options, table="orders_copy", partition_column="o_orderkey", partition_num=4)
 
 
+def scan_jdbc_skewed(spark, sf_dir):
+    """Nine of ten rows in a hundredth of the key's range, and rows without a key; ranges hold about as many rows each."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    far = F.when(F.col("o_orderkey") % 500 == 3, F.lit(None)).when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey") * 1000).otherwise(F.col("o_orderkey"))
+    options = exports.export_database(orders.withColumn("far", far), "orders_far")
+    return databases.scan_jdbc(spark, options, table="orders_far", partition_column="far", partition_num=6)
+
+
+def extract_query_two_databases(spark, sf_dir):
+    """Tables of one name in two databases of one kind, each by SQL under the same prefix, joined."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    query = 'SELECT "o_orderkey", "o_totalprice" FROM pg.ORDERS_COPY WHERE "o_totalprice" > 1000'.replace('"', "`")
+    found = [databases.query_catalog(spark, "pg", exports.export_database(part, "orders_copy"), query) for part in (orders, orders.withColumn("o_totalprice", -F.col("o_totalprice") + 200_000))]
+    other = found[1].select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("rest"))
+    return found[0].join(other, F.col("o_orderkey") == F.col("key")).select("o_orderkey", "o_totalprice", "rest")
+
+
 def extract_table(spark, sf_dir):
     path = exports.export_sqlite(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), scratch_dir(spark, "sqlite"), "supplier")
     return databases.extract_table(spark, "sqlite", {"file_path": path}, "supplier")
@@ -307,6 +324,14 @@ def skip_rows_file(spark, sf_dir):
     return skip_rows(files.scan_csv(spark, path), SKIPPED)
 
 
+def skip_rows_many(spark, sf_dir):
+    """Two of three rows by position: a list as long as the table."""
+    lines = read(spark, sf_dir, "lineitem")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    positions = spark.range(1_000_000).where("id % 3 <> 1")
+    return skip_rows(lines.select(*keys), positions, keys)
+
+
 def skip_rows_count(spark, sf_dir):
     return skipped_rows(read(spark, sf_dir, "orders"), [*SKIPPED, 999_999_999], ["o_orderkey"])
 
@@ -438,6 +463,34 @@ def profile_wide(spark, sf_dir):
     return columns.select("name", "inferred_type", "null_count", "unique_count", "min_value", "max_value", "min_text", "max_text", first)
 
 
+def sample_uniform(spark, sf_dir):
+    return profile.uniform_sample(read(spark, sf_dir, "orders"), 1000, ["o_orderkey"])
+
+
+# --- Joins by order ------------------------------------------------------------------------------
+
+
+def join_asof(spark, sf_dir):
+    """Every event with the last purchase of its user up to then."""
+    events = read(spark, sf_dir, "events")
+    bought = events.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("bought_id"), F.col("value").alias("bought_value"))
+    asked = events.select("event_id", "user_id", "ts", "event_type")
+    return joins.asof_join(asked, bought, "ts", ["user_id"], ["bought_id", "bought_value"])
+
+
+def join_interval(spark, sf_dir):
+    """For every returned line, the lines that its supplier shipped within a week before or after."""
+    lines = read(spark, sf_dir, "lineitem")
+    week = F.expr("INTERVAL 7 DAYS")
+    back = lines.where("l_returnflag = 'R'").select(
+        F.col("l_orderkey").alias("r_orderkey"), F.col("l_linenumber").alias("r_linenumber"), F.col("l_partkey").alias("r_partkey"), "l_suppkey",
+        (F.col("l_shipdate") - week).alias("since"), (F.col("l_shipdate") + week).alias("until"),
+    )
+    sent = lines.select("l_suppkey", "l_shipdate", "l_quantity")
+    pairs = joins.interval_join(back, sent, ("since", "until"), ("l_shipdate", "l_shipdate"), ["l_suppkey"])
+    return pairs.groupBy("r_orderkey", "r_linenumber", "r_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
 # --- Whole conversions ---------------------------------------------------------------------------
 
 
@@ -583,6 +636,8 @@ QUERIES: dict[str, Query] = {
     "source_tables": source_tables,
     "scan_jdbc": scan_jdbc,
     "scan_jdbc_partitioned": scan_jdbc_partitioned,
+    "scan_jdbc_skewed": scan_jdbc_skewed,
+    "extract_query_two_databases": extract_query_two_databases,
     "extract_table": extract_table,
     "extract_query_database": extract_query_database,
     "extract_query_prefix": extract_query_prefix,
@@ -592,7 +647,11 @@ QUERIES: dict[str, Query] = {
     "rename_and_cast": rename_and_cast,
     "skip_rows": skip_rows_ordered,
     "skip_rows_file": skip_rows_file,
+    "skip_rows_many": skip_rows_many,
     "skip_rows_count": skip_rows_count,
+    "sample_uniform": sample_uniform,
+    "join_asof": join_asof,
+    "join_interval": join_interval,
     "describe_columns": describe_columns,
     "sink_parquet": sink_parquet,
     "sink_compression": sink_compression,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
 import re
 from dataclasses import dataclass
 from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from sluice.sources.sqlite import register_database, scan_sqlite, sqlite_tables
@@ -92,13 +96,13 @@ def scan_jdbc(
     options: dict[str, str],
     table: str | None = None,
     query: str | None = None,
-    partition_column: str | None = None,
+    partition_column: str | list[str] | None = None,
     partition_num: int | None = None,
 ) -> DataFrame:
     """A table, or the result of a query that the database runs.
 
-    With ``partition_column`` (a number, date or timestamp) the executors read disjoint ranges of
-    it side by side; without it one task streams the result.
+    With ``partition_column``, one column or several, of numbers, moments or texts, the executors read disjoint
+    ranges of about as many rows side by side (``key_ranges``); without it one task streams the result.
     """
     if query is None and table is None:
         raise ValueError("a query or a table is needed")
@@ -106,18 +110,73 @@ def scan_jdbc(
     target = f"({query}) q" if query is not None else table
     if partition_column is None:
         return reader.option("dbtable", target).load()
-    column = _quoted(spark, options, partition_column)
-    bounds = reader.option("dbtable", f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {target}) b").load().first()
-    if bounds[0] is None:
+    keys = [partition_column] if isinstance(partition_column, str) else list(partition_column)
+    ranges = key_ranges(spark, options, target, keys, partition_num or spark.sparkContext.defaultParallelism)
+    if len(ranges) < 2:
         return reader.option("dbtable", target).load()
-    return (
-        reader.option("dbtable", target)
-        .option("partitionColumn", column)
-        .option("lowerBound", str(bounds[0]))
-        .option("upperBound", str(bounds[1]))
-        .option("numPartitions", partition_num or spark.sparkContext.defaultParallelism)
-        .load()
-    )
+    return spark.read.jdbc(options["url"], target, predicates=ranges, properties={**{k: v for k, v in options.items() if k != "url"}, "fetchsize": str(FETCH_ROWS)})
+
+
+SAMPLE_KEYS = 64  # sampled keys for each range: the sizes of ranges differ by an eighth or so
+
+
+def key_ranges(spark: SparkSession, options: dict[str, str], target: str, keys: list[str], count: int) -> list[str]:
+    """Disjoint conditions that together hold for every row and split the rows, not the values, about evenly.
+
+    Only the keys are read: numbers and moments in equal widths side by side, others as one stream. The keys with the
+    smallest hashes are a sample that tasks draw and merge; every so many of them is a border. Borders are put in order
+    by the database, whose order of texts the conditions follow. Rows with one and the same key stay together; NULLs
+    are in the first range.
+    """
+    names = [_quoted(spark, options, k) for k in keys]
+    reader = spark.read.format("jdbc").options(**options).option("fetchsize", FETCH_ROWS)
+    listed = ", ".join(names)
+    first = reader.option("dbtable", f"(SELECT MIN({names[0]}) AS lo, MAX({names[0]}) AS hi FROM {target}) b").load()
+    low, high = first.first()
+    if low is None:
+        return []
+    column_of = reader.option("dbtable", f"(SELECT {listed} FROM {target}) k")
+    if isinstance(first.schema[0].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)) and low != high:
+        bounds = {"partitionColumn": names[0], "lowerBound": str(low), "upperBound": str(high), "numPartitions": count}
+        column_of = column_of.options(**bounds)
+    found = column_of.load()
+    # NULLs and repeated keys count as rows do: the place of a row among equal ones is part of its hash.
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in found.columns]
+    drawn = found.withColumn("_hash", F.xxhash64(*cells, F.monotonically_increasing_id())).orderBy("_hash").limit(count * SAMPLE_KEYS).drop("_hash")
+    sampled = sorted(key for key in map(tuple, drawn.collect()) if None not in key)
+    borders = sorted({sampled[len(sampled) * i // count] for i in range(1, count)}) if sampled else []
+    texts = [isinstance(f.dataType, T.StringType) for f in found.schema.fields]
+    if any(texts) and borders:
+        asked = " OR ".join("(" + " AND ".join(f"{n} = {_literal(v, options)}" for n, v in zip(names, b)) + ")" for b in borders)
+        # ORDER BY does not hold in a derived table: each border counts those before it, by the database's comparisons.
+        few = f"(SELECT DISTINCT {listed} FROM {target} WHERE {asked})"
+        mine = ", ".join(f"a.{n}" for n in names)
+        ranks = f"(SELECT {mine}, COUNT(*) AS place FROM {few} a, {few} b WHERE {_at_least(names, names, 'a.', 'b.')} GROUP BY {mine}) r"
+        borders = [tuple(r)[:-1] for r in sorted(reader.option("dbtable", ranks).load().collect(), key=lambda r: r[-1])]
+    if not borders:
+        return []
+    above = [_at_least(names, [_literal(v, options) for v in b]) for b in borders]
+    missing = " OR ".join(f"{n} IS NULL" for n in names)
+    whole = " AND ".join(f"{n} IS NOT NULL" for n in names)
+    middle = [f"({whole}) AND ({a}) AND NOT ({b})" for a, b in zip(above, above[1:])]
+    return [f"({missing}) OR NOT ({above[0]})", *middle, f"({whole}) AND ({above[-1]})"]
+
+
+def _at_least(names: list[str], values: list[str], left: str = "", right: str = "") -> str:
+    """``names`` at or behind ``values`` in lexicographic order."""
+    name, value = left + names[0], right + values[0]
+    if len(names) == 1:
+        return f"{name} >= {value}"
+    return f"{name} > {value} OR ({name} = {value} AND ({_at_least(names[1:], values[1:], left, right)}))"
+
+
+def _literal(value, options: dict[str, str]) -> str:
+    if isinstance(value, str):
+        text = value.replace("'", "''")
+        return "'" + (text.replace("\\", "\\\\") if options["url"].startswith(("jdbc:mysql", "jdbc:mariadb")) else text) + "'"
+    if isinstance(value, (datetime.date, datetime.datetime)):
+        return f"'{value}'"
+    return str(value)
 
 
 def _quoted(spark: SparkSession, options: dict[str, str], column: str) -> str:
@@ -162,8 +221,8 @@ def extract_table(spark: SparkSession, connector_type: str, credentials: dict, t
     return scan_jdbc(spark, options, table=table_name, **partitioning)
 
 
-def range_key(spark: SparkSession, options: dict[str, str], table_name: str) -> str | None:
-    """The primary key of a table if it is one column that ranges can split, from the standard catalog views."""
+def range_key(spark: SparkSession, options: dict[str, str], table_name: str) -> str | list[str] | None:
+    """The primary key of a table, one column or several, if ranges can split it, from the standard catalog views."""
     *schema, table = check_identifier(table_name).split(".")
     query = (
         "SELECT k.column_name AS column_name FROM information_schema.table_constraints c JOIN information_schema.key_column_usage k"
@@ -173,31 +232,72 @@ def range_key(spark: SparkSession, options: dict[str, str], table_name: str) ->
     if schema:
         query += f" AND lower(c.table_schema) = lower('{schema[-1]}')"
     try:
-        keys = [row[0] for row in scan_jdbc(spark, options, query=query).limit(2).collect()]
-    except Exception:  # no such views, or no right to read them
+        keys = [row[0] for row in scan_jdbc(spark, options, query=query).limit(10).collect()]
+    except (PySparkException, Py4JJavaError) as error:
+        # No such views, or no right to read them; anything else (the network, the password) is the caller's to know.
+        if not re.search(r"SQLSyntaxErrorException|does not exist|doesn't exist|permission|privilege|denied", str(error), re.I):
+            raise
+        return None
+    if not keys or not all(IDENTIFIER.fullmatch(k) for k in keys):
         return None
-    if len(keys) != 1 or not IDENTIFIER.fullmatch(keys[0]):
+    kinds = {f.name: f.dataType for f in scan_jdbc(spark, options, table=table_name).schema}
+    if not all(isinstance(kinds.get(k), (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.StringType)) for k in keys):
         return None
-    kind = next((f.dataType for f in scan_jdbc(spark, options, table=table_name).schema if f.name == keys[0]), None)
-    splits = isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
-    return keys[0] if splits else None
+    return keys[0] if len(keys) == 1 else keys
+
 
+def extract_query(spark: SparkSession, connector_type: str, credentials: dict, query: str, pushdown: bool | None = None, **partitioning) -> DataFrame:
+    """Any SELECT: run by the database, or by Spark over its tables under the prefix (pg, mysql, sqlite).
 
-def extract_query(spark: SparkSession, connector_type: str, credentials: dict, query: str, pushdown: bool = True, **partitioning) -> DataFrame:
-    """Any SELECT: run by the database, or by Spark over its tables under the prefix (pg, mysql, sqlite)."""
+    By default a text that names tables under the prefix is run by Spark, any other by the database.
+    """
     options = connection_options(connector_type, credentials)
     kind = _known(connector_type)
     if kind is None:
         register_database(spark, options["path"])
         return spark.sql(query)
-    if pushdown:
+    if pushdown if pushdown is not None else not names_prefix(query, kind.prefix):
         return scan_jdbc(spark, options, query=query, **partitioning)
-    register_catalog(spark, kind.prefix, options)
-    return spark.sql(query)
+    return query_catalog(spark, kind.prefix, options, query)
+
+
+def names_prefix(query: str, prefix: str) -> bool:
+    """Whether a text reads from tables under the prefix; quoted text and comments do not count."""
+    bare = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", " ", query, flags=re.S)
+    return re.search(rf"\b(?:from|join)\s+[`\"]?{prefix}[`\"]?\s*\.", bare, re.I) is not None
+
+
+_sessions: dict[tuple[int, str], SparkSession] = {}
+
+
+def query_catalog(spark: SparkSession, prefix: str, options: dict[str, str], query: str) -> DataFrame:
+    """A SELECT over the tables of one database, named under the prefix; filters and aggregates are pushed down.
+
+    Each connection has a session of its own, whose catalog the prefix is: two databases of one kind never stand in for
+    each other, results of both can be joined, and no credentials stay in the caller's settings.
+    """
+    key = id(spark._jsparkSession), hashlib.sha256(repr((prefix, sorted(options.items()))).encode()).hexdigest()
+    if key not in _sessions:
+        own = _beside(spark)
+        register_catalog(own, prefix, options)
+        _sessions[key] = own
+    return _sessions[key].sql(query)
+
+
+def _beside(spark: SparkSession) -> SparkSession:
+    """A session with the same settings and catalogs and views of its own."""
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and spark.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return own
 
 
 def register_catalog(spark: SparkSession, prefix: str, options: dict[str, str]) -> None:
-    """The database as a Spark catalog: ``prefix.schema.table`` in SQL, filters and aggregates pushed down."""
+    """The database as a Spark catalog: ``prefix.schema.table`` in SQL, filters and aggregates pushed down.
+
+    A session loads a catalog once; use ``query_catalog`` where several databases share a prefix.
+    """
     key = f"spark.sql.catalog.{prefix}"
     for name, value in options.items():
         spark.conf.set(f"{key}.{name}", value)
@@ -205,7 +305,14 @@ def register_catalog(spark: SparkSession, prefix: str, options: dict[str, str])
 
 
 def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame]) -> DataFrame:
-    """Any SELECT over the given tables."""
+    """Any SELECT over the given tables; views of these names that the caller has made come back afterwards."""
+    held = {t.name.lower() for t in spark.catalog.listTables() if t.isTemporary}
+    before = {name: spark.table(name) for name in map(check_identifier, tables) if name.lower() in held}
     for name, df in tables.items():
-        df.createOrReplaceTempView(check_identifier(name))
-    return spark.sql(query)
+        df.createOrReplaceTempView(name)
+    try:
+        return spark.sql(query)  # resolved here: the result does not look the names up again
+    finally:
+        for name in tables:
+            before[name].createOrReplaceTempView(name) if name in before else spark.catalog.dropTempView(name)
+
