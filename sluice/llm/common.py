@@ -66,6 +66,21 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, SLICE_ROWS)
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str, limit: int = 2_000_000) -> DataFrame:
+    """``rows`` whose ``key``, a number, is not in ``gone``, a written table of keys.
+
+    Up to ``limit`` keys, which are counted, travel to the rows; beyond it both sides are dealt by key.
+    """
+    few = gone.limit(limit + 1).count() <= limit
+    return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
+
+
+def among(rows: DataFrame, wanted: DataFrame, key: str, limit: int = 2_000_000) -> DataFrame:
+    """``rows`` joined to a written table with one row per key, in the same two ways as ``without``."""
+    few = wanted.limit(limit + 1).count() <= limit
+    return rows.join(F.broadcast(wanted) if few else wanted, key)
+
+
 def with_small(df: DataFrame, small: DataFrame, key: str, limit: int = 10_000, salts: int = 32) -> DataFrame:
     """``df`` left joined to a table of one row per key.
 

@@ -8,14 +8,16 @@ shuffling the index, and what is new is appended.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sluice.llm.common import WORD_BREAK, hold, whole_text
+from sluice.functions.names import column
+from sluice.llm.common import WORD_BREAK, hold, whole_text, without
 from sluice.session import scratch_dir
 
-INDEX = "digest BINARY, keep_id BIGINT, keep_chars BIGINT, batch STRING, keep_row BIGINT"
+INDEX = "digest BINARY, keep_id BIGINT, keep_chars BIGINT, batch STRING"
 HOT_SHARE = 10_000  # a digest with more than one in so many rows of a batch joins by broadcast
 
 
@@ -36,7 +38,8 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self.table = f"sluice_digests_{uuid.uuid4().hex}"
+        # One entry in the session's catalog for each index, whoever opens it; the files are at ``path``.
+        self.table = f"sluice_digests_{hashlib.md5(self.path.encode()).hexdigest()}"
         made = self._made_with()
         if made is None:
             made = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -45,7 +48,7 @@ class DigestIndex:
             raise ValueError(f"the index was made with {made} buckets")
         self.buckets = made
         spark.sql(
-            f"CREATE TABLE {self.table} ({INDEX}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
+            f"CREATE TABLE IF NOT EXISTS {self.table} ({INDEX}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) "
             f"INTO {made} BUCKETS LOCATION '{self.path}/digests'"
         )
 
@@ -57,7 +60,11 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def add(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    def close(self) -> None:
+        """Forget the index in this session; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def add(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", batch: str | None = None) -> DataFrame:
         """Add a batch; returns ``docs`` with ``keep_id, group_size, kept, text_sha256``, one row for each row.
 
         Texts are equal when identical without the white space of ASCII; a null text is an empty one.
@@ -65,25 +72,28 @@ class DigestIndex:
         of rows that repeat both. Where an earlier batch holds the digest, its document stays and no
         row of this batch is kept. ``group_size`` counts the rows of this batch. Columns of ``docs``
         with one of the four names are replaced. An empty table gives an empty result.
+
+        ``batch`` names the batch: one that is run again, as its caller failed after it was added, gets the verdicts
+        that it got before. Without a name every call is a batch of its own.
         """
         made = ("keep_id", "group_size", "kept", "text_sha256")
         own = [c for c in docs.columns if c not in made]
         rows = docs.select(*own).withColumn("__sha", digest(whole_text(text))).withColumn("__chars", F.char_length(whole_text(text)).cast("long"))
         marked = hold(rows.withColumn("__row", F.monotonically_increasing_id()), "digests")
-        decided, hot = self._decide(marked, doc_id)
+        decided, hot = self._decide(marked, doc_id, batch)
         return _judged(marked, decided, hot, own)
 
-    def verdicts(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    def verdicts(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id", batch: str | None = None) -> DataFrame:
         """As ``add``, but only ``doc_id`` of the documents' columns, which keeps the texts out of all later steps."""
         bare = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
         rows = bare.select("doc_id", digest(F.col("text")).alias("__sha"), F.char_length("text").cast("long").alias("__chars"))
         marked = hold(rows.withColumn("__row", F.monotonically_increasing_id()), "digests")
-        decided, hot = self._decide(marked, "doc_id")
+        decided, hot = self._decide(marked, "doc_id", batch)
         return _judged(marked, decided, hot, ["doc_id"])
 
-    def _decide(self, marked: DataFrame, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    def _decide(self, marked: DataFrame, doc_id: str, batch: str | None) -> tuple[DataFrame, DataFrame]:
         """(digest -> keep_id, keep_row, size) after adding what is new, and those of very large groups."""
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         order = F.struct((-F.col("__chars")).alias("minus"), F.col(doc_id).isNull().alias("unnamed"), F.col(doc_id).cast("long").alias("id"), F.col("__row").alias("row"))
         groups = marked.groupBy("__sha").agg(F.min(order).alias("best"), F.count("*").alias("group_size"))
         groups = groups.select(
@@ -96,8 +106,9 @@ class DigestIndex:
         groups = hold(groups, "digest-groups")
         dealt = groups.repartition(self.buckets, "digest")  # as the buckets are
         new = dealt.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
-        self._append(new.select("digest", "keep_id", "keep_chars", F.lit(batch).alias("batch"), "keep_row"))
-        found = dealt.select("digest", "group_size").hint("merge").join(self.rows(), "digest")
+        self._append(new.select("digest", "keep_id", "keep_chars", F.lit(batch).alias("batch")))
+        # What this batch added, now or in an earlier run of it, is its own; rows are numbered anew in each run.
+        found = dealt.select("digest", "group_size", "keep_row").hint("merge").join(self.rows(), "digest")
         decided = hold(
             found.select("digest", "keep_id", "group_size", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row")), "digest-verdicts"
         )
@@ -121,12 +132,21 @@ def _judged(marked: DataFrame, decided: DataFrame, hot: DataFrame, own: list[str
     return both.select(*[F.col(f"`{c}`") for c in own], "keep_id", "group_size", kept, F.col("__sha").alias("text_sha256"))
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", index: DigestIndex | None = None) -> DataFrame:
-    """The rows that stay, with the columns of ``docs``; see ``DigestIndex.add``."""
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """The rows that stay, with the columns of ``docs``; see ``DigestIndex.add``.
+
+    Rows are decided by digests alone; the texts wait in the shared folder, and only the numbers of the rows that go
+    are sent to them.
+    """
     spark = docs.sparkSession
     index = index or DigestIndex(spark, scratch_dir(spark, "digest-index"))
-    own = docs.columns
-    clash = {c: f"__own_{i}" for i, c in enumerate(own) if c in ("keep_id", "group_size", "kept", "text_sha256")}
-    safe = docs.withColumnsRenamed(clash) if clash else docs
-    stay = index.add(safe, text, doc_id).where("kept").drop("keep_id", "group_size", "kept", "text_sha256")
-    return stay.withColumnsRenamed({v: k for k, v in clash.items()}) if clash else stay
+    row = F.struct(*[column(c) for c in docs.columns])
+    bare = docs.select(row.alias("row"), F.monotonically_increasing_id().alias("__row"))
+    held = hold(bare, "digest-rows")
+    whole = F.col("row").getField(text)
+    slim = held.select(F.col("row").getField(doc_id).cast("long").alias("doc_id"), "__row", F.coalesce(whole.cast("string"), F.lit("")).alias("text"))
+    slim = slim.select("doc_id", "__row", digest(F.col("text")).alias("__sha"), F.char_length("text").cast("long").alias("__chars"))
+    marked = hold(slim, "digests")
+    decided, hot = index._decide(marked, "doc_id", batch)
+    gone = hold(_judged(marked, decided, hot, ["__row"]).where("NOT kept").select("__row"), "digest-gone")
+    return without(held, gone, "__row").select("row.*")

@@ -72,6 +72,40 @@ def test_later_batches_yield_to_earlier_ones(spark):
         DigestIndex(spark, path, 5)
 
 
+def test_a_batch_that_runs_again_gets_its_verdicts_again(spark, monkeypatch):
+    """A caller that fails after its batch was added runs it again, by its name."""
+    path = scratch_dir(spark, "test-index")
+    early = spark.createDataFrame([(9, "old")], "doc_id bigint, text string")
+    DigestIndex(spark, path, 3).verdicts(early, batch="b0").count()
+    batch = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (3, "c"), (4, "o l d"), (None, None)], "doc_id bigint, text string")
+    first = [r for r in DigestIndex(spark, path).verdicts(batch, batch="b1").collect()]
+
+    class Crash(Exception):
+        pass
+
+    append = DigestIndex._append
+    monkeypatch.setattr(DigestIndex, "_append", lambda self, new: (append(self, new), (_ for _ in ()).throw(Crash))[1])
+    more = batch.unionByName(spark.createDataFrame([(7, "new")], "doc_id bigint, text string"))
+    with pytest.raises(Crash):
+        DigestIndex(spark, path).verdicts(more.where("doc_id = 7"), batch="b2")
+    monkeypatch.setattr(DigestIndex, "_append", append)
+    for name, rows, want in (("b1", batch, first), ("b2", more.where("doc_id = 7"), None)):
+        index = DigestIndex(spark, path)
+        again = index.verdicts(rows.repartition(3), batch=name).collect()
+        if want:
+            assert Counter(map(tuple, again)) == Counter(map(tuple, want)) and sum(r.kept for r in again) == 3
+        else:
+            assert [(r.doc_id, r.kept) for r in again] == [(7, True)]
+        assert {r.doc_id: r.kept for r in exact_dedup_verdicts(index, rows, name)} == {r.doc_id: True for r in again if r.kept}
+    assert not any(r.kept for r in DigestIndex(spark, path).verdicts(batch).collect())  # a batch without a name is another
+    index.close()
+    assert DigestIndex(spark, path).rows().count() == 5
+
+
+def exact_dedup_verdicts(index, rows, batch):
+    return exact_dedup(rows, index=index, batch=batch).selectExpr("doc_id", "true AS kept").collect()
+
+
 def test_lookup_does_not_shuffle_the_index(spark):
     index = DigestIndex(spark, scratch_dir(spark, "test-index"), buckets=4)
     index.verdicts(spark.createDataFrame([(i, f"t{i}") for i in range(50)], "doc_id bigint, text string"))
