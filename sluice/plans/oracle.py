@@ -62,6 +62,13 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN o_orderkey % 500 = 3 THEN NULL WHEN o_orderkey % 10 = 0 THEN o_orderkey * 1000 ELSE o_orderkey END AS far FROM orders""",
     "extract_query_two_databases": """SELECT o_orderkey, o_totalprice, -o_totalprice + 200000 AS rest FROM orders
         WHERE o_totalprice > 1000 AND -o_totalprice + 200000 > 1000""",
+    "stream_windows": """WITH ends AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+        placed AS (SELECT e.*, least(5, CAST(floor((epoch_us(ts) - lo) * 6 / (hi - lo + 1)) AS INTEGER) + CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END) AS arrival,
+          time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS since FROM events e, ends),
+        seen AS (SELECT arrival, max(ts) AS latest FROM placed GROUP BY arrival),
+        marks AS (SELECT a.arrival, max(s.latest) - INTERVAL 6 HOUR AS mark FROM (SELECT DISTINCT arrival FROM placed) a LEFT JOIN seen s ON s.arrival < a.arrival - CASE WHEN a.arrival = 4 THEN 0 ELSE 1 END GROUP BY a.arrival)
+        SELECT since, event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM placed p JOIN marks m ON p.arrival = m.arrival
+        WHERE mark IS NULL OR since + INTERVAL 6 HOUR > mark GROUP BY since, event_type""",
     "scan_parquet": "SELECT * FROM lineitem",
     "scan_json": "SELECT * FROM events",
     "scan_json_mixed": "SELECT * FROM events",

@@ -16,6 +16,7 @@ from sluice.session import scratch_dir
 from sluice.sources import databases, exports, files
 from sluice.sources.sniff import sniff_report
 from sluice.sources.sqlite import scan_sqlite, sqlite_tables
+from sluice.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -491,6 +492,28 @@ def join_interval(spark, sf_dir):
     return pairs.groupBy("r_orderkey", "r_linenumber", "r_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
+# --- Streams -------------------------------------------------------------------------------------
+
+ARRIVALS = 6  # files, by a sixth of the time that the events span; every seventh event comes two files late
+
+
+def stream_windows(spark, sf_dir):
+    """Events by type and six hours, from files that arrive one after the other, the feed restarted half way."""
+    events = read(spark, sf_dir, "events")
+    path, out, checkpoint = (scratch_dir(spark, f"stream-{name}") for name in ("in", "out", "checkpoint"))
+    first, last = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    due = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) * ARRIVALS / (last - first + 1)).cast("int")
+    placed = events.withColumn("arrival", F.least(F.lit(ARRIVALS - 1), due + F.when(F.col("event_id") % 7 == 0, F.lit(2)).otherwise(F.lit(0))))
+    sums = [F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")]
+    for number in range(ARRIVALS):
+        # One file each, so that a batch is a file; a feed of real files takes them as they come.
+        placed.where(F.col("arrival") == number).drop("arrival").coalesce(1).write.mode("append").parquet(path)
+        if number in (ARRIVALS // 2, ARRIVALS - 1):
+            stream = ingest.windows(ingest.arriving(spark, path, events.schema, 1), "ts", "6 hours", "6 hours", ["event_type"], sums)
+            ingest.feed(stream, out, checkpoint)
+    return ingest.latest(spark, out, ["event_type"]).withColumn("since", F.col("since").cast("timestamp_ntz")).drop("until")
+
+
 # --- Whole conversions ---------------------------------------------------------------------------
 
 
@@ -671,6 +694,7 @@ QUERIES: dict[str, Query] = {
     "numeric_text_shares": numeric_text_shares,
     "profile_columns": profile_columns,
     "profile_wide": profile_wide,
+    "stream_windows": stream_windows,
     "convert_file": convert_file,
     "convert_database": convert_database,
     **{name: _user_sql(name) for name in USER_SQL},
