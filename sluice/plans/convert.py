@@ -25,6 +25,7 @@ from sluice.plans.claims import claim
 from sluice.plans.sink import CODECS, ROW_GROUP_ROWS, Written, output_path, quarantine_path, source_path, version_path, write_checked
 from sluice.sources.databases import connection_options, extract_query, extract_table
 from sluice.sources.excel import PLACE
+from sluice.sources.files import PLACE as CSV_PLACE
 from sluice.sources.files import FORMAT_OPTIONS, FORMATS, Checked, scan_csv_checked, scan_file
 
 READ_OPTIONS = (
@@ -104,7 +105,8 @@ def checked_scan(spark: SparkSession, path: str, file_format: str, options: dict
     known = {k: v for k, v in (options or {}).items() if k in FORMAT_OPTIONS["csv"]}
     if file_format == "tsv":
         known["delimiter"] = known.get("delimiter") or "\t"
-    return scan_csv_checked(spark, path, **known)
+    placed = bool((options or {}).get("skip_rows")) and not (options or {}).get("order_by")
+    return scan_csv_checked(spark, path, placed=placed, **known)
 
 
 def plan_file(
@@ -119,6 +121,8 @@ def plan_file(
     # Workbook rows lose their file on the way through Python, so they carry their place.
     place = list(PLACE) if skipped and file_format == "excel" and not order_by else []
     checked = checked or checked_scan(spark, path, file_format, options)
+    if checked and not order_by:
+        place = [c for c in CSV_PLACE if c in checked.data.columns]
     raw = checked.data if checked else scan_file(spark, path, file_format, place=bool(place), **{k: options.get(k) for k in READ_OPTIONS})
     shaped = shape(raw, options.get("column_mapping"), overrides)
     if not skipped:

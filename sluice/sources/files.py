@@ -75,8 +75,14 @@ def csv_text(
     return _csv_text(spark, path, delimiter, header, encoding, multi_line, raw)[0]
 
 
-def _csv_text(spark: SparkSession, path: str, delimiter, header, encoding, multi_line, raw) -> tuple[DataFrame, bool]:
-    """The text, and whether it may have rows longer than their header."""
+PLACE = ("__place_file", "__place_start", "__place_row")  # of a record among all files, where Spark cannot tell it
+
+
+def _csv_text(spark: SparkSession, path: str, delimiter, header, encoding, multi_line, raw, placed=False) -> tuple[DataFrame, bool]:
+    """The text, and whether it may have rows longer than their header.
+
+    With ``placed`` rows of files that Spark's reader cannot cut into records carry their place among all files.
+    """
     if encoding and encoding.lower().replace("_", "-") in WIDE:
         reader = _csv_reader(spark, delimiter or ",", '"').option("header", header is not False).option("multiLine", True).option("encoding", encoding)
         cells = _no_empty_cells(reader.csv(path))
@@ -95,12 +101,14 @@ def _csv_text(spark: SparkSession, path: str, delimiter, header, encoding, multi
         if raw and header is not False:  # Spark's reader cuts long rows without a word
             records_needed |= shape.key not in bare and shape.width > len(_names(shape, True, 0))
         parts.setdefault((records_needed, shape.delimiter, shape.quote, header is not False and shape.key not in bare), []).append(shape)
+    if placed and len(parts) > 1 or any(key[0] for key in parts):
+        parts = {(True, *key[1:]): [f for k, own in parts.items() if k[1:] == key[1:] for f in own] for key in parts} if placed else parts
     base = path if folders else None
     found: list[DataFrame] = []
     for (cut, mark, quote, headers), files in parts.items():
         if cut:
             known = None if any(f.key in doubtful for f in files) else headers
-            found.append(_by_records(spark, files, mark, quote, known, encoding or "utf-8", base, raw, len(files) == len(shapes) and path, multi_line))
+            found.append(_by_records(spark, files, mark, quote, known, encoding or "utf-8", base, raw, len(files) == len(shapes) and path, multi_line, {f.key: i for i, f in enumerate(shapes)} if placed else None))
         else:
             found += _by_reader(spark, files, mark, quote, headers, base, raw, len(files) == len(shapes) and path)
     if not found:
@@ -165,7 +173,7 @@ def _by_reader(spark, shapes: list[FileShape], mark: str, quote: str, header: bo
     return out
 
 
-def _by_records(spark, shapes: list[FileShape], mark: str, quote: str, header: bool | None, encoding: str, base, raw, whole, multi_line: bool) -> DataFrame:
+def _by_records(spark, shapes: list[FileShape], mark: str, quote: str, header: bool | None, encoding: str, base, raw, whole, multi_line: bool, ranks: dict[int, int] | None) -> DataFrame:
     """Files whose records are found by their quotes, or whose header is in doubt: read once, cells named by file."""
     paths = whole or [_plain_path(f.path) for f in shapes]
     lines = lines_of(spark, paths, base)
@@ -179,7 +187,7 @@ def _by_records(spark, shapes: list[FileShape], mark: str, quote: str, header: b
     widest = rows.agg(F.max(dialect_width(F.col("value"), mark, quote))).first()[0] or 1
     told = ", ".join(f"c{i} string" for i in range(widest))
     options = {"sep": mark, "quote": quote, "escape": quote, "multiLine": "true", "maxCharsPerColumn": "-1", "maxColumns": str(max(20480, widest))}
-    parsed = rows.select("value", "__file", "first", F.from_csv("value", told, options).alias("cells"), *[F.col(quoted(c)) for c in folders])
+    parsed = rows.select("value", "__file", "first", F.from_csv("value", told, options).alias("cells"), "__start", "__at", *[F.col(quoted(c)) for c in folders])
     if header is None:
         named = headed(parsed.select("__file", "first", *[F.nullif(F.col(f"cells.c{i}"), F.lit("")).alias(f"c{i}") for i in range(widest)]), widest)
     else:
@@ -192,9 +200,9 @@ def _by_records(spark, shapes: list[FileShape], mark: str, quote: str, header: b
     for shape in shapes:
         layouts.setdefault(tuple(titles.get(shape.key, [f"column{i}" for i in range(widest)])), []).append(shape.key)
     names = list(dict.fromkeys(name for layout in layouts for name in layout))
-    places = [(i, key, key in named) for i, (_, keys) in enumerate(layouts.items()) for key in keys]
-    if len({(i, headed_file) for i, _, headed_file in places}) > 1:
-        known = spark.createDataFrame(places, "__layout int, __file long, __headed boolean")
+    places = [(i, key, key in named, (ranks or {}).get(key, 0)) for i, (_, keys) in enumerate(layouts.items()) for key in keys]
+    if ranks or len({(i, headed_file) for i, _, headed_file, _ in places}) > 1:
+        known = spark.createDataFrame(places, "__layout int, __file long, __headed boolean, __rank int")
         parsed = parsed.join(F.broadcast(known) if len(places) <= FEW_FILES else known, "__file")
     else:
         parsed = parsed.withColumn("__layout", F.lit(0)).withColumn("__headed", F.lit(bool(places and places[0][2])))
@@ -208,6 +216,8 @@ def _by_records(spark, shapes: list[FileShape], mark: str, quote: str, header: b
     if raw is not None:
         own = reduce(lambda other, i: F.when(F.col("__layout") == i[0], F.lit(len(i[1]))).otherwise(other), enumerate(layouts), F.lit(0))
         columns.append(F.when(dialect_width(F.col("value"), mark, quote) > own, F.col("value")).alias(raw))
+    if ranks:
+        columns += [F.col(c).alias(name) for c, name in zip(("__rank", "__start", "__at"), PLACE)]
     return data.select(*columns)
 
 
@@ -259,15 +269,15 @@ class Checked:
 
     def quarantine(self) -> DataFrame:
         """``(row, reason, dropped)`` of each row that was cut to the header's width or left out."""
-        cells = [column(c).cast("string") for c in self.marked.columns if c not in (ROW, REASON)]
+        cells = [column(c).cast("string") for c in self.marked.columns if c not in (ROW, REASON, *PLACE)]
         told = F.coalesce(column(ROW), F.to_csv(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)]), {"quote": '"', "escape": '"'}))
         reason = F.concat_ws("; ", F.when(self.cut, F.lit("more cells than the header")), column(REASON))
         return self.marked.where(self.cut | self.rejected).select(told.alias("row"), reason.alias("reason"), self.rejected.alias("dropped"))
 
 
-def scan_csv_checked(spark: SparkSession, path: str, delimiter=",", header=None, encoding=None, multi_line=True, types=None, sniff=True, sniff_rows=None, ignore_errors=True) -> Checked:
+def scan_csv_checked(spark: SparkSession, path: str, delimiter=",", header=None, encoding=None, multi_line=True, types=None, sniff=True, sniff_rows=None, ignore_errors=True, placed=False) -> Checked:
     """As ``scan_csv``, with every row that is cut or left out told by ``quarantine``."""
-    text, longer = _csv_text(spark, path, delimiter, header, encoding, multi_line, ROW)
+    text, longer = _csv_text(spark, path, delimiter, header, encoding, multi_line, ROW, placed)
     known, found = _types_of(text.drop(ROW), types, sniff, sniff_rows)
     misfits = [F.when(unreadable(c, t), F.lit(f"{c}: not {t.name}")) for c, t in known.items() if t.name not in TEXTS] if ignore_errors else []
     marked = text.withColumn(REASON, F.nullif(F.concat_ws("; ", *misfits), F.lit("")) if misfits else F.lit(None).cast("string"))

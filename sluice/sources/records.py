@@ -105,7 +105,10 @@ def started(maps: DataFrame) -> DataFrame:
 
 
 def records(lines: DataFrame, states: DataFrame, delimiter: str, quote: str = '"', encoding: str = "utf-8") -> DataFrame:
-    """``value`` (one record), ``__file``, ``first`` (of its file), and the columns named by folders; blank records are left out."""
+    """``value`` (one record), ``__file``, ``first`` (of its file), its place ``__start, __at``, and the columns named by folders.
+
+    Blank records are left out. Records of a file are in the order of the split they begin in and their place there.
+    """
     told = states.where("inside").select("__file", "__start", "inside")
     size = states.agg(F.max("__length")).first()[0] or 1
     folders = [c for c in lines.columns if c not in ("__line", "__file", "__start", "__length")]
@@ -117,7 +120,7 @@ def records(lines: DataFrame, states: DataFrame, delimiter: str, quote: str = '"
     placed = placed.select("__line", "__file", "__start", "__length", F.coalesce("inside", F.lit(False)).alias("inside"), *[F.col(f"`{c}`") for c in folders])
     mark, q = delimiter.encode(), quote.encode()
     kinds = [f for f in placed.schema.fields if f.name in folders]
-    schema = ", ".join(["value string, __file long, first boolean, __start long, opens boolean, ends boolean", *[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds]])
+    schema = ", ".join(["value string, __file long, first boolean, __start long, opens boolean, ends boolean, __at long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in kinds]])
 
     def text(parts: list[bytes]) -> str:
         whole = b"\n".join(parts)
@@ -126,10 +129,12 @@ def records(lines: DataFrame, states: DataFrame, delimiter: str, quote: str = '"
         return whole.decode(encoding, errors="replace")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, inside, waiting, opened, before, folder = None, False, [], False, True, []
+        key, inside, waiting, opened, before, folder, count = None, False, [], False, True, [], 0
 
         def row(parts: list[bytes], opens: bool, ends: bool, first: bool) -> tuple:
-            return text(parts), key[0], first, key[1], opens, ends, *folder
+            nonlocal count
+            count += 1
+            return text(parts), key[0], first, key[1], opens, ends, count, *folder
 
         for batch in batches:
             out: list[tuple] = []
@@ -139,7 +144,7 @@ def records(lines: DataFrame, states: DataFrame, delimiter: str, quote: str = '"
                         out.append(row(waiting, opened, False, before and opened))
                     if now[1] % size or now[2] > size:
                         raise RuntimeError("the files were split anew between two passes; run the scan again")
-                    key, inside, waiting = now, part.column("inside")[0].as_py(), []
+                    key, inside, waiting, count = now, part.column("inside")[0].as_py(), [], 0
                     # Only the first record of a file's first split is the file's first.
                     opened, before, folder = not inside, now[1] == 0, [part.column(c)[0].as_py() for c in folders]
                 values = part.column("__line").to_pylist()
@@ -172,17 +177,22 @@ def records(lines: DataFrame, states: DataFrame, delimiter: str, quote: str = '"
     from pyspark.sql.pandas.types import to_arrow_type
 
     extra = [(f.name, to_arrow_type(f.dataType)) for f in kinds]
-    arrow = pa.schema([("value", pa.string()), ("__file", pa.int64()), ("first", pa.bool_()), ("__start", pa.int64()), ("opens", pa.bool_()), ("ends", pa.bool_()), *extra])
+    arrow = pa.schema([("value", pa.string()), ("__file", pa.int64()), ("first", pa.bool_()), ("__start", pa.int64()), ("opens", pa.bool_()), ("ends", pa.bool_()), ("__at", pa.int64()), *extra])
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), arrow)], schema=arrow)
 
     cut = placed.mapInArrow(run, schema)
-    kept = ["value", "__file", "first", *[f"`{c}`" for c in folders]]
+    kept = ["value", "__file", "first", "__start", "__at", *[f"`{c}`" for c in folders]]
     whole = cut.where("opens AND ends").select(*kept)
     # Fragments: the one that opens, those of splits that lie inside, the one that ends.
     pieces = cut.where("NOT (opens AND ends)")
     number = F.sum(F.col("opens").cast("int")).over(Window.partitionBy("__file").orderBy("__start", "opens")).alias("number")
     joined = pieces.select("*", number).groupBy("__file", "number", *[f"`{c}`" for c in folders])
-    joined = joined.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__start", "value"))), lambda p: p["value"]), "\n").alias("value"), F.max("first").alias("first"))
+    joined = joined.agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("__start", "value"))), lambda p: p["value"]), "\n").alias("value"),
+        F.max("first").alias("first"),
+        F.max_by("__at", F.struct("opens", "__at")).alias("__at"),
+        F.min("__start").alias("__start"),
+    )
     return whole.unionByName(joined.select(*kept))

@@ -101,3 +101,12 @@ def test_conversions_see_whether_there_is_a_header(work):
     upload(work, "1\tx\n2\tz\n", "t1", "x.tsv")
     assert convert.convert_file(work, "t1")["rows"] == 2
     assert work.read("t1").columns == ["column0", "column1"]
+
+
+def test_positions_of_records_with_line_breaks(work):
+    rows = "".join(f'{i},"a\nb{i}"\n' for i in range(20))
+    upload(work, "id,v\n" + rows, name="a.csv")
+    upload(work, "v,id\nx,100\ny,101\n", name="b.csv")
+    done = convert.convert_file(work, "f1", options={"skip_rows": [0, 5, 19, 21, 99]})
+    assert (done["rows"], done["rows_skipped"], done["columns"]) == (18, 4, 2)
+    assert sorted(r.id for r in work.read("f1").collect()) == sorted(set(range(20)) - {0, 5, 19} | {100})
