@@ -149,30 +149,31 @@ def apply_edits(text: str, tree: SegmentTree, edits: list[Edit], counter: Counte
 def _apply_one(text: str, tree: SegmentTree, start: int, end: int, new: str, counter: Counter) -> tuple[str, SegmentTree, int]:
     first, begin = tree.leaf_at(max(0, start - LOOKBACK))
     last, last_begin = tree.leaf_at(end)
-    chars, tokens = tree.leaf_sums()
-    border = last_begin + chars[last]  # of the old text: the end of the leaf that holds the edit's end
+    sizes, leaves = tree.chars, tree.leaves  # the sizes of leaves begin at the tree's width
+    border = last_begin + sizes[tree.width + last]  # of the old text: the end of the leaf that holds the edit's end
     text = text[:start] + new + text[end:]
     moved = len(new) - (end - start)
     # Cut from the first border before the edit until a border of the old leaves is met again.
     parts: list[str] = []
     at = begin
     for part in cut(text, begin):
-        while at > border + moved and last + 1 < len(chars):
+        while at > border + moved and last + 1 < leaves:
             last += 1
-            border += chars[last]
+            border += sizes[tree.width + last]
         if at == border + moved and at >= start + len(new):
             break
         parts.append(part)
         at += len(part)
-    while at > border + moved and last + 1 < len(chars):
+    while at > border + moved and last + 1 < leaves:
         last += 1
-        border += chars[last]
+        border += sizes[tree.width + last]
     counts, touched = counter.counts(parts), at - begin
     new_chars, new_tokens = _dealt([len(p) for p in parts], counts, last - first + 1)
     if len(new_chars) == last - first + 1:
         for leaf, (c, t) in enumerate(zip(new_chars, new_tokens), first):
             tree.set(leaf, c, t)
         return text, tree, touched
+    chars, tokens = tree.leaf_sums()
     chars[first : last + 1], tokens[first : last + 1] = new_chars, new_tokens
     return text, SegmentTree(chars or [0], tokens or [0]), touched
 
@@ -244,8 +245,11 @@ def recount(counted: DataFrame, definition: str, edits: Callable[[str], list[Edi
             k = len(own)
             found = []
             for i, (t, chars, tokens) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(k, k + 3)))):
-                tree = SegmentTree(chars, tokens)
                 wanted = [(e["start"], e["end"], e["text"]) for e in batch.column(k + 3)[i].as_py() or []] if given else edits(t)
+                if not wanted:
+                    found.append((t, sum(tokens), chars, tokens, 0, 0))
+                    continue
+                tree = SegmentTree(chars, tokens)
                 t, tree, again = apply_edits(t, tree, wanted, counter)
                 found.append((t, tree.n_tokens, *tree.leaf_sums(), len(wanted), again))
             types = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int64())
