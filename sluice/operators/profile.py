@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sluice.functions.casts import safe_cast
 from sluice.functions.formats import STRING_FORMATS, format_choice, format_test
@@ -23,6 +23,9 @@ MAX_SAMPLE_ROWS = 10_000
 SAMPLE_VALUES = 5
 HEAD_ROWS = 100
 
+# Sparse columns that get a read of their own for their first values.
+OWN_READS = 4
+
 # Columns per aggregate, to keep the generated code compilable on wide tables.
 COLUMNS_PER_PASS = 100
 
@@ -199,7 +202,8 @@ def first_values(
     """One row per column: name and, as ``sample_values``, what ``read`` makes of its first non-null values.
 
     By default they are read as text. The first few rows usually hold enough values of every
-    column: one top-k read. Only columns that are still short get a top-k read of their own.
+    column: one top-k read. Columns that are still short get a top-k read of their own, in one job; if they
+    are many, one pass ranks the values of all of them, cut to the first in each task.
     """
     read = read or (lambda value, dtype: safe_cast(value, dtype, "VARCHAR"))
     spark, keys, size = df.sparkSession, [column(k) for k in order_by or []], head_rows or 4 * n
@@ -214,8 +218,15 @@ def first_values(
     first = top(F.lit(True), list(reads.values()), size).collect()
     held = {name: [row[i] for row in first if row[i] is not None][:n] for i, name in enumerate(columns)}
     short = [name for name in columns if len(held[name]) < n and len(first) == size]
-    parts = [top(column(c).isNotNull(), [F.lit(i).alias("at"), reads[c].alias("value")], n) for i, c in enumerate(short)]
-    if keys and parts:
+    if len(short) > OWN_READS:
+        cells = [F.struct(F.lit(i).alias("at"), reads[c].alias("value")) for i, c in enumerate(short)]
+        order = [k.alias(f"key{i}") for i, k in enumerate(keys or [F.monotonically_increasing_id()])]
+        rows = df.select(*order, F.inline(F.array(*cells))).where("value IS NOT NULL")
+        rank = F.row_number().over(Window.partitionBy("at").orderBy(*[f"key{i}" for i in range(len(order))]))
+        parts = [rows.select("at", "value", rank.alias("rank")).where(F.col("rank") <= n).orderBy("at", "rank")]
+    else:
+        parts = [top(column(c).isNotNull(), [F.lit(i).alias("at"), reads[c].alias("value")], n) for i, c in enumerate(short)]
+    if keys and len(parts) > 1:
         # Every part scans the table anyway: one job for all of them.
         parts = [functools.reduce(DataFrame.unionAll, parts)]
     found = [row for part in parts for row in part.collect()]

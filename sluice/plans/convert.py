@@ -19,10 +19,11 @@ from sluice.functions.types import spark_type
 from sluice.operators import ledger
 from sluice.operators.positions import split_rows
 from sluice.operators.profile import SAMPLE_ROWS, head, held_sample, profile, totals
+from sluice.operators.profile_state import incremental_profile
 from sluice.operators.quality import warnings
 from sluice.operators.shape import shape
 from sluice.plans.claims import claim
-from sluice.plans.sink import CODECS, ROW_GROUP_ROWS, Written, output_path, quarantine_path, source_path, version_path, write_checked
+from sluice.plans.sink import CODECS, ROW_GROUP_ROWS, Written, output_path, profile_path, quarantine_path, source_path, version_path, write_checked
 from sluice.sources.databases import connection_options, extract_query, extract_table
 from sluice.sources.excel import PLACE
 from sluice.sources.files import PLACE as CSV_PLACE
@@ -64,6 +65,11 @@ class Workspace:
         """The data of a version, by default the current one."""
         return self.spark.read.parquet(output_path(self.root, *self._place(source_id, version)))
 
+    def profile(self, source_id: str, version: int | None = None, approximate: bool = False) -> DataFrame:
+        """The profile of a version, by default the current one; it is kept next to the data, which is read once for it."""
+        place = self.root, *self._place(source_id, version)
+        return incremental_profile(self.spark, output_path(*place), profile_path(*place), approximate)
+
     def quarantine(self, source_id: str, version: int | None = None) -> DataFrame:
         """``(row, reason, dropped)`` of the rows that a version's conversion cut or left out; empty if there were none."""
         try:

@@ -9,26 +9,32 @@ _HOLES = """d AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_totalp
 _MIXED = """d AS (SELECT p_partkey, CASE WHEN p_partkey % 10 = 3 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS mixed FROM part)"""
 
 
-def _wide_profile() -> str:
-    """One row per column of lineitem."""
-    kinds = {
-        "l_orderkey": "BIGINT", "l_partkey": "BIGINT", "l_suppkey": "BIGINT", "l_linenumber": "INTEGER", "l_quantity": "DOUBLE",
-        "l_extendedprice": "DOUBLE", "l_discount": "DOUBLE", "l_tax": "DOUBLE", "l_returnflag": "VARCHAR", "l_linestatus": "VARCHAR",
-        "l_shipdate": "TIMESTAMP",
-    }
+def _wide_profile(table: str, kinds: dict[str, str], order: str) -> str:
+    """One row per column of a table."""
     rows = []
     for name, kind in kinds.items():
         number = kind not in ("VARCHAR", "TIMESTAMP")
         ends = [f"CAST({f}({name}) AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)" for f in ("min", "max")]
         texts = [f"CAST({f}({name}) AS VARCHAR)" if kind == "TIMESTAMP" else "CAST(NULL AS VARCHAR)" for f in ("min", "max")]
-        first = f"CAST(first({name} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS VARCHAR)"
+        first = f"CAST(first({name} ORDER BY {order}) AS VARCHAR)"
         rows.append(
             f"SELECT '{name}' AS name, '{kind}' AS inferred_type, count(*) - count({name}) AS null_count, count(DISTINCT {name}) AS unique_count,"
-            f" {ends[0]} AS min_value, {ends[1]} AS max_value, {texts[0]} AS min_text, {texts[1]} AS max_text, {first} AS first_value FROM lineitem"
+            f" {ends[0]} AS min_value, {ends[1]} AS max_value, {texts[0]} AS min_text, {texts[1]} AS max_text, {first} AS first_value FROM {table}"
         )
     return " UNION ALL ".join(rows)
 
 
+_LINEITEM = {
+    "l_orderkey": "BIGINT", "l_partkey": "BIGINT", "l_suppkey": "BIGINT", "l_linenumber": "INTEGER", "l_quantity": "DOUBLE",
+    "l_extendedprice": "DOUBLE", "l_discount": "DOUBLE", "l_tax": "DOUBLE", "l_returnflag": "VARCHAR", "l_linestatus": "VARCHAR",
+    "l_shipdate": "TIMESTAMP",
+}
+_ORDERS = {
+    "o_orderkey": "BIGINT", "o_custkey": "BIGINT", "o_orderstatus": "VARCHAR", "o_totalprice": "DOUBLE", "o_orderdate": "TIMESTAMP",
+    "o_orderpriority": "VARCHAR",
+}
+
+
 ORACLE_SQL: dict[str, str] = {
     "scan_csv": "SELECT * FROM orders",
     "scan_tsv": "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer",
@@ -162,7 +168,8 @@ ORACLE_SQL: dict[str, str] = {
             CAST(min(c_custkey) AS DOUBLE) AS min_value, CAST(max(c_custkey) AS DOUBLE) AS max_value FROM customer
         UNION ALL SELECT 'c_acctbal', 'DOUBLE', count(*) - count(c_acctbal), count(DISTINCT c_acctbal), min(c_acctbal), max(c_acctbal) FROM customer
         UNION ALL SELECT 'c_mktsegment', 'VARCHAR', count(*) - count(c_mktsegment), count(DISTINCT c_mktsegment), NULL, NULL FROM customer""",
-    "profile_wide": _wide_profile(),
+    "profile_wide": _wide_profile("lineitem", _LINEITEM, "l_orderkey, l_linenumber, l_partkey, l_suppkey"),
+    "profile_incremental": _wide_profile("orders", _ORDERS, "o_orderkey % 4 = 3, o_orderkey"),
     "convert_file": """SELECT o_orderkey AS order_id, TRY_CAST(o_custkey AS VARCHAR) AS o_custkey, TRY_CAST(o_totalprice AS BIGINT) AS o_totalprice,
         CAST(o_orderdate AS DATE) AS o_orderdate FROM orders""",
     "convert_database": "SELECT * FROM orders",

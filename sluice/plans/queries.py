@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from sluice.operators import joins, ledger, profile, quality, shape
 from sluice.operators.positions import skip_rows, skipped_rows
+from sluice.operators.profile_state import incremental_profile
 from sluice.plans import convert, sink
 from sluice.session import scratch_dir
 from sluice.sources import databases, exports, files
@@ -464,6 +465,18 @@ def profile_wide(spark, sf_dir):
     return columns.select("name", "inferred_type", "null_count", "unique_count", "min_value", "max_value", "min_text", "max_text", first)
 
 
+def profile_incremental(spark, sf_dir):
+    """Orders arrive in two lots of files; the profile after the second reads its files alone and merges the kept states."""
+    path, state = scratch_dir(spark, "parquet"), scratch_dir(spark, "profile")
+    orders = read(spark, sf_dir, "orders")
+    late = F.col("o_orderkey") % 4 == 3
+    for lot, chosen in (("first", ~late), ("second", late)):
+        orders.where(chosen).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(f"{path}/{lot}")
+        columns = incremental_profile(spark, path, state, values=1)
+    first = F.col("sample_values")[0].alias("first_value")
+    return columns.select("name", "inferred_type", "null_count", "unique_count", "min_value", "max_value", "min_text", "max_text", first)
+
+
 def sample_uniform(spark, sf_dir):
     return profile.uniform_sample(read(spark, sf_dir, "orders"), 1000, ["o_orderkey"])
 
@@ -694,6 +707,7 @@ QUERIES: dict[str, Query] = {
     "numeric_text_shares": numeric_text_shares,
     "profile_columns": profile_columns,
     "profile_wide": profile_wide,
+    "profile_incremental": profile_incremental,
     "stream_windows": stream_windows,
     "convert_file": convert_file,
     "convert_database": convert_database,

@@ -91,6 +91,11 @@ def quarantine_path(root: str, organization_id: str, source_id: str, version: in
     return f"{version_path(root, organization_id, source_id, version)}/quarantine.parquet"
 
 
+def profile_path(root: str, organization_id: str, source_id: str, version: int) -> str:
+    """Folder with the kept profile of a version's files."""
+    return f"{version_path(root, organization_id, source_id, version)}/profile"
+
+
 def _bucket(root: str, organization_id: str) -> str:
     return f"{root.rstrip('/')}/org-{_part(organization_id)}"
 

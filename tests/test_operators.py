@@ -123,6 +123,17 @@ def test_sparse_sample_values(spark):
     assert sorted(unordered) == expected
 
 
+def test_many_sparse_columns_in_one_pass(spark):
+    names = [f"s{i}" for i in range(profile.OWN_READS + 3)]
+    cells = [F.expr(f"if(id >= 30 AND id % {i + 2} = 0 AND {i} <> 1, id, NULL)").alias(n) for i, n in enumerate(names)]
+    df = spark.range(0, 200, 1, 3).select("id", *cells)
+    want = [(n, k + 1, str(v)) for i, n in enumerate(names) for k, v in enumerate([v for v in range(30, 200) if v % (i + 2) == 0 and i != 1][:5])]
+    for order in (["id"], None):
+        got = [(r.name, r.position, r.sample_value) for r in profile.sample_values(df, names, order).collect()]
+        assert sorted(got) == sorted(want)
+
+
+
 def test_sample_profile(spark):
     df = spark.range(20_000).select("id", F.when(F.col("id") < 5, F.lit("a@b.co")).otherwise(F.lit("none")).alias("s"))
     assert profile.sample(df, 10_000, ["id"]).count() == 10_000
