@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.functions.names import column
 from sluice.llm.common import extended, hold, slices, whole_text, worker_state
-from sluice.llm.levenshtein import Lexicon
+from sluice.llm.levenshtein import Lexicon, errors_for, fewer_errors
 
 SAMPLE = 20_000  # labelled texts that the model is fitted on, at most (about)
 TERMS = 5_000  # of the lexicon, the strongest
 NEIGHBOURS = 50_000  # ordinary words close to a term that are remembered, the most frequent
+CLEAN_SHARE = 0.1  # of a misspelling's occurrences that may lie in clean texts
+CLEAN_RATIO = 4.7  # likelihood ratio beyond which a word's clean share is no chance (one in thirty)
 CACHE = 300_000  # words that a worker remembers
 PIECE = 1 << 20  # characters of a long text that are split at a time
 APART = 8  # places between a word and the one that tells its contexts apart
@@ -162,7 +164,9 @@ def learn_lexicon(texts: DataFrame, text: str, label: str) -> tuple[Lexicon, tup
     """The words that mark toxic texts, with log-odds as weights.
 
     A word is taken if its likelihood ratio against chance beats what the best of all words would reach
-    by chance. Both the lexicon and the ordinary words next to it are bounded.
+    by chance. A word close to a term is ordinary if it is significantly more often clean than a misspelling may be;
+    where those left, seen too rarely to tell, are so taken together, the term allows fewer edits. At most TERMS
+    terms and NEIGHBOURS ordinary words, the most frequent, are kept.
     """
     counts = hold(word_counts(texts, text, label), "toxicity-words")
     bad, good, kinds = (n or 0 for n in counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first())
@@ -175,25 +179,45 @@ def learn_lexicon(texts: DataFrame, text: str, label: str) -> tuple[Lexicon, tup
     odds = F.ln((t + 0.5) / (bad + 1)) - F.ln((c + 0.5) / (good + 1))
     marks = counts.select("word", odds.alias("odds"), ratio.alias("ratio")).where((F.col("odds") > 1.5) & (F.col("ratio") > 2 * math.log(max(kinds, 2))))
     terms = sorted(marks.orderBy(F.desc("ratio"), "word").limit(TERMS).collect(), key=lambda r: r.word)
-    lexicon = Lexicon([r.word for r in terms])
-    near = _close_words(counts.where("clean > 0"), lexicon).orderBy(F.desc("clean"), "word").limit(NEIGHBOURS).collect()
-    return Lexicon(lexicon.terms, frozenset(r.word for r in near)), tuple(min(r.odds, 4.0) for r in terms)
+    names = [r.word for r in terms]
+    near = hold(_close_words(counts, Lexicon(names)), "toxicity-near")
+    usual = _clean(F.col("toxic"), F.col("clean"))
+    known = near.where(usual).orderBy(F.desc("clean"), "word").limit(NEIGHBOURS).collect()
+    # Both are bounded by the number of terms.
+    crowds = near.where(~usual).groupBy("term", "edits").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    crowded = {r.term for r in crowds.where(_clean(F.col("toxic"), F.col("clean"))).collect() if r.edits > fewer_errors(names[r.term])}
+    edits = tuple(fewer_errors(t) if i in crowded else errors_for(t) for i, t in enumerate(names))
+    return Lexicon(names, frozenset(r.word for r in known), edits), tuple(min(r.odds, 4.0) for r in terms)
+
+
+def _clean(toxic: Column, clean: Column) -> Column:
+    """Whether a word is clean more often than CLEAN_SHARE, by the likelihood ratio; one occurrence does not tell."""
+    t, c = toxic.cast("double"), clean.cast("double")
+    n = t + c
+    part = lambda k, share: F.when(k > 0, k * F.ln(k / (n * share))).otherwise(0.0)
+    return (c > n * CLEAN_SHARE) & (2 * (part(c, CLEAN_SHARE) + part(t, 1 - CLEAN_SHARE)) > CLEAN_RATIO)
 
 
 def _close_words(counts: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``word, toxic, clean, term, edits`` of the words close to a term."""
+    schema = "word string, toxic long, clean long, term int, edits int"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            close = [(hit := lexicon.find(w)) is not None and hit[0] > 0 for w in batch.column(0).to_pylist()]
-            yield batch.filter(pa.array(close, pa.bool_()))
+            found = [lexicon.find(w) for w in batch.column(0).to_pylist()]
+            close = pa.array([hit is not None and hit[0] > 0 for hit in found], pa.bool_())
+            hits = [hit for hit in found if hit is not None and hit[0] > 0]
+            arrays = [*batch.filter(close).columns, pa.array([t for _, t in hits], pa.int32()), pa.array([e for e, _ in hits], pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, ["word", "toxic", "clean", "term", "edits"])
 
-    return counts.select("word", "clean").mapInArrow(run, "word string, clean long")
+    return counts.select("word", "toxic", "clean").mapInArrow(run, schema)
 
 
 def with_evidence(docs: DataFrame, text: str, lexicon: Lexicon, weights: tuple[float, ...], keep: list[str]) -> DataFrame:
     """``keep`` columns and ``evidence``, an array of the features."""
     rows = docs.select(*[column(c) for c in keep], whole_text(text).alias("__text"))
     schema = extended(rows.drop("__text").schema, "evidence array<double>")
-    name = f"toxicity {hash((tuple(lexicon.terms), lexicon.known))}"
+    name = f"toxicity {hash((tuple(lexicon.terms), lexicon.known, lexicon.edits))}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_state(name, dict)
@@ -245,14 +269,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple:
 def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``score`` between 0 and 1.
 
-    A null text is an empty one; an empty text scores as one without evidence. Columns of ``docs``
-    named ``score`` are replaced.
+    A null text is an empty one; an empty text scores as one without evidence. Very long texts are read in pieces
+    that end between words. Repeated rows are each scored, alike. An empty table gives an empty one. Columns of
+    ``docs`` named ``score`` are replaced.
     """
     keep = [c for c in docs.columns if c not in (text, "score")]
     rows = docs.select(*[column(c) for c in keep], whole_text(text).alias("__text"))
     schema = extended(rows.drop("__text").schema, "score double")
     lexicon, weights = model.lexicon, model.weights
-    name = f"toxicity {hash((tuple(lexicon.terms), lexicon.known))}"
+    name = f"toxicity {hash((tuple(lexicon.terms), lexicon.known, lexicon.edits))}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_state(name, dict)

@@ -2,6 +2,7 @@ import zlib
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from sluice.llm import toxicity
 from sluice.llm.levenshtein import Lexicon, Trie, errors_for, nearest
@@ -11,12 +12,16 @@ TERMS = ["worthless", "idiot", "scum", "pathetic", "trash", "réeuxan"]
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits between two texts: letters put in, left out, taken for another, or swapped with a neighbour."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
-        row, old = [i], row
+        row = [i]
         for j, y in enumerate(b, 1):
-            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-    return row[-1]
+            row.append(min(rows[-1][j] + 1, row[-1] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                row[-1] = min(row[-1], rows[-2][j - 2] + 1)
+        rows.append(row)
+    return rows[-1][-1]
 
 
 @settings(max_examples=300, deadline=None)
@@ -31,17 +36,26 @@ def test_automaton_agrees_with_the_distance(terms, word, errors):
 def test_prefilter_loses_no_misspelling(term, data):
     letters = list(term)
     for _ in range(data.draw(st.integers(0, errors_for(term)))):
-        at, kind = data.draw(st.integers(0, len(letters) - 1)), data.draw(st.sampled_from("xdi"))
-        letters[at : at + 1] = {"x": ["q"], "d": [], "i": [letters[at], "q"]}[kind]
+        at, kind = data.draw(st.integers(0, len(letters) - 1)), data.draw(st.sampled_from("xdis"))
+        letters[at : at + 1 + (kind == "s")] = {"x": ["q"], "d": [], "i": [letters[at], "q"], "s": letters[at : at + 2][::-1]}[kind]
     word = "".join(letters)
     found = Lexicon(TERMS).find(word)
     assert found is not None and found[0] <= max(1, distance(word, term))
 
 
 def test_signs_for_letters_and_ordinary_words():
-    lexicon = Lexicon(TERMS, frozenset({"trasch"}))
-    assert [lexicon.find(w) for w in ("1d10t", "idioooot", "w0rthle$$", "tra.sh", "scum", "scam", "trasch", "reader", "")][:5] == [(1, 1), (1, 1), (1, 0), (1, 4), (0, 2)]
-    assert [lexicon.find(w) for w in ("scam", "trasch", "reader", "")] == [None] * 4
+    lexicon = Lexicon([*TERMS, "ass"], frozenset({"trasch", "scam"}))
+    assert [lexicon.find(w) for w in ("1d10t", "idioooot", "w0rthle$$", "tra.sh", "scum", "a$$")] == [(1, 1), (1, 1), (1, 0), (1, 4), (0, 2), (1, 6)]
+    assert [lexicon.find(w) for w in ("scam", "trasch", "reader", "as", "asp", "")] == [None] * 6
+
+
+def test_swaps_and_short_terms():
+    lexicon = Lexicon(TERMS)
+    spelled = {"idoit": 1, "pahtetic": 3, "wrothless": 0, "scm": 2, "scumm": 2, "sucm": 2, "tarsh": 4, "wrohtless": 0, "apthetci": 3}
+    assert {w: (lexicon.find(w) or (0, None))[1] for w in spelled} == spelled
+    assert toxicity.token_facts(Lexicon(["ass"]), "a$$!")[:2] == (0, 1)
+    # Terms that ordinary words crowd around allow fewer edits.
+    assert Lexicon(["scum"], edits=(0,)).find("scm") is None and Lexicon(["pathetic"], edits=(1,)).find("apthetci") is None
 
 
 def shares(text):
@@ -99,3 +113,27 @@ def test_odd_rows(odd, nothing, model, spark):
     assert toxicity.fit(odd, none).score(toxicity.np.zeros((1, toxicity.FEATURES))) == 0.5
     one = spark.createDataFrame([(1, 1), (1, 1), (None, 0), (2, None)], "doc_id bigint, toxic int")
     assert toxicity.fit(odd, one).lexicon.terms == []
+
+
+def test_ordinary_words_by_significance(spark):
+    rows = [(0, 1), (1, 0), (0, 2), (1, 2), (5, 1), (6, 3), (40, 2), (0, 50)]
+    found = spark.createDataFrame(rows, "toxic int, clean int").select(toxicity._clean(F.col("toxic"), F.col("clean")).alias("usual")).collect()
+    assert [r.usual for r in found] == [False, False, True, True, False, False, False, True]
+
+
+def test_planted_misspellings(spark):
+    """A spelling that one clean text holds still counts, an ordinary word near a term does not."""
+    bad = ["you idiot there", "what scum they are", "so pathetic of them"]
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        told = bad[i // 3 % 3] if toxic else ["a slum in town", "some day soon"][i % 2]
+        rows.append((i, " ".join([f"w{i % 53}", f"v{i % 47}", told, f"x{i % 31}", f"y{i % 29}"])))
+        labels.append((i, int(toxic)))
+    rows.append((900, "one quiet note about an idoit somewhere"))
+    labels.append((900, 0))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    assert {"idiot", "scum", "pathetic"} <= set(model.lexicon.terms)
+    assert model.lexicon.find("slum") is None and model.lexicon.find("idoit")[0] == 1
+    planted = ["idoit", "idi0t", "idiiiot", "idot", "pahtetic", "pathetc", "phatetic", "scm", "scumm"]
+    assert [w for w in planted if model.lexicon.find(w) is None] == []
