@@ -78,6 +78,8 @@ def token_facts(lexicon: Lexicon, token: str) -> tuple | None:
     if hit is None and any(c.isalpha() for c in token):
         signed = lower.strip("\"“”„«»‹›.,;:?()[]")  # signs at the edges may stand for letters
         hit = lexicon.find(signed) if signed != bare else None
+        if hit is None and signed.endswith("!"):
+            hit = lexicon.find(signed.rstrip("!"))
     opens, closes, reports = any(c in OPENING for c in head), any(c in CLOSING for c in tail), bare in REPORTING
     if hit is None and not (opens or closes or reports):
         return None
