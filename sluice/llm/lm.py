@@ -28,6 +28,7 @@ from sluice.llm.eliasfano import Trie
 GROUP_TOKENS = 3 << 19
 SHARD_ENTRIES = 1 << 20  # distinct n-grams that groups send to a shard, at most about
 HOT_SHARE = 1024  # contexts with more than one in so many tokens are dealt to all shards by their successors
+DISCOUNT = 0.75  # taken off each bigram's count, the usual value for words; the same for all shards and corpus sizes
 WORD_BITS = 40  # of a successor's hash that are sent
 STEP = 1024  # steps of a quantised log10 probability in one unit
 BEGIN, END = xxhash.xxh64_intdigest(b" begin"), xxhash.xxh64_intdigest(b" end")  # no word has a space
@@ -251,11 +252,10 @@ def _spread(keys: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray
     return out
 
 
-def build_trie(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, hot: np.ndarray, hot_totals: np.ndarray) -> Trie:
+def build_trie(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, discount: float, hot: np.ndarray, hot_totals: np.ndarray) -> Trie:
     """The trie of a shard's bigrams (repeats are summed) with discounted, quantised probabilities.
 
-    The discount is estimated from how many bigrams occur once and twice. A context's weight is the
-    probability, times its count, that its discounted successors leave to unigrams.
+    A context's weight is the probability, times its count, that its discounted successors leave to unigrams.
     """
     seen = counts > 0
     contexts, of = np.unique(contexts[seen], return_inverse=True)
@@ -263,8 +263,6 @@ def build_trie(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, hot:
     pairs, inverse = np.unique(of * max(1, len(words)) + successor, return_inverse=True)
     sums = np.bincount(inverse, weights=counts[seen], minlength=len(pairs)) if len(pairs) else np.zeros(0)
     of, successor = pairs // max(1, len(words)), pairs % max(1, len(words))
-    once, twice = int((sums == 1).sum()), int((sums == 2).sum())
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
     totals = np.bincount(of, weights=sums, minlength=len(contexts))
     if len(hot):
         place = np.minimum(np.searchsorted(hot, contexts), len(hot) - 1)
@@ -284,7 +282,7 @@ def unquantise(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** (-(codes.astype(float) - 1) / STEP), 0.0)
 
 
-def answer_pairs(asked: DataFrame, hot: np.ndarray, hot_totals: np.ndarray) -> DataFrame:
+def answer_pairs(asked: DataFrame, discount: float, hot: np.ndarray, hot_totals: np.ndarray) -> DataFrame:
     """Each group's bigrams with their quantised probabilities, and its contexts with their weights."""
     width = WORD_BITS // 8
 
@@ -301,7 +299,7 @@ def answer_pairs(asked: DataFrame, hot: np.ndarray, hot_totals: np.ndarray) -> D
             counts.append(np.frombuffer(r["counts"], "u1" if len(r["counts"]) == len(parts) else "<u4").astype(np.int64))
         out = []
         with tempfile.TemporaryDirectory() as folder:
-            build_trie(np.concatenate(contexts), np.concatenate(words), np.concatenate(counts), hot, hot_totals).save(folder)
+            build_trie(np.concatenate(contexts), np.concatenate(words), np.concatenate(counts), discount, hot, hot_totals).save(folder)
             del contexts, counts
             trie = Trie.load(folder)
             for r, (own, runs), sent in zip(rows, asked_contexts, words):
@@ -361,14 +359,17 @@ def _scores(group: dict, answers: list[dict], total: int, kinds: int, hot: np.nd
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SCORES_ARROW)], schema=SCORES_ARROW)
 
 
-def lm_scores(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def lm_scores(docs: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", discount: float = DISCOUNT) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     The model is learned from the rows where ``learn`` is true. Tokens are the words, lower-cased in A-Z,
     and one end. A null text is an empty one, of one token, the end. Repeated rows are scored, and learned
     from, as often as they occur; a null id is returned as one. An empty table gives an empty
-    result. Without a row to learn from all counts are zero.
+    result. Without a row to learn from all counts are zero. ``discount``, between 0 and 1, is the same for every
+    bigram, so scores do not depend on how many shards there are.
     """
+    if not 0 < discount < 1:
+        raise ValueError("discount must lie between 0 and 1")
     groups = hold(read_groups(docs, learn, text, doc_id), "lm-groups")
     learned = F.size(F.filter("learns", lambda x: x))
     sizes = groups.agg(F.sum("n_learned"), F.sum(F.octet_length("words") / 8), F.sum("n_tokens"), F.sum(learned)).first()
@@ -382,7 +383,7 @@ def lm_scores(docs: DataFrame, learn: Column, text: str = "text", doc_id: str =
     frequent[int(np.uint64(BEGIN).astype(np.int64))] = float(n_texts)
     hot = np.array(sorted(np.array(list(frequent), np.int64).view(np.uint64).tolist()), np.uint64)
     hot_totals = np.array([frequent[int(h)] for h in hot.view(np.int64)])
-    pair_answers = hold(answer_pairs(ask_pairs(groups, hot, pair_shards), hot, hot_totals), "lm-pairs")
+    pair_answers = hold(answer_pairs(ask_pairs(groups, hot, pair_shards), discount, hot, hot_totals), "lm-pairs")
     parts = pair_answers.where("kind = 'told'").select(F.posexplode("amounts").alias("at", "amount")).groupBy("at").agg(F.sum("amount").alias("amount"))
     hot_weights = np.zeros(len(hot))
     for r in parts.collect():

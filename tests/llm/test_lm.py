@@ -48,7 +48,7 @@ def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", lower), "\0end"]
 
 
-def expected(rows, learn):
+def expected(rows, learn, discount=lm.DISCOUNT):
     train = [tokens(t) for i, t in rows if learn(i)]
     counts = Counter(w for t in train for w in t)
     total = sum(counts.values())
@@ -57,8 +57,6 @@ def expected(rows, learn):
     for (a, _), n in pairs.items():
         follows[a] += n
         kinds[a] += 1
-    once, twice = sum(n == 1 for n in pairs.values()), sum(n == 2 for n in pairs.values())
-    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
     unigram = lambda w: (counts[w] + 1) / (total + len(counts) + 1)
 
     def p(a, w):
@@ -106,12 +104,11 @@ def test_many_groups_and_shards(spark, odd, monkeypatch):
     monkeypatch.setattr(lm, "GROUP_TOKENS", 700)
     monkeypatch.setattr(lm, "SHARD_ENTRIES", 60)
     monkeypatch.setattr(lm, "HOT_SHARE", 40)
-    found = lm.lm_scores(frame, learn).collect()
-    # Each shard estimates its own discount here, so only the exact columns are the same.
-    key = lambda r: (str(r[0]), r[1], round(r[4], 6))
-    assert [(*k, round(x, 6)) for *k, x in sorted(([r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score] for r in found), key=key)] == [
-        (*w[:4], round(w[4], 6)) for w in sorted(want, key=key)
-    ]
+    # One discount for all shards: scores do not depend on how many there are.
+    check(lm.lm_scores(frame, learn).collect(), want)
+    check(lm.lm_scores(frame, learn, discount=0.3).collect(), expected(rows, lambda i: i != 7, 0.3))
+    with pytest.raises(ValueError):
+        lm.lm_scores(frame, learn, discount=1.0)
 
 
 def test_probabilities_sum_to_one(spark):
