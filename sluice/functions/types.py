@@ -36,6 +36,28 @@ SCALAR_TYPES = {
     "TIMESTAMPTZ": T.TimestampType(),
 }
 
+# Other names of accepted types.
+ALIASES = {
+    "LOGICAL": "BOOLEAN",
+    "INT1": "TINYINT",
+    "INT2": "SMALLINT",
+    "SHORT": "SMALLINT",
+    "INT4": "INTEGER",
+    "SIGNED": "INTEGER",
+    "INT8": "BIGINT",
+    "LONG": "BIGINT",
+    "INT128": "HUGEINT",
+    "FLOAT4": "FLOAT",
+    "FLOAT8": "DOUBLE",
+    "CHAR": "VARCHAR",
+    "BPCHAR": "VARCHAR",
+    "BYTEA": "BLOB",
+    "BINARY": "BLOB",
+    "VARBINARY": "BLOB",
+    "DATETIME": "TIMESTAMP",
+    "TIMESTAMP_US": "TIMESTAMP",
+}
+
 # Upper bounds of the unsigned types.
 UNSIGNED_MAX = {
     "UTINYINT": 255,
@@ -44,14 +66,16 @@ UNSIGNED_MAX = {
     "UBIGINT": 18446744073709551615,
 }
 
-_DECIMAL = re.compile(r"(?:DECIMAL|NUMERIC)(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?")
-_VARCHAR = re.compile(r"(?:VARCHAR|CHAR)\(\s*\d+\s*\)")
+_DECIMAL = re.compile(r"(?:DECIMAL|NUMERIC|DEC)(?:\(\s*(\d+)\s*(?:,\s*(\d+)\s*)?\))?")
+_VARCHAR = re.compile(r"(?:VARCHAR|CHAR|BPCHAR|TEXT|STRING)\(\s*\d+\s*\)")
 
 
 def canonical(name: str) -> str:
-    """Upper-cased name with single blanks; length arguments of text types are dropped."""
+    """Upper-cased name with single blanks, an alias as what it stands for; length arguments of text types are dropped."""
     text = " ".join(name.strip().upper().split())
-    return "VARCHAR" if _VARCHAR.fullmatch(text) else text
+    if text.endswith("[]"):
+        return canonical(text[:-2]) + "[]"
+    return "VARCHAR" if _VARCHAR.fullmatch(text) else ALIASES.get(text, text)
 
 
 def spark_type(name: str) -> T.DataType:

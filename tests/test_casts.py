@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from sluice.functions.casts import safe_cast
-from sluice.functions.types import spark_type, type_class, type_name
+from sluice.functions.types import ALIASES, spark_type, type_class, type_name
 
 TEXTS = [
     "1.5", "2.5", "-2.5", "0.5", "1e3", "1_000", "1__0", "_1", "1_000.5", "0x1F", "0b101", "-0x1F", " 5 ", "5.", ".5",
@@ -118,3 +118,19 @@ def test_type_names():
     for bad in ["VARCHARS", "INT; DROP TABLE x", "DECIMAL(50,2)", "STRUCT(a INT)"]:
         with pytest.raises(ValueError):
             spark_type(bad)
+
+
+@pytest.mark.parametrize("name", [*ALIASES, "DEC(9,2)", "TEXT(5)", "bpchar(3)", "int8[]"])
+def test_other_names_of_types(spark, name):
+    """Aliases convert like the types they stand for."""
+    cells = ["1", "x", None, "2024-02-29 10:11:12", "3.5", "true"]
+    con = duckdb.connect()
+    listed = name.endswith("[]")
+    meant = con.execute(f"SELECT typeof(CAST(NULL AS {name}))").fetchone()[0]
+    assert type_name(spark_type(name)) == meant
+    if listed or meant == "BLOB":
+        return
+    want = [con.execute(f"SELECT TRY_CAST(? AS {name})", [c]).fetchone()[0] for c in cells]
+    df = spark.createDataFrame(list(enumerate(cells)), "n int, c string")
+    found = df.select("n", safe_cast(F.col("c"), df.schema["c"].dataType, name).alias("v")).orderBy("n").collect()
+    assert [r.v for r in found] == want
