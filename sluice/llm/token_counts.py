@@ -130,52 +130,75 @@ def _add_leaves(parts: list[str], counter: Counter, chars: list[int], tokens: li
 def apply_edits(text: str, tree: SegmentTree, edits: list[Edit], counter: Counter) -> tuple[str, SegmentTree, int]:
     """The edited text, its tree, and how many characters were encoded again.
 
-    Edits are applied from the last to the first, so that the places of those before stay true; they must not
-    overlap. The tree is changed in place, and built anew from its leaves where their number changes.
+    Edits are given in places of the old text and must not overlap; those at one place apply in the order of their ends
+    and texts. One sweep from left to right joins the new text once and encodes each touched run of leaves once, so the work
+    is linear in the text and its edits. The tree is changed in place, and built anew, once, where the number of leaves changes.
     """
-    again = 0
-    ordered = sorted(edits, reverse=True)
-    for (start, end, _), (later, _, _) in zip(ordered[1:], ordered):
-        if end > later:
-            raise ValueError("edits overlap")
+    ordered, kept, done = sorted(edits), [], 0
     for start, end, new in ordered:
         if not 0 <= start <= end <= len(text):
             raise ValueError(f"no place {start} to {end} in a text of {len(text)} characters")
-        text, tree, touched = _apply_one(text, tree, start, end, new, counter)
-        again += touched
-    return text, tree, again
-
-
-def _apply_one(text: str, tree: SegmentTree, start: int, end: int, new: str, counter: Counter) -> tuple[str, SegmentTree, int]:
-    first, begin = tree.leaf_at(max(0, start - LOOKBACK))
-    last, last_begin = tree.leaf_at(end)
-    sizes, leaves = tree.chars, tree.leaves  # the sizes of leaves begin at the tree's width
-    border = last_begin + sizes[tree.width + last]  # of the old text: the end of the leaf that holds the edit's end
-    text = text[:start] + new + text[end:]
-    moved = len(new) - (end - start)
-    # Cut from the first border before the edit until a border of the old leaves is met again.
+        if start < done:
+            raise ValueError("edits overlap")
+        kept += [text[done:start], new]
+        done = end
+    edited = "".join([*kept, text[done:]])
+    runs, at, moved = [], 0, 0
+    while at < len(ordered):
+        run, at, moved = _touched(edited, tree, ordered, at, moved, counter)
+        runs.append(run)
+    again = sum(sum(chars) for _, _, chars, _ in runs)
+    if all(len(chars) == last - first + 1 for first, last, chars, _ in runs):
+        for first, _, chars, tokens in runs:
+            for leaf, (c, t) in enumerate(zip(chars, tokens), first):
+                tree.set(leaf, c, t)
+        return edited, tree, again
+    old_chars, old_tokens = tree.leaf_sums()
+    chars, tokens, done = [], [], 0
+    for first, last, new_chars, new_tokens in runs:
+        chars += old_chars[done:first] + new_chars
+        tokens += old_tokens[done:first] + new_tokens
+        done = last + 1
+    return edited, SegmentTree(chars + old_chars[done:], tokens + old_tokens[done:]), again
+
+
+Run = tuple[int, int, list[int], list[int]]  # first and last old leaf, and the sums of the leaves in their place
+
+
+def _touched(edited: str, tree: SegmentTree, edits: list[Edit], at: int, moved: int, counter: Counter) -> tuple[Run, int, int]:
+    """The run of leaves that the next edit touches, with all further edits in it, the edit after them, and how far they move text.
+
+    ``moved`` says how far the edits before have moved the text. ``tree`` is the one of the old text.
+    """
+    first, begin = tree.leaf_at(max(0, edits[at][0] - LOOKBACK))
+    last, border, reach = first, begin + tree.chars[tree.width + first], 0  # in places of the old text
+    place = start = begin + moved  # in places of the new text
+
+    def widen() -> None:
+        # Take in edits near the run, and leaves until it holds their ends and is not behind the new text.
+        nonlocal last, border, reach, at, moved
+        while True:
+            if at < len(edits) and edits[at][0] - LOOKBACK < border:
+                moved += len(edits[at][2]) - (edits[at][1] - edits[at][0])
+                reach = edits[at][1]
+                at += 1
+            elif (border <= reach or place > border + moved) and last + 1 < tree.leaves:
+                last += 1
+                border += tree.chars[tree.width + last]
+            else:
+                return
+
+    widen()
+    # Cut from the first border before the edits until a border of the old leaves is met again.
     parts: list[str] = []
-    at = begin
-    for part in cut(text, begin):
-        while at > border + moved and last + 1 < leaves:
-            last += 1
-            border += sizes[tree.width + last]
-        if at == border + moved and at >= start + len(new):
+    for part in cut(edited, start):
+        if place == border + moved:
             break
         parts.append(part)
-        at += len(part)
-    while at > border + moved and last + 1 < leaves:
-        last += 1
-        border += sizes[tree.width + last]
-    counts, touched = counter.counts(parts), at - begin
-    new_chars, new_tokens = _dealt([len(p) for p in parts], counts, last - first + 1)
-    if len(new_chars) == last - first + 1:
-        for leaf, (c, t) in enumerate(zip(new_chars, new_tokens), first):
-            tree.set(leaf, c, t)
-        return text, tree, touched
-    chars, tokens = tree.leaf_sums()
-    chars[first : last + 1], tokens[first : last + 1] = new_chars, new_tokens
-    return text, SegmentTree(chars or [0], tokens or [0]), touched
+        place += len(part)
+        widen()
+    chars, tokens = _dealt([len(p) for p in parts], counter.counts(parts), last - first + 1)
+    return (first, last, chars, tokens), at, moved
 
 
 def _dealt(sizes: list[int], counts: list[int], leaves: int) -> tuple[list[int], list[int]]:

@@ -68,6 +68,44 @@ def test_only_the_surroundings_are_encoded_again(counter, plain):
     assert tree.tokens_before(100) == len(plain(new[: tree.leaf_sums()[0][0] and sum(tree.leaf_sums()[0][:100])]))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.randoms(use_true_random=False))
+def test_many_edits_in_one_sweep(counter, plain, rng):
+    """Edits near and far from each other, insertions at one place, whole deletions, and edits of an edited tree."""
+    text, leaf, tc.LEAF = "".join(rng.choice([" ab", "\n", "c", "  ", " the", ".", "'s"]) for _ in range(rng.randint(0, 300))), tc.LEAF, rng.choice([1, 3])
+    try:
+        tree = tc.build(text, counter)
+        for _ in range(3):
+            places = sorted(rng.randint(0, len(text)) for _ in range(2 * rng.randint(0, 12)))
+            edits = [(a, b, rng.choice(["", " ", "x", " y z", "\n\n", "word" * 5])) for a, b in zip(places[::2], places[1::2])]
+            edits += [(places[0], places[0], "q")] * 2 if places else []
+            edits = [(0, len(text), "")] if rng.random() < 0.1 else edits
+            rng.shuffle(edits)
+            new, tree, again = tc.apply_edits(text, tree, edits, counter)
+            assert new == edited(text, edits) and again <= len(new)
+            assert (tree.n_tokens, tree.n_chars) == (len(plain(new)), len(new))
+            rebuilt = tc.SegmentTree(*tree.leaf_sums())
+            assert (rebuilt.chars, rebuilt.tokens) == (tree.chars, tree.tokens)
+            text = new
+    finally:
+        tc.LEAF = leaf
+
+
+def test_edits_cost_linear_work(counter):
+    """No character is encoded twice, and ten times the edits take far less than a hundred times as long."""
+    import time
+
+    text = "some words here and there " * 40_000
+    spent = {}
+    for n in (2_000, 20_000):
+        step, tree = len(text) // n, tc.build(text, counter)
+        started = time.process_time()
+        new, tree, again = tc.apply_edits(text, tree, [(i * step, i * step + 2, "xyz w") for i in range(n)], counter)
+        spent[n] = time.process_time() - started
+        assert tree.n_chars == len(new) and again <= len(new)
+    assert spent[20_000] < 30 * spent[2_000], spent
+
+
 def test_wrong_edits_are_refused(counter):
     tree = tc.build("some words", counter)
     for edits in ([(0, 3, ""), (2, 4, "")], [(5, 99, "")], [(-1, 2, "")], [(4, 2, "")]):
