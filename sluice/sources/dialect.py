@@ -16,6 +16,7 @@ from sluice.sources.sniff import CELL_BITS
 
 DELIMITERS = (",", ";", "\t", "|")
 QUOTES = ('"', "'")
+FEW_FILES = 100_000  # whose first lines are fetched by a set of row numbers
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,9 @@ def bare(text: Column, delimiter: str, quote: str) -> Column:
 
 def width(text: Column, delimiter: str, quote: str = '"') -> Column:
     """Cells of a record."""
-    return F.regexp_count(bare(text, delimiter, quote), F.lit(rf"\Q{delimiter}\E")) + 1
+    cells = bare(text, delimiter, quote)
+    marks = F.octet_length(cells) - F.octet_length(F.replace(cells, F.lit(delimiter), F.lit("")))
+    return (marks / len(delimiter.encode()) + 1).cast("int")
 
 
 def _quoted_cells(text: Column, delimiter: str, quote: str) -> Column:
@@ -50,9 +53,12 @@ def _quoted_cells(text: Column, delimiter: str, quote: str) -> Column:
 
 def survey(raw: DataFrame, delimiter: str | None, quote: str = '"') -> list[FileShape]:
     """The shape of each file of ``raw`` (Spark's text source, lines apart by ``\\n``), in order of their paths."""
-    line = F.regexp_replace(F.rtrim("value", F.lit("\r")), "^﻿", "")
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    told = raw.select(line.alias("line"), F.col("_metadata.file_path").alias("file"), place.alias("place")).where(F.trim("line") != "")
+    line = F.rtrim("value", F.lit("\r"))
+    line = F.when(F.startswith(line, F.lit("\ufeff")), F.substr(line, F.lit(2))).otherwise(line)
+    # Numbers of rows, unlike lines, are kept by hash aggregates, which sort nothing; the first lines are fetched by them later.
+    place = F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    told = raw.select(line.alias("line"), F.col("_metadata.file_path").alias("file"), *place)
+    filled = told.where(F.trim("line") != "")
     pairs = [(delimiter, quote)] if delimiter else [(d, q) for q in QUOTES for d in DELIMITERS]
     measured = [
         F.struct(
@@ -63,9 +69,12 @@ def survey(raw: DataFrame, delimiter: str | None, quote: str = '"') -> list[File
         )
         for at, (d, q) in enumerate(pairs)
     ]
-    # One row for each pair and width of a file: the histogram, with what else the file's lines add to it.
-    counted = told.select("line", "file", "place", F.explode(F.array(*measured)).alias("m")).groupBy("file", "m.pair", "m.width")
-    counted = counted.agg(F.count("*").alias("n"), F.max("m.opens").alias("opens"), F.sum("m.quoted").alias("quoted"), F.min(F.struct("place", "line")).alias("first"))
+    # One row for each pair and width of a split: the histogram, with what else its lines add to it.
+    lines = filled.select("file", "block", "row", *([measured[0].alias("m")] if delimiter else [F.explode(F.array(*measured)).alias("m")]))
+    flat = lines.select("file", "block", "row", "m.pair", "m.width", "m.opens", "m.quoted")
+    counted = flat.groupBy("file", "pair", "width", "block").agg(F.count("*").alias("n"), F.max("opens").alias("opens"), F.sum("quoted").alias("quoted"), F.min("row").alias("row"))
+    first = F.min(F.struct("block", "row")).alias("first")
+    counted = counted.groupBy("file", "pair", "width").agg(F.sum("n").alias("n"), F.max("opens").alias("opens"), F.sum("quoted").alias("quoted"), first)
     # The most frequent width; of a tie the larger one.
     modal = F.max(F.struct("n", "width")).alias("modal")
     by_pair = counted.groupBy("file", "pair").agg(
@@ -74,9 +83,18 @@ def survey(raw: DataFrame, delimiter: str | None, quote: str = '"') -> list[File
     # A pair that never parts a line tells nothing; fewer quoted cells, and later candidates, yield.
     share = F.when(F.col("modal.width") > 1, F.col("modal.n") / F.col("lines")).otherwise(F.lit(0.0))
     likely = F.struct(share.alias("share"), F.col("quoted"), F.col("modal.width").alias("cells"), (-F.col("pair")).alias("rank"))
-    best = by_pair.groupBy("file").agg(F.max_by(F.struct("pair", "opens", "widest", "first"), likely).alias("b"))
-    rows = best.select("file", F.xxhash64("file").alias("key"), "b.pair", "b.opens", "b.widest", F.col("b.first.line").alias("line")).orderBy("file").collect()
-    return [FileShape(r.file, r.key, *pairs[r.pair], r.line, r.opens, r.widest) for r in rows]
+    told_by = F.struct("pair", "opens", "widest", "first")
+    best = by_pair.select("file", told_by.alias("b")) if len(pairs) == 1 else by_pair.groupBy("file").agg(F.max_by(told_by, likely).alias("b"))
+    rows = sorted(best.select("file", F.xxhash64("file").alias("key"), "b.pair", "b.opens", "b.widest", "b.first.row").collect())
+    numbers = [r.row for r in rows]
+    if len(rows) <= FEW_FILES:
+        heads = told.where(F.col("row").isin(numbers))
+    else:
+        heads = told.join(raw.sparkSession.createDataFrame([(n,) for n in numbers], "row long"), "row", "left_semi")
+    text = {r.file: r.line for r in heads.select("file", "line").collect()} if rows else {}
+    if set(text) != {r.file for r in rows}:
+        raise RuntimeError("splits of files changed between two passes")
+    return [FileShape(r.file, r.key, *pairs[r.pair], text[r.file], r.opens, r.widest) for r in rows]
 
 
 def headed(cells: DataFrame, columns: int) -> set[int]:
