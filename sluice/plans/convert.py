@@ -14,6 +14,7 @@ from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StringType
 
 from sluice.functions.types import spark_type
 from sluice.operators import ledger
@@ -28,6 +29,7 @@ from sluice.sources.databases import connection_options, extract_query, extract_
 from sluice.sources.excel import PLACE
 from sluice.sources.files import PLACE as CSV_PLACE
 from sluice.sources.files import FORMAT_OPTIONS, FORMATS, Checked, scan_csv_checked, scan_file
+from sluice.sources.sniff import read_text_as, sniff_types
 
 READ_OPTIONS = (
     "delimiter", "encoding", "header", "multi_line", "types", "sniff", "sniff_rows", "ignore_errors", "schema",
@@ -142,21 +144,36 @@ def infer_file(
 ) -> dict[str, DataFrame]:
     """Profile a source's files before conversion: totals, columns, head rows and warnings as DataFrames.
 
-    ``sample_size=None`` profiles all rows. No row is dropped here, and the delimiter is detected.
+    ``sample_size=None`` profiles all rows. No row is dropped here, and the delimiter is detected. A sample of delimited
+    text has the types that its own rows tell; only the columns that order it are typed on all rows.
     """
     source = ledger.get_source(work.sources, source_id)
     chosen = file_format or source["connector_type"]
     path = source_path(work.root, source["organization_id"], source_id)
     options = {"delimiter": None} if chosen == "csv" else {}
-    checked = checked_scan(work.spark, path, chosen, {"ignore_errors": False, **options})
+    checked = checked_scan(work.spark, path, chosen, {"ignore_errors": False, "sniff": sample_size is None, **options})
+    if checked and sample_size is not None:
+        return _findings(_typed_sample(checked.data, sample_size, order_by), order_by, True)
     df = checked.data if checked else scan_file(work.spark, path, chosen)
     return infer(df, sample_size, order_by)
 
 
+def _typed_sample(text: DataFrame, sample_size: int, order_by: list[str] | None) -> DataFrame:
+    """A sample of text columns, typed by its own rows; the order is that of values, so its columns are typed first, on all rows."""
+    leading = [c for c in order_by or [] if isinstance(text.schema[c].dataType, StringType)]
+    rows = held_sample(read_text_as(text, sniff_types(text, leading), sniffed=True), sample_size, order_by)
+    rest = [f.name for f in rows.schema.fields if isinstance(f.dataType, StringType) and f.name not in leading]
+    return read_text_as(rows, sniff_types(rows, rest), sniffed=True)
+
+
 def infer(df: DataFrame, sample_size: int | None = SAMPLE_ROWS, order_by: list[str] | None = None) -> dict[str, DataFrame]:
     """Totals, columns, head rows and warnings of a table or its sample."""
     rows = df if sample_size is None else held_sample(df, sample_size, order_by)
-    columns = profile(rows, order_by=order_by, formats_of_samples=sample_size is not None)
+    return _findings(rows, order_by, sample_size is not None)
+
+
+def _findings(rows: DataFrame, order_by: list[str] | None, formats_of_samples: bool) -> dict[str, DataFrame]:
+    columns = profile(rows, order_by=order_by, formats_of_samples=formats_of_samples)
     return {"totals": totals(rows), "columns": columns, "head": head(rows, order_by), "warnings": warnings(rows, order_by)}
 
 

@@ -202,6 +202,21 @@ def test_unknown_source(work):
         convert.convert_file(work, "nope")
 
 
+def test_sample_is_typed_by_its_own_rows(work):
+    """Cells beyond the sample decide nothing, but the order of a sample is that of all values."""
+    upload(work, "id;n;day\n" + "".join(f"{i};{'x' if i == 30 else i};2024-01-{i:02d}\n" for i in range(1, 31)))
+
+    def types(**options):
+        return {r.name: r.inferred_type for r in convert.infer_file(work, "f1", **options)["columns"].collect()}
+
+    assert types(sample_size=10) == {"id": "BIGINT", "n": "BIGINT", "day": "DATE"}
+    assert types(sample_size=None) == {"id": "BIGINT", "n": "VARCHAR", "day": "DATE"}
+    found = convert.infer_file(work, "f1", sample_size=10, order_by=["id"])
+    assert [r.id for r in found["head"].collect()] == list(range(1, 11))  # not 1, 10, 11 as texts
+    assert {r.name: r.inferred_type for r in found["columns"].collect()}["n"] == "BIGINT"
+    assert types(sample_size=10, order_by=["n"])["n"] == "VARCHAR"
+
+
 def test_infer(work):
     upload(work, "id;mail\n" + "".join(f"{i};a{i}@b.co\n" for i in range(30)))
     found = convert.infer_file(work, "f1", order_by=["id"])
