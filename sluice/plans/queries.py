@@ -37,6 +37,11 @@ def _written_csv(df: DataFrame, **options) -> str:
     return path
 
 
+def _in_few_files(df: DataFrame) -> DataFrame:
+    """Two files, or more for larger tables: each is read by several tasks and written by one that reads two splits."""
+    return df.coalesce(max(2, math.ceil(df.rdd.getNumPartitions() / 2)))
+
+
 def scan_csv(spark, sf_dir):
     return files.scan_csv(spark, _written_csv(read(spark, sf_dir, "orders")))
 
@@ -58,7 +63,7 @@ def scan_csv_quoted(spark, sf_dir):
 
 def scan_csv_breaks(spark, sf_dir):
     """Whole texts with quotes and line breaks, read with default options; files are split over several tasks."""
-    path = _written_csv(read(spark, sf_dir, "documents").coalesce(2), emptyValue='""')
+    path = _written_csv(_in_few_files(read(spark, sf_dir, "documents")), emptyValue='""')
     return files.scan_csv(spark, path, types={"text": "VARCHAR", "lang": "VARCHAR", "source": "VARCHAR"})
 
 

@@ -24,3 +24,12 @@ def test_arrays_grow_in_number(spark, written, monkeypatch, name, table, keys, m
     arrays = [a.count(b'"event_id"') or a.count(b'"l_orderkey"') for f in written() if f.startswith(b"[") for a in f.split(b"[{")[1:]]
     assert len(arrays) > 1
     assert max(arrays) < 2 * most
+
+
+@pytest.mark.parametrize("name", ["scan_csv_breaks"])
+def test_files_grow_in_number(spark, written, monkeypatch, name):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(queries, "read", lambda session, sf_dir, table: docs.repartition(9))
+    found = queries.QUERIES[name](spark, SF)
+    assert sorted(r.doc_id for r in found.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert len(written()) == 5
