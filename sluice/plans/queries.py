@@ -160,7 +160,7 @@ def scan_json_concatenated(spark, sf_dir):
     """Indented objects, many in one file, whose texts hold braces, quotes and line breaks."""
     path = scratch_dir(spark, "json")
     docs = read(spark, sf_dir, "documents").select("doc_id", F.struct("lang", "source").alias("about"), F.concat_ws("", F.lit('}{"'), "text").alias("text"))
-    docs.coalesce(2).select(F.to_json(F.struct(*docs.columns), {"pretty": "true"}).alias("value")).write.text(path)
+    _in_few_files(docs).select(F.to_json(F.struct(*docs.columns), {"pretty": "true"}).alias("value")).write.text(path)
     df = files.scan_json(spark, path)
     return df.select("doc_id", "about.lang", "about.source", F.expr("substring(text, 4)").alias("text"))
 

@@ -26,7 +26,7 @@ def test_arrays_grow_in_number(spark, written, monkeypatch, name, table, keys, m
     assert max(arrays) < 2 * most
 
 
-@pytest.mark.parametrize("name", ["scan_csv_breaks"])
+@pytest.mark.parametrize("name", ["scan_csv_breaks", "scan_json_concatenated"])
 def test_files_grow_in_number(spark, written, monkeypatch, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     monkeypatch.setattr(queries, "read", lambda session, sf_dir, table: docs.repartition(9))
