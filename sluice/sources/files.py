@@ -98,7 +98,7 @@ def _csv_text(spark: SparkSession, path: str, delimiter, header, encoding, multi
     longer = header is not False and any((f.opens and multi_line) or f.key not in bare and f.width > len(_names(f, True, 0)) for f in shapes)
     for shape in shapes:
         records_needed = encoding is not None or (shape.opens and multi_line)
-        if raw and header is not False:  # Spark's reader cuts long rows without a word
+        if raw and placed and header is not False:  # Spark's reader tells the text of long rows, but no place
             records_needed |= shape.key not in bare and shape.width > len(_names(shape, True, 0))
         parts.setdefault((records_needed, shape.delimiter, shape.quote, header is not False and shape.key not in bare), []).append(shape)
     if placed and len(parts) > 1 or any(key[0] for key in parts):
@@ -158,6 +158,9 @@ def _names(shape: FileShape, header: bool, width: int) -> list[str]:
     return unique_names(_cells(shape.header, shape.delimiter, shape.quote)) if header else [f"column{i}" for i in range(width)]
 
 
+MISFIT = "__misfit"  # the text of a row with more or fewer cells than its header
+
+
 def _by_reader(spark, shapes: list[FileShape], mark: str, quote: str, header: bool, base, raw, whole) -> list[DataFrame]:
     """Files whose records are lines, by Spark's reader: one read for each header."""
     groups: dict[str | None, list[FileShape]] = {}
@@ -166,10 +169,19 @@ def _by_reader(spark, shapes: list[FileShape], mark: str, quote: str, header: bo
     out = []
     for files in groups.values():
         names = _names(files[0], header, max(f.width for f in files))
-        reader = _csv_reader(spark, mark, quote).option("header", header).schema(_text_schema(names))
+        widest = max(f.width for f in files)
+        long = raw is not None and header and widest > len(names)
+        reader = _csv_reader(spark, mark, quote).option("header", header).option("maxColumns", max(20480, widest))
+        reader = reader.schema(_text_schema(names + [MISFIT] if long else names))
+        reader = reader.option("columnNameOfCorruptRecord", MISFIT) if long else reader
         reader = reader.option("basePath", base) if base else reader
         cells = _no_empty_cells(reader.csv(whole if whole and len(groups) == 1 else [_plain_path(f.path) for f in files]))
-        out.append(cells if raw is None else cells.withColumn(raw, F.lit(None).cast("string")))
+        if raw is not None:
+            # Spark tells rows of another width only if it reads all columns, so these go with the text, cut to nothing.
+            told = F.concat(column(MISFIT), F.left(F.concat_ws("", *[column(c) for c in names]), F.lit(0))) if long else None
+            text = F.when(dialect_width(column(MISFIT), mark, quote) > len(names), told) if long else F.lit(None).cast("string")
+            cells = cells.withColumn(raw, text).drop(MISFIT)
+        out.append(cells)
     return out
 
 

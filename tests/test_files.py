@@ -225,3 +225,17 @@ def test_csv_without_header_is_as_wide_as_its_widest_line(spark, tmp_path):
     df = files.scan_csv(spark, str(tmp_path), header=False)
     assert len(df.columns) == 4 and df.count() == 1502
     assert [tuple(r) for r in df.where("column2 IS NOT NULL").collect()] == [("3", "a,b", 4, None)]
+
+
+def test_long_rows_by_the_reader(spark, tmp_path):
+    """Rows of more cells than their header are told without cutting all records in Python."""
+    (tmp_path / "a.csv").write_text('a,b\n1,2\n3,4,5\n,6,7\n"x,y",8,9\n10\n"p,q",r\n')
+    (tmp_path / "b.csv").write_text("b,a\r\n1,2,,\r\n3,4\r\n")
+    checked = files.scan_csv_checked(spark, str(tmp_path), header=True)
+    told = checked.quarantine()
+    assert sorted(r.row for r in told.collect()) == ['"x,y",8,9', ",6,7", "1,2,,", "3,4,5"]
+    assert {(r.reason, r.dropped) for r in told.collect()} == {("more cells than the header", False)}
+    rows = {(r.a, r.b) for r in checked.data.collect()}
+    assert rows == {("1", "2"), ("3", "4"), (None, "6"), ("x,y", "8"), ("10", None), ("p,q", "r"), ("2", "1"), ("4", "3")}
+    assert sorted(r.row for r in files.long_rows(spark, f"{tmp_path}/a.csv").collect()) == ['"x,y",8,9', ",6,7", "3,4,5"]
+    assert "MapInArrow" not in told._jdf.queryExecution().toString()
