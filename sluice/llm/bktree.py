@@ -1,13 +1,13 @@
-"""BK-trees over 64-bit fingerprints."""
+"""BK-trees over fingerprints, of 64 bits unless a wider mask is given."""
 
 from __future__ import annotations
 
 BITS = (1 << 64) - 1
 
 
-def hamming(a: int, b: int) -> int:
-    """Differing bits of two 64-bit numbers, given signed or unsigned."""
-    return ((a ^ b) & BITS).bit_count()
+def hamming(a: int, b: int, bits: int = BITS) -> int:
+    """Differing bits of two 64-bit numbers, given signed or unsigned; ``bits`` masks those of wider ones."""
+    return ((a ^ b) & bits).bit_count()
 
 
 class BkTree:
@@ -17,8 +17,8 @@ class BkTree:
     whose distance differs by at most ``radius`` from the query's distance to the parent.
     """
 
-    def __init__(self, radius: int):
-        self.radius = radius
+    def __init__(self, radius: int, bits: int = BITS):
+        self.radius, self.bits = radius, bits
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
@@ -28,7 +28,7 @@ class BkTree:
         todo = [0] if self.values else []
         while todo:
             at = todo.pop()
-            distance = hamming(self.values[at], value)
+            distance = hamming(self.values[at], value, self.bits)
             if distance <= radius:
                 found.append(at)
             edges = self.children[at]
@@ -46,16 +46,16 @@ class BkTree:
         at = 0
         while at != place:
             edges = self.children[at]
-            at = edges.setdefault(hamming(self.values[at], value), place)
+            at = edges.setdefault(hamming(self.values[at], value, self.bits), place)
         return place
 
 
-def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
+def forest(values: list[int], radius: int, bits: int = BITS) -> list[tuple[int, int]]:
     """Links (value, root) that connect exactly what chains of distances within ``radius`` connect.
 
     One link at most per value, whatever the number of close pairs.
     """
-    tree, parent = BkTree(radius), []
+    tree, parent = BkTree(radius, bits), []
 
     def root(at: int) -> int:
         while parent[at] != at:

@@ -1,11 +1,15 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands, BK-trees, exact sets.
-
-Texts that share a band of minima are candidates; a band links them to its smallest row, never in
-pairs. What these links connect is a candidate group, and every pair that shares a band lies in one.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash shards, BK-trees, exact sets.
+
+The votes of a text's shingles on 256 bits are its SimHash; the signs of the first 192 are its fingerprint. A
+fingerprint of 64 bits has no block that texts at a similarity of 0.8 surely share, so shards are keyed by the bits
+least likely to differ: the votes are turned by a Hadamard transform with random signs, each time anew, and the
+clearest bit of a turn, with its value, is what near texts agree in. Two such bits, 18 binary digits, name a shard; a
+text goes to ``SHARDS`` of them. Each shard is a BK-tree with a wide radius; its links connect candidate groups. A
+shard with more than ``CROWD`` fingerprints, copies of one text mostly, is a group as it is, which loses nothing.
 A group's texts meet in one task, or, if there are many, in one task per pair of chunks; there a
-BK-tree over SimHash fingerprints with a wide radius rules pairs out and the sets of shingles decide.
-Only the bands and the radius can miss a pair. At a similarity of 0.8 the bands are expected to miss three in
-a million, fewer above; the radius missed none of 45,346 pairs of tests/llm/test_jaccard.py (16 bits at most).
+BK-tree over 64-bit fingerprints rules pairs out and the sets of shingles decide.
+Only the shards and the radii can miss a pair. At a similarity of 0.8 the shards are expected to miss a few in
+a million (calculated, see README), fewer above; the 64-bit radius missed none of 45,346 pairs of tests/llm/test_jaccard.py (16 bits at most).
 """
 
 from __future__ import annotations
@@ -14,50 +18,127 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.functions.names import column
-from sluice.llm.bktree import BkTree
+from sluice.llm.bktree import BkTree, forest
 from sluice.llm.common import among, hold, slices, whole_text, without
 from sluice.llm.components import components
-from sluice.llm.simhash import fingerprint, shingle_hashes
+from sluice.llm.simhash import PIECE, _links, fingerprint, shingle_hashes
 
-ROWS, BANDS = 5, 32  # minima of a band, bands
+VOTES = 256  # bits that shingles vote on, a power of two
+PRINT = 192  # bits of them that are the fingerprint, in words of 64
+SHARDS = 96  # shards of a text
+WIDE = 62  # bits of PRINT; texts at 0.8 differ in 29 on average, with a deviation of 5, unrelated ones in 96, with one of 7
+CROWD = 512  # fingerprints of a shard that get a tree; unrelated texts would fill shards so only beyond 100 million
 RADIUS = 28  # bits; texts at 0.8 differ in 10 on average, with a deviation of 3, unrelated ones in 32
 CHUNK = 256  # texts of a chunk of a large candidate group
-BLOCK = 256  # shingles whose minima are taken together
 
 
-def _multipliers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(42)
-    masks, factors = rng.integers(0, 1 << 64, (2, count), np.uint64)
-    return masks, factors | np.uint64(1)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """For each bit, how many hashes set it less how many do not; bits behind the first 64 are of mixed hashes."""
+    counts = np.zeros(VOTES, np.int64)
+    for start in range(0, len(hashes), PIECE):
+        part = hashes[start : start + PIECE]
+        more = [_mixed(part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(1, VOTES // 64)]
+        wide = np.stack([part, *more], axis=1).view(np.uint8)
+        counts += np.unpackbits(wide, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return 2 * counts - len(hashes)
+
+
+def print_words(counts: np.ndarray) -> np.ndarray:
+    """The fingerprints of rows of votes, as rows of signed words."""
+    return np.packbits(counts[:, :PRINT] > 0, axis=1, bitorder="little").view(np.int64)
+
 
+def cells(counts: np.ndarray) -> np.ndarray:
+    """The shards of rows of votes. Sums of whole numbers are exact here, so equal votes have equal shards."""
+    turn = np.ones((1, 1), np.float32)
+    while len(turn) < VOTES:
+        turn = np.block([[turn, turn], [turn, -turn]])
+    signs = np.random.default_rng(42).choice(np.array([-1, 1], np.float32), (2 * SHARDS, VOTES))
+    counts, every = counts.astype(np.float32), np.arange(len(counts))
+    found = np.empty((len(counts), 2 * SHARDS), np.int32)
+    for k in range(2 * SHARDS):
+        turned = counts * signs[k] @ turn
+        clearest = np.abs(turned).argmax(axis=1)
+        found[:, k] = 2 * clearest + (turned[every, clearest] > 0)
+    values = 2 * VOTES
+    return (np.arange(SHARDS, dtype=np.int32) * values + found[:, ::2]) * values + found[:, 1::2]
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each band of minima of a set of hashes; one key if the set is empty."""
-    if not len(hashes):
-        return [0]
-    masks, factors = _multipliers(ROWS * BANDS)
-    lowest = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), BLOCK):
-        mixed = (hashes[start : start + BLOCK, None] ^ masks) * factors
-        np.minimum(lowest, mixed.min(axis=0), out=lowest)
-    data, width = lowest.tobytes(), 8 * ROWS
-    keys = [xxhash.xxh64_intdigest(data[width * i : width * (i + 1)], i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
 
+WORDS = [f"w{i}" for i in range(PRINT // 64)]  # columns of a fingerprint; the first names its text
 
-def _bands(rows: DataFrame, shingle: int) -> DataFrame:
-    """``(at, key)``: each row of ``(at, text)`` once per band."""
+
+def _marked(rows: DataFrame, shingle: int) -> DataFrame:
+    """``at``, the fingerprint's words and ``cells`` of each row of ``(at, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [band_keys(np.unique(shingle_hashes(t, shingle))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["at", "keys"])
+            if not batch.num_rows:
+                continue
+            counts = np.stack([votes(np.unique(shingle_hashes(t, shingle))) for t in batch.column(1).to_pylist()])
+            words = [pa.array(w, pa.int64()) for w in print_words(counts).T]
+            shards = pa.array(cells(counts).reshape(-1), pa.int32())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * SHARDS, pa.int32()), shards)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *words, lists], ["at", *WORDS, "cells"])
+
+    return rows.mapInArrow(run, "at long, " + "".join(f"{w} long, " for w in WORDS) + "cells array<int>")
+
+
+def run_links(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Links between first words of fingerprints, rows of ``words``, for each shard, a run of rows."""
+    sizes, links = ends - starts, []
+    two = starts[sizes == 2]  # a tree of one
+    apart = np.bitwise_count((words[two] ^ words[two + 1]).view(np.uint64)).sum(axis=1)
+    near = two[apart <= WIDE]
+    links += zip(words[near, 0].tolist(), words[near + 1, 0].tolist())
+    for start, end in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist()):
+        if end - start > CROWD:
+            links += [(w, int(words[start, 0])) for w in words[start + 1 : end, 0].tolist()]
+            continue
+        data, width = words[start:end].tobytes(), PRINT // 8
+        values = [int.from_bytes(data[i : i + width], "little") for i in range(0, len(data), width)]
+        first = dict(zip(values, words[start:end, 0].tolist()))
+        links += [(first[a], first[b]) for a, b in forest(list(first), WIDE, (1 << PRINT) - 1)]
+    return links
+
 
-    return rows.mapInArrow(run, "at long, keys array<long>").select("at", F.explode("keys").alias("key"))
+def _shard_links(ways: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of shards: rows of ``(shard, words)`` stand shard by shard, one shard in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, words, crowded = np.zeros(0, np.int32), np.zeros((0, len(WORDS)), np.int64), False
+        for batch in batches:
+            shards = np.append(shards, batch.column(0).to_numpy())
+            words = np.concatenate([words, np.stack([batch.column(1 + i).to_numpy() for i in range(len(WORDS))], axis=1)])
+            if not len(shards):
+                continue
+            cuts = np.append(np.flatnonzero(np.diff(shards, prepend=shards[0] - 1)), len(shards))
+            starts, ends, links = cuts[:-1], cuts[1:], []
+            if crowded:
+                # All rows of this shard are linked to its first one, the only one kept.
+                links += [(w, int(words[0, 0])) for w in words[1 : ends[0], 0].tolist()]
+                starts, ends = starts[1:], ends[1:]
+            if len(starts):
+                links += run_links(words, starts[:-1], ends[:-1])
+                crowded = ends[-1] - starts[-1] > CROWD
+                if crowded:
+                    links += run_links(words, starts[-1:], ends[-1:])
+                shards, words = shards[starts[-1] :], words[starts[-1] :]
+            if crowded:
+                shards, words = shards[:1], words[:1]
+            yield _links(links)
+        if len(shards) and not crowded:
+            yield _links(run_links(words, np.array([0]), np.array([len(shards)])))
+
+    return ways.mapInArrow(run, "a long, b long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -105,10 +186,17 @@ def verified(sides: list[int], ats: list[int], texts: list[str], own: bool, shin
 
 def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links ``(a, b)`` between rows of ``(at, text)`` that connect what similar pairs connect."""
-    bands = hold(_bands(rows, shingle), "jaccard-bands")
-    shared = bands.groupBy("key").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("key", "low")
-    stars = bands.join(shared, "key").where("at <> low").select("at", "low").distinct()
-    groups = hold(components(stars, "at", "low", "jaccard-groups").withColumnRenamed("node", "at"), "jaccard-groups")
+    marked = hold(_marked(rows, shingle), "jaccard-prints")
+    # Equal fingerprints go to the shards once.
+    firsts = marked.groupBy(WORDS).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    again = hold(marked.join(firsts.where("n > 1"), WORDS).where("at <> first").select("at"), "jaccard-again")
+    ways = without(marked, again, "at").select(F.explode("cells").alias("shard"), *WORDS)
+    found = _shard_links(ways.repartition("shard").sortWithinPartitions("shard"))
+    linked = hold(components(hold(found, "jaccard-near"), "a", "b", "jaccard-groups"), "jaccard-groups")
+    # Texts that share the first word of their fingerprints are candidates too, linked or not.
+    shared = marked.groupBy("w0").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w0").alias("node"), F.col("w0").alias("root"))
+    named = hold(linked.union(shared.join(linked, "node", "left_anti")), "jaccard-groups").withColumnRenamed("node", "w0")
+    groups = hold(among(marked.select("at", "w0"), named, "w0").select("root", "at"), "jaccard-groups")
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
     placed = groups.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("at"), F.col("chunks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, "chunk").alias("low"), F.greatest(c, "chunk").alias("high")))

@@ -3,8 +3,12 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from sluice.llm import jaccard
+from sluice.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.01"
 
@@ -73,3 +77,69 @@ def test_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     found = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
     assert found == brute_force([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_shards_of_similar_sets():
+    """Pairs at 0.8 share shards and are near there, unrelated ones are not; copies of a set share all."""
+    rng = np.random.default_rng(3)
+    for size, other, shared in ((4, 5, 4), (9, 9, 8), (90, 90, 80), (900, 720, 720)):
+        sets = [rng.integers(0, 1 << 64, size + other - shared, np.uint64) for _ in range(300)]
+        one, two = (np.stack([jaccard.votes(s) for s in some]) for some in ([s[:size] for s in sets], [s[size - shared :] for s in sets]))
+        words = [jaccard.print_words(v) for v in (one, two)]
+        assert [w for w in words[0][:, 0].tolist()] == [fingerprint(s[:size]) for s in sets]
+        shards = [jaccard.cells(v) for v in (one, two)]
+        assert (shards[0] == shards[1]).any(axis=1).all()
+        assert np.bitwise_count((words[0] ^ words[1]).view(np.uint64)).sum(axis=1).max() <= jaccard.WIDE
+        assert (shards[0] == np.roll(shards[1], 1, axis=0)).sum() < 20
+        assert np.array_equal(jaccard.cells(one[:1]), shards[0][:1])
+    assert jaccard.cells(jaccard.votes(np.zeros(0, np.uint64))[None]).shape == (1, jaccard.SHARDS)
+
+
+def connected(links):
+    groups = {}
+    for a, b in links:
+        both = groups.get(a, {a}) | groups.get(b, {b})
+        groups.update((i, both) for i in both)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+class Ways:
+    """Rows that come in batches of seven."""
+
+    def __init__(self, rows):
+        self.rows = rows
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        parts = [self.rows[i : i + 7] for i in range(0, len(self.rows), 7)]
+        batches = (pa.RecordBatch.from_arrays([pa.array([r[0] for r in p], pa.int32()), *[pa.array([r[1][i] for r in p], pa.int64()) for i in range(3)]], ["shard", *jaccard.WORDS]) for p in parts)
+        return [link for b in run(batches) for link in zip(*(c.to_pylist() for c in b.columns))]
+
+
+def test_runs_of_shards(monkeypatch):
+    """Links of shards that go over several batches connect what pairs within the radius connect; crowded shards are one group."""
+    rng, rows = random.Random(4), []
+    for shard, size in enumerate((1, 2, 2, 3, 12, 1, 7, 25, 1, 14, 2)):
+        base = rng.getrandbits(192)
+        for _ in range(size):
+            value = base if rng.random() < 0.6 else rng.getrandbits(192)
+            for bit in rng.sample(range(192), rng.choice((0, 5, 40))):
+                value ^= 1 << bit
+            rows.append((shard, value))
+    signed = [(s, np.frombuffer(v.to_bytes(24, "little"), np.int64).tolist()) for s, v in rows]
+    first = dict(zip([v for _, v in rows], [w[0] for _, w in signed]))
+
+    def want(crowd):
+        sizes = Counter(s for s, _ in rows)
+        return connected((first[a], first[b]) for s, a in rows for t, b in rows if s == t and (sizes[s] > crowd or (a ^ b).bit_count() <= jaccard.WIDE))
+
+    for crowd in (512, 10, 4):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        assert connected(jaccard._shard_links(Ways(signed))) == want(crowd)
+    assert want(4) != want(512)
+
+
+def test_crowded_shards(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CROWD", 5)
+    rows = edited_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == brute_force(rows)
