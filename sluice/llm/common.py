@@ -75,10 +75,10 @@ def without(rows: DataFrame, gone: DataFrame, key: str, limit: int = 2_000_000)
     return rows.join(F.broadcast(gone) if few else gone, key, "left_anti")
 
 
-def among(rows: DataFrame, wanted: DataFrame, key: str, limit: int = 2_000_000) -> DataFrame:
-    """``rows`` joined to a written table with one row per key, in the same two ways as ``without``."""
+def among(rows: DataFrame, wanted: DataFrame, key: str, limit: int = 2_000_000, how: str = "inner") -> DataFrame:
+    """``rows`` joined to a written table with few rows per key, in the same two ways as ``without``."""
     few = wanted.limit(limit + 1).count() <= limit
-    return rows.join(F.broadcast(wanted) if few else wanted, key)
+    return rows.join(F.broadcast(wanted) if few else wanted, key, how)
 
 
 def with_small(df: DataFrame, small: DataFrame, key: str, limit: int = 10_000, salts: int = 32) -> DataFrame:

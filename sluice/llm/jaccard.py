@@ -6,8 +6,9 @@ least likely to differ: the votes are turned by a Hadamard transform with random
 clearest bit of a turn, with its value, is what near texts agree in. Two such bits, 18 binary digits, name a shard; a
 text goes to ``SHARDS`` of them. Each shard is a BK-tree with a wide radius; its links connect candidate groups. A
 shard with more than ``CROWD`` fingerprints, copies of one text mostly, is a group as it is, which loses nothing.
-A group's texts meet in one task, or, if there are many, in one task per pair of chunks; there a
-BK-tree over 64-bit fingerprints rules pairs out and the sets of shingles decide.
+A group's texts meet in one task, or, if there are many, chunk by chunk with a few texts of the whole group, which
+connect most of what belongs together; there a BK-tree over 64-bit fingerprints rules pairs out and the sets of
+shingles decide. What is then still apart in a group meets in one task per pair of chunks; chunks of one class do not.
 Only the shards and the radii can miss a pair. At a similarity of 0.8 the shards are expected to miss a few in
 a million (calculated, see README), fewer above; the 64-bit radius missed none of 45,346 pairs of tests/llm/test_jaccard.py (16 bits at most).
 """
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.functions.names import column
@@ -29,10 +31,13 @@ from sluice.llm.simhash import PIECE, _links, fingerprint, shingle_hashes
 VOTES = 256  # bits that shingles vote on, a power of two
 PRINT = 192  # bits of them that are the fingerprint, in words of 64
 SHARDS = 96  # shards of a text
+FIRST = 12  # shards of a text that are linked before the others
 WIDE = 62  # bits of PRINT; texts at 0.8 differ in 29 on average, with a deviation of 5, unrelated ones in 96, with one of 7
 CROWD = 512  # fingerprints of a shard that get a tree; unrelated texts would fill shards so only beyond 100 million
 RADIUS = 28  # bits; texts at 0.8 differ in 10 on average, with a deviation of 3, unrelated ones in 32
 CHUNK = 256  # texts of a chunk of a large candidate group
+PIVOTS = 8  # texts of a large candidate group, at most, that each of its chunks is compared with
+POOL = -1  # the lot of a group's small classes; other lots are named by a row, and rows by numbers from 0
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -93,38 +98,52 @@ def _marked(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def run_links(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-    """Links between first words of fingerprints, rows of ``words``, for each shard, a run of rows."""
+    """Links between names, the last column, of fingerprints, the others of ``words``, for each shard, a run of rows."""
+    words, names = words[:, :-1], words[:, -1]
     sizes, links = ends - starts, []
     two = starts[sizes == 2]  # a tree of one
     apart = np.bitwise_count((words[two] ^ words[two + 1]).view(np.uint64)).sum(axis=1)
-    near = two[apart <= WIDE]
-    links += zip(words[near, 0].tolist(), words[near + 1, 0].tolist())
+    near = two[(apart <= WIDE) & (names[two] != names[two + 1])]
+    links += zip(names[near].tolist(), names[near + 1].tolist())
     for start, end in zip(starts[sizes > 2].tolist(), ends[sizes > 2].tolist()):
         if end - start > CROWD:
-            links += [(w, int(words[start, 0])) for w in words[start + 1 : end, 0].tolist()]
+            links += _to_first(names[start:end])
+            continue
+        if (names[start:end] == names[start]).all():
             continue
         data, width = words[start:end].tobytes(), PRINT // 8
         values = [int.from_bytes(data[i : i + width], "little") for i in range(0, len(data), width)]
-        first = dict(zip(values, words[start:end, 0].tolist()))
-        links += [(first[a], first[b]) for a, b in forest(list(first), WIDE, (1 << PRINT) - 1)]
+        name = dict(zip(values, names[start:end].tolist()))
+        close = {(name[a], name[b]) for a, b in forest(list(name), WIDE, (1 << PRINT) - 1)}
+        links += [(a, b) for a, b in close if a != b]
     return links
 
 
+def _to_first(names: np.ndarray) -> list[tuple[int, int]]:
+    return [(a, int(names[0])) for a in np.unique(names).tolist() if a != names[0]]
+
+
 def _shard_links(ways: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` of shards: rows of ``(shard, words)`` stand shard by shard, one shard in one task."""
+    """Links ``(a, b)`` of shards: rows of ``(shard, words)`` stand shard by shard, one shard in one task.
+
+    A row is named by its first word, or by a further column where that is not null; rows of one name are linked already.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, words, crowded = np.zeros(0, np.int32), np.zeros((0, len(WORDS)), np.int64), False
+        shards, words, crowded = np.zeros(0, np.int32), np.zeros((0, len(WORDS) + 1), np.int64), False
         for batch in batches:
             shards = np.append(shards, batch.column(0).to_numpy())
-            words = np.concatenate([words, np.stack([batch.column(1 + i).to_numpy() for i in range(len(WORDS))], axis=1)])
+            own = [batch.column(1 + i).to_numpy() for i in range(len(WORDS))]
+            named = batch.num_columns > 1 + len(WORDS)
+            own.append(pc.coalesce(batch.column(1 + len(WORDS)), batch.column(1)).to_numpy() if named else own[0])
+            words = np.concatenate([words, np.stack(own, axis=1)])
             if not len(shards):
                 continue
             cuts = np.append(np.flatnonzero(np.diff(shards, prepend=shards[0] - 1)), len(shards))
             starts, ends, links = cuts[:-1], cuts[1:], []
             if crowded:
                 # All rows of this shard are linked to its first one, the only one kept.
-                links += [(w, int(words[0, 0])) for w in words[1 : ends[0], 0].tolist()]
+                links += _to_first(words[: ends[0], -1])
                 starts, ends = starts[1:], ends[1:]
             if len(starts):
                 links += run_links(words, starts[:-1], ends[:-1])
@@ -149,11 +168,16 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def verified(sides: list[int], ats: list[int], texts: list[str], own: bool, shingle: int, similarity: float) -> list[tuple[int, int]]:
-    """Links that connect what pairs of similar texts connect: any pairs, or those across the sides only."""
+def verified(sides: list[int], ats: list[int], kinds: list[int], texts: list[str], own: bool, shingle: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what pairs of similar texts connect: any pairs, or those across the sides only.
+
+    Texts of one kind are connected already.
+    """
     sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
     prints = [fingerprint(s) & (1 << 64) - 1 for s in sets]  # unsigned, so that all differing bits are counted
-    tree, stored, parent, links = BkTree(RADIUS), {}, list(range(len(ats))), []
+    tree, stored, links = BkTree(RADIUS), {}, []
+    firsts: dict[int, int] = {}
+    parent = [firsts.setdefault(kind, i) for i, kind in enumerate(kinds)]
 
     def root(at: int) -> int:
         while parent[at] != at:
@@ -184,39 +208,101 @@ def verified(sides: list[int], ats: list[int], texts: list[str], own: bool, shin
     return links
 
 
+def _linked(ways: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``(node, root)`` of the links of shards and those known before, a written table."""
+    found = hold(_shard_links(ways.repartition("shard").sortWithinPartitions("shard")), "jaccard-near")
+    return hold(components(found if known is None else found.union(known), "a", "b", "jaccard-groups"), "jaccard-groups")
+
+
 def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links ``(a, b)`` between rows of ``(at, text)`` that connect what similar pairs connect."""
     marked = hold(_marked(rows, shingle), "jaccard-prints")
     # Equal fingerprints go to the shards once.
     firsts = marked.groupBy(WORDS).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     again = hold(marked.join(firsts.where("n > 1"), WORDS).where("at <> first").select("at"), "jaccard-again")
-    ways = without(marked, again, "at").select(F.explode("cells").alias("shard"), *WORDS)
-    found = _shard_links(ways.repartition("shard").sortWithinPartitions("shard"))
-    linked = hold(components(hold(found, "jaccard-near"), "a", "b", "jaccard-groups"), "jaccard-groups")
+    once = without(marked, again, "at")
+    linked = _linked(once.select(F.explode(F.slice("cells", 1, FIRST)).alias("shard"), *WORDS))
+    # Near copies share most shards: the other shards link what the first ones left apart, not all texts once more.
+    named = among(once, linked.withColumnsRenamed({"node": "w0", "root": "name"}), "w0", how="left")
+    more = named.select(F.explode(F.slice("cells", FIRST + 1, SHARDS - FIRST)).alias("shard"), *WORDS, "name")
+    linked = _linked(more, linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # Texts that share the first word of their fingerprints are candidates too, linked or not.
     shared = marked.groupBy("w0").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w0").alias("node"), F.col("w0").alias("root"))
     named = hold(linked.union(shared.join(linked, "node", "left_anti")), "jaccard-groups").withColumnRenamed("node", "w0")
     groups = hold(among(marked.select("at", "w0"), named, "w0").select("root", "at"), "jaccard-groups")
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(CHUNK)).cast("int").alias("chunks"))
-    placed = groups.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("at"), F.col("chunks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, "chunk").alias("low"), F.greatest(c, "chunk").alias("high")))
+    placed = groups.join(sizes, "root").withColumn("low", F.pmod(F.xxhash64("at"), F.col("chunks")).cast("int"))
+    placed = hold(placed.select("root", "at", "low", "chunks"), "jaccard-placed")
+    links = hold(_met(rows, _with_pivots(placed), ["root", "low"], shingle, similarity), "jaccard-links")
+    crowd = placed.where("chunks > 1").select("root", "at")
+    if crowd.isEmpty():
+        return links
+    # Which links are of large groups is told by their rows.
+    inner = among(links, crowd.select(F.col("at").alias("a")), "a")
+    classes = components(inner, "a", "b", "jaccard-classes").select(F.col("node").alias("at"), F.col("root").alias("class"))
+    crowd = crowd.join(classes, "at", "left").select("root", "at", F.coalesce("class", "at").alias("kind"))
+    dealt = _apart(hold(crowd, "jaccard-classes"))
+    across = hold(_met(rows, hold(dealt, "jaccard-placed"), ["root", "low_lot", "low", "high_lot", "high"], shingle, similarity), "jaccard-links")
+    return links.union(across)
+
+
+def _with_pivots(placed: DataFrame) -> DataFrame:
+    """``(root, at, kind, low, side)``: each row in its own chunk, and pivots of a group of several chunks in all of them."""
+    many = placed.where("chunks > 1")
+    # One row of each of PIVOTS bins, by an order of its own.
+    bins = many.groupBy("root", F.pmod(F.xxhash64("at", F.lit(1)), F.lit(PIVOTS)).alias("bin"))
+    pivots = bins.agg(F.min(F.struct(F.xxhash64("at", F.lit(2)).alias("order"), "at", F.col("low").alias("own"), "chunks")).alias("p"))
+    pivots = pivots.select("root", "p.at", "p.own", F.explode(F.sequence(F.lit(0), F.col("p.chunks") - 1)).alias("low"))
+    both = placed.select("root", "at", "low").union(pivots.where("low <> own").select("root", "at", "low"))
+    return hold(both.select("root", "at", F.col("at").alias("kind"), "low", F.lit(0).alias("side"), F.lit(True).alias("own")), "jaccard-placed")
+
+
+def _apart(crowd: DataFrame) -> DataFrame:
+    """Rows of ``(root, at, kind)`` of groups of several kinds, in each pair of chunks that may hold kinds still apart.
+
+    A kind of CHUNK rows or more is a lot of its own, the others of a group are one lot. Pairs of chunks within a lot
+    are left out if it is one kind. Small kinds stay whole in their chunk.
+    """
+    kinds = hold(crowd.groupBy("root", "kind").agg(F.count("*").alias("n")), "jaccard-classes")
+    several = kinds.groupBy("root").agg(F.count("*").alias("kinds")).where("kinds > 1").select("root")
+    kinds = kinds.join(several, "root").withColumn("lot", F.when(F.col("n") < CHUNK, F.lit(POOL)).otherwise(F.col("kind")))
+    lots = kinds.groupBy("root", "lot").agg(F.ceil(F.sum("n") / F.lit(CHUNK)).cast("int").alias("chunks"))
+    lots = hold(lots, "jaccard-classes")
+    one, two = (lots.select("root", F.col("lot").alias(f"{side}_lot"), F.col("chunks").alias(f"{side}_chunks")) for side in ("low", "high"))
+    pairs = one.join(two, "root").where(f"low_lot < high_lot or low_lot = {POOL} and high_lot = {POOL}")
+    for side in ("low", "high"):
+        pairs = pairs.withColumn(side, F.explode(F.sequence(F.lit(0), F.col(f"{side}_chunks") - 1)))
+    same = F.col("low_lot") == F.col("high_lot")
+    pairs = hold(pairs.where(~same | (F.col("low") <= F.col("high"))).drop("low_chunks", "high_chunks"), "jaccard-pairs")
+    lot = kinds.select("root", "kind", "lot").join(lots, ["root", "lot"])
+    key = F.when(F.col("lot") == POOL, F.col("kind")).otherwise(F.col("at"))
+    rows = crowd.join(lot, ["root", "kind"]).withColumn("chunk", F.pmod(F.xxhash64(key), F.col("chunks")).cast("int")).drop("chunks")
+    rows = hold(rows, "jaccard-placed")
+    own = same & (F.col("low") == F.col("high"))
+    dealt = []
+    for number, side in enumerate(("low", "high")):
+        met = pairs.where(~own) if number else pairs
+        sided = rows.withColumnsRenamed({"lot": f"{side}_lot", "chunk": side})
+        met = met.join(sided, ["root", f"{side}_lot", side])
+        dealt.append(met.select("root", "at", "kind", "low_lot", "low", "high_lot", "high", F.lit(number).alias("side"), own.alias("own")))
+    return dealt[0].union(dealt[1])
+
+
+def _met(rows: DataFrame, dealt: DataFrame, place: list[str], shingle: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of texts that meet: ``dealt``, a written table, has ``at, kind, side, own`` and the columns of their place."""
     # Few rows are candidates: their ids go to the texts, not the texts to the ids.
-    placed = hold(placed, "jaccard-placed")
-    dealt = among(rows, placed, "at").select("root", "at", "text", "chunk", F.explode(others).alias("pair"))
-    side = (F.col("chunk") != F.col("pair.low")).cast("int").alias("side")
-    dealt = dealt.select("root", "at", "text", F.col("pair.low").alias("low"), F.col("pair.high").alias("high"), side)
-    met = dealt.groupBy("root", "low", "high").agg(F.collect_list(F.struct("side", "at", "text")).alias("rows"))
-    met = met.select((F.col("low") == F.col("high")).alias("own"), F.col("rows.side").alias("sides"), F.col("rows.at").alias("ats"), F.col("rows.text").alias("texts"))
+    met = among(rows, dealt, "at").groupBy(*place, "own").agg(F.collect_list(F.struct("side", "at", "kind", "text")).alias("rows"))
+    met = met.select("own", *[F.col(f"rows.{c}").alias(f"{c}s") for c in ("side", "at", "kind", "text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                own, sides, ats, texts = (batch.column(k)[i].as_py() for k in range(4))
-                links = verified(sides, ats, texts, own, shingle, similarity)
+                own, sides, ats, kinds, texts = (batch.column(k)[i].as_py() for k in range(5))
+                links = verified(sides, ats, kinds, texts, own, shingle, similarity)
                 a, b = zip(*links) if links else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return hold(met.mapInArrow(run, "a long, b long"), "jaccard-links")
+    return met.mapInArrow(run, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -143,3 +143,66 @@ def test_crowded_shards(spark, monkeypatch):
     rows = edited_rows()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == brute_force(rows)
+
+
+def family(n, length=120, edits=1):
+    """Near copies of one text, and a chain whose ends are not alike."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    rows = []
+    for _ in range(n):
+        copy = list(base)
+        for at in rng.sample(range(length), edits):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append(" ".join(copy))
+    for _ in range(40):
+        for at in rng.sample(range(length), 2):
+            base[at] = f"y{rng.randrange(10**6)}"
+        rows.append(" ".join(base))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_links_of_a_family_grow_with_its_size(spark, monkeypatch):
+    """Not with its square, however many chunks it is cut into, and not by a link for each shard."""
+    monkeypatch.setattr(jaccard, "CHUNK", 20)
+    rows, found = family(400), []
+    table = spark.createDataFrame(rows, "at bigint, text string").repartition(3).cache()
+    contract = jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links, *more: found.append(links.distinct().count()) or contract(links, *more))
+    links = jaccard.similar_links(table)
+    assert links.count() < 2 * len(rows)  # one per text, some 20 per pair of chunks before
+    assert sum(found) < 20 * len(rows)
+    parts = connected([(a, b) for a, b in links.collect()])
+    assert sorted(set(range(len(rows))) - {i for g in parts for i in g - {min(g)}}) == brute_force(rows)
+
+
+def test_kinds_apart_meet_across_chunks(spark, monkeypatch):
+    for chunk, pivots, edits in ((3, 1, 4), (16, 2, 3), (40, 8, 4)):
+        monkeypatch.setattr(jaccard, "CHUNK", chunk)
+        monkeypatch.setattr(jaccard, "PIVOTS", pivots)
+        rows = family(60, edits=edits)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        assert sorted(r.doc_id for r in jaccard.one_of_each(docs).collect()) == brute_force(rows)
+
+
+def test_names_of_rows_in_shards(monkeypatch):
+    """Rows of one name are connected already; the links lead from name to name."""
+    rng, rows = random.Random(8), []
+    for shard, size in enumerate((2, 2, 3, 9, 30)):
+        base = rng.getrandbits(192)
+        rows += [(shard, base ^ 1 << rng.randrange(192), rng.choice((None, 5, 6, 7 + shard))) for _ in range(size)]
+    words = [np.frombuffer(v.to_bytes(24, "little"), np.int64).tolist() for _, v, _ in rows]
+
+    class Named:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            columns = [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([w[i] for w in words], pa.int64()) for i in range(3)], pa.array([r[2] for r in rows], pa.int64())]
+            whole = pa.RecordBatch.from_arrays(columns, ["shard", *jaccard.WORDS, "name"])
+            return [link for b in run(iter([whole.slice(i, 7) for i in range(0, len(rows), 7)])) for link in zip(*(c.to_pylist() for c in b.columns))]
+
+    names = [w[0] if r[2] is None else r[2] for r, w in zip(rows, words)]
+    for crowd in (512, 4):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        links = jaccard._shard_links(Named())
+        assert all(a != b for a, b in links) and len(links) < len(rows)
+        assert connected(links) == connected((a, b) for (s, _, _), a in zip(rows, names) for (t, _, _), b in zip(rows, names) if s == t and a != b)
