@@ -4,7 +4,9 @@ The votes of a text's shingles on 256 bits are its SimHash; the signs of the fir
 fingerprint of 64 bits has no block that texts at a similarity of 0.8 surely share, so shards are keyed by the bits
 least likely to differ: the votes are turned by a Hadamard transform with random signs, each time anew, and the
 clearest bit of a turn, with its value, is what near texts agree in. Two such bits, 18 binary digits, name a shard; a
-text goes to ``SHARDS`` of them. Each shard is a BK-tree with a wide radius; its links connect candidate groups. A
+text is in ``SHARDS`` of them. ``SECONDS`` shards share their first bit, and a text travels once for each first bit, with
+the second ones: so its fingerprint is shuffled ``FIRSTS`` times, not once for each shard, however many tasks there are.
+Each shard is a BK-tree with a wide radius; its links connect candidate groups. A
 shard with more than ``CROWD`` fingerprints, copies of one text mostly, is a group as it is, which loses nothing.
 A group's texts meet in one task, or, if there are many, chunk by chunk with a few texts of the whole group, which
 connect most of what belongs together; there a BK-tree over 64-bit fingerprints rules pairs out and the sets of
@@ -30,8 +32,11 @@ from sluice.llm.simhash import PIECE, _links, fingerprint, shingle_hashes
 
 VOTES = 256  # bits that shingles vote on, a power of two
 PRINT = 192  # bits of them that are the fingerprint, in words of 64
-SHARDS = 96  # shards of a text
-FIRST = 12  # shards of a text that are linked before the others
+VALUE = 9  # binary digits of a turn's clearest bit with its value, 2 * VOTES of them
+FIRSTS = 44  # first bits of a text's shards; the fingerprint travels once for each
+SECONDS = 3  # shards with the same first bit
+SHARDS = FIRSTS * SECONDS  # shards of a text
+EARLY = 6  # first bits whose shards are linked before the others
 WIDE = 62  # bits of PRINT; texts at 0.8 differ in 29 on average, with a deviation of 5, unrelated ones in 96, with one of 7
 CROWD = 512  # fingerprints of a shard that get a tree; unrelated texts would fill shards so only beyond 100 million
 RADIUS = 28  # bits; texts at 0.8 differ in 10 on average, with a deviation of 3, unrelated ones in 32
@@ -67,22 +72,40 @@ def cells(counts: np.ndarray) -> np.ndarray:
     turn = np.ones((1, 1), np.float32)
     while len(turn) < VOTES:
         turn = np.block([[turn, turn], [turn, -turn]])
-    signs = np.random.default_rng(42).choice(np.array([-1, 1], np.float32), (2 * SHARDS, VOTES))
+    signs = np.random.default_rng(42).choice(np.array([-1, 1], np.float32), (FIRSTS + SHARDS, VOTES))
     counts, every = counts.astype(np.float32), np.arange(len(counts))
-    found = np.empty((len(counts), 2 * SHARDS), np.int32)
-    for k in range(2 * SHARDS):
+    found = np.empty((len(counts), FIRSTS + SHARDS), np.int32)
+    for k in range(FIRSTS + SHARDS):
         turned = counts * signs[k] @ turn
         clearest = np.abs(turned).argmax(axis=1)
         found[:, k] = 2 * clearest + (turned[every, clearest] > 0)
-    values = 2 * VOTES
-    return (np.arange(SHARDS, dtype=np.int32) * values + found[:, ::2]) * values + found[:, 1::2]
+    firsts = (np.arange(FIRSTS, dtype=np.int32) << VALUE) + found[:, :FIRSTS]
+    return (np.repeat(firsts * SECONDS, SECONDS, axis=1) + np.arange(SHARDS, dtype=np.int32) % SECONDS << VALUE) + found[:, FIRSTS:]
+
+
+def packed(shards: np.ndarray) -> np.ndarray:
+    """A number for each first bit of rows of shards: the bit, then the second bits of its shards."""
+    groups = shards.reshape(len(shards), FIRSTS, SECONDS).astype(np.int64)
+    out = (groups[:, :, 0] >> VALUE) // SECONDS
+    for j in range(SECONDS):
+        out = (out << VALUE) + (groups[:, :, j] & (1 << VALUE) - 1)
+    return out
+
+
+def _dealt(ways: DataFrame) -> DataFrame:
+    """``(shard, ...)`` of rows of ``(cell, ...)``, a packed number: they are shuffled by the first bit, then copied to its shards."""
+    first = F.shiftright("cell", VALUE * SECONDS)
+    second = [F.shiftright("cell", VALUE * (SECONDS - 1 - j)).bitwiseAND(F.lit((1 << VALUE) - 1)) for j in range(SECONDS)]
+    shards = F.array(*[(F.shiftleft(first * SECONDS + j, VALUE) + b).cast("int") for j, b in enumerate(second)])
+    rows = ways.repartition(first)
+    return rows.select(F.explode(shards).alias("shard"), *[c for c in ways.columns if c != "cell"]).sortWithinPartitions("shard")
 
 
 WORDS = [f"w{i}" for i in range(PRINT // 64)]  # columns of a fingerprint; the first names its text
 
 
 def _marked(rows: DataFrame, shingle: int) -> DataFrame:
-    """``at``, the fingerprint's words and ``cells`` of each row of ``(at, text)``."""
+    """``at``, the fingerprint's words and ``cells``, its shards as packed numbers, of each row of ``(at, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -90,11 +113,11 @@ def _marked(rows: DataFrame, shingle: int) -> DataFrame:
                 continue
             counts = np.stack([votes(np.unique(shingle_hashes(t, shingle))) for t in batch.column(1).to_pylist()])
             words = [pa.array(w, pa.int64()) for w in print_words(counts).T]
-            shards = pa.array(cells(counts).reshape(-1), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * SHARDS, pa.int32()), shards)
+            shards = pa.array(packed(cells(counts)).reshape(-1), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1) * FIRSTS, pa.int32()), shards)
             yield pa.RecordBatch.from_arrays([batch.column(0), *words, lists], ["at", *WORDS, "cells"])
 
-    return rows.mapInArrow(run, "at long, " + "".join(f"{w} long, " for w in WORDS) + "cells array<int>")
+    return rows.mapInArrow(run, "at long, " + "".join(f"{w} long, " for w in WORDS) + "cells array<bigint>")
 
 
 def run_links(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -210,7 +233,7 @@ def verified(sides: list[int], ats: list[int], kinds: list[int], texts: list[str
 
 def _linked(ways: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``(node, root)`` of the links of shards and those known before, a written table."""
-    found = hold(_shard_links(ways.repartition("shard").sortWithinPartitions("shard")), "jaccard-near")
+    found = hold(_shard_links(_dealt(ways)), "jaccard-near")
     return hold(components(found if known is None else found.union(known), "a", "b", "jaccard-groups"), "jaccard-groups")
 
 
@@ -221,10 +244,10 @@ def similar_links(rows: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     firsts = marked.groupBy(WORDS).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     again = hold(marked.join(firsts.where("n > 1"), WORDS).where("at <> first").select("at"), "jaccard-again")
     once = without(marked, again, "at")
-    linked = _linked(once.select(F.explode(F.slice("cells", 1, FIRST)).alias("shard"), *WORDS))
+    linked = _linked(once.select(F.explode(F.slice("cells", 1, EARLY)).alias("cell"), *WORDS))
     # Near copies share most shards: the other shards link what the first ones left apart, not all texts once more.
     named = among(once, linked.withColumnsRenamed({"node": "w0", "root": "name"}), "w0", how="left")
-    more = named.select(F.explode(F.slice("cells", FIRST + 1, SHARDS - FIRST)).alias("shard"), *WORDS, "name")
+    more = named.select(F.explode(F.slice("cells", EARLY + 1, FIRSTS - EARLY)).alias("cell"), *WORDS, "name")
     linked = _linked(more, linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     # Texts that share the first word of their fingerprints are candidates too, linked or not.
     shared = marked.groupBy("w0").agg(F.count("*").alias("n")).where("n > 1").select(F.col("w0").alias("node"), F.col("w0").alias("root"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sluice.llm import jaccard
@@ -206,3 +207,19 @@ def test_names_of_rows_in_shards(monkeypatch):
         links = jaccard._shard_links(Named())
         assert all(a != b for a, b in links) and len(links) < len(rows)
         assert connected(links) == connected((a, b) for (s, _, _), a in zip(rows, names) for (t, _, _), b in zip(rows, names) if s == t and a != b)
+
+
+def test_shards_travel_by_their_first_bit(spark):
+    """A fingerprint is shuffled once for a first bit; behind the shuffle it stands in all shards of ``cells``, shard by shard."""
+    rng = np.random.default_rng(6)
+    shards = jaccard.cells(np.stack([jaccard.votes(rng.integers(0, 1 << 64, 50, np.uint64)) for _ in range(40)]))
+    cells = jaccard.packed(shards)
+    assert cells.shape == (40, jaccard.FIRSTS) and jaccard.SHARDS >= 3 * jaccard.FIRSTS
+    rows = [(int(c), i) for i, own in enumerate(cells) for c in own]
+    dealt = jaccard._dealt(spark.createDataFrame(rows, "cell bigint, at bigint"))
+    found = [(r.shard, r.at, r.part) for r in dealt.withColumn("part", F.spark_partition_id()).collect()]
+    assert sorted(f[:2] for f in found) == sorted((int(s), i) for i, own in enumerate(shards) for s in own)
+    assert len({(s, part) for s, _, part in found}) == len({s for s, _, _ in found})
+    for part in {f[2] for f in found}:
+        own = [s for s, _, p in found if p == part]
+        assert own == sorted(own)
