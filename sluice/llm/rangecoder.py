@@ -40,8 +40,8 @@ NEXT = np.array([[1, 1, *[c >> 1 for c in range(2, SURE + 1)]], [min(c + 1, SURE
 class _Model:
     """Products with booleans stand for choices here: they are several times as fast as np.where."""
 
-    def __init__(self, vocabulary: int, lanes: int):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: int, lanes: int, decoding: bool = False):
+        self.vocabulary, self.decoding = vocabulary, decoding
         self.counts = np.zeros(vocabulary, np.int64)
         self.guess = [np.zeros(vocabulary + 1, np.int64), np.zeros(SLOTS, np.int64)]
         self.sure = [np.zeros(vocabulary + 1, np.int64), np.zeros(SLOTS, np.int64)]
@@ -52,11 +52,14 @@ class _Model:
         self._refresh()
 
     def _refresh(self) -> None:
-        """The cumulative frequencies, and the first id that reaches each 4096th of the total."""
+        """The cumulative frequencies and, which only a decoder needs, the last id that starts at or before each 4096th of the total."""
         free = TOTAL - FLOOR * self.vocabulary
         frequencies = FLOOR + self.counts * free // max(1, int(self.counts.sum()))
         self.sums = np.concatenate([[0], np.cumsum(frequencies)])
-        self.first = np.searchsorted(self.sums, np.arange(0, TOTAL + 1, 1 << COARSE), "right") - 1
+        if self.decoding:
+            # How many sums lie at or before a place: counted at the first place that each of them does not pass.
+            reached = np.bincount(self.sums + (1 << COARSE) - 1 >> COARSE, minlength=(TOTAL >> COARSE) + 1)
+            self.first = np.cumsum(reached[: (TOTAL >> COARSE) + 1]) - 1
 
     def predict(self) -> None:
         """Each lane's two guesses and their shares of the total."""
@@ -176,7 +179,7 @@ def decode_block(data: bytes) -> np.ndarray:
         raise DamagedBlock("sizes do not fit")
     words = np.append(np.frombuffer(data, "<u2", offset=20 + 2 * lanes).astype(U), np.zeros(8, U))
     at = np.cumsum(lengths) - lengths
-    model = _Model(vocabulary, lanes)
+    model = _Model(vocabulary, lanes, decoding=True)
     grid = np.zeros((lanes, LANE), np.int64)
     low, span, code = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U), np.zeros(lanes, U)
     for _ in range(4 if lanes else 0):

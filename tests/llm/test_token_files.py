@@ -108,3 +108,16 @@ def test_documents_longer_than_a_block(spark, plain, monkeypatch):
 @given(st.binary(max_size=300), st.binary(max_size=300))
 def test_joined_checksums(a, b):
     assert token_files.crc32_combine(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+@pytest.mark.parametrize("vocabulary", [1, 2, 300, 50_257, 70_000])
+def test_first_lookup_of_ids(vocabulary):
+    """The decoder's first lookup is a search of the sums; an encoder makes none."""
+    model = rangecoder._Model(vocabulary, 4, decoding=True)
+    rng = np.random.default_rng(vocabulary)
+    for most in (0, 3, 5000):
+        model.counts += rng.integers(0, most + 1, vocabulary) * (rng.random(vocabulary) < 0.1)
+        model._refresh()
+        places = np.arange(0, rangecoder.TOTAL + 1, 1 << rangecoder.COARSE)
+        assert np.array_equal(model.first, np.searchsorted(model.sums, places, "right") - 1)
+    assert not hasattr(rangecoder._Model(vocabulary, 4), "first")
