@@ -1,6 +1,7 @@
 """Files that queries write before they scan them: no task takes a fixed share of the table."""
 
 import glob
+import json
 
 import pytest
 
@@ -33,3 +34,14 @@ def test_files_grow_in_number(spark, written, monkeypatch, name):
     found = queries.QUERIES[name](spark, SF)
     assert sorted(r.doc_id for r in found.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     assert len(written()) == 5
+
+
+def test_each_task_closes_its_arrays(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "ARRAY_ROWS", 8)
+    for at, rows in enumerate((20, 1, 16, 0)):
+        spark.range(100 * at, 100 * at + rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    found = spark.read.parquet(f"{tmp_path}/in")
+    queries._write_arrays(found, f"{tmp_path}/out")
+    arrays = [json.loads(a + "]") for f in glob.glob(f"{tmp_path}/out/part-*") for a in open(f).read().split("]")[:-1]]
+    assert sorted(r["id"] for a in arrays for r in a) == [*range(20), 100, *range(200, 216)]
+    assert max(map(len, arrays)) <= 8
